@@ -49,7 +49,7 @@ _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 def _item_windows(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
     """Item windows: (item_id, hash, length, fingerprint): the least k-gram hash in it, or a short item's own hash."""
-    for batch in batches:
+    for batch in g.pieces(batches, 1):
         words = g.words_of(batch.column(1), g.NOT_ALNUM, lower=True)
         hashes, items = words.hashes(), batch.column(0).to_pylist()
         ids, keys, sizes, prints = [], [], [], []
@@ -157,7 +157,7 @@ def _flags(column: pa.Array, index: _Index) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _annotate(batches: Iterator[pa.RecordBatch], index: _Index) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in g.pieces(batches, 1):
         n_words, n_hit, n_items, shas = _flags(batch.column(1), index)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(shas, pa.string()), pa.array(n_hit > 0)], names=RESULT.names
@@ -166,7 +166,7 @@ def _annotate(batches: Iterator[pa.RecordBatch], index: _Index) -> Iterator[pa.R
 
 def _doc_prints(batches: Iterator[pa.RecordBatch], sizes: list[int], window: int, k: int) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, n_words, fingerprints): the winnowed k-grams, and all grams of the short items' lengths."""
-    for batch in batches:
+    for batch in g.pieces(batches, 1):
         words = g.words_of(batch.column(1), g.NOT_ALNUM, lower=True)
         hashes, owner = words.hashes(), words.owner()
         small, _ = g.windows(hashes, words.ptr, k)
@@ -190,7 +190,7 @@ def _doc_prints(batches: Iterator[pa.RecordBatch], sizes: list[int], window: int
 
 def _extend(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(row, n_hit, keys found) of documents that come with their candidate windows."""
-    for batch in batches:
+    for batch in g.pieces(batches, 1):
         n_hits, all_keys, counts = [], [], []
         candidates = batch.column(2).to_pylist()
         words = g.words_of(batch.column(1), g.NOT_ALNUM, lower=True)
@@ -268,7 +268,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in g.pieces(batches, at):
             _, n_hit, _, _ = _flags(batch.column(at), index)
             yield batch.filter(pa.array(n_hit == 0))
 

@@ -7,6 +7,7 @@ which makes this equal to the same rule over code points.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hash_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte run buf[start:end]; runs are ascending and don't overlap."""
     out = np.empty(len(starts), np.uint64)
     i = 0
@@ -74,11 +75,11 @@ class Words:
     ptr: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        return _hash_runs(self.buf, self.starts, self.ends)
+        return hash_runs(self.buf, self.starts, self.ends)
 
     def prefix_hashes(self, n: int) -> np.ndarray:
         """Hashes of the first n bytes of each word."""
-        return _hash_runs(self.buf, self.starts, np.minimum(self.ends, self.starts + n))
+        return hash_runs(self.buf, self.starts, np.minimum(self.ends, self.starts + n))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.ptr)
@@ -107,6 +108,21 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
+#: Bytes of text that a task works on at once, unless one text is longer.
+PIECE = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `size` bytes of the given string column, which bounds memory."""
+    for batch in batches:
+        _, offsets = bytes_of(batch.column(column))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def words_of(column: pa.Array, separators: np.ndarray = BLANKS, lower: bool = False) -> Words:
     buf, offsets = bytes_of(column)
     return split_words(buf, offsets, separators, lower)
