@@ -5,15 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinmill.llm import decontaminate, neardup, quality, repeats, toxicity
+from skeinmill.llm import chat, decontaminate, licences, mixing, neardup, pii, quality, repeats, secrets, toxicity
 from skeinmill.llm.store import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
+#: A conversation whose texts hold control strings, which op2_chat formats besides the table's.
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("number"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    probe = spark.createDataFrame([(-1, 0, 0, "message", "user", _CONTROL), (-1, 1, 1, "message", "assistant", _CONTROL)], "conv_id long, number long, seq long, kind string, role string, text string")
+    chats = chat.format_chats(logs.unionByName(probe))
+    read = chats.select("conv_id", "n_turns", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.masked_text().alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -24,6 +49,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -33,8 +66,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_neardup, op5_toxicity, op6_quality, op9_repeats, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_neardup, op4_pii, op5_toxicity, op6_quality, op7_licences, op8_mixing, op9_repeats, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_neardup": neardup.ORACLE, "op9_repeats": repeats.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op3_neardup": neardup.ORACLE, "op7_licences": licences.ORACLE, "op8_mixing": mixing.ORACLE, "op9_repeats": repeats.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
