@@ -14,10 +14,11 @@ probability close to the Jaccard similarity.
 4. The rest are confirmed on their full sets, made again from the texts.
 
 Pairs within a bucket aren't all formed. First each member is held against the least member of its
-buckets, the most similar first, and links are joined to components. Then, in buckets whose members
-still are in several components, members outside the bucket's largest component are held against those
-of other components. A pair that's left out is in one component already, so that components are those
-of all links among candidates.
+buckets, the most similar first, and links are joined to components. Buckets whose members still are in
+several components go on: members outside the largest one are held against its likeliest centre, and
+what is apart even then against those members of other components that share a rare enough shingle, a
+condition that no linked pair fails. Pairs left out are in one component already or can't be linked, so
+that components are those of all links among candidates.
 
 Defined results: a document without words, or a null text, has an empty set and is linked with nothing;
 one of fewer than four words has its whole sequence as one shingle; a null doc_id is linked with nothing
@@ -93,6 +94,13 @@ def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         )
 
 
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(id, shingles)"""
+    for batch in g.pieces(batches, 1):
+        elements, ptr = shingle_sets(g.words_of(batch.column(1), lower=True), n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), g.list_column(g.as_signed(elements), np.diff(ptr), pa.int64())], names=["id", "shingles"])
+
+
 def _bands(registers: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each row."""
     values = registers.reshape(len(registers), BANDS, ROWS).astype(np.uint64)
@@ -168,15 +176,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = keep(_confirmed(best, texts, shingle, percent), "links")
     roots = components(links)
 
-    # Every bucket whose members are still apart: those outside its largest component meet all of the others.
-    placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-    split = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", F.col("top.root").alias("main"))
-    apart = keep(placed.join(split, "key"), "apart")
-    outside = apart.where("root != main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    pairs = apart.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main").join(outside, "key")
-    pairs = pairs.where(f"ra != rb and (rb = main or a < b) and 100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("one")).drop("one")
+    # Buckets whose members are still apart, without members that can't be linked with any of the others.
+    apart = keep(_apart(met.select("key", "id", "n"), roots), "apart")
+    shingles = keep(_counted(apart, texts, shingle), "apart-shingles")
+    shared = shingles.where("df > 1").groupBy("id").agg(F.count("*").alias("s"))
+    apart = keep(apart.join(shared, "id").where(f"100 * s >= {int(percent)} * n"), "apart-shared")
+    # The one with the most shingles in common with others is the likeliest centre of its bucket.
+    hubs = apart.where("root = main").groupBy("key").agg(F.max(F.struct("s", "id")).alias("top")).select("key", F.col("top.id").alias("a"))
+    near = apart.where("root != main").select("key", F.col("id").alias("b")).join(hubs, "key").groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
+    links = links.union(keep(_confirmed(_filtered(near, drawn, percent).select("a", "b"), texts, shingle, percent), "hub-links"))
+    # What is apart even now: members outside their bucket's largest component meet those that share a rare shingle.
+    apart = keep(_apart(apart.select("key", "id", "n", "s"), components(links)), "still-apart")
+    pairs = _rare_pairs(apart, shingles, percent)
     more = keep(_confirmed(_filtered(pairs, drawn, percent).select("a", "b"), texts, shingle, percent), "more-links")
     roots = components(links.union(more))
 
@@ -185,6 +196,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return scanned.select("doc_id", "cls", "n").join(placed, "cls").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, with each row's root and the bucket's main one."""
+    placed = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
+    split = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return placed.join(split.select("key", F.col("top.root").alias("main")), "key")
+
+
+def _counted(apart: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingle, df): the shingles of these documents, and how many of them have each."""
+    own = texts.join(apart.groupBy("id").agg(F.lit(1).alias("one")).drop("one"), "id").select("id", "text")
+    own = keep(own.mapInArrow(lambda it: _sets(it, shingle), "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle")), "sets")
+    return own.join(own.groupBy("shingle").agg(F.count("*").alias("df")), "shingle").select("id", "shingle", "df")
+
+
+def _rare_pairs(apart: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that may reach the threshold, by prefix filtering.
+
+    Of sets ordered from rare to frequent shingles, a pair with t in common shares one among the first
+    n - t + 1 of each. Copies that are apart in spite of a common centre have changes of their own, which
+    are rare and fill their prefix, so that hardly any pair is formed for what everybody shares.
+    """
+    mates = apart.groupBy("key").agg(F.min("n").alias("least"))
+    nodes = apart.join(mates, "key").groupBy("id").agg(
+        F.max("n").alias("n"), F.max("s").alias("s"), F.max("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside"),
+        F.min(F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))).alias("least"),
+    )
+    needed = F.ceil((F.col("n") + F.col("least")) * percent / (100 + percent) - 1e-9)
+    sets = nodes.join(shingles, "id").groupBy("id", "n", "s", "root", "outside", "least").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
+    heads = sets.select("id", "n", "s", "root", "outside", F.posexplode(F.slice("rare", F.lit(1), F.greatest(F.lit(0), (F.col("n") - needed + 1).cast("int")))).alias("pos", "r"))
+    heads = keep(heads.where("r.df > 1").select("id", "n", "s", "root", "outside", "pos", F.col("r.shingle").alias("shingle")), "prefixes")
+    left = heads.where("outside").select("shingle", *(F.col(c).alias(c + "_a") for c in ("id", "n", "s", "root", "pos")))
+    common = f"ceil((n + n_a) * {int(percent)} / {100 + int(percent)} - 1e-9)"
+    met = f"root != root_a and (not outside or id_a < id) and pos <= n - {common} and pos_a <= n_a - {common} and least(s, s_a) >= {common}"
+    return heads.join(left, "shingle").where(met).groupBy(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).agg(F.lit(1).alias("one")).drop("one")
+
+
 def _filtered(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     left = drawn.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = drawn.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
