@@ -35,7 +35,7 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
-_BYTE = r"^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+_BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 _TOKEN = r"[^\x20\x09-\x0D]*?[0-9@][^\x20\x09-\x0D]*+"
 
 
@@ -72,9 +72,9 @@ def _by_start(s: Column) -> Column:
 
 
 def base_spans(frame: DataFrame) -> DataFrame:
-    """Adds a column for each kind: the checked matches of its pattern, as (start, end, found, before)."""
+    """Adds a column for each kind: the checked matches of its pattern, as (start, end, found)."""
     for kind in KINDS:
-        frame = find_spans(frame, f"{kind}_spans", _PATTERNS[kind], _gate(kind), before=0)
+        frame = find_spans(frame, f"{kind}_spans", _PATTERNS[kind], _gate(kind), near=0)
         frame = frame.withColumn(f"{kind}_spans", F.filter(f"{kind}_spans", _checked(kind)))
     return frame
 
