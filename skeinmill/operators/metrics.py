@@ -36,9 +36,12 @@ def per_query(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, ks: li
     rows = queries.select("query_id").distinct().join(hits, "query_id", "left").join(counts, "query_id", "left")
     out = [F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce((F.col("first") <= 5).cast("double"), F.lit(0.0)).alias("hit_rate_top_5")]
     for k in ks:
+        if k <= 0:
+            out += [F.lit(0.0).alias(f"{m}_at_{k}") for m in ("precision", "recall", "ndcg")]
+            continue
         ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
         out += [
-            (F.coalesce(f"hits_{k}", F.lit(0)) / k).cast("double").alias(f"precision_at_{k}") if k > 0 else F.lit(0.0).alias(f"precision_at_{k}"),
+            (F.coalesce(f"hits_{k}", F.lit(0)) / k).cast("double").alias(f"precision_at_{k}"),
             F.coalesce(F.col(f"hits_{k}") / F.col("n_relevant"), F.lit(0.0)).alias(f"recall_at_{k}"),
             F.coalesce(F.col(f"dcg_{k}") / ideal, F.lit(0.0)).alias(f"ndcg_at_{k}"),
         ]

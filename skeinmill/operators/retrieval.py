@@ -112,7 +112,7 @@ def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A term in more than half of the chunks would have a negative weight; it gets EPSILON times the mean weight.
     """
-    tokens = chunks.select("chunk_id", "pos", words("text", lower=True).alias("ts")).withColumn("dl", F.size("ts"))
+    tokens = chunks.select("chunk_id", "pos", words(F.coalesce("text", F.lit("")), lower=True).alias("ts")).withColumn("dl", F.size("ts"))
     postings = tokens.select("chunk_id", "pos", "dl", F.explode("ts").alias("term")).groupBy("term", "chunk_id", "pos", "dl").agg(F.count("*").alias("tf"))
     corpus = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))

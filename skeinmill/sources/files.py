@@ -41,7 +41,7 @@ def parse_documents(raw: DataFrame) -> DataFrame:
 
 def read_markdown(spark: SparkSession, directory: str) -> DataFrame:
     """Documents of all *.md files under a directory; a missing directory is Spark's own error."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(directory)
+    files = spark.read.text(directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     base = F.lit(directory.rstrip("/") + "/")
     path = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
     return parse_documents(files.select(F.replace(path, base, F.lit("")).alias("source"), F.col("value").alias("raw")))
