@@ -153,12 +153,10 @@ def scan(docs: DataFrame, forest: Forest, cut: float = CUT, path: str = "source"
     """A row for each candidate: doc_id, start_pos, end_pos, candidate_sha256, score, is_secret."""
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = find_spans(own, "c", _RUN, F.col("text").rlike(r"[A-Za-z0-9+/_=-]{12}") & F.col("text").rlike("[0-9]"))
-    own = own.withColumn("tail", F.when(F.size("c") > 0, F.substr(F.col("text"), F.element_at("c", -1)["end"] + 1, F.lit(80))))
-    own = own.withColumn("c", F.expr("transform(c, (x, i) -> struct(x.start, x.end, x.found, x.before, if(i + 1 < size(c), left(c[i + 1].before, 80), tail) as after))"))
-    own = own.withColumn("c", F.filter("c", lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]")))
-    rows = own.where(F.size("c") > 0).select("doc_id", "path", F.explode("c").alias("c")).select("doc_id", "path", "c.*")
-    rows = _with_features(rows.withColumn("before", F.right("before", F.lit(40))).withColumn("after", F.left("after", F.lit(40))))
+    own = find_spans(own, "c", _RUN, F.col("text").rlike(r"[A-Za-z0-9+/_=-]{12}") & F.col("text").rlike("[0-9]"), near=40)
+    # An outer explode, because a plain one would have the column worked out once more to leave out empty ones.
+    rows = own.select("doc_id", "path", F.explode_outer("c").alias("c")).where("c.found rlike '[0-9]' and c.found rlike '[A-Za-z]'").select("doc_id", "path", "c.*")
+    rows = _with_features(rows)
     scored = rows.withColumn("score", F.expr(forest.expression()))
     return scored.select("doc_id", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), F.sha2("found", 256).alias("candidate_sha256"), "score", (F.col("score") >= cut).alias("is_secret"))
 

@@ -31,11 +31,11 @@ def prefix_sums(lengths: Column) -> Column:
     return let(lengths, placed)
 
 
-def find_spans(frame: DataFrame, out: str, pattern: str, gate: Column | None = None, text: str = "text", before: int = 80) -> DataFrame:
-    """Adds a column of (start, end, found, before) for all leftmost non-overlapping matches of a pattern.
+def find_spans(frame: DataFrame, out: str, pattern: str, gate: Column | None = None, text: str = "text", near: int = 80) -> DataFrame:
+    """Adds a column of (start, end, found, before, after) for all leftmost non-overlapping matches of a pattern.
 
-    Positions are code points, end exclusive; before is the text between the match and the one before it,
-    its last characters. The pattern must not match nothing. Texts for which the gate is false aren't searched.
+    Positions are code points, end exclusive; before and after are the characters nearest to the match of
+    the text between it and its neighbours. The pattern must not match nothing. Texts for which the gate is false aren't searched.
 
     Matches and the gaps between them come from the same search, so positions are sums of lengths.
     """
@@ -45,7 +45,7 @@ def find_spans(frame: DataFrame, out: str, pattern: str, gate: Column | None = N
     def placed(m: Column, g: Column, ends: Column) -> Column:
         def span(x: Column, i: Column) -> Column:
             start = F.get(ends, i) + F.length(F.get(g, i))
-            return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("found"), F.right(F.get(g, i), F.lit(before)).alias("before"))
+            return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("found"), F.right(F.get(g, i), F.lit(near)).alias("before"), F.left(F.get(g, i + 1), F.lit(near)).alias("after"))
 
         return F.transform(m, span)
 
