@@ -36,7 +36,8 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
 _BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-_TOKEN = r"[^\x20\x09-\x0D]*?[0-9@][^\x20\x09-\x0D]*+"
+#: What looks like an identifier: a phone number, or a token from its first character on.
+_TOKEN = _PHONE + r"|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
 
 def _valid(kind: str, x: Column) -> Column:
@@ -81,7 +82,7 @@ def base_spans(frame: DataFrame) -> DataFrame:
 
 def _token_kind(token: Column) -> Column:
     """The kind of a token that is, or begins, a base entity."""
-    out = F.when(token.rlike(_EMAIL), "email").when(token.rlike(r"^\+[0-9]"), "phone")
+    out = F.when(token.rlike(_EMAIL), "email").when(token.rlike("^" + _PHONE + "$") & _valid("phone", token), "phone")
     bare = F.regexp_extract(token, _IP, 0)
     out = out.when((bare != "") & _valid("ip", bare), "ip")
     return out.when(token.rlike("^[^0-9]?[0-9-]+[^0-9]*$") & _valid("card", token), "card")
