@@ -47,20 +47,46 @@ def embed(rows: DataFrame, text: str, out: str = "embedding", encoder: Callable[
     return rows.withColumn(out, vectors(text))
 
 
-def _blocks(rows: DataFrame, key: str, pos: str, vector: str, keys: str, block: int) -> DataFrame:
-    """Rows of up to `block` keys, places and vectors each."""
+def _blocks(rows: DataFrame, key: str, pos: str, vector: str, block: int, group: str | None = None) -> DataFrame:
+    """Rows of up to `block` keys, places and vectors each, all of one group if there is a group column."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, block):
-                part = batch.slice(i, block)
-                names, places = part.column(0), part.column(1)
-                flat = np.array(part.column(2).to_pylist(), np.float64)
-                one = pa.array([0, len(names)], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, names), pa.ListArray.from_arrays(one, places), pa.array([flat.tobytes()])], names=["keys", "places", "data"])
+            groups = np.array([repr(g) for g in batch.column(3).to_pylist()])
+            edges = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges, edges[1:], strict=False):
+                for i in range(low, high, block):
+                    part = batch.slice(i, min(block, high - i))
+                    one = pa.array([0, part.num_rows], pa.int32())
+                    data = np.array(part.column(2).to_pylist(), np.float64).tobytes()
+                    keys, places = (pa.ListArray.from_arrays(one, pa.concat_arrays([part.column(c)])) for c in (0, 1))
+                    yield pa.RecordBatch.from_arrays([keys, places, pa.array([data]), part.column(3).slice(0, 1)], names=["keys", "places", "data", "grp"])
+
+    wide = rows.where(F.col(vector).isNotNull()).select(F.col(key), F.col(pos).cast("long"), F.col(vector).cast("array<double>"), (F.col(group) if group else F.lit(0)).alias("grp"))
+    if group:
+        wide = wide.repartition("grp", F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("grp")
+    kinds = dict(wide.dtypes)
+    return wide.mapInArrow(pack, f"keys array<{kinds[key]}>, places array<long>, data binary, grp {kinds['grp']}")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str, vector: str, group: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim): pairs of rows, of one group if there's a group column, whose inner product is over the threshold.
+
+    Blocks meet blocks and are multiplied as matrices; only pairs over the threshold become rows.
+    """
+    kinds = [dict(x.dtypes)[key] for x in (left, right)]
+    ours = _blocks(left.withColumn("pos", F.lit(0)), key, "pos", vector, block, group).select("grp", F.col("keys").alias("ka"), F.col("data").alias("da"))
+    theirs = _blocks(right.withColumn("pos", F.lit(0)), key, "pos", vector, block, group).select("grp", F.col("keys").alias("kb"), F.col("data").alias("db"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ka, da, kb, db in zip(*(batch.column(n) for n in ("ka", "da", "kb", "db")), strict=True):
+                sims = np.round(np.frombuffer(da.as_py()).reshape(len(ka.values), -1) @ np.frombuffer(db.as_py()).reshape(len(kb.values), -1).T, PLACES)
+                i, j = np.nonzero(sims > threshold)
+                yield pa.RecordBatch.from_arrays([ka.values.take(pa.array(i)), kb.values.take(pa.array(j)), pa.array(sims[i, j])], names=["a", "b", "sim"])
 
-    wide = rows.where(F.col(vector).isNotNull()).select(F.col(key), F.col(pos).cast("long"), F.col(vector).cast("array<double>"))
-    return wide.mapInArrow(pack, f"keys array<{dict(wide.dtypes)[key]}>, places array<long>, data binary")
+    met = ours.join(theirs, "grp") if group else ours.crossJoin(theirs)
+    return met.select("ka", "da", "kb", "db").mapInArrow(multiply, f"a {kinds[0]}, b {kinds[1]}, sim double")
 
 
 #: Blocks of queries that are sent to every task at most; more of them are shuffled.
@@ -76,8 +102,8 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int =
     if k <= 0:
         raise ValueError("k must be positive")
     kinds = {"query_id": dict(queries.dtypes)["query_id"], "chunk_id": dict(corpus.dtypes)["chunk_id"]}
-    left = _blocks(queries.withColumn("pos", F.lit(0)), "query_id", "pos", "embedding", "query_id", block).select(F.col("keys").alias("q"), F.col("data").alias("qd"))
-    right = _blocks(corpus, "chunk_id", "pos", "embedding", "chunk_id", block)
+    left = _blocks(queries.withColumn("pos", F.lit(0)), "query_id", "pos", "embedding", block).select(F.col("keys").alias("q"), F.col("data").alias("qd"))
+    right = _blocks(corpus, "chunk_id", "pos", "embedding", block)
     few = left.limit(SENT_BLOCKS + 1).count() <= SENT_BLOCKS
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

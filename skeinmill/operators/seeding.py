@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from skeinmill.functions.text import family, has_shape, hash_order, headings, question_types, words
 from skeinmill.functions.vectors import normalize
+from skeinmill.lineage import cut
+from skeinmill.operators.retrieval import similar_pairs
 
 QUOTAS = {"procedural": 240, "comparison": 160, "best_practice": 160, "pointer": 120}
 MIN_WORDS, DUPLICATE, CONTAMINATED = 5, 0.85, 0.7
@@ -70,25 +72,15 @@ def filter_shape(rows: DataFrame) -> DataFrame:
     return drop_reason(rows, F.when(~has_shape("query", "question_type"), F.concat(F.lit("type_mismatch_"), F.col("question_type"))))
 
 
-def _similar_pairs(left: DataFrame, right: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    from skeinmill.operators.retrieval import PLACES
-    from skeinmill.functions.vectors import dot
-
-    pairs = left.join(right, on) if on else left.crossJoin(F.broadcast(right))
-    return pairs.withColumn("sim", F.round(dot(F.col("va"), F.col("vb")), PLACES)).where(F.col("sim") > threshold)
-
-
 def filter_duplicates(rows: DataFrame, threshold: float = DUPLICATE, key: str = "row_id", vector: str = "embedding", kind: str = "question_type", max_rounds: int = 50) -> DataFrame:
     """Marks rows too similar to an earlier kept one of their kind, in order of key.
 
     Keeping goes by rounds: an undecided row whose earlier neighbours are all decided is kept if none of
-    them is, until all are decided. Rows without a neighbour never leave the first round.
+    them is, until all are decided. Only rows with a neighbour take part in the rounds.
     """
-    unit = rows.select(key, kind, normalize(F.col(vector)).alias("v"))
-    if "drop_reason" in rows.columns:
-        unit = rows.where("drop_reason is null").select(key, kind, normalize(F.col(vector)).alias("v"))
-    left, right = unit.select(kind, F.col(key).alias("a"), F.col("v").alias("va")), unit.select(kind, F.col(key).alias("b"), F.col("v").alias("vb"))
-    edges = _similar_pairs(left, right, [kind], threshold).where("a < b").select("a", "b").checkpoint()
+    live = rows.where("drop_reason is null") if "drop_reason" in rows.columns else rows
+    unit = live.select(key, kind, normalize(F.col(vector)).alias("v"))
+    edges = cut(similar_pairs(unit, unit, threshold, key, "v", kind).where("a < b").select("a", "b"))
     dropped = edges.sparkSession.createDataFrame([], edges.select("b").schema)
     kept = dropped
     for _ in range(max_rounds):
@@ -97,17 +89,17 @@ def filter_duplicates(rows: DataFrame, threshold: float = DUPLICATE, key: str =
         first = open_.join(kept.withColumnRenamed("b", "a"), "a", "left_anti").select(F.col("a").alias("b")).distinct().join(later, "b", "left_anti")
         if first.isEmpty():
             break
-        kept = kept.union(first).checkpoint()
-        dropped = edges.join(kept.withColumnRenamed("b", "a"), "a", "left_semi").select("b").distinct().checkpoint()
+        kept = cut(kept.union(first))
+        dropped = cut(edges.join(kept.withColumnRenamed("b", "a"), "a", "left_semi").select("b").distinct())
     marked = rows.join(dropped.withColumnRenamed("b", key).withColumn("_dup", F.lit(True)), key, "left")
     return drop_reason(marked, F.when(F.col("_dup"), F.concat(F.lit("duplicate_within_"), F.col(kind).cast("string")))).drop("_dup")
 
 
 def filter_contamination(rows: DataFrame, evals: DataFrame, threshold: float = CONTAMINATED, key: str = "row_id", vector: str = "embedding") -> DataFrame:
     """Marks rows whose greatest similarity to an evaluation query is over the threshold; without queries all stay."""
-    left = rows.select(F.col(key).alias("a"), normalize(F.col(vector)).alias("va"))
-    right = evals.select(normalize(F.col(vector)).alias("vb"))
-    worst = _similar_pairs(left, right, [], threshold).groupBy("a").agg(F.max("sim").alias("sim"))
+    left = rows.select(key, normalize(F.col(vector)).alias("v"))
+    right = evals.select(F.lit(0).alias(key), normalize(F.col(vector)).alias("v"))
+    worst = similar_pairs(left, right, threshold, key, "v").groupBy("a").agg(F.max("sim").alias("sim"))
     marked = rows.join(worst.withColumnRenamed("a", key), key, "left")
     return drop_reason(marked, F.when(F.col("sim").isNotNull(), F.concat(F.lit("eval_contamination_sim="), F.format_string("%.3f", "sim")))).drop("sim")
 

@@ -136,7 +136,7 @@ def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT *, string_split(concat_ws('/', lang, source, doc_id::VARCHAR), '/') AS path, doc_id AS n FROM documents)
-SELECT concat_ws('/', lang, source, n::VARCHAR) AS doc_id, (row_number() OVER (ORDER BY path) - 1)::INT AS pos FROM d"""
+SELECT concat_ws('/', lang, source, n::VARCHAR) AS doc_id, (row_number() OVER (ORDER BY path) - 1)::BIGINT AS pos FROM d"""
 )
 def corpus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_positions(paragraphs(spark, sf_dir).withColumn("chunk_index", F.lit(0))).select("doc_id", "pos")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinmill.functions.text import strip
+from skeinmill.lineage import cut
 
 _FRONT = r"(?s)\A---\s*\n(.*?\n)---\s*\n"
 
@@ -48,8 +49,17 @@ def read_markdown(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def with_positions(chunks: DataFrame) -> DataFrame:
-    """Adds pos: corpus order, by path components and then chunk index."""
-    return chunks.withColumn("pos", F.row_number().over(Window.orderBy(F.split("doc_id", "/"), "chunk_index")) - 1)
+    """Adds pos: corpus order, by path components and then chunk index.
+
+    Rows are sorted by ranges and numbered within each; only the size of each range is summed up in one place.
+    """
+    ranged = chunks.withColumn("_path", F.split("doc_id", "/")).orderBy("_path", "chunk_index").drop("_path")
+    ranged = cut(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    low = F.lit(1 << 33)
+    ranged = ranged.withColumns({"_range": F.floor(F.col("_id") / low), "_at": F.col("_id") % low})
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
+    return ranged.join(F.broadcast(starts), "_range").withColumn("pos", F.col("_start") + F.col("_at")).drop("_range", "_start", "_at", "_id")
 
 
 CHUNK_REF = "array<struct<doc_id:string,chunk_id:string,score:double,text:string>>"
