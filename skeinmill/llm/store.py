@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in tests, a new one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        context = spark.sparkContext
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="skeinmill-"))
-            current = context._jsc.sc().getCheckpointDir()
-        named = current.get()
-    return named.rstrip("/")
+from skeinmill.lineage import shared_dir
 
 
 def keep(frame: DataFrame, label: str) -> DataFrame:
