@@ -21,8 +21,8 @@ def write(spark, path, empty=False):
         w = [rng.choice(vocabulary) for _ in range(rng.randrange(20, 120))]
         if i % 10 == 1:
             w = rows[i - 1][1].split(" ")
-        toxic = int(i % 7 == 0 and i % 10 != 1)
-        if toxic:
+        toxic = labels[i - 1][2] if i % 10 == 1 else int(i % 7 == 0)
+        if toxic and i % 10 != 1:
             for _ in range(4):
                 w.insert(rng.randrange(len(w)), rng.choice(["blaggard", "grotto", "zounds"]))
         if i % 13 == 2:
