@@ -154,3 +154,9 @@ def cost(input_tokens: Column, output_tokens: Column, model: Column, prices: dic
     for name, (read, written) in prices.items():
         out = F.when(model == name, (input_tokens * read + output_tokens * written) / 1e6).otherwise(out)
     return out
+
+
+def retrieved_or_seeds(rows: DataFrame) -> DataFrame:
+    """Adds retrieved_chunks: what was retrieved, but the seeds of refusals made by pairing with chunks that don't fit."""
+    paired = F.coalesce(F.try_element_at("metadata", F.lit("synthesis_method")) == "retrieval_failure_pairing", F.lit(False))
+    return rows.withColumn("retrieved_chunks", F.when(paired, F.col("seed_chunks")).otherwise(F.col("retrieved")))

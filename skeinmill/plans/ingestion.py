@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinmill.functions.text import headings, question_types
 from skeinmill.operators import chunking, seeding
-from skeinmill.plans.registry import query, table
+from skeinmill.plans.registry import SQL, query, table
 from skeinmill.sources.files import parse_documents, with_positions
 
 #: Markdown made from documents, by the same expression in both engines.
@@ -128,9 +128,12 @@ def chunk_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.header(markdown(spark, sf_dir)).select("doc_id", "chunk_index", "text")
 
 
-@query()
+@query(
+    f"""SELECT 'fixed' AS strategy, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, max(length(text))::INT AS longest, round(avg(length(text)), 3) AS mean_length FROM ({SQL["chunk_fixed"]})
+UNION ALL SELECT 'recursive', count(*), count(DISTINCT doc_id), max(length(text))::INT, round(avg(length(text)), 3) FROM ({SQL["chunk_recursive"]})"""
+)
 def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.chunk(paragraphs(spark, sf_dir))
+    chunks = chunking.chunk(paragraphs(spark, sf_dir), ["fixed", "recursive"])
     return chunks.groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"), F.max(F.length("text")).alias("longest"), F.round(F.avg(F.length("text")), 3).alias("mean_length"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinmill.functions import text as t
@@ -329,3 +329,36 @@ def call_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windowed_counts(table(spark, sf_dir, "events"))
     return rows.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+@query(
+    """WITH e AS (SELECT 'curated' AS eval_set, text AS query, item_id AS k FROM benchmark UNION ALL SELECT 'no_answer', left(text, 80), conv_id * 1000 + turn FROM conversations WHERE role = 'user')
+SELECT printf('%s_%03d', eval_set, row_number() OVER (PARTITION BY eval_set ORDER BY k) - 1) AS query_id, query, eval_set = 'no_answer' AS is_no_answer FROM e"""
+)
+def eval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two evaluation sets in one table, each numbered in its own order."""
+    curated = table(spark, sf_dir, "benchmark").selectExpr("'curated' as eval_set", "text as query", "item_id as k")
+    others = table(spark, sf_dir, "conversations").where("role = 'user'").selectExpr("'no_answer' as eval_set", "left(text, 80) as query", "conv_id * 1000 + turn as k")
+    number = F.row_number().over(Window.partitionBy("eval_set").orderBy("k")) - 1
+    return curated.unionByName(others).select(F.format_string("%s_%03d", "eval_set", number).alias("query_id"), "query", (F.col("eval_set") == "no_answer").alias("is_no_answer"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('seed', doc_id) ELSE concat('found', doc_id) END AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN 0.0::DOUBLE ELSE 1.5::DOUBLE END AS score FROM documents")
+def refusal_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthesised refusals keep their seed chunks; all other queries take what was retrieved."""
+    ref = "array(named_struct('doc_id', source, 'chunk_id', concat('{0}', cast(doc_id as string)), 'score', {1}, 'text', lang))"
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "if(doc_id % 4 = 0, map('synthesis_method', 'retrieval_failure_pairing'), map('model', 'm')) as metadata", ref.format("seed", "0.0D") + " as seed_chunks", ref.format("found", "1.5D") + " as retrieved")
+    chosen = seeding.retrieved_or_seeds(rows).select("doc_id", F.explode("retrieved_chunks").alias("c"))
+    return chosen.select("doc_id", "c.chunk_id", "c.score")
+
+
+@query(f"WITH p AS ({_POOL}), r AS (SELECT question_type, {_REASON} AS d FROM p) SELECT question_type, count(*) AS n FROM r WHERE d IS NULL GROUP BY 1")
+def pool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = seeding.filter_shape(seeding.filter_length(pool(spark, sf_dir))).where("drop_reason is null")
+    return metrics.histogram(kept, "question_type")
+
+
+@query("SELECT sum(n_chars)::BIGINT AS input_tokens, sum(n_chars // 4)::BIGINT AS output_tokens, count(*) AS n FROM documents")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").selectExpr("named_struct('input_tokens', n_chars, 'output_tokens', n_chars div 4) as metadata")
+    return rows.agg(F.sum("metadata.input_tokens").alias("input_tokens"), F.sum("metadata.output_tokens").alias("output_tokens"), F.count("*").alias("n"))
