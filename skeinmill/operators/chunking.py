@@ -7,6 +7,7 @@ depends on where the one before it ended, so it is an Arrow-batched function.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,20 +21,25 @@ _NONE = "cast(array() as array<string>)"
 
 
 def fixed_spans(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
-    """(start, text) of windows of `size` that end at a space where there is one, each `overlap` back from the last end."""
+    """(start, text) of windows of `size` that end at their last space, unless they reach the end or have none inside.
+
+    The next window begins `overlap` before that, but after the last chunk's and this window's begin. Spaces are
+    looked up in a sorted list, so that a long word costs no more than a short one.
+    """
     text = text.strip()
-    out: list[tuple[int, str]] = []
-    at = 0
-    while at < len(text):
-        stop = at + size
-        if stop < len(text):
-            space = text.rfind(" ", at, stop)
-            stop = space if space > at else stop
-        if piece := text[at:stop].strip():
-            out.append((at, piece))
-        back = stop - overlap if overlap and stop < len(text) else stop
-        at = max(back, out[-1][0] + 1, at + 1) if back < stop else stop
-    return out
+    spaces = [i for i, c in enumerate(text) if c == " "]
+    found: list[tuple[int, str]] = []
+    begin, floor = 0, 0
+    while begin < len(text):
+        full = begin + size
+        last = bisect_left(spaces, full) - 1
+        end = spaces[last] if full < len(text) and last >= 0 and spaces[last] > begin else full
+        piece = text[begin:end].strip()
+        if piece:
+            found.append((begin, piece))
+            floor = begin + 1
+        begin = max(end - overlap, floor, begin + 1) if end < len(text) and overlap else end
+    return found
 
 
 def fixed(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:

@@ -64,66 +64,73 @@ def structural_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 
 
-@query(
-    f"""
-WITH RECURSIVE d AS (SELECT doc_id, {_STRIP.format("content")} AS t FROM ({SQL_PARAGRAPHS})),
+def fixed_sql(source: str, size: int, overlap: int) -> str:
+    """The fixed chunker over rows (doc_id, content), a window after the other."""
+    space = f"strpos(reverse(substr(t, s + 1, {size})), ' ')"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_STRIP.format("content")} AS t FROM ({source})),
 w AS (
   SELECT doc_id, t, 0 AS start, 0 AS stop, -1 AS last, -1 AS idx, ''::VARCHAR AS piece FROM d WHERE t <> ''
   UNION ALL
   SELECT doc_id, t, s, e, CASE WHEN p <> '' THEN s ELSE last END, CASE WHEN p <> '' THEN idx + 1 ELSE idx END, p FROM (
     SELECT *, {_STRIP.format("substr(t, s + 1, e - s)")} AS p FROM (
-      SELECT *, CASE WHEN s + 512 < length(t) AND strpos(reverse(substr(t, s + 1, 512)), ' ') BETWEEN 1 AND 511 THEN s + 512 - strpos(reverse(substr(t, s + 1, 512)), ' ') ELSE s + 512 END AS e FROM (
-        SELECT *, CASE WHEN idx = -1 AND stop = 0 THEN 0 WHEN stop < length(t) THEN greatest(stop - 64, last + 1) ELSE stop END AS s FROM w) WHERE s < length(t))))
-SELECT doc_id, idx::INT AS chunk_index, piece AS text, start::INT AS char_start FROM w WHERE idx >= 0 AND piece <> ''
-"""
-)
+      SELECT *, CASE WHEN s + {size} < length(t) AND {space} BETWEEN 1 AND {size - 1} THEN s + {size} - {space} ELSE s + {size} END AS e FROM (
+        SELECT *, CASE WHEN idx = -1 AND stop = 0 THEN 0 WHEN stop < length(t) AND {overlap} > 0 THEN greatest(stop - {overlap}, last + 1, start + 1) ELSE stop END AS s FROM w) WHERE s < length(t))))
+SELECT doc_id, idx::INT AS chunk_index, piece AS text, start::INT AS char_start FROM w WHERE idx >= 0 AND piece <> ''"""
+
+
+@query(fixed_sql(SQL_PARAGRAPHS, 512, 64))
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed(paragraphs(spark, sf_dir)).select("doc_id", "chunk_index", "text", "char_start")
 
 
-def _levels(x: str, level: int) -> str:
+def _levels(x: str, level: int, size: int) -> str:
     """SQL for the pieces of x by the separators from a level on."""
     if level == 4:
-        return f"list_transform(range(0, ((length({x}) - 1) // 512) + 1), lambda i4: substr({x}, (i4 * 512 + 1)::INT, 512))"
+        return f"list_transform(range(0, ((length({x}) - 1) // {size}) + 1), lambda i4: substr({x}, (i4 * {size} + 1)::INT, {size}))"
     sep = ["chr(10) || chr(10)", "chr(10)", "'. '", "' '"][level]
     p = f"p{level}"
     parts = f"list_filter(list_transform(string_split({x}, {sep}), lambda q{level}: {_STRIP.format(f'q{level}')}), lambda r{level}: r{level} <> '')"
-    return f"flatten(list_transform({parts}, lambda {p}: CASE WHEN length({p}) <= 512 THEN [{p}] ELSE {_levels(p, level + 1)} END))"
+    return f"flatten(list_transform({parts}, lambda {p}: CASE WHEN length({p}) <= {size} THEN [{p}] ELSE {_levels(p, level + 1, size)} END))"
+
+
+def recursive_sql(source: str, size: int, overlap: int) -> str:
+    """The recursive chunker over rows (doc_id, content)."""
+    end = f"right(a.now, {overlap})"
+    tail = f"(CASE WHEN strpos({end}, ' ') > 1 THEN substr({end}, strpos({end}, ' ') + 1) ELSE {end} END)"
+    carried = f"CASE WHEN {overlap} > 0 AND length(a.now) > {overlap} AND length({tail}) + 2 + length(b.now) <= {size} THEN {tail} || chr(10) || chr(10) || b.now ELSE b.now END"
+    return f"""
+WITH d AS (SELECT doc_id, {_STRIP.format("content")} AS t FROM ({source})),
+f AS (SELECT doc_id, CASE WHEN length(t) <= {size} THEN [t] ELSE {_levels("t", 0, size)} END AS fs FROM d WHERE t <> ''),
+s AS (SELECT doc_id, list_reduce(list_transform(fs, lambda x: {{'done': []::VARCHAR[], 'now': x}}), lambda a, b: CASE WHEN length(a.now) + 2 + length(b.now) <= {size} THEN {{'done': a.done, 'now': a.now || chr(10) || chr(10) || b.now}}
+  ELSE {{'done': list_append(a.done, a.now), 'now': {carried}}} END) AS r FROM f WHERE len(fs) > 0),
+c AS (SELECT doc_id, list_append(r.done, r.now) AS cs FROM s)
+SELECT doc_id, (unnest(range(1, len(cs) + 1)) - 1)::INT AS chunk_index, unnest(cs) AS text FROM c"""
 
 
-@query(
-    f"""
-WITH d AS (SELECT doc_id, {_STRIP.format("content")} AS t FROM ({SQL_PARAGRAPHS})),
-f AS (SELECT doc_id, CASE WHEN length(t) <= 512 THEN [t] ELSE {_levels("t", 0)} END AS fs FROM d WHERE t <> ''),
-s AS (SELECT doc_id, list_reduce(list_transform(fs, lambda x: {{'done': []::VARCHAR[], 'now': x}}), lambda a, b:
-  CASE WHEN length(a.now) + 2 + length(b.now) <= 512 THEN {{'done': a.done, 'now': a.now || chr(10) || chr(10) || b.now}}
-  ELSE {{'done': list_append(a.done, a.now), 'now': CASE WHEN length(a.now) > 64 AND
-    length(CASE WHEN strpos(right(a.now, 64), ' ') > 1 THEN substr(right(a.now, 64), strpos(right(a.now, 64), ' ') + 1) ELSE right(a.now, 64) END) + 2 + length(b.now) <= 512
-    THEN CASE WHEN strpos(right(a.now, 64), ' ') > 1 THEN substr(right(a.now, 64), strpos(right(a.now, 64), ' ') + 1) ELSE right(a.now, 64) END || chr(10) || chr(10) || b.now ELSE b.now END}} END) AS r FROM f WHERE len(fs) > 0),
-c AS (SELECT doc_id, list_append(r.done, r.now) AS cs FROM s)
-SELECT doc_id, (unnest(range(1, len(cs) + 1)) - 1)::INT AS chunk_index, unnest(cs) AS text FROM c
-"""
-)
+@query(recursive_sql(SQL_PARAGRAPHS, 512, 64))
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.recursive(paragraphs(spark, sf_dir)).select("doc_id", "chunk_index", "text")
 
 
-@query(
-    rf"""
-WITH d AS (SELECT doc_id, {_STRIP.format("content")} AS t FROM ({SQL_MARKDOWN})),
+def header_sql(source: str, size: int) -> str:
+    """The header chunker over rows (doc_id, content)."""
+    return rf"""
+WITH d AS (SELECT doc_id, {_STRIP.format("content")} AS t FROM ({source})),
 h AS (SELECT doc_id, list_prepend('', regexp_extract_all(t, '(?m)^#{{1,6}}\s+.+$')) AS hs, list_transform(regexp_split_to_array(t, '(?m)^#{{1,6}}\s+.+$'), lambda x: {_STRIP.format("x")}) AS bs FROM d),
 s AS (SELECT doc_id, unnest(range(1, len(hs) + 1)) AS i, unnest(hs) AS h, unnest(bs) AS b FROM h),
 w AS (SELECT doc_id, i, h, b, {_STRIP.format("CASE WHEN h <> '' THEN h || chr(10) || chr(10) || b ELSE b END")} AS x FROM s),
 big AS (SELECT doc_id, i, list_reduce(list_prepend({{'done': []::VARCHAR[], 'now': CASE WHEN h <> '' THEN h || chr(10) || chr(10) ELSE '' END}}, list_transform(list_filter(list_transform(regexp_split_to_array(b, '\n\n+'), lambda q: {_STRIP.format("q")}), lambda q: q <> ''), lambda q: {{'done': []::VARCHAR[], 'now': q}})), lambda a, n:
-  CASE WHEN length(CASE WHEN {_STRIP.format("a.now")} <> '' THEN {_STRIP.format("a.now || chr(10) || chr(10) || n.now")} ELSE n.now END) <= 512
+  CASE WHEN length(CASE WHEN {_STRIP.format("a.now")} <> '' THEN {_STRIP.format("a.now || chr(10) || chr(10) || n.now")} ELSE n.now END) <= {size}
   THEN {{'done': a.done, 'now': CASE WHEN {_STRIP.format("a.now")} <> '' THEN {_STRIP.format("a.now || chr(10) || chr(10) || n.now")} ELSE n.now END}}
-  ELSE {{'done': CASE WHEN {_STRIP.format("a.now")} <> '' THEN list_append(a.done, {_STRIP.format("a.now")}) ELSE a.done END, 'now': n.now}} END) AS r FROM w WHERE length(x) > 512),
-c AS (SELECT doc_id, i, [x] AS cs FROM w WHERE x <> '' AND length(x) <= 512 UNION ALL
+  ELSE {{'done': CASE WHEN {_STRIP.format("a.now")} <> '' THEN list_append(a.done, {_STRIP.format("a.now")}) ELSE a.done END, 'now': n.now}} END) AS r FROM w WHERE length(x) > {size}),
+c AS (SELECT doc_id, i, [x] AS cs FROM w WHERE x <> '' AND length(x) <= {size} UNION ALL
   SELECT doc_id, i, CASE WHEN {_STRIP.format("r.now")} <> '' THEN list_append(r.done, {_STRIP.format("r.now")}) ELSE r.done END FROM big),
 u AS (SELECT doc_id, i, unnest(range(1, len(cs) + 1)) AS j, unnest(cs) AS text FROM c)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS chunk_index, text FROM u
-"""
-)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS chunk_index, text FROM u"""
+
+
+@query(header_sql(SQL_MARKDOWN, 512))
 def chunk_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.header(markdown(spark, sf_dir)).select("doc_id", "chunk_index", "text")
 

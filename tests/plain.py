@@ -3,86 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
-
-
-def fixed(text, size, overlap):
-    text, out, start, steps = text.strip(), [], 0, 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            i = text.rfind(" ", start, end)
-            if i > start:
-                end = i
-        if text[start:end].strip():
-            out.append((start, text[start:end].strip()))
-        before = start
-        start = end
-        if overlap > 0 and start < len(text):
-            start = max(start - overlap, out[-1][0] + 1)
-        start = max(start, before + 1)
-        steps += 1
-    return out
-
-
-def recursive(text, size, overlap, seps=("\n\n", "\n", ". ", " ")):
-    def split(t, seps):
-        if len(t) <= size:
-            return [t]
-        if not seps:
-            return [t[i : i + size] for i in range(0, len(t), size)]
-        out = []
-        for p in filter(None, (x.strip() for x in t.split(seps[0]))):
-            out += [p] if len(p) <= size else split(p, seps[1:])
-        return out
-
-    text = text.strip()
-    pieces, done = (split(text, list(seps)) if text else []), []
-    if not pieces:
-        return []
-    now = pieces[0]
-    for p in pieces[1:]:
-        if len(now) + 2 + len(p) <= size:
-            now = f"{now}\n\n{p}"
-            continue
-        done.append(now)
-        if overlap and len(now) > overlap:
-            tail = now[-overlap:]
-            i = tail.find(" ")
-            tail = tail[i + 1 :] if i > 0 else tail
-            now = f"{tail}\n\n{p}" if len(tail) + 2 + len(p) <= size else p
-        else:
-            now = p
-    return [*done, now] if now else done
-
-
-def header(text, size):
-    text, out = text.strip(), []
-    if not text:
-        return []
-    found = list(re.finditer(r"^(#{1,6})\s+(.+)$", text, re.MULTILINE))
-    sections = [("", text[: found[0].start()].strip() if found else text)]
-    for i, m in enumerate(found):
-        sections.append((m[0], text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)].strip()))
-    for head, body in sections:
-        whole = f"{head}\n\n{body}".strip() if head else body.strip()
-        if not whole:
-            continue
-        if len(whole) <= size:
-            out.append(whole)
-            continue
-        now = head + "\n\n" if head else ""
-        for p in filter(None, (x.strip() for x in re.split(r"\n\n+", body))):
-            joined = f"{now}\n\n{p}".strip() if now.strip() else p
-            if len(joined) <= size:
-                now = joined
-            else:
-                if now.strip():
-                    out.append(now.strip())
-                now = p
-        if now.strip():
-            out.append(now.strip())
-    return out
 
 
 def keep_first(vectors, kinds, threshold):

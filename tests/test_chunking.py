@@ -1,13 +1,15 @@
-"""Chunkers against plain restatements on random and on chosen texts."""
+"""Chunkers against SQL on random and on chosen texts."""
 
 from __future__ import annotations
 
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 
 from skeinmill.operators import chunking
-from tests import plain
+from skeinmill.plans import ingestion
 
 CHOSEN = [
     "", "   ", "Short text.", "one two three four five six seven eight", "a" * 700, "word " * 80 + "b" * 300 + " tail", "x\n\ny\n\nz", "## A\n\nbody", "intro\n\n# T\n\n## Big Section\n\n" + "\n\n".join("para %d " % i + "w " * 40 for i in range(5)),
@@ -22,19 +24,27 @@ def texts():
 
 
 @pytest.mark.parametrize(("size", "overlap"), [(100, 20), (50, 0), (20, 19), (512, 64)])
-def test_all_chunkers_equal_plain_restatements(spark, size, overlap):
-    rows = list(enumerate(texts()))
-    docs = spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, content string").repartition(3)
-    got = {}
+def test_all_chunkers_equal_sql(spark, size, overlap):
+    rows = [(str(i), t) for i, t in enumerate(texts())]
+    docs = spark.createDataFrame(rows, "doc_id string, content string").repartition(3)
+    got: dict[str, list] = {name: [] for name in chunking.CHUNKERS}
     for r in chunking.chunk(docs, size=size, overlap=overlap).collect():
-        got.setdefault((r.strategy, r.doc_id), []).append((r.chunk_index, r.text, r.char_start, r.chunk_id))
-    for i, text in rows:
-        for name, want in (("fixed", [x for _, x in plain.fixed(text, size, overlap)]), ("recursive", plain.recursive(text, size, overlap)), ("header", plain.header(text, size))):
-            own = sorted(got.get((name, str(i)), []))
-            assert [x[1] for x in own] == want, (name, i)
-            assert [x[0] for x in own] == list(range(len(want)))
-            assert all(x[3] == f"{i}::chunk_{x[0]}" for x in own)
-        assert [x[2] for x in sorted(got.get(("fixed", str(i)), []))] == [s for s, _ in plain.fixed(text, size, overlap)]
+        assert r.chunk_id == f"{r.doc_id}::chunk_{r.chunk_index}"
+        got[r.strategy].append((r.doc_id, r.chunk_index, r.text, *([r.char_start] if r.strategy == "fixed" else [])))
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["doc_id", "content"]))
+    sql = {"fixed": ingestion.fixed_sql("SELECT * FROM given", size, overlap), "recursive": ingestion.recursive_sql("SELECT * FROM given", size, overlap), "header": ingestion.header_sql("SELECT * FROM given", size)}
+    for name, text in sql.items():
+        assert sorted(got[name]) == sorted(con.execute(text).fetchall()), name
+
+
+@pytest.mark.parametrize("strategy", ["fixed", "recursive"])
+def test_windows(spark, strategy):
+    docs = spark.createDataFrame([("a", "one two three four five six seven eight"), ("b", "Short text.")], "doc_id string, content string")
+    rows = chunking.chunk(docs, [strategy], 20, 0).orderBy("doc_id", "chunk_index").collect()
+    assert [r.text for r in rows if r.doc_id == "b"] == ["Short text."]
+    assert all(len(r.text) <= 20 and r.text == r.text.strip() for r in rows)
+    assert " ".join(r.text for r in rows if r.doc_id == "a").split() == "one two three four five six seven eight".split()
 
 
 def test_null_content_and_unknown_strategy(spark):
