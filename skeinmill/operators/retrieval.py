@@ -35,12 +35,16 @@ def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], list[list[float]]]:
     return encode
 
 
-def embed(rows: DataFrame, text: str, out: str = "embedding", encoder: Callable[[pd.Series], list[list[float]]] | None = None) -> DataFrame:
-    """Adds vectors of a text column by a pluggable encoder, in Arrow batches."""
-    encode = encoder or hashing_encoder()
+def embed(rows: DataFrame, text: str, out: str = "embedding", encoder: Callable[[pd.Series], list[list[float]]] | None = None, load: Callable[[], Callable[[pd.Series], list[list[float]]]] | None = None) -> DataFrame:
+    """Adds vectors of a text column by a pluggable encoder, in Arrow batches.
+
+    A model that's costly to load is given as `load`, which runs once in each task, on the executor.
+    """
+    make = load or (lambda: encoder or hashing_encoder())
 
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
         for batch in batches:
             yield pd.Series(encode(batch), index=batch.index)
 
@@ -178,20 +182,22 @@ def overlap_scorer(query: str, text: str) -> float:
     return len(asked & set((text or "").lower().split())) / len(asked) if asked else 0.0
 
 
-def rerank(candidates: DataFrame, k: int, scorer: Callable[[str, str], float] | None = None) -> DataFrame:
+def rerank(candidates: DataFrame, k: int, scorer: Callable[[str, str], float] | None = None, load: Callable[[], Callable[[str, str], float]] | None = None) -> DataFrame:
     """Candidates (query_id, query, chunk_id, text, rank) scored anew; equal scores keep their order; the k best stay.
 
-    The default scorer is a column expression; another one is called in Arrow batches.
+    The default scorer is a column expression; another one is called in Arrow batches, and loaded once in
+    each task if it's given as `load`.
     """
-    if scorer is None:
+    if scorer is None and load is None:
         asked, have = F.array_distinct(words("query", lower=True)), words("text", lower=True)
         score = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, have)) / F.size(asked)).otherwise(0.0)
     else:
 
         @F.pandas_udf("double")
         def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            score_one = load() if load else scorer
             for queries, texts in batches:
-                yield pd.Series([scorer(q, t) for q, t in zip(queries, texts, strict=True)], dtype="float64")
+                yield pd.Series([score_one(q, t) for q, t in zip(queries, texts, strict=True)], dtype="float64")
 
         score = scores("query", "text")
     rows = candidates.withColumn("score", F.round(score.cast("double"), PLACES)).withColumnRenamed("rank", "before")

@@ -108,3 +108,10 @@ def test_repartitioning_changes_nothing(spark, chunks):
     queries = spark.createDataFrame([(1, "learning fire machine")], "query_id int, query string")
     runs = [[tuple(r) for r in retrieval.bm25_top_k(queries, chunks.repartition(n), 3).orderBy("rank").collect()] for n in (1, 2, 7)]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_models_are_loaded_in_tasks(spark, chunks):
+    got = retrieval.embed(chunks, "text", load=lambda: lambda texts: [[float(len(t or ""))] for t in texts]).orderBy("pos").collect()
+    assert [r.embedding for r in got] == [[float(len(t or ""))] for _, _, t in TEXTS]
+    pool = spark.createDataFrame([(1, "q", "a", "x", 1), (1, "q", "b", "yy", 2)], "query_id int, query string, chunk_id string, text string, rank int")
+    assert [r.chunk_id for r in retrieval.rerank(pool, 2, load=lambda: lambda q, t: len(t)).orderBy("rank").collect()] == ["b", "a"]
