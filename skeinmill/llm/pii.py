@@ -29,6 +29,8 @@ KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3
 #: Distinct known tokens that a pattern needs, and the share of its tokens that they make.
 SUPPORT, CONFIDENCE = 10, 0.8
+#: Added spans that are sent to every task at most, which is counted; more are joined by a shuffle.
+SENT_SPANS = 50_000
 
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
@@ -141,7 +143,9 @@ def _with_spans(docs: DataFrame, rounds: int, support: int, confidence: float) -
     added = tokens.where("kind is null").drop("kind").join(patterns.withColumnRenamed("kind", "as_kind"), "pattern").where(apart)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("as_kind")).cast("int") - 1
     added = added.groupBy("cls", "start", "end").agg(F.min(F.struct(rank.alias("rank"), F.col("as_kind").alias("kind"))).alias("k"))
-    return found.drop("tokens"), added.groupBy("cls").agg(F.collect_list(F.struct("k.rank", "k.kind", "start", "end")).alias("added"))
+    added = keep(added.groupBy("cls").agg(F.collect_list(F.struct("k.rank", "k.kind", "start", "end")).alias("added")), "pii-added")
+    few = (added.agg(F.sum(F.size("added"))).first()[0] or 0) <= SENT_SPANS
+    return found.drop("tokens"), F.broadcast(added) if few else added
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
