@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 MAX64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bytes that are hashed at once; only the hashes of a longer text are held whole.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 BLANKS = np.zeros(256, bool)
@@ -109,7 +109,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that a task works on at once, unless one text is longer.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
