@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinmill.llm import grams as g
-from skeinmill.llm.store import keep
+from skeinmill.llm.store import keep, map_batches
 
 WINDOW = 10
 K = 5
@@ -73,11 +73,8 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Ite
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """One row for each distinct (item_id, window): its hash, its length in words, its fingerprint."""
-    return (
-        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(lambda it: _item_windows(it, window, k), "item_id long, key long, size int, print long")
-        .dropDuplicates(["item_id", "key", "size"])
-    )
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(items, lambda it: _item_windows(it, window, k), "item_id long, key long, size int, print long").dropDuplicates(["item_id", "key", "size"])
 
 
 class _Index:
@@ -222,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = small_index(benchmark, window, k, table_rows)
     if index is not None:
-        return own.mapInArrow(lambda it: _annotate(it, index), RESULT)
+        return map_batches(own, lambda it: _annotate(it, index), RESULT)
     return _joined(own, keep(item_windows(benchmark, window, k), "item-windows"), window, k)
 
 
@@ -238,14 +235,14 @@ def _joined(own: DataFrame, windows: DataFrame, window: int, k: int) -> DataFram
     own = own.withColumn("row", F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
     sizes = sorted(r[0] for r in windows.where(F.col("size") < window).select("size").distinct().collect())
     prints = keep(
-        own.select("row", "text", "doc_id").mapInArrow(lambda it: _doc_prints(it, sizes, window, k), "row string, doc_id long, n_words long, prints array<long>"), "doc-prints"
+        map_batches(own.select("row", "text", "doc_id"), lambda it: _doc_prints(it, sizes, window, k), "row string, doc_id long, n_words long, prints array<long>"), "doc-prints"
     )
     wanted = windows.select(F.col("print").alias("p"), "key", "size").distinct()
     candidates = (
         prints.select("row", F.explode("prints").alias("p")).join(wanted, "p").groupBy("row", "key", "size").agg(F.lit(1).alias("one"))
         .groupBy("row").agg(F.collect_list(F.struct("key", "size")).alias("candidates"))
     )
-    found = keep(own.join(candidates, "row").select("row", "text", "candidates").mapInArrow(lambda it: _extend(it, window), "row string, n_hit long, found array<struct<size:int,key:long>>"), "extended")
+    found = keep(map_batches(own.join(candidates, "row").select("row", "text", "candidates"), lambda it: _extend(it, window), "row string, n_hit long, found array<struct<size:int,key:long>>"), "extended")
     found = found.where("n_hit > 0").dropDuplicates(["row"])
     items = (
         found.select("row", F.explode("found").alias("f")).select("row", "f.size", "f.key").join(windows.where("item_id is not null").select("size", "key", "item_id"), ["size", "key"])
@@ -272,7 +269,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
             _, n_hit, _, _ = _flags(batch.column(at), index)
             yield batch.filter(pa.array(n_hit == 0))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_batches(docs, clean, docs.schema)
 
 
 ORACLE = r"""

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from skeinmill.llm import grams as g
 from skeinmill.llm.components import components
-from skeinmill.llm.store import keep
+from skeinmill.llm.store import keep, map_batches
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 48, 6
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("cls"), text.alias("text"))
-    scanned = keep(own.mapInArrow(lambda it: _scan(it, shingle), "doc_id long, cls binary, n long, registers binary, bands array<long>"), "sketches")
+    scanned = keep(map_batches(own, lambda it: _scan(it, shingle), "doc_id long, cls binary, n long, registers binary, bands array<long>"), "sketches")
     heads = keep(scanned.groupBy("cls").agg(F.min("doc_id").alias("head")), "heads")
     nodes = scanned.where("n > 0").join(heads, "cls").where("doc_id = head").dropDuplicates(["doc_id", "cls"]).select(F.col("doc_id").alias("id"), "n", "registers", "bands")
     bands = keep(nodes.select("id", "n", F.explode("bands").alias("key")), "bands")
@@ -207,7 +207,7 @@ def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _counted(apart: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(id, shingle, df): the shingles of these documents, and how many of them have each."""
     own = texts.join(apart.groupBy("id").agg(F.lit(1).alias("one")).drop("one"), "id").select("id", "text")
-    own = keep(own.mapInArrow(lambda it: _sets(it, shingle), "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle")), "sets")
+    own = keep(map_batches(own, lambda it: _sets(it, shingle), "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle")), "sets")
     return own.join(own.groupBy("shingle").agg(F.count("*").alias("df")), "shingle").select("id", "shingle", "df")
 
 
@@ -237,14 +237,14 @@ def _filtered(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     left = drawn.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = drawn.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     rows = pairs.join(right, "b").join(left, "a").where(f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
-    return rows.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda it: _likely(it, percent), "a long, b long, guess double")
+    return map_batches(rows.select("a", "b", "na", "nb", "ra", "rb"), lambda it: _likely(it, percent), "a long, b long, guess double")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(lambda it: _confirm(it, shingle, percent), "a long, b long")
+    return map_batches(rows, lambda it: _confirm(it, shingle, percent), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

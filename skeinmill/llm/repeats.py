@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinmill.llm import grams as g
-from skeinmill.llm.store import keep
+from skeinmill.llm.store import keep, map_batches
 
 WINDOW = 50
 #: Length of the first level, in words, at least.
@@ -105,15 +105,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST) ->
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("cls"), text.alias("text"))
     lengths = levels(window, first)
-    scanned = keep(own.mapInArrow(lambda it: _scan(it, lengths[0], window), "doc_id long, cls binary, n_words long, sha string, marks array<long>"), "scanned")
+    scanned = keep(map_batches(own, lambda it: _scan(it, lengths[0], window), "doc_id long, cls binary, n_words long, sha string, marks array<long>"), "scanned")
     heads = scanned.groupBy("cls").agg(F.min("doc_id").alias("head"))
     marks = scanned.where("size(marks) > 0").join(heads, "cls").where("doc_id = head").select("doc_id", "cls", F.explode(F.array_distinct("marks")).alias("key"))
     for length, longer in itertools.pairwise(lengths):
         own_marks = marks.join(_repeated(marks).select("key"), "key").groupBy("doc_id", "cls").agg(F.collect_set("key").alias("marks"))
         texts = own.join(own_marks, ["doc_id", "cls"]).select("doc_id", "cls", "text", "marks")
-        marks = keep(texts.mapInArrow(lambda it, a=length, b=longer: _extend(it, a, b), "doc_id long, cls binary, start int, key long"), f"level-{longer}")
+        marks = keep(map_batches(texts, lambda it, a=length, b=longer: _extend(it, a, b), "doc_id long, cls binary, start int, key long"), f"level-{longer}")
     starts = marks.join(_repeated(marks), "key").where("doc_id > least").groupBy("doc_id", "cls").agg(F.collect_set("start").alias("starts"))
-    cut = own.join(starts, ["doc_id", "cls"]).select("cls", "text", "starts").mapInArrow(lambda it: _cut(it, window), "cls binary, n_removed long, sha string").dropDuplicates(["cls"])
+    cut = map_batches(own.join(starts, ["doc_id", "cls"]).select("cls", "text", "starts"), lambda it: _cut(it, window), "cls binary, n_removed long, sha string").dropDuplicates(["cls"])
     state = heads.join(cut.withColumnRenamed("sha", "cut_sha"), "cls", "left")
     is_copy = (F.col("doc_id") > F.col("head")) & (F.col("n_words") >= window)
     is_head = F.col("doc_id") == F.col("head")

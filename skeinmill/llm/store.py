@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from skeinmill.lineage import shared_dir
 
@@ -30,3 +33,18 @@ def forget(frame: DataFrame | None) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of an Arrow batch at most where rows hold whole texts.
+BATCH_ROWS = 1000
+
+
+def map_batches(frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches of BATCH_ROWS rows at most, which bounds what the JVM and Python hold of them.
+
+    Spark reads the limit when the plan runs, so it is set for the session, unless that has a lower one.
+    """
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return frame.mapInArrow(function, schema)
