@@ -15,6 +15,8 @@ from skeinmill.operators.retrieval import similar_pairs
 
 QUOTAS = {"procedural": 240, "comparison": 160, "best_practice": 160, "pointer": 120}
 MIN_WORDS, DUPLICATE, CONTAMINATED = 5, 0.85, 0.7
+#: Undecided pairs that the driver decides at most; more go by rounds over tables.
+DRIVER_PAIRS = 200_000
 
 
 def classify(chunks: DataFrame) -> DataFrame:
@@ -72,29 +74,42 @@ def filter_shape(rows: DataFrame) -> DataFrame:
     return drop_reason(rows, F.when(~has_shape("query", "question_type"), F.concat(F.lit("type_mismatch_"), F.col("question_type"))))
 
 
-def filter_duplicates(rows: DataFrame, threshold: float = DUPLICATE, key: str = "row_id", vector: str = "embedding", kind: str = "question_type", max_rounds: int = 50) -> DataFrame:
+def filter_duplicates(rows: DataFrame, threshold: float = DUPLICATE, key: str = "row_id", vector: str = "embedding", kind: str = "question_type", driver_pairs: int = DRIVER_PAIRS) -> DataFrame:
     """Marks rows too similar to an earlier kept one of their kind, in order of key.
 
-    Keeping goes by rounds: an undecided row whose earlier neighbours are all decided is kept if none of
-    them is, until all are decided. Only rows with a neighbour take part in the rounds.
+    Keeping goes by rounds: an undecided row without undecided earlier neighbours is kept and its later
+    neighbours are dropped, until no pair is undecided. Each round decides the first row of every chain at
+    least, so rounds end. Once `driver_pairs` pairs or fewer are undecided the driver decides them in one pass.
     """
     live = rows.where("drop_reason is null") if "drop_reason" in rows.columns else rows
     unit = live.select(key, kind, normalize(F.col(vector)).alias("v"))
-    edges = cut(similar_pairs(unit, unit, threshold, key, "v", kind).where("a < b").select("a", "b"))
-    dropped = edges.sparkSession.createDataFrame([], edges.select("b").schema)
-    kept = dropped
-    for _ in range(max_rounds):
-        open_ = edges.join(dropped.withColumnRenamed("b", "a"), "a", "left_anti").join(dropped, "b", "left_anti")
-        later = open_.select("b").distinct()
-        first = open_.join(kept.withColumnRenamed("b", "a"), "a", "left_anti").select(F.col("a").alias("b")).distinct().join(later, "b", "left_anti")
-        if first.isEmpty():
+    open_ = cut(similar_pairs(unit, unit, threshold, key, "v", kind).where("a < b").select("a", "b"))
+    dropped = open_.sparkSession.createDataFrame([], open_.select("b").schema)
+    while n_open := open_.count():
+        if n_open <= driver_pairs:
+            dropped = dropped.union(open_.sparkSession.createDataFrame(_later_copies(open_), dropped.schema))
             break
-        kept = cut(kept.union(first))
-        dropped = cut(edges.join(kept.withColumnRenamed("b", "a"), "a", "left_semi").select("b").distinct())
+        first = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = cut(open_.join(first, "a", "left_semi").select("b").distinct())
+        dropped = cut(dropped.union(gone))
+        open_ = cut(open_.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"))
     marked = rows.join(dropped.withColumnRenamed("b", key).withColumn("_dup", F.lit(True)), key, "left")
     return drop_reason(marked, F.when(F.col("_dup"), F.concat(F.lit("duplicate_within_"), F.col(kind).cast("string")))).drop("_dup")
 
 
+def _later_copies(pairs: DataFrame) -> list[tuple]:
+    """The rows that the greedy rule drops, of few pairs; each pair's first row is decided before its second one's turn."""
+    gone, copy = set(), False
+    ordered = pairs.orderBy("b").collect()
+    for i, (a, b) in enumerate(ordered):
+        copy = copy or a not in gone
+        if i + 1 == len(ordered) or ordered[i + 1].b != b:
+            if copy:
+                gone.add(b)
+            copy = False
+    return [(b,) for b in gone]
+
+
 def filter_contamination(rows: DataFrame, evals: DataFrame, threshold: float = CONTAMINATED, key: str = "row_id", vector: str = "embedding") -> DataFrame:
     """Marks rows whose greatest similarity to an evaluation query is over the threshold; without queries all stay."""
     left = rows.select(key, normalize(F.col(vector)).alias("v"))

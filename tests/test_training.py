@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import pytest
@@ -75,6 +76,22 @@ def test_duplicates_equal_the_greedy_rule(spark):
         assert got == plain.keep_first(vectors, kinds, threshold)
 
 
+@pytest.mark.parametrize(("n", "driver_pairs"), [(240, seeding.DRIVER_PAIRS), (120, 100)])
+def test_duplicates_along_a_chain(spark, n, driver_pairs):
+    vectors = [[math.cos(math.radians(1.4 * i)), math.sin(math.radians(1.4 * i))] for i in range(n)]
+    rows = spark.createDataFrame([(i, "a", v) for i, v in enumerate(vectors)], "row_id int, question_type string, embedding array<double>")
+    got = seeding.filter_duplicates(rows, math.cos(math.radians(2)), driver_pairs=driver_pairs).where("drop_reason is null").collect()
+    assert sorted(r.row_id for r in got) == list(range(0, n, 2)) == plain.keep_first(vectors, "a" * n, math.cos(math.radians(2)))
+
+
+def test_duplicates_by_rounds_alone(spark):
+    rng = random.Random(4)
+    vectors = [[rng.gauss(0, 1) for _ in range(2)] for _ in range(50)]
+    rows = spark.createDataFrame([(i, "a", v) for i, v in enumerate(vectors)], "row_id int, question_type string, embedding array<double>")
+    got = seeding.filter_duplicates(rows, 0.95, driver_pairs=0).where("drop_reason is null").collect()
+    assert sorted(r.row_id for r in got) == plain.keep_first(vectors, "a" * 50, 0.95)
+
+
 def test_contamination(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "row_id int, embedding array<double>")
     evals = spark.createDataFrame([([2.0, 0.0],)], "embedding array<double>")
