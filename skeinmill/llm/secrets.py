@@ -1,6 +1,6 @@
 """Secret scans whose false positives a random forest removes; scanning uses built-in functions only.
 
-Candidates are runs of key characters with a letter and a digit. Their features are expressions over the
+Candidates are runs of key characters with a letter and a digit, cut at equals signs inside. Their features are expressions over the
 candidate, the words around it and the path: length, transitions between character classes and between
 letters, dictionary coverage, neighbouring words. The forest is grown in numpy on the driver from a
 bounded table of labelled findings (`sample_rows`, those least by a hash of their text) and compiled to
@@ -17,15 +17,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinmill.llm.spans import find_spans
+from skeinmill.llm.spans import find_spans, let
 
 #: Labelled findings that the forest is grown from, at most.
 SAMPLE_ROWS = 20_000
 N_TREES, DEPTH, LEAF, SEED = 15, 7, 5, 3
 CUT = 0.5
 MIN_CHARS = 12
+#: Characters around a candidate that are looked at.
+NEAR = 40
 
-_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9][A-Za-z0-9+/_=-]{11,}+"
+#: A stretch of key characters between equals signs, those at the end of the run included, so that a name is apart
+#: from its value; a run without a stretch of 12 is taken whole.
+_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+(?:=++(?![A-Za-z0-9+/_-]))?|(?<![A-Za-z0-9+/_=-])(?![A-Za-z0-9+/_=-]*?[A-Za-z0-9+/_-]{12})[A-Za-z0-9+/_=-]{12,}+"
 
 #: Words that names, paths and prose in candidates are made of.
 DICTIONARY = (
@@ -42,6 +46,7 @@ DICTIONARY = (
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 _SECRET_WORDS = r"(?:secret|token|passw|pwd|credential|api.?key|access.?key|private.?key|auth|bearer|signing|client.?secret)"
 _BENIGN_WORDS = r"(?:sha|md5|hash|commit|checksum|integrity|digest|uuid|guid|etag|revision|example|sample|placeholder|dummy|fixture|build|version|file|page|section|isbn|order|invoice)"
+_ASSIGNS = r"^[\"'`]?[\x20\t]*[=:]+>?[\x20\t]*[\"'`]?$"
 _BENIGN_PATH = r"(?:test|example|sample|fixture|mock|lock|doc|demo)"
 
 FEATURES = ["length", "switches", "pairs", "distinct", "digits", "upper", "hex", "dictionary", "triples", "runs", "marks", "secret_before", "benign_before", "assigned", "benign_path", "secret_after", "benign_after"]
@@ -149,11 +154,18 @@ def train(findings: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = SEED)
     return Forest(table[:, :-1], table[:, -1], seed)
 
 
+def _named(c: Column) -> Column:
+    """Spans whose text before goes on with the candidate before it where only an assignment is between: a long name."""
+    own = lambda s, i: F.when((i > 0) & s["before"].rlike(_ASSIGNS), F.right(F.concat(F.get(c, i - 1)["found"], s["before"]), F.lit(NEAR))).otherwise(s["before"])
+    return F.transform(c, lambda s, i: s.withField("before", own(s, i)))
+
+
 def scan(docs: DataFrame, forest: Forest, cut: float = CUT, path: str = "source") -> DataFrame:
     """A row for each candidate: doc_id, start_pos, end_pos, candidate_sha256, score, is_secret."""
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = find_spans(own, "c", _RUN, F.col("text").rlike(r"[A-Za-z0-9+/_=-]{12}") & F.col("text").rlike("[0-9]"), near=40)
+    own = find_spans(own, "c", _RUN, F.col("text").rlike(r"[A-Za-z0-9+/_=-]{12}") & F.col("text").rlike("[0-9]"), near=NEAR)
+    own = own.withColumn("c", let(F.col("c"), _named))
     # An outer explode, because a plain one would have the column worked out once more to leave out empty ones.
     rows = own.select("doc_id", "path", F.explode_outer("c").alias("c")).where("c.found rlike '[0-9]' and c.found rlike '[A-Za-z]'").select("doc_id", "path", "c.*")
     rows = _with_features(rows)

@@ -49,6 +49,28 @@ def test_findings_in_texts(spark, forest):
     assert secrets.scan(docs.drop("source"), forest).count() == len(rows)
 
 
+HEX, MIXED = "9f8a7b6c5d4e3f2a1b0c", "q7Zt1Xv9Kp3Lm8Rw2Ys6Bn4Dc5Fg0Hj"
+FORMS = [
+    (f"--token={HEX}", HEX), (f"_AUTH={HEX}", HEX), (f"API_KEY={HEX}", HEX), (f"export AWS_SECRET_ACCESS_KEY={MIXED}", MIXED), (f"run --api-key={MIXED} now", MIXED), (f"password=/{MIXED}", f"/{MIXED}"),
+    (f"secret=+{MIXED}==", f"+{MIXED}=="), (f'token = "/{MIXED}="', f"/{MIXED}="), (f'token = "-{MIXED}"', f"-{MIXED}"), (f'token = "_{MIXED}"', f"_{MIXED}"), (f"--a=b=client_secret={HEX}", HEX), (f"token=={HEX}", HEX),
+]
+
+
+def test_recall_on_forms_of_assignment(spark, forest):
+    texts = [f"the {form} in é😀 text" for form, _ in FORMS]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).collect()
+    said = {(r.doc_id, texts[r.doc_id][r.start_pos : r.end_pos]): r.is_secret for r in rows}
+    assert {(i, value) for i, (_, value) in enumerate(FORMS)} <= said.keys()
+    assert not [form for i, (form, value) in enumerate(FORMS) if not said[i, value]]
+
+
+def test_runs_that_are_cut_keep_their_candidates(spark, forest):
+    texts = ["password=hunter2x1", f"{HEX}={MIXED}", f"my_s3_secret_key={HEX}", "QWxhZGRpbjpvcGVuIHNlc2FtZQ1==", "a1=" * 20_000]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).collect()
+    got = {(r.doc_id, texts[r.doc_id][r.start_pos : r.end_pos]) for r in rows}
+    assert got == {(0, texts[0]), (1, HEX), (1, MIXED), (2, "my_s3_secret_key"), (2, HEX), (3, texts[3]), (4, texts[4])}
+
+
 def test_training_edges(spark):
     one = secrets.labelled_findings(spark, 50).where("label = 1")
     assert secrets.train(one).trees[0] == (1.0,)
