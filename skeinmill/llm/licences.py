@@ -1,6 +1,6 @@
 """License scans by canonical digest lookup, with built-in functions only.
 
-Texts are made canonical line by line: A-Z lower-cased, copyright lines dropped, equivalent spellings
+Texts are made canonical line by line: A-Z lower-cased, copyright statements dropped, equivalent spellings
 made one, punctuation and spacing reduced to single spaces. The digest of a whole canonical text, and of
 each of its lines, is looked up by hash join in a table of digests of known texts and notices. The table
 is sent to every task if it has at most `table_rows` rows, which is counted, else joined by a shuffle.
@@ -48,17 +48,60 @@ KNOWN = [
 ]
 
 
-_COPYRIGHT = r"^(copyright|\(c\)|©|all rights reserved)"
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CLAUSES = [
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD2, _BSD3 = ("\n\n".join([_BSD_HEAD, *_BSD_CLAUSES[:n], _BSD_TAIL]) for n in (2, 3))
+
+#: Further whole texts, besides those that the SQL knows.
+COMMON = [
+    ("BSD-2-Clause", "text", _BSD2), ("BSD-2-Clause", "text", "BSD 2-Clause License\n\n" + _BSD2), ("BSD-3-Clause", "text", _BSD3), ("BSD-3-Clause", "text", "BSD 3-Clause License\n\n" + _BSD3),
+]
+#: Digests of further whole texts, which are too long to be kept here.
+COMMON_DIGESTS = [
+    ("Apache-2.0", "text", "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0"),
+    ("CC0-1.0", "text", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GPL-1.0-only", "text", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-2.0-only", "text", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-3.0-only", "text", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0-only", "text", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "text", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "text", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "text", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "text", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("GFDL-1.2-only", "text", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3-only", "text", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+]
+
+#: Words after "copyright" that make it a part of a sentence.
+_PROSE = r"(?:notices?|holders?|owners?|licen[sc]e[sd]?|laws?|statements?|interests?|protection|treat(?:y|ies)|acts?|rights?|information|disclaimers?|infringement|and|or|in|to|of|on|is|are|as|for|if|with|under|that|which|may|shall|will|conditions?)\b"
+_COPYRIGHT = (
+    r"^(?i:\(c\)|©|all rights reserved|copyright[\s:,]*(?:\(c\)|©|&copy;|by\b|[<\[{(]?(?:year|yyyy|[0-9]{4})|(?!" + _PROSE + r")[^0-9]*\b(?:19|20)[0-9]{2}\b))"
+    r"|^(?:Copyright|COPYRIGHT)[\s:,]+(?:[Tt]he\s+)?(?!(?i:" + _PROSE + r"))\p{Lu}"
+)
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical lines of a text that have a word, copyright lines left out."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = F.filter(F.transform(F.split(lower, "[\r\n]+", -1), lambda x: F.regexp_replace(x, r"^[ \t#*/;-]+", "")), lambda x: ~x.rlike(_COPYRIGHT))
-    bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
+    """The canonical lines of a text that have a word, copyright statements left out."""
+    lines = F.filter(F.transform(F.split(text, "[\r\n]+", -1), lambda x: F.regexp_replace(x, r"^[ \t#*/;-]+", "")), lambda x: ~x.rlike(_COPYRIGHT))
+    lower = F.transform(lines, lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    bare = F.transform(lower, lambda x: F.trim(F.regexp_replace(x, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
     return F.filter(F.transform(bare, _respelled), lambda x: x != "")
 
 
+def _whole(lines: Column) -> Column:
+    """The canonical text: spellings of several words are also made one where a line ends within them."""
+    out = F.concat(F.lit(" "), F.array_join(lines, " "), F.lit(" "))
+    for old, new in SPELLINGS:
+        if " " in old:
+            out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.substring(out, 2, F.greatest(F.length(out) - 2, F.lit(0)))
+
+
 def _respelled(x: Column) -> Column:
     pattern = "|".join(sorted({old for old, _ in SPELLINGS}, key=lambda s: (-len(s), s)))
     out = F.concat(F.lit(" "), x, F.lit(" "))
@@ -73,8 +116,10 @@ def _digest(x: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | DataFrame | None = None) -> DataFrame:
     """(digest, kind, license) of known texts, one for each kind and digest."""
-    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(KNOWN if known is None else known, "license string, kind string, text string")
-    rows = rows.select("license", "kind", _digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest"))
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(KNOWN + COMMON if known is None else known, "license string, kind string, text string")
+    rows = rows.select("license", "kind", _digest(_whole(canonical_lines(F.col("text")))).alias("digest"))
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame(COMMON_DIGESTS, "license string, kind string, digest string"))
     return rows.groupBy("digest", "kind").agg(F.min("license").alias("license"))
 
 
@@ -86,7 +131,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, table_rows: int = TABL
     send = F.broadcast if few else (lambda x: x)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("cls"), canonical_lines(text).alias("lines"))
-    found = keep(lines.select("doc_id", "cls", _digest(F.array_join("lines", " ")).alias("digest"), F.transform(F.array_distinct("lines"), lambda x: F.unhex(F.substring(_digest(x), 1, 32))).alias("marks")), "licence-digests")
+    found = keep(lines.select("doc_id", "cls", _digest(_whole(F.col("lines"))).alias("digest"), F.transform(F.array_distinct("lines"), lambda x: F.unhex(F.substring(_digest(x), 1, 32))).alias("marks")), "licence-digests")
     short = notices.select(F.unhex(F.substring("digest", 1, 32)).alias("mark"), F.col("license").alias("notice"))
     hits = found.select("cls", F.explode("marks").alias("mark")).join(send(short), "mark").groupBy("cls", "notice").agg(F.count_distinct("mark").alias("n"))
     hits = hits.groupBy("cls").agg(F.sum("n").alias("n_notices"), F.array_join(F.sort_array(F.collect_list("notice")), ",").alias("notices"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import textwrap
+
+from pyspark.sql import functions as F
+
 from skeinmill.llm import licences
 
 
@@ -28,3 +33,29 @@ def test_own_table(spark):
     known = licences.known_digests(spark, [("B", "text", "Do what you like"), ("A", "text", "do: WHAT you like!"), ("N", "notice", "Under N")])
     docs = spark.createDataFrame([(1, "do what you like"), (2, "a\nunder n.")], "doc_id long, text string")
     assert [(r.license, r.notices) for r in licences.scan(docs, known).orderBy("doc_id").collect()] == [("A", ""), (None, "N")]
+
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(p, width) for p in re.split("\n\n+", text))
+
+
+def test_wrapped_texts(spark):
+    texts = {(i, n): t for n, (i, kind, t) in enumerate(licences.KNOWN + licences.COMMON) if kind == "text"}
+    rows = [(w, i, f"Copyright (c) 2020, Some Body\n\n{wrapped(t, w)}\n") for (i, _), t in texts.items() for w in range(40, 100, 3)]
+    rows.append((0, "ISC", "Copyright Jane Doe\n\n" + licences._ISC.replace("above copyright notice", "above\ncopyright notice")))
+    assert any(re.search("(?m)^copyright notice", t) for _, i, t in rows if i == "ISC") and any(re.search("(?m)^COPYRIGHT HOLDERS", t) for _, i, t in rows if i == "MIT")
+    docs = spark.createDataFrame([(n, t) for n, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licences.scan(docs).collect()}
+    assert [got[n] for n in range(len(rows))] == [i for _, i, _ in rows]
+
+
+def test_copyright_statements(spark):
+    statements = ["Copyright (c) 2020 x", "copyright 1999", "Copyright © x", "# Copyright Jane Doe", "Copyright The Regents", "copyright by x", "Copyright [yyyy] [name]", "Copyright <YEAR> x", "COPYRIGHT JANE DOE", "copyright jane doe, 2001", "(c) nobody", "All rights reserved."]
+    body = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "copyright license to reproduce", "copyright owner", "Copyright treaty adopted on 20 December 1996", "copyrighted work", "copyright law"]
+    kept = spark.createDataFrame(list(enumerate(statements + body)), "i int, x string").where(F.size(licences.canonical_lines(F.col("x"))) > 0).select("x").collect()
+    assert {r.x for r in kept} == set(body)
+
+
+def test_common_digests(spark):
+    ids = {r.license for r in licences.known_digests(spark).where("kind = 'text'").collect()}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "MIT", "ISC"} <= ids
