@@ -156,6 +156,17 @@ def cosine_within_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "label").where("a < b").select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("sim"))
 
 
+#: Similarity over which a pair of a type counts.
+SIMILAR = 0.85
+
+
+@query(f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE sim > {SIMILAR}")
+def similar_within_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a label over the threshold; cosine_within_type, as its SQL, has those of every tenth vector only."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", normalize(F.col("embedding")).alias("v"))
+    return retrieval.similar_pairs(rows, rows, SIMILAR, "vec_id", "v", "label").where("a < b")
+
+
 @query(
     rf"""WITH {_BM25.format(k=10)}, r AS (SELECT s.query_id, s.rank, concat('[', s.rank, '] (source: ', concat_ws('/', d.lang, d.source), ')', chr(10), left(d.text, 600)) AS block FROM sparse s JOIN documents d ON d.doc_id = s.pos),
 c AS (SELECT *, floor((sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) + 2 * (rank - 1)) / 4) AS tokens FROM r), keep AS (SELECT * FROM c WHERE tokens <= 800),
