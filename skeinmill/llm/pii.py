@@ -11,8 +11,8 @@ Patterns are written so that they take linear time: a match is tried only where
 class begins, or where the match before ended, and what cannot be given back is possessive.
 
 Defined results: a null or empty text has no spans; added spans that touch a base span are left out;
-rows with equal texts get equal spans, and a null doc_id is no exception. Counts of rounds, tokens and
-support cover all rows; only the number of rounds is fixed.
+rows with equal texts get equal spans, and a null doc_id is no exception. Counts of tokens and
+support cover all rows; rounds go on until one finds no token more.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from skeinmill.llm.spans import find_spans
 from skeinmill.llm.store import keep
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS = 3
 #: Distinct known tokens that a pattern needs, and the share of its tokens that they make.
 SUPPORT, CONFIDENCE = 10, 0.8
 #: Added spans that are sent to every task at most, which is counted; more are joined by a shuffle.
@@ -106,13 +105,15 @@ def _occurrences(frame: DataFrame) -> DataFrame:
     return frame.withColumn("tokens", F.filter("tokens", lambda t: (F.size(t["patterns"]) > 0) & (t["token"] != "")))
 
 
-def bootstrap(tokens: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, kind): confident patterns, from a table of (token, kind or null, pattern)."""
+def bootstrap(tokens: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(pattern, kind): confident patterns, from a table of (token, kind or null, pattern).
+
+    Rounds end with the first that finds no token, which has scored the patterns with all that are known.
+    """
     edges = keep(tokens.groupBy("pattern", "token", "kind").agg(F.count("*").alias("n")), "pii-edges")
     totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
     known = edges.where("kind is not null").groupBy("token", "kind").agg(F.lit(1.0).alias("trust"))
-    best = None
-    for _ in range(rounds):
+    while True:
         scored = (
             edges.drop("kind").join(known, "token").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("hits"), F.count_distinct("token").alias("tokens"))
             .where(F.col("tokens") >= support).join(totals, "pattern").withColumn("confidence", F.col("hits") / F.col("total")).where(F.col("confidence") >= confidence)
@@ -130,7 +131,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _with_spans(docs: DataFrame, rounds: int, support: int, confidence: float) -> tuple[DataFrame, DataFrame]:
+def _with_spans(docs: DataFrame, support: int, confidence: float) -> tuple[DataFrame, DataFrame]:
     """(a row of base spans for each row of docs, a row of added spans for each text that has some)"""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("cls", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
@@ -138,7 +139,7 @@ def _with_spans(docs: DataFrame, rounds: int, support: int, confidence: float) -
     by_kind = [F.transform(f"{k}_spans", _ranked(k)) for k in KINDS]
     found = keep(found.select("doc_id", "cls", F.concat(*by_kind).alias("base"), "tokens"), "pii-found")
     tokens = found.select("cls", "base", F.explode("tokens").alias("t")).select("cls", "base", "t.start", "t.end", "t.token", "t.kind", F.explode("t.patterns").alias("pattern"))
-    patterns = bootstrap(tokens.select("token", "kind", "pattern"), rounds, support, confidence)
+    patterns = bootstrap(tokens.select("token", "kind", "pattern"), support, confidence)
     apart = "not exists(base, b -> b.start < end and start < b.end)"
     added = tokens.where("kind is null").drop("kind").join(patterns.withColumnRenamed("kind", "as_kind"), "pattern").where(apart)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("as_kind")).cast("int") - 1
@@ -148,17 +149,17 @@ def _with_spans(docs: DataFrame, rounds: int, support: int, confidence: float) -
     return found.drop("tokens"), F.broadcast(added) if few else added
 
 
-def find_pii(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each row of docs."""
-    found, added = _with_spans(docs, rounds, support, confidence)
+    found, added = _with_spans(docs, support, confidence)
     rows = found.join(added, "cls", "left").withColumn("added", F.coalesce("added", F.expr("filter(base, b -> false)")))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
-def redact(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def redact(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """The documents, all columns, with each span, or run of overlapping ones, replaced by its kind; n_chars follows."""
-    _, added = _with_spans(docs, rounds, support, confidence)
+    _, added = _with_spans(docs, support, confidence)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("cls"))
     plain = base_spans(plain)

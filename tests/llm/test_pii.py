@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 
-from skeinmill.llm.pii import find_pii, redact
+from skeinmill.llm.pii import bootstrap, find_pii, redact
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -83,3 +83,11 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert out[200].text == "please reach office at [EMAIL] and more"
     assert out[202].text == "clean words with 12345 in them" and out[203].text is None
     assert redact(docs.limit(0)).count() == 0
+
+
+def test_contexts_chain_over_many_rounds(spark):
+    rows = [(f"t0{j}", "email", "p1") for j in (1, 2) for _ in range(20)]
+    for i in range(1, 8):
+        rows += [(f"t{i}{j}", None, f"p{i}") for j in (1, 2)] + [(f"t{i}{j}", None, f"p{i + 1}") for j in (1, 2) for _ in range(20)]
+    got = bootstrap(spark.createDataFrame(rows, "token string, kind string, pattern string"), support=2, confidence=0.5).collect()
+    assert {(r.pattern, r.kind) for r in got} == {(f"p{i}", "email") for i in range(1, 9)}
