@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,8 +231,16 @@ def small_index(benchmark: DataFrame, window: int, k: int, table_rows: int) -> _
 
 
 def _joined(own: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
+    return _joined_rows(own, windows, window, k).drop("row")
+
+
+def _row_hash(doc_id: Column, text: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))), 256)
+
+
+def _joined_rows(own: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
     """Rows are told apart by id and text, so that repeated and null ids keep their own results."""
-    own = own.withColumn("row", F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
+    own = own.withColumn("row", _row_hash(F.col("doc_id"), F.col("text")))
     sizes = sorted(r[0] for r in windows.where(F.col("size") < window).select("size").distinct().collect())
     prints = keep(
         map_batches(own.select("row", "text", "doc_id"), lambda it: _doc_prints(it, sizes, window, k), "row string, doc_id long, n_words long, prints array<long>"), "doc-prints"
@@ -251,7 +259,7 @@ def _joined(own: DataFrame, windows: DataFrame, window: int, k: int) -> DataFram
     )
     hits = found.select("row", "n_hit").join(items, "row", "left")
     return prints.drop("prints").join(hits, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.lit(_EMPTY_SHA)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
@@ -260,8 +268,10 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     """The documents, all columns, that hold no benchmark window."""
     index = small_index(benchmark, window, k, table_rows)
     if index is None:
-        dirty = decontaminate(docs, benchmark, window, k, 0).where("contaminated").select("doc_id").distinct()
-        return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+        doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+        rows = _joined_rows(docs.select(doc_id.alias("doc_id"), text.alias("text")), keep(item_windows(benchmark, window, k), "item-windows"), window, k)
+        dirty = rows.where("contaminated").select(F.col("row").alias("_row")).distinct()
+        return docs.withColumn("_row", _row_hash(doc_id, text)).join(dirty, "_row", "left_anti").select(*docs.columns)
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,3 +61,12 @@ def test_empty_tables_and_filter(spark, table_rows):
     assert kept.columns == docs.columns
     dirty = {r[0] for r in brute(DOCS[:9], ITEMS) if r[5]}
     assert {r[0] for r in kept.collect()} == {d for d, _ in DOCS[:9]} - dirty
+
+
+@pytest.mark.parametrize("table_rows", [1000, 0])
+def test_filter_tells_null_and_repeated_ids_apart(spark, table_rows):
+    leak = " ".join(f"word{i}" for i in range(12))
+    rows = [(None, leak), (None, "clean"), (1, leak), (1, "clean text"), (2, None), (None, None), (3, leak), (3, leak)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, leak)], "item_id long, text string")
+    kept = without_hits(docs, items, table_rows=table_rows).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([r for r in rows if r[1] != leak], key=str)
