@@ -144,7 +144,19 @@ def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     tokens = chunks.select("chunk_id", "pos", words(F.coalesce("text", F.lit("")), lower=True).alias("ts")).withColumn("dl", F.size("ts"))
     postings = tokens.select("chunk_id", "pos", "dl", F.explode("ts").alias("term")).groupBy("term", "chunk_id", "pos", "dl").agg(F.count("*").alias("tf"))
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return _index(postings, tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def bm25_add(stored: tuple[DataFrame, DataFrame, DataFrame], chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index of the stored one's chunks and of further ones, which are read alone; chunks of the stored index aren't given again."""
+    more = bm25_index(chunks)
+    postings = stored[0].unionByName(more[0])
+    n = stored[2].select("n").unionByName(more[2].select("n")).agg(F.sum("n").alias("n"))
+    corpus = n.crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("size"))).select("n", F.try_divide("size", "n").alias("avgdl"))
+    return _index(postings, corpus)
+
+
+def _index(postings: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = terms.agg(F.avg("raw").alias("mean"))
     terms = terms.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -153,9 +165,14 @@ def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, query_text: str = "query") -> DataFrame:
     """(query_id, chunk_id, pos, score, rank): the k best chunks with a positive score; a repeated query word counts again."""
+    return bm25_ranked(queries, bm25_index(chunks), k, query_text)
+
+
+def bm25_ranked(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int = 20, query_text: str = "query") -> DataFrame:
+    """What bm25_top_k gives, from an index."""
     if k <= 0:
         raise ValueError("k must be positive")
-    postings, terms, corpus = bm25_index(chunks)
+    postings, terms, corpus = index
     asked = queries.select("query_id", F.explode(words(query_text, lower=True)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = asked.join(terms, "term").join(postings, "term").join(F.broadcast(corpus))

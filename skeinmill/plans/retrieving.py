@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinmill.functions.text import family
 from skeinmill.functions.vectors import dot, norm, normalize
+from skeinmill.lineage import cut
 from skeinmill.operators import generation, metrics, retrieval
 from skeinmill.plans.registry import query, table
 
@@ -57,8 +58,9 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of chunks, indexed one after the other, answer as one does."""
     chunks = corpus(spark, sf_dir)
-    grown = chunks.where("pos % 2 = 0").unionByName(chunks.where("pos % 2 = 1"))
-    return retrieval.bm25_top_k(asked(spark, sf_dir), grown, 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    stored = tuple(map(cut, retrieval.bm25_index(chunks.where("pos % 2 = 0"))))
+    grown = retrieval.bm25_add(stored, chunks.where("pos % 2 = 1"))
+    return retrieval.bm25_ranked(asked(spark, sf_dir), grown, 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(rf"WITH q AS ({_ASKED}), {_DENSE.format(k=20)} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM dense")

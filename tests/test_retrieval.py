@@ -126,3 +126,12 @@ def test_similar_pairs_within_a_type_are_whole(spark, tmp_path):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     want = {(i, j): unit[i] @ unit[j] for i in range(60) for j in range(i + 1, 60) if labels[i] == labels[j] and unit[i] @ unit[j] > retrieving.SIMILAR}
     assert got.keys() == want.keys() and any(a % 10 for a, _ in want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_added_batches_answer_as_one(spark, chunks):
+    queries = spark.createDataFrame([(1, "machine learning"), (2, "fire with networks")], "query_id int, query string")
+    index = retrieval.bm25_index(chunks.limit(0))
+    for i in range(len(TEXTS)):
+        index = retrieval.bm25_add(index, chunks.where(f"pos = {i}"))
+    assert sorted(index[1].collect()) == sorted(retrieval.bm25_index(chunks)[1].collect()) and index[2].first() == retrieval.bm25_index(chunks)[2].first()
+    assert sorted(retrieval.bm25_ranked(queries, index, 5).collect()) == sorted(retrieval.bm25_top_k(queries, chunks, 5).collect())
