@@ -10,6 +10,9 @@ are not base entities but follow a confident pattern are spans of its kind too.
 Patterns are written so that they take linear time: a match is tried only where a run of its first
 class begins, or where the match before ended, and what cannot be given back is possessive.
 
+Whether a token touches a base span is found where both are, by binary search among the text's spans, so
+that rows of tokens carry no lists. Long lists are folded by blocks, so that work grows with the text.
+
 Defined results: a null or empty text has no spans; added spans that touch a base span are left out;
 rows with equal texts get equal spans, and a null doc_id is no exception. Counts of tokens and
 support cover all rows; rounds go on until one finds no token more.
@@ -22,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinmill.llm.spans import find_spans
+from skeinmill.llm.spans import find_spans, let
 from skeinmill.llm.store import keep
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -73,6 +76,20 @@ def _by_start(s: Column) -> Column:
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
 
 
+def _touches(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of these spans, which ascend and don't overlap, shares a character with start..end."""
+    mid = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+    bounds = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def step(a: Column, _: Column) -> Column:
+        before = F.get(spans, mid(a))["start"] < end
+        return F.when(a["lo"] >= a["hi"], a).when(before, bounds(mid(a) + 1, a["hi"])).otherwise(bounds(a["lo"], mid(a)))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int"))
+    begun = F.aggregate(steps, bounds(F.lit(0), F.size(spans)), step, lambda a: a["lo"])
+    return F.when(F.size(spans) > 0, F.coalesce(F.get(spans, begun - 1)["end"] > start, F.lit(False))).otherwise(F.lit(False))
+
+
 def base_spans(frame: DataFrame) -> DataFrame:
     """Adds a column for each kind: the checked matches of its pattern, as (start, end, found)."""
     for kind in KINDS:
@@ -90,7 +107,7 @@ def _token_kind(token: Column) -> Column:
 
 
 def _occurrences(frame: DataFrame) -> DataFrame:
-    """Adds (start, end, token, kind, patterns) of identifier-like tokens that follow a word."""
+    """Adds (start, end, token, kind, patterns, apart) of identifier-like tokens that follow a word; apart: touches no base span."""
     frame = find_spans(frame, "tokens", _TOKEN, F.col("text").rlike("[0-9@]"))
 
     def occurrence(s: Column) -> Column:
@@ -102,7 +119,16 @@ def _occurrences(frame: DataFrame) -> DataFrame:
         return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(bare)).alias("end"), F.lower(bare).alias("token"), _token_kind(bare).alias("kind"), patterns.alias("patterns"))
 
     frame = frame.withColumn("tokens", F.transform("tokens", occurrence))
-    return frame.withColumn("tokens", F.filter("tokens", lambda t: (F.size(t["patterns"]) > 0) & (t["token"] != "")))
+    frame = frame.withColumn("tokens", F.filter("tokens", lambda t: (F.size(t["patterns"]) > 0) & (t["token"] != "")))
+    places = F.struct(*(F.transform(f"{k}_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS))
+
+    def placed(t: Column, spans: Column) -> Column:
+        touched = _touches(spans[KINDS[0]], t["start"], t["end"])
+        for kind in KINDS[1:]:
+            touched = touched | _touches(spans[kind], t["start"], t["end"])
+        return t.withField("apart", t["kind"].isNull() & ~touched)
+
+    return frame.withColumn("tokens", let(places, lambda spans: F.transform("tokens", lambda t: placed(t, spans))))
 
 
 def bootstrap(tokens: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -131,17 +157,17 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _with_spans(docs: DataFrame, support: int, confidence: float) -> tuple[DataFrame, DataFrame]:
-    """(a row of base spans for each row of docs, a row of added spans for each text that has some)"""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _with_spans(docs: DataFrame, support: int, confidence: float, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """(a row of base spans for each row of docs, with that row if it is asked for; a row of added spans for each text that has some)"""
+    rows = [F.struct(*docs.columns).alias("row")] if whole else []
+    own = docs.select(*rows, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("cls", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     found = _occurrences(base_spans(own))
     by_kind = [F.transform(f"{k}_spans", _ranked(k)) for k in KINDS]
-    found = keep(found.select("doc_id", "cls", F.concat(*by_kind).alias("base"), "tokens"), "pii-found")
-    tokens = found.select("cls", "base", F.explode("tokens").alias("t")).select("cls", "base", "t.start", "t.end", "t.token", "t.kind", F.explode("t.patterns").alias("pattern"))
+    found = keep(found.select(*(["row"] if whole else []), "doc_id", "cls", F.concat(*by_kind).alias("base"), "tokens"), "pii-found")
+    tokens = found.select("cls", F.explode("tokens").alias("t")).select("cls", "t.start", "t.end", "t.token", "t.kind", "t.apart", F.explode("t.patterns").alias("pattern"))
     patterns = bootstrap(tokens.select("token", "kind", "pattern"), support, confidence)
-    apart = "not exists(base, b -> b.start < end and start < b.end)"
-    added = tokens.where("kind is null").drop("kind").join(patterns.withColumnRenamed("kind", "as_kind"), "pattern").where(apart)
+    added = tokens.where("apart").select("cls", "start", "end", "pattern").join(patterns.withColumnRenamed("kind", "as_kind"), "pattern")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("as_kind")).cast("int") - 1
     added = added.groupBy("cls", "start", "end").agg(F.min(F.struct(rank.alias("rank"), F.col("as_kind").alias("kind"))).alias("k"))
     added = keep(added.groupBy("cls").agg(F.collect_list(F.struct("k.rank", "k.kind", "start", "end")).alias("added")), "pii-added")
@@ -151,32 +177,49 @@ def _with_spans(docs: DataFrame, support: int, confidence: float) -> tuple[DataF
 
 def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each row of docs."""
-    found, added = _with_spans(docs, support, confidence)
+    found, added = _with_spans(docs, support, confidence, False)
     rows = found.join(added, "cls", "left").withColumn("added", F.coalesce("added", F.expr("filter(base, b -> false)")))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+#: Spans that are replaced at once, within a piece of the text that holds them.
+_FOLD = 256
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with each span, or run of overlapping ones, replaced by the kind of the first; spans ascend."""
+
+    def block(acc: Column, i: Column) -> Column:
+        own = F.slice(spans, i * _FOLD + 1, _FOLD)
+
+        def folded(own: Column) -> Column:
+            last = F.greatest(acc["at"], F.array_max(F.transform(own, lambda s: s["end"])))
+
+            def within(piece: Column) -> Column:
+                def one(a: Column, s: Column) -> Column:
+                    new = F.concat(a["out"], F.substr(piece, a["at"] - acc["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                    return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
+
+                return F.aggregate(own, F.struct(acc["at"].alias("at"), F.lit("").alias("out")), one, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+            return let(F.substr(text, acc["at"] + 1, last - acc["at"]), within)
+
+        return let(own, folded)
+
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _FOLD).cast("int"))
+    return F.aggregate(blocks, first, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+
+
 def redact(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """The documents, all columns, with each span, or run of overlapping ones, replaced by its kind; n_chars follows."""
-    _, added = _with_spans(docs, support, confidence)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("cls"))
-    plain = base_spans(plain)
-    base = F.concat(*(F.transform(f"{k}_spans", _ranked(k)) for k in KINDS))
-    plain = plain.select("row", "text", "cls", base.alias("base")).join(added, "cls", "left")
+    found, added = _with_spans(docs, support, confidence, True)
     spans = F.concat("base", F.coalesce("added", F.expr("filter(base, b -> false)")))
-    plain = plain.withColumn("spans", F.sort_array(F.transform(spans, _by_start)))
-    folded = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)),
-    )
-    plain = plain.withColumn("clean", F.when(F.size("spans") > 0, folded).otherwise(F.col("row.text")))
-    out = {c: F.col(f"row.{c}") for c in docs.columns} | {"text": F.col("clean")}
+    plain = found.select("row", "cls", "base").join(added, "cls", "left").select("row", F.sort_array(F.transform(spans, _by_start)).alias("spans"))
+    text = F.col("row.text").cast("string")
+    plain = plain.withColumn("clean", F.when(F.size("spans") > 0, let(text, lambda t: let(F.col("spans"), lambda s: _replaced(t, s)))).otherwise(text))
+    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("clean")}
     if "n_chars" in out:
         out["n_chars"] = F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return plain.select(*(out[c].alias(c) for c in docs.columns))

@@ -91,3 +91,81 @@ def test_contexts_chain_over_many_rounds(spark):
         rows += [(f"t{i}{j}", None, f"p{i}") for j in (1, 2)] + [(f"t{i}{j}", None, f"p{i + 1}") for j in (1, 2) for _ in range(20)]
     got = bootstrap(spark.createDataFrame(rows, "token string, kind string, pattern string"), support=2, confidence=0.5).collect()
     assert {(r.pattern, r.kind) for r in got} == {(f"p{i}", "email") for i in range(1, 9)}
+
+
+def brute_bootstrap(rows, support, confidence):
+    """The plain rule over (token, kind or None, pattern) rows."""
+    total, count = {}, {}
+    for token, kind, pattern in rows:
+        total[pattern] = total.get(pattern, 0) + 1
+        count[pattern, token] = count.get((pattern, token), 0) + 1
+    known = {(token, kind): 1.0 for token, kind, _ in rows if kind}
+    while True:
+        best = {}
+        for pattern in total:
+            for kind in {k for _, k in known}:
+                own = [(t, n) for (p, t), n in count.items() if p == pattern and (t, kind) in known]
+                share = sum(n * known[t, kind] for t, n in own) / total[pattern]
+                if len(own) >= support and share >= confidence:
+                    best[pattern, kind] = share
+        doubt = {}
+        for token, kind, pattern in {r for r in rows if r[1] is None}:
+            for (p, k), share in best.items():
+                if p == pattern:
+                    doubt[token, k] = doubt.get((token, k), 1.0) * (1 - share)
+        fresh = {tk: 1 - x for tk, x in doubt.items() if 1 - x >= confidence and tk[0] not in {t for t, _ in known}}
+        if not fresh:
+            top = {}
+            for (p, k), share in best.items():
+                top[p] = max(top.get(p, (0.0, "")), (share, k))
+            return {p: k for p, (_, k) in top.items()}
+        known |= fresh
+
+
+def test_bootstrap_equals_brute_force(spark):
+    found = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        kinds = {f"t{i}": rng.choice([None, None, None, "email", "phone"]) for i in range(24)}
+        liked = {f"p{i}": rng.choice(["email", "phone", None]) for i in range(7)}
+        rows = []
+        for p, k in liked.items():
+            pool = [t for t, kind in kinds.items() if kind == k or rng.random() < 0.12]
+            rows += [(t, kinds[t], p) for t in rng.choices(pool, k=rng.randrange(4, 30))]
+        got = {r.pattern: r.kind for r in bootstrap(spark.createDataFrame(rows, "token string, kind string, pattern string"), 2, 0.6).collect()}
+        assert got == brute_bootstrap(rows, 2, 0.6)
+        found += len(got)
+    assert found > 10
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """Identifiers that the base patterns don't know, in contexts that base entities teach, among decoys in other contexts."""
+    rng, rows, want = random.Random(3), [], {}
+    prose = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    contexts = {"email": ("write to", lambda: f"u{rng.randrange(10**6)}@mail{rng.randrange(9)}.example.com", lambda: f"u{rng.randrange(10**6)}(at)example"), "phone": ("telephone no", lambda: f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}", lambda: f"555-{rng.randrange(1000, 9999)}x{rng.randrange(10, 99)}")}
+    for i in range(400):
+        words = [rng.choice(prose) for _ in range(rng.randrange(5, 40))] + [str(rng.randrange(10**5))] + [rng.choice(prose)]
+        kind = rng.choice(["email", "phone"])
+        before, seen, unseen = contexts[kind]
+        new = i % 8 == 0
+        value = (unseen if new else seen)()
+        head = " ".join(words) + f" {before} "
+        rows.append((i, head + value + " " + rng.choice(prose)))
+        if new:
+            want[i] = f"{kind}:{len(head)}:{len(head) + len(value)}"
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {d: r.spans for d, r in got.items() if r.n_added}
+    right = sum(added.get(d) == s for d, s in want.items())
+    assert right >= 0.9 * len(want) and right >= 0.9 * len(added)
+
+
+def test_a_long_text_of_identifiers(spark):
+    rng = random.Random(9)
+    parts = [f"user{i}@m{rng.randrange(9)}.example.com" if i % 3 else f"code x{i}yz" for i in range(45_000)]
+    text = " at ".join(parts)
+    assert len(text) > 10**6
+    docs = spark.createDataFrame([(1, text), (2, "short +1 (017) 555-7713")], "doc_id long, text string")
+    got = {r.doc_id: r for r in find_pii(docs).collect()}
+    assert got[1].n_email == sum(i % 3 > 0 for i in range(45_000)) and got[2].n_phone == 1
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert clean[2] == "short [PHONE]" and clean[1].count("[EMAIL]") >= got[1].n_email and "@" not in clean[1]
