@@ -11,7 +11,8 @@ tables of quantiles stay short.
 
 Defined results: a null source is one more source; sources without a weight, or with weight 0, go;
 weights are scaled to sum to 1 over the sources there are; without any the sources get equal ones; rows
-with equal doc_id get equal counts, and equal places only if they are the same copy.
+with equal doc_id get equal counts, and equal places only if they are the same copy. Columns of any name
+are kept; only mix_copy and mix_copies, which the result sets, take the place of a document's own.
 """
 
 from __future__ import annotations
@@ -46,24 +47,26 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
         counts = counts.join(F.broadcast(given).withColumnRenamed("source", "given"), F.col("source").eqNullSafe(F.col("given"))).where("weight > 0").drop("given")
     totals = counts.agg(F.sum("n").alias("all"), F.sum("weight").alias("weights"))
     if weights is not None:
-        totals = totals.drop("all").join(docs.agg(F.count("*").alias("all")))
+        whole = docs.count()
     row = totals.first()
-    return counts.select("source", (F.col("weight") / F.lit(row["weights"]) * F.lit(row["all"]) / F.col("n")).alias("rate"))
+    return counts.select("source", (F.col("weight") / F.lit(row["weights"]) * F.lit(row["all"] if weights is None else whole) / F.col("n")).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, table_rows: int = TABLE_ROWS) -> DataFrame:
     """The documents, all columns, as often as drawn, with mix_copy (from 0) and mix_copies, in shuffled order."""
     kept = [c for c in docs.columns if c not in ("mix_copy", "mix_copies")]
     by_source = rates(docs, weights).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART).cast("int"))).withColumn("part", F.col("rate") / F.col("parts"))
-    by_source = by_source.select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.expr(_TABLE).alias("_table"))
+    by_source = by_source.select(F.col("source").alias("of"), "parts", F.expr(_TABLE).alias("quantiles"))
     few = by_source.limit(table_rows + 1).count() <= table_rows
-    rows = docs.select(*kept).join(F.broadcast(by_source) if few else by_source, F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    number = _uniform(repr(str(seed)), "coalesce(cast(doc_id as string), chr(0))", "p")
-    drawn = f"aggregate(sequence(1, _parts), 0, (a, p) -> a + transform(array({number}), u -> size(filter(_table, c -> c <= u)))[0])"
-    rows = rows.withColumn("mix_copies", F.expr(drawn)).where("mix_copies > 0").drop("_source", "_parts", "_table")
+    # The document is one struct, so that no name of its own meets those used here.
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"))
+    rows = rows.join(F.broadcast(by_source) if few else by_source, F.col("source").eqNullSafe(F.col("of")))
+    number = _uniform(repr(str(seed)), "id", "p")
+    drawn = f"aggregate(sequence(1, parts), 0, (a, p) -> a + transform(array({number}), u -> size(filter(quantiles, c -> c <= u)))[0])"
+    rows = rows.select("row", "id", F.expr(drawn).alias("mix_copies")).where("mix_copies > 0")
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    place = F.md5(F.concat_ws(":", F.lit(f"{seed}-place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.col("mix_copy")))
-    return rows.withColumn("_place", place).orderBy("_place").select(*kept, "mix_copy", "mix_copies")
+    place = F.md5(F.concat_ws(":", F.lit(f"{seed}-place"), "id", F.col("mix_copy")))
+    return rows.withColumn("place", place).orderBy("place").select(*(F.col("row").getField(c).alias(c) for c in kept), "mix_copy", "mix_copies")
 
 
 ORACLE = f"""

@@ -50,3 +50,11 @@ def test_shares_and_empty_table(spark):
     got = {r.source: r["count"] for r in mixing.mix(docs, {"a": 3.0, "b": 1.0}).groupBy("source").count().collect()}
     assert abs(got["a"] / 15_000 - 1) < 0.03 and abs(got["b"] / 5_000 - 1) < 0.05
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_names_used_inside_may_be_a_documents_own(spark):
+    own = ["_table", "_source", "_parts", "of", "parts", "quantiles", "row", "id", "place", "_place", "rate", "p", "u", "dotted.name"]
+    docs = spark.createDataFrame([(i, "s", *[f"{c}{i}" for c in own]) for i in range(50)], ["doc_id", "source", *own])
+    got = mixing.mix(docs).collect()
+    assert mixing.mix(docs).columns == [*docs.columns, "mix_copy", "mix_copies"]
+    assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in own)
