@@ -1,17 +1,20 @@
 """Quality rules with an isolation forest on their statistics.
 
-Each text gives a few rule statistics: counts for the base rules and ratios for the forest. The forest
-is grown in numpy on a bounded sample of labelled rows (`sample_rows`, those least by a hash of their
-id): each of `n_trees` trees takes `tree_rows` rows and splits a random statistic at a random value
-between its least and greatest. Documents that are apart after few splits are anomalous. The score is
-2 ** (-mean path / c) as usual, between 0 and 1, and the threshold is the score that divides labelled
-good and bad rows best while at most `good_lost` of the good ones go.
+Each text gives rule statistics: counts for the base rules, and ratios of all of them for the forest. The forest
+is grown in numpy on one half of a bounded sample of labelled rows (`sample_rows`, those least by a hash of
+their id). What it sees of a ratio is how far it lies outside the range of that half's good rows, but for
+TAIL at each end, because clean texts vary much more in some than in others: within it all are alike. Each
+of `n_trees` trees takes `tree_rows` rows and splits a random statistic at a random value between its least
+and greatest. Documents that are apart after few splits are anomalous. The score is 2 ** (-mean path / c) as
+usual, between 0 and 1, and the threshold is the score that divides the other half's labelled good and bad
+rows best while at most `good_lost` of the good ones go.
 
 Only the sample and the forest, both of fixed size, pass through the driver; every document is scored
 where it lies, without a shuffle.
 
 Defined results: a null or empty text has all counts 0 and fails the base rules; with no labelled rows
-of both kinds the forest rejects nothing; repeated rows and ties are scored row by row.
+of both kinds in each half the forest rejects nothing; repeated rows and ties are scored row by row. Of
+labelled rows with one doc_id the one of least statistics counts, as bad if any of its labels says so.
 """
 
 from __future__ import annotations
@@ -35,9 +38,10 @@ GOOD_LOST = 0.005
 MIN_WORDS, REPEAT_SHARE = 50, 50
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Statistics that the forest sees, none of which follows the text's length. Repetition is left to the
-#: base rules: clean texts vary more in it than in these, which would hide what these tell.
-RATIOS = ["word_length", "symbols", "bars", "bangs", "stops"]
+#: Statistics that the forest sees, none of which follows the text's length.
+RATIOS = ["word_length", "symbols", "dup_lines", "repeat_words", "bars", "bangs", "stops"]
+#: Share of good rows at each end of a statistic that are outside what is usual.
+TAIL = 0.005
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -103,7 +107,8 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     counts = np.stack([n_words, word_chars, n_symbols, n_dup, n_repeat], 1).astype(np.int64)
     size = np.maximum(word_chars, 1)
-    ratios = np.stack([word_chars / np.maximum(n_words, 1), n_symbols / size, *(_sums(t[buf], offsets) / size for t in (_BAR, _BANG, _STOP))], 1)
+    n_some = np.maximum(n_words, 1)
+    ratios = np.stack([word_chars / n_some, n_symbols / size, n_dup / n_some, n_repeat / n_some, *(_sums(t[buf], offsets) / size for t in (_BAR, _BANG, _STOP))], 1)
     return counts, ratios.astype(np.float64)
 
 
@@ -114,12 +119,18 @@ def base_fails(counts: np.ndarray) -> np.ndarray:
 class Forest:
     """Trees as arrays: feature (-1 at a leaf), threshold, left child (right is the next), path length."""
 
-    def __init__(self, rows: np.ndarray, n_trees: int, tree_rows: int, seed: int):
+    def __init__(self, rows: np.ndarray, good: np.ndarray, n_trees: int, tree_rows: int, seed: int):
         self.rng = np.random.default_rng(seed)
         self.size = min(tree_rows, len(rows))
+        self.low, self.high = np.quantile(rows[good], [TAIL, 1 - TAIL], axis=0)
+        rows = self.excess(rows)
         self.trees = [self._grow(rows[self.rng.choice(len(rows), self.size, replace=False)]) for _ in range(n_trees)]
         self.threshold = 1.0
 
+    def excess(self, rows: np.ndarray) -> np.ndarray:
+        """How far each statistic lies outside its usual range, in widths of that range."""
+        return (np.minimum(rows - self.low, 0) + np.maximum(rows - self.high, 0)) / np.maximum(self.high - self.low, 1e-9)
+
     @staticmethod
     def _mean_path(n: float) -> float:
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
@@ -147,6 +158,7 @@ class Forest:
         return np.array(feature), np.array(cut), np.array(left), np.array(path)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
+        rows = self.excess(rows)
         total, each = np.zeros(len(rows)), np.arange(len(rows))
         for feature, cut, left, path in self.trees:
             at = np.zeros(len(rows), np.int64)
@@ -173,20 +185,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_tr
     """A forest from at most sample_rows labelled rows that pass the base rules; None without rows of both kinds."""
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), "doc_id").limit(sample_rows)
-    schema = T.StructType([T.StructField("good", T.IntegerType()), T.StructField("failed", T.BooleanType()), T.StructField("ratios", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("good", T.IntegerType()), T.StructField("failed", T.BooleanType()), T.StructField("ratios", T.ArrayType(T.DoubleType()))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in g.pieces(batches, 1):
-            counts, ratios = statistics(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base_fails(counts)), g.list_column(ratios.ravel(), np.full(len(ratios), len(RATIOS)))], names=schema.names)
+        for batch in g.pieces(batches, 2):
+            counts, ratios = statistics(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base_fails(counts)), g.list_column(ratios.ravel(), np.full(len(ratios), len(RATIOS)))], names=schema.names)
 
-    rows = map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("good"), "text"), measure, schema).collect()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = map_batches(own.select("doc_id", F.col("quality").cast("int").alias("good"), "text"), measure, schema)
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("failed", "ratios", "good")).alias("r")).select("r.*").collect()
     rows = sorted((tuple(r.ratios), r.good) for r in rows if not r.failed)
-    if len({r[1] for r in rows}) < 2:
-        return None
-    x, good = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]) == 1
-    forest = Forest(x, n_trees, tree_rows, seed)
-    forest.calibrate(x, good, good_lost)
+    return _fitted(np.array([r[0] for r in rows]).reshape(-1, len(RATIOS)), np.array([r[1] for r in rows]) == 1, n_trees, tree_rows, good_lost, seed)
+
+
+def _fitted(x: np.ndarray, good: np.ndarray, n_trees: int = N_TREES, tree_rows: int = TREE_ROWS, good_lost: float = GOOD_LOST, seed: int = SEED) -> Forest | None:
+    """A forest grown on half of the rows and calibrated on the others; halves are drawn of good and bad rows apart."""
+    grown = np.zeros(len(x), bool)
+    for kind in (good, ~good):
+        own = np.random.default_rng(seed).permutation(np.flatnonzero(kind))
+        if len(own) < 2:
+            return None
+        grown[own[::2]] = True
+    forest = Forest(x[grown], good[grown], n_trees, tree_rows, seed)
+    forest.calibrate(x[~grown], good[~grown], good_lost)
     return forest
 
 

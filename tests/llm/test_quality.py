@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from skeinmill.llm import quality as q
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -67,3 +70,48 @@ def test_forest_tells_junk_from_text(spark):
     again = q.fit(docs.repartition(7), labels)
     assert again.threshold == forest.threshold
     assert q.fit(docs, labels.where("quality = 1")) is None and q.fit(docs.limit(0), labels) is None
+
+
+def plain_ratios(text):
+    n_words, chars, symbols, dup, repeats, _ = brute(text)
+    text = text or ""
+    count = lambda chars_: sum(text.count(c) for c in chars_) / max(chars, 1)
+    return [chars / max(n_words, 1), symbols / max(chars, 1), dup / max(n_words, 1), repeats / max(n_words, 1), count("|"), count("!?"), count(".,;:")]
+
+
+def plain_score(forest, row):
+    """Walks each tree from its first node, row by row."""
+    row = [(min(v - lo, 0) + max(v - hi, 0)) / max(hi - lo, 1e-9) for v, lo, hi in zip(row, forest.low, forest.high, strict=True)]
+    paths = []
+    for feature, cut, left, path in forest.trees:
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] + (row[feature[at]] > cut[at])
+        paths.append(path[at])
+    n = forest.size
+    usual = 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    return 2 ** (-sum(paths) / len(paths) / usual)
+
+
+def test_scores_equal_brute_force(spark):
+    rows = made(300, 4) + [(1000 + i, x, None) for i, x in enumerate(texts())]
+    ratios = q.statistics(pa.array([x for _, x, _ in rows]))[1]
+    assert np.allclose(ratios, [plain_ratios(x) for _, x, _ in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    forest = q.fit(docs, docs)
+    got = {r.doc_id: r.anomaly for r in q.quality(docs, forest).collect()}
+    for d, x, _ in rows:
+        assert abs(got[d] - plain_score(forest, plain_ratios(x))) < 1e-9
+    # A tree keeps every row of its sample in exactly one leaf, and leaves' rows make its paths.
+    assert all((path[feature < 0] > 0).all() for feature, _, _, path in forest.trees)
+
+
+def test_a_repeated_doc_id_counts_once(spark):
+    rows = made(200, 5)
+    docs = spark.createDataFrame([(d, x) for d, x, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, quality int")
+    again = docs.where("doc_id in (3, 8)")
+    for _ in range(6):
+        again = again.union(again)
+    one, many = q.fit(docs, labels), q.fit(docs.union(again), labels)
+    assert one.threshold == many.threshold and (one.low == many.low).all()
