@@ -3,7 +3,8 @@
 Candidates are runs of key characters with a letter and a digit, cut at equals signs inside. Their features are expressions over the
 candidate, the words around it and the path: length, transitions between character classes and between
 letters, dictionary coverage, neighbouring words. The forest is grown in numpy on the driver from a
-bounded table of labelled findings (`sample_rows`, those least by a hash of their text) and compiled to
+bounded table of labelled findings (`sample_rows`, those least by a hash of their text), which are candidates
+that the scan itself found in labelled texts, and compiled to
 one SQL expression over arrays of nodes, so that scoring is a projection in the scan's own stage, without a shuffle.
 
 Defined results: a null or empty text has no candidates and no row; repeated rows give repeated findings;
@@ -49,7 +50,7 @@ _BENIGN_WORDS = r"(?:sha|md5|hash|commit|checksum|integrity|digest|uuid|guid|eta
 _ASSIGNS = r"^[\"'`]?[\x20\t]*[=:]+>?[\x20\t]*[\"'`]?$"
 _BENIGN_PATH = r"(?:test|example|sample|fixture|mock|lock|doc|demo)"
 
-FEATURES = ["length", "switches", "pairs", "distinct", "digits", "upper", "hex", "dictionary", "triples", "runs", "marks", "secret_before", "benign_before", "assigned", "benign_path", "secret_after", "benign_after"]
+FEATURES = ["length", "switches", "pairs", "distinct", "digits", "upper", "hex", "dictionary", "triples", "runs", "marks", "secret_before", "benign_before", "assigned", "benign_path", "secret_after", "benign_after", "digest_name"]
 
 
 def features(found: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
@@ -76,6 +77,7 @@ def features(found: Column, before: Column, after: Column, path: Column) -> dict
         "benign_path": flag(F.coalesce(F.lower(path).rlike(_BENIGN_PATH), F.lit(False))),
         "secret_after": flag(F.lower(after).rlike(_SECRET_WORDS)),
         "benign_after": flag(F.lower(after).rlike(_BENIGN_WORDS)),
+        "digest_name": flag(low.rlike("^(?:sha[0-9]{1,3}|md5|crc32|blake2[bs]?)[-_=]")),
     }
 
 
@@ -160,48 +162,62 @@ def _named(c: Column) -> Column:
     return F.transform(c, lambda s, i: s.withField("before", own(s, i)))
 
 
-def scan(docs: DataFrame, forest: Forest, cut: float = CUT, path: str = "source") -> DataFrame:
-    """A row for each candidate: doc_id, start_pos, end_pos, candidate_sha256, score, is_secret."""
+def candidates(docs: DataFrame, path: str = "source", extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each candidate: doc_id, path, the extra columns, start, end, found, before, after."""
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     own = find_spans(own, "c", _RUN, F.col("text").rlike(r"[A-Za-z0-9+/_=-]{12}") & F.col("text").rlike("[0-9]"), near=NEAR)
     own = own.withColumn("c", let(F.col("c"), _named))
     # An outer explode, because a plain one would have the column worked out once more to leave out empty ones.
-    rows = own.select("doc_id", "path", F.explode_outer("c").alias("c")).where("c.found rlike '[0-9]' and c.found rlike '[A-Za-z]'").select("doc_id", "path", "c.*")
-    rows = _with_features(rows)
-    scored = rows.withColumn("score", F.expr(forest.expression()))
+    rows = own.select("doc_id", "path", *extra, F.explode_outer("c").alias("c")).where("c.found rlike '[0-9]' and c.found rlike '[A-Za-z]'")
+    return rows.select("doc_id", "path", *extra, "c.*")
+
+
+def scan(docs: DataFrame, forest: Forest, cut: float = CUT, path: str = "source") -> DataFrame:
+    """A row for each candidate: doc_id, start_pos, end_pos, candidate_sha256, score, is_secret."""
+    scored = _with_features(candidates(docs, path)).withColumn("score", F.expr(forest.expression()))
     return scored.select("doc_id", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), F.sha2("found", 256).alias("candidate_sha256"), "score", (F.col("score") >= cut).alias("is_secret"))
 
 
-def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 5) -> DataFrame:
-    """Made-up findings of fixed number with known labels, by rule; a stand-in for a reviewed table."""
+#: Names and lead-ins of the made-up findings: of secrets, and of values that look like them.
+_KEYS = "token secret api_key apikey password passwd auth_token client_secret access_key private_key credential signing_secret session_key db_password webhook_key".split()
+_PLAIN = "commit sha256 md5 checksum integrity digest uuid etag revision build version file page order invoice section trace id image tag label name url path".split()
+_PROSE = "the of and see with at for la der que in von les una zu on".split()
+_SAMPLES = "your_token_here_1234 xxxxxxxxxxxxxxxx1234 abcdefgh12345678 0123456789abcdef example_secret_key_1 aaaaaaaaaaaaaaaa0000 changeme1234changeme deadbeefdeadbeefdead0 replace_with_real_key2 INSERT_TOKEN_HERE_001 test1234test1234".split()
+_HEX, _B64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def labelled_texts(n: int = 3000, seed: int = 5) -> list[tuple[int, str, str, str]]:
+    """(id, path, text, the secret in it or ""): made-up texts of fixed number, by rule; a stand-in for reviewed ones."""
     rng = np.random.default_rng(seed)
-    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     draw = lambda chars, k: "".join(rng.choice(list(chars), k))
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    keys = ["token", "secret", "api_key", "password", "auth_token", "client_secret", "access_key", "private_key", "credential", "signing_secret", "bearer"]
-    plain = ["commit", "sha256", "md5", "checksum", "integrity", "digest", "uuid", "etag", "revision", "build", "version", "file", "page", "order", "invoice", "section"]
-    prose = ["the", "of", "and", "see", "with", "at", "for", "la", "der", "que", "in"]
-    rows = []
+    some = lambda k: [pick(DICTIONARY) for _ in range(k)]
+    hexes = lambda: draw(_HEX, pick([16, 20, 24, 32, 40, 64]))
+    coded = lambda: draw(_B64, int(rng.integers(18, 60))) + pick(["", "", "=", "=="])
+    plain = lambda: draw(_B64[:-2], int(rng.integers(16, 44)))
+    uuid = lambda: "-".join(draw(_HEX, k) for k in (8, 4, 4, 4, 12))
+    out = []
     for i in range(n):
-        kind = i % 10
-        body, path, label = draw(pick([hexes, mixed, mixed.upper()[:36]]), int(rng.integers(16, 48))), pick(["src/app.py", "deploy/prod.env", "src3", "src11", "", "conf/service.yaml"]), 1
-        before = f"{pick(prose)} {pick(keys)}{pick([' = ', '=', ': ', ': '])}{pick(['', chr(34), chr(39)])}"
-        if kind == 5:
-            before = f"{pick(prose)} {pick(plain)}{pick([' ', ': ', '='])}"
-            label = 0
-        elif kind == 6:
-            words = [pick(DICTIONARY) for _ in range(int(rng.integers(2, 5)))] + [str(int(rng.integers(0, 3000)))]
-            body, label = pick(["-", "_", "/", ""]).join(words), 0
-            before = pick([before, f"{pick(prose)} ", f"{pick(plain)}: "])
-        elif kind == 7:
-            body, label = pick(["your_token_here_1234", "xxxxxxxxxxxxxxxx1234", "abcdefgh12345678", "0123456789abcdef", "example_secret_key_1", "aaaaaaaaaaaaaaaa0000", "changeme1234changeme", "deadbeefdeadbeefdead0"]) + pick(["", "0", "x1"]), 0
-        elif kind == 8:
-            path, label = pick(["tests/test_auth.py", "docs/example.md", "fixtures/sample.json", "package-lock.json"]), 0
-            before = pick([before, f"{pick(plain)}: "])
-        elif kind == 9:
-            body, label = "-".join([draw(hexes, 8), draw(hexes, 4), draw(hexes, 4), draw(hexes, 4), draw(hexes, 12)]), 0
-            before = f"{pick(['uuid', 'guid', 'session id', 'request id'])}{pick([' ', ': ', '='])}"
-        rows.append((body, before, f"{pick([chr(34), '', chr(39)])} {pick(prose)}", path, label))
-    return spark.createDataFrame(rows, "found string, before string, after string, path string, label int")
+        path, value, key = pick(["src/app.py", "deploy/prod.env", "src3", "src11", "", "conf/service.yaml"]), "", pick(_KEYS)
+        if i % 2:
+            value = pick([hexes, coded, plain, plain])()
+            named = pick([key, key.upper(), f"{pick(DICTIONARY)}_{key}", f"{pick(DICTIONARY)}_{key}".upper()])
+            text = pick([f'{named} = "{value}"', f"{named}={value}", f"export {named}={value}", f"--{named.replace('_', '-')}={value}", f'"{named}": "{value}"', f"{named}: {value}", f"{named}: '{value}'", f"Authorization: Bearer {value}", f"{key} {value}", f"{named} := `{value}`"])
+            if i % 10 == 1:
+                path, value = pick(["tests/test_auth.py", "docs/example.md", "fixtures/sample.json", "mock/data.json"]), ""
+        else:
+            word = "_".join(some(int(rng.integers(2, 5))))
+            text = pick([
+                f"{pick(_PLAIN)} {hexes()}", f"{pick(_PLAIN)}: {hexes()}", f"{pick(_PLAIN)}={hexes()}", f"commit {draw(_HEX, 40)} by", f"sha256:{draw(_HEX, 64)}", f'"integrity": "sha512-{coded()}"', f"{pick(['request', 'session', 'trace'])} id {uuid()}", f"{pick(_PLAIN)}={uuid()}",
+                f"/usr/lib/{'/'.join(some(2))}/{word}{int(rng.integers(100))}", f"https://example.org/{'/'.join(some(3))}/{int(rng.integers(10**6))}", f"{word}_{int(rng.integers(3000))}", f"{word.upper()}_{int(rng.integers(100))}", f"{''.join(w.title() for w in some(3))}{int(rng.integers(10))}",
+                f'{key} = "{pick(_SAMPLES)}"', f"{key}={pick(_SAMPLES)}", f'{key} = "{word}_{int(rng.integers(100))}"', f"{pick(['v', 'build-', 'release-'])}{int(rng.integers(2000, 2030))}{pick(['-', '_'])}{draw(_HEX, 12)}", f"data:image/png;base64,{draw(_B64, int(rng.integers(60, 200)))}",
+            ])
+        out.append((i, path, f"{pick(_PROSE)} {pick(_PROSE)} {text}{pick([' ', ', ', '. '])}{pick(_PROSE)} {pick(_PROSE)}", value))
+    return out
 
+
+def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 5) -> DataFrame:
+    """The candidates that the scan finds in labelled texts, with label 1 where one is the text's secret."""
+    texts = spark.createDataFrame(labelled_texts(n, seed), "doc_id long, source string, text string, secret string")
+    return candidates(texts, extra=("secret",)).select("found", "before", "after", "path", (F.col("found") == F.col("secret")).cast("int").alias("label"))
