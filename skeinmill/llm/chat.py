@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinmill.llm.spans import prefix_sums
+
 START, END = "<|im_start|>", "<|im_end|>"
 BLOCK = 64
 LOSS_ROLE = "assistant"
@@ -41,13 +43,19 @@ def _unescape_role(x: Column) -> Column:
     return unescape(F.replace(x, F.lit("&#10;"), F.lit("\n")))
 
 
-_FOLD = """aggregate(events, cast(array() as array<struct<number:bigint,role:string,text:string>>), (a, e) ->
-  case when e.kind = 'message' then concat(a, array(named_struct('number', e.number, 'role', e.role, 'text', e.text)))
-       when size(a) = 0 or not (a[size(a) - 1].number <=> e.number) then a
-       when e.kind = 'delete' then slice(a, 1, size(a) - 1)
-       when e.kind in ('delta', 'edit', 'regenerate') then concat(slice(a, 1, size(a) - 1), array(named_struct('number', e.number,
-         'role', if(e.role = '', a[size(a) - 1].role, e.role), 'text', if(e.kind = 'delta', concat(a[size(a) - 1].text, e.text), e.text))))
-       else a end)"""
+#: Messages at the end of a block that changes reach at once; earlier ones are put by in parts of half as many.
+_TAIL = 128
+_MESSAGE = "named_struct('number', e.number, 'role', e.role, 'text', e.text)"
+#: A fold whose state is the messages put by and the last ones, so that an event copies _TAIL messages at most.
+_FOLD = f"""aggregate(events, named_struct('done', cast(array() as array<array<struct<number:bigint,role:string,text:string>>>), 'tail', cast(array() as array<struct<number:bigint,role:string,text:string>>)), (a, e) ->
+  case when e.kind = 'message' and size(a.tail) < {_TAIL} then named_struct('done', a.done, 'tail', concat(a.tail, array({_MESSAGE})))
+       when e.kind = 'message' then named_struct('done', concat(a.done, array(slice(a.tail, 1, {_TAIL // 2}))), 'tail', concat(slice(a.tail, {_TAIL // 2 + 1}, {_TAIL // 2}), array({_MESSAGE})))
+       when size(a.tail) = 0 or not (a.tail[size(a.tail) - 1].number <=> e.number) then a
+       when e.kind = 'delete' and size(a.tail) = 1 and size(a.done) > 0 then named_struct('done', slice(a.done, 1, size(a.done) - 1), 'tail', a.done[size(a.done) - 1])
+       when e.kind = 'delete' then named_struct('done', a.done, 'tail', slice(a.tail, 1, size(a.tail) - 1))
+       when e.kind in ('delta', 'edit', 'regenerate') then named_struct('done', a.done, 'tail', concat(slice(a.tail, 1, size(a.tail) - 1), array(named_struct('number', e.number,
+         'role', if(e.role = '', a.tail[size(a.tail) - 1].role, e.role), 'text', if(e.kind = 'delta', concat(a.tail[size(a.tail) - 1].text, e.text), e.text)))))
+       else a end, a -> concat(flatten(a.done), a.tail))"""
 
 
 def fold_blocks(events: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -63,11 +71,6 @@ def fold_blocks(events: DataFrame, block: int = BLOCK) -> DataFrame:
     return grouped.select("conv_id", "block", F.expr(_FOLD).alias("messages"))
 
 
-def _offsets(lengths: str) -> str:
-    """SQL for the sum of the lengths before each."""
-    return f"transform({lengths}, (x, i) -> aggregate(slice({lengths}, 1, i), 0L, (a, y) -> a + y))"
-
-
 def render(folded: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans) from folded blocks."""
     head = F.lit(START)
@@ -76,12 +79,12 @@ def render(folded: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
         role, text = _escape_role(m["role"]), escape(m["text"])
         return F.struct(F.concat(head, role, F.lit("\n"), text, F.lit(END + "\n")).alias("turn"), (F.length(role) + len(START) + 1).alias("lead"), F.length(text).alias("size"), (m["role"] == loss_role).alias("loss"))
 
-    blocks = folded.withColumn("turns", F.transform("messages", turn)).withColumn("lengths", F.expr("transform(turns, t -> cast(length(t.turn) as bigint))"))
-    blocks = blocks.withColumn("at", F.expr(_offsets("lengths")))
-    spans = "filter(transform(turns, (t, i) -> if(t.loss, struct(at[i] + t.lead as start, at[i] + t.lead + t.size as end), null)), s -> s is not null)"
+    blocks = folded.withColumn("turns", F.transform("messages", turn))
+    blocks = blocks.withColumn("at", prefix_sums(F.transform("turns", lambda t: F.length(t["turn"]))))
+    spans = "filter(transform(turns, (t, i) -> if(t.loss, struct(cast(at[i] as bigint) + t.lead as start, cast(at[i] as bigint) + t.lead + t.size as end), null)), s -> s is not null)"
     blocks = blocks.select("conv_id", F.struct("block", F.size("turns").cast("long").alias("n"), F.expr("array_join(transform(turns, t -> t.turn), '')").alias("text"), F.expr(spans).alias("spans")).alias("b"))
-    whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list("b")).alias("blocks")).withColumn("lengths", F.expr("transform(blocks, b -> cast(length(b.text) as bigint))"))
-    whole = whole.withColumn("at", F.expr(_offsets("lengths")))
+    whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list("b")).alias("blocks"))
+    whole = whole.withColumn("at", prefix_sums(F.transform("blocks", lambda b: F.length(b["text"]))))
     return whole.select(
         "conv_id", F.expr("aggregate(blocks, 0L, (a, b) -> a + b.n)").alias("n_turns"), F.expr("array_join(transform(blocks, b -> b.text), '')").alias("formatted"),
         F.expr("flatten(transform(blocks, (b, i) -> transform(b.spans, s -> struct(at[i] + s.start as start, at[i] + s.end as end))))").alias("loss_spans"),

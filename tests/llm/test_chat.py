@@ -79,3 +79,17 @@ def test_query_digests(spark, tmp_path):
     for c, turns in want.items():
         loss = "".join(x for r, x in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), sha(loss))
+
+
+def test_many_events_of_one_number(spark):
+    rng = random.Random(4)
+    kinds = ["message"] * 6 + ["delete"] * 3 + ["delta", "edit", "regenerate"]
+    rows = [(1, None if i % 2 else 3, i, rng.choice(kinds), rng.choice(["user", "assistant", ""]), f"t{i}") for i in range(3000)]
+    rows += [(2, 7, i, "message" if i < 700 else "delete", "user", str(i)) for i in range(1300)]
+    rows += [(3, None, 0, "message", "assistant", f"same number {i}") for i in range(16_000)]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, EVENTS)).withColumns({"turns": chat.parse(F.col("formatted")), "loss": chat.masked_text()}).collect()}
+    for c in (1, 2, 3):
+        nulls, others = ([e for e in rows if e[0] == c and (e[1] is None) == x] for x in (True, False))
+        want = fold([(*e[:1], 0, *e[2:]) for e in nulls]) + fold(others)
+        assert [(t.role, t.text) for t in got[c].turns] == [(role, text) for _, role, text in want]
+        assert got[c].loss == "".join(text for _, role, text in want if role == "assistant")
