@@ -6,8 +6,8 @@ k + w - 1 = 10 words shares a kept hash; kept hashes of documents and benchmark
 hit is extended to the ten-word windows around it. Items of fewer than ten words are one window of
 their own length, looked up at every position of a document, because winnowing promises nothing for them.
 
-Two ways lead to the same rows. While the benchmark's windows number at most `table_rows`, which is
-counted first, they go to the tasks as sorted arrays and documents aren't shuffled at all. Beyond
+Two ways lead to the same rows. While the benchmark's windows take at most `sent_bytes`, for which they are
+counted first, they go to the tasks as flat sorted arrays and documents aren't shuffled at all. Beyond
 that, fingerprints are joined by a shuffle and only documents with hits are read again.
 
 Defined results: a null or empty text, or one without words, has n_words 0 and no hit; a null or
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinmill.llm import grams as g
-from skeinmill.llm.store import keep, map_batches
+from skeinmill.llm.store import forget, keep, map_batches
 
 WINDOW = 10
 K = 5
-#: Windows of the benchmark that are sent to every task at most: 16 bytes each.
-TABLE_ROWS = 2_000_000
+#: Bytes of the benchmark's windows that are sent to every task at most, and bytes of each: item, hash, length, fingerprint.
+SENT_BYTES = 32 << 20
+WINDOW_BYTES = 8 + 8 + 4 + 8
 
 RESULT = T.StructType(
     [
@@ -78,22 +79,31 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, k: int = K) -> Data
 
 
 class _Index:
-    """Sorted window hashes by length, with the items of each, and the fingerprints."""
+    """Flat arrays: for each length the sorted window hashes, where each one's items begin, and the items; the fingerprints."""
 
-    def __init__(self, rows: list, window: int, k: int):
+    def __init__(self, rows: pa.Table, window: int, k: int):
         self.window, self.k = window, k
-        by_size: dict[int, dict[int, list]] = {}
-        prints: set[int] = set()
-        for item, key, size, least in rows:
-            by_size.setdefault(size, {}).setdefault(key, []).append(item)
-            if size == window:
-                prints.add(least)
-        self.prints = np.sort(np.array(sorted(prints), np.int64).view(np.uint64))
-        self.sizes = {n: np.sort(np.array(sorted(keys), np.int64).view(np.uint64)) for n, keys in by_size.items()}
-        self.items = {n: {k: sorted({i for i in v if i is not None}) for k, v in keys.items()} for n, keys in by_size.items()}
+        column = lambda name: rows.column(name).combine_chunks()
+        keys, sizes, prints = (np.asarray(column(name)) for name in ("key", "size", "print"))
+        known, items = np.asarray(column("item_id").is_valid()), np.asarray(column("item_id").fill_null(0))
+        self.prints = np.unique(prints[sizes == window].view(np.uint64))
+        self.sizes, self.ptr, self.items = {}, {}, {}
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            self.sizes[n], at = np.unique(keys[own].view(np.uint64), return_inverse=True)
+            at, of = at[known[own]], items[own][known[own]]
+            self.items[n] = of[np.lexsort((of, at))]
+            self.ptr[n] = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.sizes[n])))])
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.prints >> np.uint64(44)).astype(np.int64)] = True
 
+    def items_of(self, n: int, keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, item) for each item of each of these windows of n words, which are all in the index."""
+        at = np.searchsorted(self.sizes[n], keys)
+        starts, counts = self.ptr[n][at], self.ptr[n][at + 1] - self.ptr[n][at]
+        flat = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.repeat(owner, counts), self.items[n][flat]
+
     def among(self, sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
         if not len(sorted_keys):
             return np.zeros(len(x), bool)
@@ -140,16 +150,14 @@ def _flags(column: pa.Array, index: _Index) -> tuple[np.ndarray, np.ndarray, np.
     words = g.words_of(column, g.NOT_ALNUM, lower=True)
     found, n_docs = _found(words, index), len(words.ptr) - 1
     n_hit = _marks(words, found) if found else np.zeros(n_docs, np.int64)
-    items: dict[int, set[int]] = {}
-    for n, at, keys in found:
-        of = np.searchsorted(words.ptr, at, "right") - 1
-        pairs = np.unique(np.stack([of, g.as_signed(keys)]), axis=1)
-        for d, key in pairs.T.tolist():
-            items.setdefault(d, set()).update(index.items[n][key])
     n_items, shas = np.zeros(n_docs, np.int64), [_EMPTY_SHA] * n_docs
-    for d, own in items.items():
-        n_items[d] = len(own)
-        shas[d] = hashlib.sha256(",".join(sorted(map(str, own))).encode()).hexdigest()
+    if found:
+        pairs = [index.items_of(n, keys, np.searchsorted(words.ptr, at, "right") - 1) for n, at, keys in found]
+        of, items = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)]), axis=1)
+        n_items = np.bincount(of, minlength=n_docs)
+        for d in np.unique(of).tolist():
+            own = items[np.searchsorted(of, d) : np.searchsorted(of, d, "right")]
+            shas[d] = hashlib.sha256(",".join(sorted(map(str, own.tolist()))).encode()).hexdigest()
     return words.counts(), n_hit, n_items, shas
 
 
@@ -214,20 +222,23 @@ def _extend(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_hits, pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["row", "n_hit", "found"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, table_rows: int = TABLE_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = small_index(benchmark, window, k, table_rows)
+    windows = keep(item_windows(benchmark, window, k), "item-windows")
+    index = small_index(windows, window, k, sent_bytes)
     if index is not None:
         return map_batches(own, lambda it: _annotate(it, index), RESULT)
-    return _joined(own, keep(item_windows(benchmark, window, k), "item-windows"), window, k)
+    return _joined(own, windows, window, k)
 
 
-def small_index(benchmark: DataFrame, window: int, k: int, table_rows: int) -> _Index | None:
-    """The benchmark's windows if they are few enough to send to every task. They are collected by
-    a limit of one more than that, so that no benchmark is too large to ask."""
-    rows = item_windows(benchmark, window, k).limit(table_rows + 1).collect() if table_rows else [0]
-    return _Index(rows, window, k) if len(rows) <= table_rows else None
+def small_index(windows: DataFrame, window: int, k: int, sent_bytes: int) -> _Index | None:
+    """The benchmark's windows if they are few enough to send to every task; they are counted before they are collected."""
+    if not sent_bytes or windows.count() * WINDOW_BYTES > sent_bytes:
+        return None
+    index = _Index(windows.toArrow(), window, k)
+    forget(windows)
+    return index
 
 
 def _joined(own: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
@@ -264,12 +275,13 @@ def _joined_rows(own: DataFrame, windows: DataFrame, window: int, k: int) -> Dat
     )
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, table_rows: int = TABLE_ROWS) -> DataFrame:
+def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """The documents, all columns, that hold no benchmark window."""
-    index = small_index(benchmark, window, k, table_rows)
+    windows = keep(item_windows(benchmark, window, k), "item-windows")
+    index = small_index(windows, window, k, sent_bytes)
     if index is None:
         doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-        rows = _joined_rows(docs.select(doc_id.alias("doc_id"), text.alias("text")), keep(item_windows(benchmark, window, k), "item-windows"), window, k)
+        rows = _joined_rows(docs.select(doc_id.alias("doc_id"), text.alias("text")), windows, window, k)
         dirty = rows.where("contaminated").select(F.col("row").alias("_row")).distinct()
         return docs.withColumn("_row", _row_hash(doc_id, text)).join(dirty, "_row", "left_anti").select(*docs.columns)
     at = docs.columns.index("text")
