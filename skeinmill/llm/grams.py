@@ -87,12 +87,22 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), self.counts())
 
-    def joined(self, d: int, keep: np.ndarray | None = None) -> bytes:
-        """The words of text d, or of those the ones to keep, joined by one space."""
-        a, b = int(self.ptr[d]), int(self.ptr[d + 1])
-        at = range(a, b) if keep is None else (np.flatnonzero(keep) + a)
-        buf, starts, ends = self.buf, self.starts, self.ends
-        return b" ".join(buf[starts[i] : ends[i]].tobytes() for i in at)
+    def joined(self, keep: np.ndarray | None = None) -> list[bytes]:
+        """The words of each text, or of those the ones to keep, joined by one space.
+
+        A word is followed by a separator wherever another one comes after it; that byte becomes the space.
+        """
+        at = np.arange(len(self.starts)) if keep is None else np.flatnonzero(keep)
+        owner = np.searchsorted(self.ptr, at, "right") - 1
+        edges = np.zeros(len(self.buf) + 1, np.int8)
+        edges[self.starts[at]] += 1
+        edges[self.ends[at]] -= 1
+        taken, buf = np.cumsum(edges[:-1], dtype=np.int8) > 0, self.buf.copy()
+        spaces = self.ends[at[:-1][owner[1:] == owner[:-1]]] if len(at) else at
+        taken[spaces], buf[spaces] = True, 32
+        ends = np.concatenate([[0], np.cumsum(taken)])[self.offsets]
+        kept = buf[taken].tobytes()
+        return [kept[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -52,7 +52,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterat
         words = g.words_of(batch.column(2))
         keys, _ = g.windows(words.hashes(), words.ptr, length)
         at = g.winnow(keys, words.ptr, length, window - length + 1)
-        shas = [hashlib.sha256(words.joined(d)).hexdigest() for d in range(len(words.ptr) - 1)]
+        shas = [hashlib.sha256(x).hexdigest() for x in words.joined()]
         per_doc = np.diff(np.searchsorted(at, words.ptr))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(words.counts(), pa.int64()), pa.array(shas), g.list_column(g.as_signed(keys[at]), per_doc, pa.int64())], names=["doc_id", "cls", "n_words", "sha", "marks"]
@@ -88,16 +88,16 @@ def _extend(batches: Iterator[pa.RecordBatch], length: int, longer: int) -> Iter
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(class, n_removed, sha256 of the kept words) from the starts of windows to remove."""
     for batch in g.pieces(batches, 1):
-        words, removed, shas = g.words_of(batch.column(1)), [], []
-        for d, starts in enumerate(batch.column(2).to_pylist()):
-            steps = np.zeros(int(words.ptr[d + 1] - words.ptr[d]) + 1, np.int64)
-            at = np.unique(np.array(starts, np.int64))
-            steps[at] += 1
-            np.subtract.at(steps, at + window, 1)
-            stays = np.cumsum(steps[:-1]) == 0
-            removed.append(int((~stays).sum()))
-            shas.append(hashlib.sha256(words.joined(d, stays)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas)], names=["cls", "n_removed", "sha"])
+        words, starts = g.words_of(batch.column(1)), batch.column(2)
+        ends = np.frombuffer(starts.buffers()[1], np.int32)[starts.offset : starts.offset + len(starts) + 1]
+        at = np.asarray(starts.values)[ends[0] : ends[-1]] + np.repeat(words.ptr[:-1], np.diff(ends))
+        steps = np.zeros(len(words.starts) + 1, np.int64)
+        np.add.at(steps, at, 1)
+        np.subtract.at(steps, at + window, 1)
+        stays = np.cumsum(steps[:-1]) == 0
+        gone = np.concatenate([[0], np.cumsum(~stays)])[words.ptr]
+        shas = [hashlib.sha256(x).hexdigest() for x in words.joined(stays)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(gone), pa.int64()), pa.array(shas)], names=["cls", "n_removed", "sha"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
@@ -109,10 +109,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST) ->
     heads = scanned.groupBy("cls").agg(F.min("doc_id").alias("head"))
     marks = scanned.where("size(marks) > 0").join(heads, "cls").where("doc_id = head").select("doc_id", "cls", F.explode(F.array_distinct("marks")).alias("key"))
     for length, longer in itertools.pairwise(lengths):
-        own_marks = marks.join(_repeated(marks).select("key"), "key").groupBy("doc_id", "cls").agg(F.collect_set("key").alias("marks"))
+        own_marks = marks.join(_repeated(marks, f"repeated-{length}").select("key"), "key").groupBy("doc_id", "cls").agg(F.collect_set("key").alias("marks"))
         texts = own.join(own_marks, ["doc_id", "cls"]).select("doc_id", "cls", "text", "marks")
         marks = keep(map_batches(texts, lambda it, a=length, b=longer: _extend(it, a, b), "doc_id long, cls binary, start int, key long"), f"level-{longer}")
-    starts = marks.join(_repeated(marks), "key").where("doc_id > least").groupBy("doc_id", "cls").agg(F.collect_set("start").alias("starts"))
+    starts = marks.join(_repeated(marks, f"repeated-{window}"), "key").where("doc_id > least").groupBy("doc_id", "cls").agg(F.collect_set("start").alias("starts"))
     cut = map_batches(own.join(starts, ["doc_id", "cls"]).select("cls", "text", "starts"), lambda it: _cut(it, window), "cls binary, n_removed long, sha string").dropDuplicates(["cls"])
     state = heads.join(cut.withColumnRenamed("sha", "cut_sha"), "cls", "left")
     is_copy = (F.col("doc_id") > F.col("head")) & (F.col("n_words") >= window)
@@ -124,9 +124,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST) ->
     )
 
 
-def _repeated(marks: DataFrame) -> DataFrame:
-    """(key, least): windows that start in two documents or more, and the least doc_id of each."""
-    return marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
+def _repeated(marks: DataFrame, label: str) -> DataFrame:
+    """(key, least): windows that start in two documents or more, and the least doc_id of each.
+
+    Written, so that what joins it by key reads two plain tables, of which a frequent key's rows are split.
+    """
+    return keep(marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least"), label)
 
 
 ORACLE = r"""

@@ -22,13 +22,14 @@ def keep(frame: DataFrame, label: str) -> DataFrame:
     return kept
 
 
-def forget(frame: DataFrame | None) -> None:
-    """Deletes a kept table that no plan reads any more."""
-    path = getattr(frame, "_skeinmill_path", None)
-    if path:
-        spark = frame.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes kept tables that no plan reads any more."""
+    for frame in frames:
+        path = getattr(frame, "_skeinmill_path", None)
+        if path:
+            spark = frame.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

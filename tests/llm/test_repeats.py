@@ -6,8 +6,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from skeinmill.llm import grams as g
 from skeinmill.llm.repeats import levels, remove_repeats
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -61,3 +64,16 @@ def test_levels_and_empty_tables(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError, match="two words"):
         levels(1, 1)
+
+
+def test_joined_words():
+    rng = random.Random(2)
+    texts = ["", " ", None, "one", " one  two\n", "é\t😀 x"] + ["".join(rng.choice(["a", "bc", " ", "\n", "\x0b", "é"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    words = g.words_of(pa.array(texts))
+    assert words.joined() == [" ".join(WORD.findall(x or "")).encode() for x in texts]
+    keep, want, at = np.array([rng.random() < 0.6 for _ in range(len(words.starts))]), [], 0
+    for x in texts:
+        own = WORD.findall(x or "")
+        want.append(" ".join(w for w, k in zip(own, keep[at : at + len(own)], strict=True) if k).encode())
+        at += len(own)
+    assert words.joined(keep) == want
