@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinmill.llm import grams as g
-from skeinmill.llm.components import components
-from skeinmill.llm.store import keep, map_batches
+from skeinmill.llm.components import components, extended
+from skeinmill.llm.store import forget, keep, map_batches
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 48, 6
@@ -164,11 +164,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     heads = keep(scanned.groupBy("cls").agg(F.min("doc_id").alias("head")), "heads")
     nodes = scanned.where("n > 0").join(heads, "cls").where("doc_id = head").dropDuplicates(["doc_id", "cls"]).select(F.col("doc_id").alias("id"), "n", "registers", "bands")
     bands = keep(nodes.select("id", "n", F.explode("bands").alias("key")), "bands")
-    buckets = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
+    buckets = keep(bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "buckets")
     met = keep(bands.join(buckets, "key"), "met")
     busy = met.groupBy("id").agg(F.lit(1).alias("one")).drop("one")
     drawn = keep(nodes.drop("bands").join(busy, "id"), "busy-sketches")
     texts = keep(own.join(busy, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "cls"]).select(F.col("doc_id").alias("id"), "text"), "busy-texts")
+    forget(bands, buckets)
 
     first = met.where("id != least").groupBy(F.col("least").alias("a"), F.col("id").alias("b")).agg(F.lit(1).alias("one")).drop("one")
     likely = keep(_filtered(first, drawn, percent), "likely")
@@ -177,38 +178,46 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     roots = components(links)
 
     # Buckets whose members are still apart, without members that can't be linked with any of the others.
-    apart = keep(_apart(met.select("key", "id", "n"), roots), "apart")
-    shingles = keep(_counted(apart, texts, shingle), "apart-shingles")
-    shared = shingles.where("df > 1").groupBy("id").agg(F.count("*").alias("s"))
+    apart = _apart(met.select("key", "id", "n"), roots)
+    forget(met, likely, links)
+    shingles, shared = _counted(apart, texts, shingle)
     apart = keep(apart.join(shared, "id").where(f"100 * s >= {int(percent)} * n"), "apart-shared")
     # The one with the most shingles in common with others is the likeliest centre of its bucket.
-    hubs = apart.where("root = main").groupBy("key").agg(F.max(F.struct("s", "id")).alias("top")).select("key", F.col("top.id").alias("a"))
+    hubs = keep(apart.where("root = main").groupBy("key").agg(F.max(F.struct("s", "id")).alias("top")).select("key", F.col("top.id").alias("a")), "hubs")
     near = apart.where("root != main").select("key", F.col("id").alias("b")).join(hubs, "key").groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
-    links = links.union(keep(_confirmed(_filtered(near, drawn, percent).select("a", "b"), texts, shingle, percent), "hub-links"))
+    links = keep(_confirmed(_filtered(near, drawn, percent).select("a", "b"), texts, shingle, percent), "hub-links")
+    roots = extended(roots, links)
     # What is apart even now: members outside their bucket's largest component meet those that share a rare shingle.
-    apart = keep(_apart(apart.select("key", "id", "n", "s"), components(links)), "still-apart")
-    pairs = _rare_pairs(apart, shingles, percent)
-    more = keep(_confirmed(_filtered(pairs, drawn, percent).select("a", "b"), texts, shingle, percent), "more-links")
-    roots = components(links.union(more))
+    apart = _apart(apart.select("key", "id", "n", "s"), roots)
+    more = keep(_confirmed(_filtered(_rare_pairs(apart, shingles, percent), drawn, percent).select("a", "b"), texts, shingle, percent), "more-links")
+    roots = extended(roots, more)
+    forget(drawn, texts, shingles, shared, hubs, links, apart, more)
 
     placed = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("cls", F.coalesce("root", "head").alias("component"))
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return scanned.select("doc_id", "cls", "n").join(placed, "cls").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+# What is joined by a bucket or a shingle, of which one may hold a large share of all rows, is written first:
+# then both sides are plain tables, and a frequent key's rows are split over several tasks.
+
+
 def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of buckets with several components, with each row's root and the bucket's main one."""
-    placed = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = keep(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     split = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    return placed.join(split.select("key", F.col("top.root").alias("main")), "key")
+    return keep(placed.join(keep(split.select("key", F.col("top.root").alias("main")), "split"), "key"), "apart")
 
 
-def _counted(apart: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingle, df): the shingles of these documents, and how many of them have each."""
+def _counted(apart: DataFrame, texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """((id, shingle, df): the shingles of these documents, and how many of them have each; (id, s): how many others have, too)"""
     own = texts.join(apart.groupBy("id").agg(F.lit(1).alias("one")).drop("one"), "id").select("id", "text")
     own = keep(map_batches(own, lambda it: _sets(it, shingle), "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle")), "sets")
-    return own.join(own.groupBy("shingle").agg(F.count("*").alias("df")), "shingle").select("id", "shingle", "df")
+    often = keep(own.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    counted = keep(own.join(often, "shingle", "left").select("id", "shingle", F.coalesce("df", F.lit(1).cast("long")).alias("df")), "apart-shingles")
+    forget(own, often)
+    return counted, keep(counted.where("df > 1").groupBy("id").agg(F.count("*").alias("s")), "shared")
 
 
 def _rare_pairs(apart: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -218,7 +227,7 @@ def _rare_pairs(apart: DataFrame, shingles: DataFrame, percent: int) -> DataFram
     n - t + 1 of each. Copies that are apart in spite of a common centre have changes of their own, which
     are rare and fill their prefix, so that hardly any pair is formed for what everybody shares.
     """
-    mates = apart.groupBy("key").agg(F.min("n").alias("least"))
+    mates = keep(apart.groupBy("key").agg(F.min("n").alias("least")), "mates")
     nodes = apart.join(mates, "key").groupBy("id").agg(
         F.max("n").alias("n"), F.max("s").alias("s"), F.max("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside"),
         F.min(F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))).alias("least"),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from skeinmill.llm import neardup
-from skeinmill.llm.components import components
+from skeinmill.llm.components import components, extended
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -113,3 +113,13 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_with_further_edges(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    plain = lambda frame_: {r.node: r.root for r in frame_.collect()}
+    whole = plain(components(frame(edges)))
+    for cut in (0, 90, 200):
+        assert plain(extended(components(frame(edges[:cut])), frame(edges[cut:]))) == whole
