@@ -16,8 +16,14 @@ def dedupe(results: DataFrame, item: str = "doc_id") -> DataFrame:
 
 
 def relevant_by_prefix(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id): documents whose id begins with one of the query's prefixes."""
-    return docs.select("doc_id").distinct().join(F.broadcast(queries.select("query_id", F.explode("prefixes").alias("prefix"))), F.expr("startswith(doc_id, prefix)")).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id): documents whose id begins with one of the query's prefixes; all beginnings of an id are joined by equality."""
+    ids = docs.select("doc_id").distinct().withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.length("doc_id")), lambda n: F.left("doc_id", n))))
+    return ids.join(queries.select("query_id", F.explode("prefixes").alias("start")), "start").select("query_id", "doc_id").distinct()
+
+
+def first_queries(queries: DataFrame, limit: int | None, order: str = "query_id") -> DataFrame:
+    """The first queries of an evaluation set for a trial run, or all of them without a limit."""
+    return queries if limit is None else queries.orderBy(order).limit(limit)
 
 
 def per_query(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, ks: list[int] | None = None) -> DataFrame:

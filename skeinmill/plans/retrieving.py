@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinmill.functions.text import family
 from skeinmill.functions.vectors import dot, norm, normalize
-from skeinmill.lineage import cut
+from skeinmill.lineage import cut, shared_dir
 from skeinmill.operators import generation, metrics, retrieval
 from skeinmill.plans.registry import query, table
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as one chunk each, with a vector where there is one of the same number."""
-    docs = table(spark, sf_dir, "documents").selectExpr("concat_ws('/', lang, source) as doc_id", "cast(doc_id as string) as chunk_id", "doc_id as pos", "text")
-    return docs.join(table(spark, sf_dir, "embeddings").selectExpr("vec_id as pos", "embedding"), "pos", "left")
+    """Documents as one chunk each."""
+    return table(spark, sf_dir, "documents").selectExpr("concat_ws('/', lang, source) as doc_id", "cast(doc_id as string) as chunk_id", "doc_id as pos", "text")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the chunks that have one of their number."""
+    rows = table(spark, sf_dir, "embeddings").selectExpr("cast(vec_id as string) as chunk_id", "vec_id as pos", "embedding")
+    return rows.join(corpus(spark, sf_dir).select("pos"), "pos", "left_semi")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,13 +33,15 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASKED = r"SELECT b.item_id AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 8), ' ') AS query, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id"
-_BM25 = rf"""
-q AS ({_ASKED}), asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '\s+')) AS term FROM q) WHERE term <> '' GROUP BY ALL),
+_INDEX = r"""
 tok AS (SELECT doc_id AS pos, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ts FROM documents),
 post AS (SELECT pos, len(ts) AS dl, term, count(*) AS tf FROM (SELECT pos, ts, unnest(ts) AS term FROM tok) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+_BM25 = rf"""
+q AS ({_ASKED}), asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '\s+')) AS term FROM q) WHERE term <> '' GROUP BY ALL),
+{_INDEX},
 sc AS (SELECT query_id, pos, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM asked JOIN idf USING (term) JOIN post USING (term), st GROUP BY ALL),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM sc) WHERE rank <= {{k}} AND score > 0)"""
 _DENSE = """
@@ -44,7 +53,7 @@ fu AS (SELECT query_id, pos, round(sum(w::DOUBLE / (60 + rank)), 12) AS score, m
 fused AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM fu)"""
 
 
-@query(rf"WITH {_BM25.format(k=20)} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_index(corpus(spark, sf_dir).select("chunk_id", "pos", "text"))[1].select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -56,21 +65,21 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH {_BM25.format(k=10)} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM sparse")
 def bm25_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches of chunks, indexed one after the other, answer as one does."""
-    chunks = corpus(spark, sf_dir)
-    stored = tuple(map(cut, retrieval.bm25_index(chunks.where("pos % 2 = 0"))))
-    grown = retrieval.bm25_add(stored, chunks.where("pos % 2 = 1"))
-    return retrieval.bm25_ranked(asked(spark, sf_dir), grown, 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    """Two batches of chunks, the second appended to the stored index of the first, answer as one does."""
+    chunks, path = corpus(spark, sf_dir), f"{shared_dir(spark)}/skeinmill/bm25-{uuid.uuid4().hex}"
+    retrieval.bm25_store(retrieval.bm25_index(chunks.where("pos % 2 = 0")), path, 8)
+    retrieval.bm25_append(spark, path, chunks.where("pos % 2 = 1"), 8)
+    return retrieval.bm25_ranked(asked(spark, sf_dir), retrieval.bm25_load(spark, path), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(rf"WITH q AS ({_ASKED}), {_DENSE.format(k=20)} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM dense")
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.dense_top_k(asked(spark, sf_dir), corpus(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.dense_top_k(asked(spark, sf_dir), vectors(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(rf"WITH {_BM25.format(k=5)}, {_DENSE.format(k=5)}, {_FUSED} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 9) AS score FROM fused WHERE rank <= 5")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 5).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
+    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 5, vectors=vectors(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
 _RERANKED = r"""
@@ -82,7 +91,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(rf"WITH {_BM25.format(k=20)}, {_DENSE.format(k=20)}, {_FUSED}, {_RERANKED} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM best")
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 10, 20, reranked=True).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 10, 20, reranked=True, vectors=vectors(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 _METRICS = """
@@ -115,7 +124,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metrics of the dense, the lexical and the fused pipeline in one tidy table."""
     queries, chunks = asked(spark, sf_dir), corpus(spark, sf_dir)
-    arms = {"dense": retrieval.dense_top_k(queries, chunks, 40), "sparse": retrieval.bm25_top_k(queries, chunks, 40)}
+    arms = {"dense": cut(retrieval.dense_top_k(queries, vectors(spark, sf_dir), 40)), "sparse": cut(retrieval.bm25_top_k(queries, chunks, 40))}
     arms["hybrid"] = retrieval.reciprocal_rank_fusion([(arms["dense"], 0.6), (arms["sparse"], 0.4)]).where("rank <= 40")
     out = None
     for name, results in arms.items():
@@ -170,19 +179,32 @@ def similar_within_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {_BM25.format(k=10)}, r AS (SELECT s.query_id, s.rank, concat('[', s.rank, '] (source: ', concat_ws('/', d.lang, d.source), ')', chr(10), left(d.text, 600)) AS block FROM sparse s JOIN documents d ON d.doc_id = s.pos),
-c AS (SELECT *, floor((sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) + 2 * (rank - 1)) / 4) AS tokens FROM r), keep AS (SELECT * FROM c WHERE tokens <= 800),
+    rf"""WITH {_BM25.format(k=10)}, r AS (SELECT s.query_id, s.rank, concat('[', s.rank, '] (source: ', concat_ws('/', d.lang, d.source), ')', chr(10), d.text) AS block FROM sparse s JOIN documents d ON d.doc_id = s.pos),
+c AS (SELECT *, floor((sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) + 2 * (rank - 1)) / 4) AS tokens FROM r), keep AS (SELECT * FROM c WHERE tokens <= 6000),
 x AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n FROM keep GROUP BY query_id)
 SELECT query_id, coalesce(context, '') AS context, coalesce(n, 0)::INT AS n_chunks, concat('Context:', chr(10), coalesce(context, ''), chr(10), chr(10), 'Question: ', q.query) AS message FROM (SELECT DISTINCT query_id FROM sparse) LEFT JOIN x USING (query_id) JOIN q USING (query_id)"""
 )
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: questions, lexical retrieval, a context within its budget, and the message that asks."""
     queries, chunks = asked(spark, sf_dir), corpus(spark, sf_dir)
-    ranked = retrieval.bm25_top_k(queries, chunks, 10).join(chunks.select("chunk_id", "doc_id", F.left("text", F.lit(600)).alias("text")), "chunk_id")
-    contexts = generation.assemble(ranked, 800).join(queries.select("query_id", "query"), "query_id")
+    ranked = retrieval.bm25_top_k(queries, chunks, 10).join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
+    contexts = generation.assemble(ranked, 6000).join(queries.select("query_id", "query"), "query_id")
     return contexts.select("query_id", "context", F.size("chunks").alias("n_chunks"), generation.user_message(F.col("query"), F.col("context")).alias("message"))
 
 
 @query("SELECT lang AS family, count(*) AS n FROM documents GROUP BY lang")
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).groupBy(family("doc_id").alias("family")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'vectors' AS part, count(*) AS n FROM embeddings e SEMI JOIN documents d ON d.doc_id = e.vec_id UNION ALL SELECT 'chunks', count(*) FROM documents")
+def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors and chunks an index holds."""
+    return retrieval.index_size(vectors(spark, sf_dir)).select(F.lit("vectors").alias("part"), "n").unionByName(retrieval.index_size(corpus(spark, sf_dir), None).select(F.lit("chunks").alias("part"), "n"))
+
+
+@query(rf"WITH q AS (SELECT * FROM ({_ASKED}) ORDER BY query_id LIMIT 7), {_DENSE.format(k=20)} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM dense")
+def limited_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval for the first queries of a set alone, as a trial run asks for."""
+    few = metrics.first_queries(asked(spark, sf_dir), 7)
+    return retrieval.dense_top_k(few, vectors(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
