@@ -23,6 +23,7 @@ POINTER_TEXT = (
     r"(?i)\b(?:a )?good (?:starting point|place to start)\b|\bstarting point\b|\brefer to (?:the )?|\bsee (?:the )?(?:[\w\-]+ )?(?:repository|repo|script|notebook|guide|docs?)\b"
     r"|\bfor more (?:details|information|context)\b|\blook at (?:the )?|\bcopy(?:,)? adapt(?:,)? and reuse\b|\bconversion script\b"
 )
+#: Signs of code in a chunk.
 CODE_HINT = r"(?i)```(?:py|python|bash|sh|json|yaml|toml)\b"
 REPL_LINE = r"(?m)^>>> "
 #: The shape that a query of each kind has; other kinds may have any.

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in tests, a new one."""
+    """The folder named in spark.checkpoint.dir; only where that is unset on a local master, as in tests, a new one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         current = context._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="skeinmill-"))
             current = context._jsc.sc().getCheckpointDir()
         named = current.get()

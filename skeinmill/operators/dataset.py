@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinmill.functions.text import CANONICAL_REFUSAL, distilled_answer, hash_order
 from skeinmill.operators.generation import example_checks, violations
+from skeinmill.operators.numbering import numbered
 
 
 def examples(rows: DataFrame) -> DataFrame:
@@ -22,9 +23,8 @@ def stratified_split(rows: DataFrame, fraction: float = 0.1, seed: int = 42, key
     """Adds split: of each stratum, one row at least and else the rounded share is for validation."""
     if not 0 < fraction < 1:
         raise ValueError("the fraction must lie between 0 and 1")
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, key), key))
     size = rows.groupBy(F.col(stratum).alias("_s")).agg(F.greatest(F.lit(1), F.bround(F.count("*") * fraction)).alias("_n"))
-    ranked = rows.withColumn("_place", place).join(F.broadcast(size), F.col(stratum).eqNullSafe(F.col("_s")))
+    ranked = numbered(rows, stratum, hash_order(seed, key), key, out="_place").join(F.broadcast(size), F.col(stratum).eqNullSafe(F.col("_s")))
     return ranked.withColumn("split", F.when(F.col("_place") <= F.col("_n"), "val").otherwise("train")).drop("_place", "_s", "_n")
 
 

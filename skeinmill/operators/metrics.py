@@ -126,5 +126,24 @@ def refusal_report(rows: DataFrame) -> DataFrame:
     )
 
 
+def citation_report(rows: DataFrame) -> DataFrame:
+    """Summary of checked citations (any_marker, all_in_range, n_markers)."""
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 3)
+    return rows.agg(F.count("*").alias("n"), share("any_marker").alias("frac_with_any_marker"), share("all_in_range").alias("frac_all_in_range"), F.round(F.avg("n_markers"), 3).alias("mean_n_markers"))
+
+
+def generation_report(sections: dict[str, DataFrame]) -> DataFrame:
+    """One tidy table (section, metric, value) of summaries of one row each; what isn't a number is left out."""
+    out = None
+    for name, summary in sections.items():
+        numbers = [c for c, kind in summary.dtypes if kind in ("bigint", "int", "double")]
+        pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers))).alias("m")
+        part = summary.select(F.lit(name).alias("section"), pairs).select("section", "m.*")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no sections")
+    return out
+
+
 def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinmill.functions.text import family, has_shape, hash_order, headings, question_types, words
+from skeinmill.functions.text import family, has_shape, hash_order, headings, query_of, question_types, words
 from skeinmill.functions.vectors import normalize
 from skeinmill.lineage import cut
+from skeinmill.operators.numbering import first_rows, numbered
 from skeinmill.operators.retrieval import similar_pairs
 
 QUOTAS = {"procedural": 240, "comparison": 160, "best_practice": 160, "pointer": 120}
@@ -26,10 +27,9 @@ def classify(chunks: DataFrame) -> DataFrame:
 
 def sample(rows: DataFrame, n: int, seed: int, key: str, by: list[str] | None = None) -> DataFrame:
     """n rows of each group without replacement, all of them if there are no more."""
-    place = F.row_number().over(Window.partitionBy(*(by or [])).orderBy(hash_order(seed, key), key)) if by else None
-    if place is None:
+    if not by:
         return rows.orderBy(hash_order(seed, key), key).limit(n)
-    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    return first_rows(rows, by, F.lit(n), key, hash_order(seed, key), key)
 
 
 def quota_sample(rows: DataFrame, quotas: dict[str, int] | None = None, seed: int = 42, key: str = "chunk_id", by: str = "question_type") -> DataFrame:
@@ -38,8 +38,7 @@ def quota_sample(rows: DataFrame, quotas: dict[str, int] | None = None, seed: in
     quota = F.lit(0)
     for kind, n in quotas.items():
         quota = F.when(F.col(by) == kind, F.lit(n)).otherwise(quota)
-    place = F.row_number().over(Window.partitionBy(by).orderBy(hash_order(seed, key), key))
-    return rows.where(F.col(by).isin(list(quotas))).withColumn("_place", place).where(F.col("_place") <= quota).drop("_place")
+    return first_rows(rows.where(F.col(by).isin(list(quotas))), [by], quota, key, hash_order(seed, key), key)
 
 
 def preview(rows: DataFrame, n: int, by: str, key: str, seed: int = 42) -> DataFrame:
@@ -47,9 +46,8 @@ def preview(rows: DataFrame, n: int, by: str, key: str, seed: int = 42) -> DataF
     counts = rows.groupBy(by).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_total"))
     quota = F.least(F.col("_c"), F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("_c") / F.col("_total"))))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(hash_order(seed, key), key))
-    ranked = rows.withColumn("_place", place).join(F.broadcast(counts.join(F.broadcast(total))), by)
-    return ranked.where(F.col("_place") <= quota).drop("_place", "_c", "_total")
+    quotas = counts.withColumn("_total", F.lit(total.first()[0])).select(by, quota.alias("_quota"))
+    return first_rows(rows.join(quotas, by), [by], F.col("_quota"), key, hash_order(seed, key), key).select(*rows.columns)
 
 
 def structural_queries(docs: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
@@ -135,8 +133,7 @@ def mismatched_refusals(queries: DataFrame, chunks: DataFrame, n: int = 40, n_ch
     by hash, evenly whatever their size, and a chunk of each by another; duplicates may occur.
     """
     chosen = sample(queries.where("seed_doc_id is not null"), n, seed, "query_id").withColumn("own", family("seed_doc_id"))
-    places = Window.partitionBy("fam").orderBy("chunk_id")
-    pool = chunks.withColumn("fam", family("doc_id")).withColumn("at", F.row_number().over(places) - 1)
+    pool = numbered(chunks.select(family("doc_id").alias("fam"), "chunk_id"), "fam", "chunk_id").withColumn("at", F.col("place") - 1)
     families = pool.groupBy("fam").agg(F.count("*").alias("size")).withColumn("f", F.row_number().over(Window.orderBy("fam")) - 1)
     n_families = families.agg(F.count("*").alias("nf"))
     draw = lambda tag, m: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}{tag}"), F.col("query_id").cast("string"), F.col("slot").cast("string"))), 1, 12), 16, 10).cast("long"), m)
@@ -146,7 +143,7 @@ def mismatched_refusals(queries: DataFrame, chunks: DataFrame, n: int = 40, n_ch
     picked = draw("f", F.nullif(others, F.lit(0)))
     slots = slots.withColumn("f", F.when(F.col("own_f").isNotNull() & (picked >= F.col("own_f")), picked + 1).otherwise(picked))
     drawn = slots.join(families, "f").withColumn("at", draw("c", F.col("size"))).select("query_id", "query", "slot", "fam", "at")
-    got = drawn.join(pool.select("fam", "at", "chunk_id", "doc_id", "text"), ["fam", "at"])
+    got = drawn.join(pool.select("fam", "at", "chunk_id"), ["fam", "at"]).join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
     chunk = F.struct("slot", F.col("doc_id").alias("doc_id"), F.col("chunk_id").alias("chunk_id"), F.lit(0.0).alias("score"), "text")
     gathered = got.groupBy("query_id", "query").agg(F.sort_array(F.collect_list(chunk)).alias("cs"))
     return gathered.select("query_id", "query", F.transform("cs", lambda c: F.struct(c["doc_id"].alias("doc_id"), c["chunk_id"].alias("chunk_id"), c["score"].alias("score"), c["text"].alias("text"))).alias("retrieved_chunks"), F.lit("refusal").alias("question_type"))
@@ -160,7 +157,28 @@ def open_tasks(tasks: DataFrame, done: DataFrame, key: str = "task_key") -> Data
 def refusal_tasks(seeds: DataFrame, per_seed: int = 3) -> DataFrame:
     """(task_key, id, topic): a task for each seed and repetition."""
     rows = seeds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per_seed - 1))))
-    return rows.select(F.concat(F.lit("refusal::"), F.col("id"), F.lit("#"), F.col("i").cast("string")).alias("task_key"), "id", "topic")
+    return rows.select(F.concat(F.lit("refusal::"), F.col("id"), F.lit("::"), F.col("i").cast("string")).alias("task_key"), "id", "topic")
+
+
+def corpus_tasks(chunks: DataFrame, quotas: dict[str, int] | None = None, seed: int = 42) -> DataFrame:
+    """(task_key, chunk_id, question_type): a task for each chunk that is sampled for a kind of question it has affinity for."""
+    chosen = quota_sample(chunks, quotas, seed)
+    return chosen.select(F.concat_ws("::", "question_type", "chunk_id").alias("task_key"), "chunk_id", "question_type")
+
+
+def parsed_queries(rows: DataFrame) -> DataFrame:
+    """Adds query, expected_refusal and failed to models' outputs (response, question_type): outputs without a query
+    fail, and so does a query made for a chunk as a refusal, because refusals are made for topics; failures are kept to be counted."""
+    parsed = query_of("response")
+    misplaced = (F.col("question_type") == "refusal") & F.col("chunk_id").isNotNull()
+    return rows.withColumns({"query": F.when(~misplaced, parsed), "expected_refusal": F.col("question_type") == "refusal", "failed": parsed.isNull() | misplaced})
+
+
+def pool_of(generated: DataFrame, synthesized: DataFrame) -> DataFrame:
+    """(query, question_type, expected_refusal, retrieved_chunks) of kept generated queries and of synthesized refusals."""
+    live = generated.where("drop_reason is null") if "drop_reason" in generated.columns else generated
+    rows = [x.select("query", "question_type", (F.col("question_type") == "refusal").alias("expected_refusal"), "retrieved_chunks") for x in (live, synthesized)]
+    return rows[0].unionByName(rows[1])
 
 
 def cost(input_tokens: Column, output_tokens: Column, model: Column, prices: dict[str, tuple[float, float]]) -> Column:

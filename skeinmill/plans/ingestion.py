@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinmill.functions.text import headings, question_types
+from skeinmill.functions.text import ADVICE_HEADING, ADVICE_TEXT, ANNOTATIONS, CODE_HINT, COMPARISON_TEXT, GENERIC_HEADINGS, POINTER_TEXT, REPL_LINE, chunk_id, headings, question_types
 from skeinmill.operators import chunking, seeding
 from skeinmill.plans.registry import SQL, query, table
 from skeinmill.sources.files import parse_documents, with_positions
@@ -42,15 +42,29 @@ def ingest_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "content", "title", F.try_element_at("metadata", F.lit("lang")).alias("lang"))
 
 
-@query("SELECT concat('p/', doc_id, '.md') AS doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('Title ', source) ELSE concat('p/', doc_id, '.md') END AS title FROM documents")
+#: Files whose title is in their first line, nowhere, or in the first of several late headings.
+_TITLED = "case doc_id % 3 when 0 then concat(chr(10), '  # # Title ', source, ' ', chr(10), text) when 1 then concat('#', text) else concat(text, chr(10), '## No title', chr(10), '# Late ', lang, chr(10), '# Later') end"
+
+
+@query(
+    rf"""WITH r AS (SELECT concat('p/', doc_id, '.md') AS doc_id, list_filter(list_transform(string_split({_TITLED}, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '# '))[1] AS line FROM documents)
+SELECT doc_id, coalesce(nullif(trim(regexp_replace(line, '^[# ]+', '')), ''), doc_id) AS title FROM r"""
+)
 def ingest_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = "if(doc_id % 2 = 0, concat(chr(10), '  # # Title ', source, ' ', chr(10), text), concat('#', text))"
-    return parse_documents(table(spark, sf_dir, "documents").selectExpr("concat('p/', cast(doc_id as string), '.md') as source", f"{raw} as raw")).select("doc_id", "title")
+    return parse_documents(table(spark, sf_dir, "documents").selectExpr("concat('p/', cast(doc_id as string), '.md') as source", f"{_TITLED} as raw")).select("doc_id", "title")
+
 
+#: Headings of every kind: generic, with an anchor, annotations, of another level, short, padded; then the text.
+_HEADED = "concat_ws(chr(10), '## Overview', concat('## Loading ', source, ' files fast [[anchor]]'), concat('## Note: about ', lang, ' here'), '### Third level of it', concat('## ', lang, ' x'), concat('##   Padded heading ', source, '  '), '## See also', concat('## ', repeat('word', doc_id % 5), ' of ', lang), text)"
 
-@query(f"WITH d AS ({SQL_MARKDOWN}) SELECT doc_id, concat('Section about ', split_part(doc_id, '/', 1), ' texts') AS heading FROM d")
+
+@query(
+    rf"""WITH h AS (SELECT {_SQL_ID} AS doc_id, unnest(regexp_extract_all({_HEADED}, '(?m)^##\s+(.+?)(?:\s*\[\[[^\]]+\]\])?\s*$', 1)) AS heading FROM documents)
+SELECT doc_id, heading FROM h WHERE lower(trim(heading)) NOT IN ({", ".join(f"'{x}'" for x in GENERIC_HEADINGS)}) AND NOT regexp_matches(lower(trim(heading)), '^({"|".join(ANNOTATIONS)})')
+  AND len(list_filter(regexp_split_to_array(heading, '\s+'), lambda x: x <> '')) >= 2 AND length(trim(heading)) >= 12"""
+)
 def heading_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown(spark, sf_dir).select("doc_id", F.explode(headings("content")).alias("heading"))
+    return table(spark, sf_dir, "documents").selectExpr(f"{_ID} as doc_id", f"{_HEADED} as content").select("doc_id", F.explode(headings("content")).alias("heading"))
 
 
 @query(
@@ -130,6 +144,12 @@ u AS (SELECT doc_id, i, unnest(range(1, len(cs) + 1)) AS j, unnest(cs) AS text F
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS chunk_index, text FROM u"""
 
 
+@query(f"SELECT concat(doc_id, '::chunk_', chunk_index) AS chunk_id, length(text)::INT AS size FROM ({SQL['chunk_fixed']})")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunking.chunk(paragraphs(spark, sf_dir), ["fixed"])
+    return chunks.select(chunk_id("doc_id", "chunk_index").alias("chunk_id"), F.length("text").alias("size"))
+
+
 @query(header_sql(SQL_MARKDOWN, 512))
 def chunk_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.header(markdown(spark, sf_dir)).select("doc_id", "chunk_index", "text")
@@ -152,18 +172,19 @@ def corpus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_positions(paragraphs(spark, sf_dir).withColumn("chunk_index", F.lit(0))).select("doc_id", "pos")
 
 
-#: Texts with vocabulary of each kind, chosen by doc_id; ASCII, because word classes differ between engines.
-_TALK = """concat(case doc_id % 7 when 0 then concat('```python', chr(10), 'x = 1', chr(10), '```') when 1 then 'A versus B, which differ. ' when 2 then 'We recommend that you should be careful. '
- when 3 then 'See the training script for more details. ' when 4 then concat('## Tips', chr(10), 'unlike others, refer to the guide') when 5 then concat('>>> run()', chr(10)) else 'Plain words only. ' end, source)"""
+#: Texts with vocabulary of each kind, chosen by doc_id, before the document's own.
+_TALK = """concat(case doc_id % 11 when 0 then concat('```python', chr(10), 'x = 1', chr(10), '```') when 1 then 'A versus B, which differ. ' when 2 then 'We recommend that you should be careful. '
+ when 3 then 'See the training script for more details. ' when 4 then concat('## Tips', chr(10), 'unlike others, refer to the guide') when 5 then concat('>>> run()', chr(10)) when 6 then 'There are two types, compared to one; a good starting point. '
+ when 7 then 'Make sure to read it, which leads to better results. ' when 8 then 'Values should be set; look at the conversion script. ' when 9 then '```bash only once, distinct and preferred ' else 'Plain words only. ' end, source, chr(10), text)"""
 
 
 @query(
     rf"""WITH t AS (SELECT doc_id, {_TALK} AS x FROM documents)
 SELECT doc_id, unnest(list_filter([
-  CASE WHEN len(regexp_extract_all(x, '```')) >= 2 OR regexp_matches(x, '(?i)```(?:py|python|bash|sh|json|yaml|toml)\b') OR regexp_matches(x, '(?m)^>>> ') THEN 'procedural' END,
-  CASE WHEN regexp_matches(x, '(?i)\bvs\.?(?:\s|$)|\bversus\b|\binstead of\b|\bdiffer(?:s|ence|ent)\b|\bunlike\b|\bwhereas\b') THEN 'comparison' END,
-  CASE WHEN regexp_matches(x, '(?i)\bwe (?:advise|recommend)\b|\byou should\b') OR regexp_matches(x, '(?im)(?:^|\n)\s*#*\s*(?:usage )?tips?\s*$') THEN 'best_practice' END,
-  CASE WHEN regexp_matches(x, '(?i)\brefer to (?:the )?|\bsee (?:the )?(?:[\w\-]+ )?(?:repository|repo|script|notebook|guide|docs?)\b|\bfor more (?:details|information|context)\b') THEN 'pointer' END], lambda k: k IS NOT NULL)) AS question_type FROM t"""
+  CASE WHEN len(regexp_extract_all(x, '```')) >= 2 OR regexp_matches(x, '{CODE_HINT}') OR regexp_matches(x, '{REPL_LINE}') THEN 'procedural' END,
+  CASE WHEN regexp_matches(x, '{COMPARISON_TEXT}') THEN 'comparison' END,
+  CASE WHEN regexp_matches(x, '{ADVICE_TEXT}') OR regexp_matches(x, '{ADVICE_HEADING}') THEN 'best_practice' END,
+  CASE WHEN regexp_matches(x, '{POINTER_TEXT}') THEN 'pointer' END], lambda k: k IS NOT NULL)) AS question_type FROM t"""
 )
 def chunk_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_TALK} as text").select("doc_id", F.explode(question_types("text")).alias("question_type"))

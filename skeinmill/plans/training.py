@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinmill.functions import text as t
+from skeinmill.lineage import shared_dir
 from skeinmill.operators import dataset, generation, judging, metrics, seeding
-from skeinmill.plans.registry import query, table
+from skeinmill.operators.numbering import numbered
+from skeinmill.plans.registry import SQL, query, table
+from skeinmill.sources.files import read_checkpoint
 from skeinmill.streaming.ingest import windowed_counts
 
 #: Five chunks of every conversation turn: pieces of its text under made-up ids.
@@ -28,11 +33,11 @@ _SPARK_QUOTED = ", ".join('"' + x + '"' for x in _REFUSALS)
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns with markers put into them, and chunks to cite."""
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    marked = "concat('  ', left(text, 200), ' [1] see [', cast(turn % 8 as string), '][2], [99999999999] [0] and [', cast(conv_id % 7 as string), '] at [2026-05-06 x]. ')"
+    marked = "concat('  ', text, ' [1] see [', cast(turn % 8 as string), '][2], [99999999999] [0] and [', cast(conv_id % 7 as string), '] at [2026-05-06 x]. ')"
     return rows.selectExpr("conv_id", "turn", f"{_CHUNKS} as chunks", f"{marked} as raw_text")
 
 
-_TURNS = "SELECT conv_id, turn, left(text, 200) AS base, concat('  ', left(text, 200), ' [1] see [', turn % 8, '][2], [99999999999] [0] and [', conv_id % 7, '] at [2026-05-06 x]. ') AS raw FROM conversations WHERE role = 'assistant'"
+_TURNS = "SELECT conv_id, turn, concat('  ', text, ' [1] see [', turn % 8, '][2], [99999999999] [0] and [', conv_id % 7, '] at [2026-05-06 x]. ') AS raw FROM conversations WHERE role = 'assistant'"
 
 
 @query(
@@ -48,10 +53,34 @@ def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "answer", cited.alias("cited"), "n_markers", "n_resolved", "all_in_range", "any_marker")
 
 
-@query(f"WITH t AS ({_TURNS}) SELECT count(*) AS n, 0::BIGINT AS n_bad FROM t")
+#: Answers of which some cite a chunk that wasn't retrieved, as a stored answer may.
+_STRAY = "if(conv_id % 3 = 0, concat(citations, array(named_struct('doc_id', 'd9', 'chunk_id', concat('c', cast(turn % 5 as string))))), citations)"
+
+
+@query(
+    f"""WITH a AS ({SQL["answer_citations"]}), c AS (SELECT conv_id, turn, list_filter(string_split(cited, ','), lambda x: x <> '') AS own FROM a),
+s AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN list_append(own, concat('d9:c', turn % 5)) ELSE own END AS cited FROM c)
+SELECT conv_id, turn, CASE WHEN len(list_filter(cited, lambda x: x NOT IN ('d0:c0', 'd1:c1', 'd2:c2', 'd3:c3'))) > 0 THEN 'citations_retrieved' ELSE '' END AS violations FROM s"""
+)
 def answer_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generation.violations(generation.answers(turns(spark, sf_dir)), generation.answer_checks())
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.size("violations") > 0).alias("n_bad"))
+    rows = generation.answers(turns(spark, sf_dir)).withColumn("citations", F.expr(_STRAY))
+    return generation.violations(rows, generation.answer_checks()).select("conv_id", "turn", F.array_join("violations", ",").alias("violations"))
+
+
+@query(f"SELECT count(*) AS n, round(avg(any_marker::INT), 3) AS frac_with_any_marker, round(avg(all_in_range::INT), 3) AS frac_all_in_range, round(avg(n_markers), 3) AS mean_n_markers FROM ({SQL['answer_citations']})")
+def citation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.citation_report(answer_citations(spark, sf_dir))
+
+
+@query(
+    """SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN (conv_id % 7) / 5.0 > 1 THEN 'score' END, CASE WHEN turn % 3 = 0 THEN 'claim_idx' END, CASE WHEN conv_id % 2 = 0 OR turn % 3 + conv_id % 2 = 3 OR turn % 3 = 3 THEN 'claim_idx_unique' END], lambda x: x IS NOT NULL), ',') AS violations
+FROM conversations WHERE role = 'assistant'"""
+)
+def judge_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged answers of which some have a score over 1, a claim 0 or a claim twice."""
+    claims = "transform(array(turn % 3, turn % 3 + conv_id % 2, 3L), i -> named_struct('claim_idx', i))"
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr("conv_id", "turn", "cast(conv_id % 7 as double) / 5 as score", f"{claims} as attributions")
+    return generation.violations(rows, generation.judge_checks()).select("conv_id", "turn", F.array_join("violations", ",").alias("violations"))
 
 
 _RULES = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(lower(x), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in t.REFUSALS) + ")"
@@ -175,7 +204,7 @@ _EXAMPLES_SQL = f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{t.CANONICAL_REF
 
 
 def taught(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = "transform(slice(array(1, 2), 1, cast(doc_id % 3 as int)), i -> named_struct('doc_id', source, 'chunk_id', concat(source, '::chunk_', cast(i as string)), 'score', 0.0D, 'text', left(text, 40)))"
+    chunks = "transform(slice(array(1, 2), 1, cast(doc_id % 3 as int)), i -> named_struct('doc_id', source, 'chunk_id', concat(source, '::chunk_', cast(i as string)), 'score', 0.0D, 'text', text))"
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('Question ', cast(doc_id as string), '?') as query", f"{chunks} as retrieved_chunks", f"{_TAUGHT_SPARK} as response")
     return dataset.examples(rows)
 
@@ -205,7 +234,7 @@ _SYSTEM = generation.SYSTEM_PROMPT.replace("'", "''")
 
 
 @query(
-    f"""SELECT doc_id, 3 AS n_turns, '{_SYSTEM}' AS system, concat('Context:', chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('[1] (source: ', source, ')', chr(10), left(text, 40)) END, CASE WHEN doc_id % 3 = 2 THEN concat(chr(10), chr(10), '[2] (source: ', source, ')', chr(10), left(text, 40)) ELSE '' END,
+    f"""SELECT doc_id, 3 AS n_turns, '{_SYSTEM}' AS system, concat('Context:', chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('[1] (source: ', source, ')', chr(10), text) END, CASE WHEN doc_id % 3 = 2 THEN concat(chr(10), chr(10), '[2] (source: ', source, ')', chr(10), text) ELSE '' END,
   chr(10), chr(10), 'Question: Question ', doc_id, '?') AS user, CASE doc_id % 6 WHEN 0 THEN '{t.CANONICAL_REFUSAL.replace("'", "''")}' WHEN 1 THEN '{t.CANONICAL_REFUSAL.replace("'", "''")}' WHEN 2 THEN concat('Use ', source, ' [1]') WHEN 3 THEN concat('See [', doc_id % 4, ']') END AS assistant FROM documents"""
 )
 def training_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +243,7 @@ def training_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, concat('CHUNKS:', chr(10), CASE doc_id % 3 WHEN 0 THEN '(no chunks retrieved)' ELSE concat('[1] (source: ', source, ')', chr(10), left(text, 40), CASE WHEN doc_id % 3 = 2 THEN concat(chr(10), chr(10), '[2] (source: ', source, ')', chr(10), left(text, 40)) ELSE '' END) END,
+    """SELECT doc_id, concat('CHUNKS:', chr(10), CASE doc_id % 3 WHEN 0 THEN '(no chunks retrieved)' ELSE concat('[1] (source: ', source, ')', chr(10), text, CASE WHEN doc_id % 3 = 2 THEN concat(chr(10), chr(10), '[2] (source: ', source, ')', chr(10), text) ELSE '' END) END,
   chr(10), chr(10), 'QUESTION: Question ', doc_id, '?') AS message, sha256(concat_ws(chr(31), concat('Question ', doc_id, '?'), array_to_string(list_slice([source || '::chunk_1', source || '::chunk_2'], 1, doc_id % 3), chr(31)))) AS cache_key FROM documents"""
 )
 def distill_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,10 +336,10 @@ def mismatched_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("retrieved_chunks", lambda c: c["chunk_id"]), ",").alias("chunks"))
 
 
-@query("SELECT concat('refusal::s', item_id, '#', i) AS task_key, concat('s', item_id) AS id FROM (SELECT item_id, unnest(range(0, 3)) AS i FROM benchmark) WHERE item_id % 4 <> i")
+@query("SELECT concat('refusal::s', item_id, '::', i) AS task_key, concat('s', item_id) AS id FROM (SELECT item_id, unnest(range(0, 3)) AS i FROM benchmark) WHERE item_id % 4 <> i")
 def open_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = seeding.refusal_tasks(table(spark, sf_dir, "benchmark").selectExpr("concat('s', cast(item_id as string)) as id", "text as topic"))
-    done = table(spark, sf_dir, "benchmark").selectExpr("concat('refusal::s', cast(item_id as string), '#', cast(item_id % 4 as string)) as task_key")
+    done = table(spark, sf_dir, "benchmark").selectExpr("concat('refusal::s', cast(item_id as string), '::', cast(item_id % 4 as string)) as task_key")
     return seeding.open_tasks(tasks, done).select("task_key", "id")
 
 
@@ -332,15 +361,15 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT 'curated' AS eval_set, text AS query, item_id AS k FROM benchmark UNION ALL SELECT 'no_answer', left(text, 80), conv_id * 1000 + turn FROM conversations WHERE role = 'user')
+    """WITH e AS (SELECT 'curated' AS eval_set, text AS query, item_id AS k FROM benchmark UNION ALL SELECT 'no_answer', text, conv_id * 1000 + turn FROM conversations WHERE role = 'user')
 SELECT printf('%s_%03d', eval_set, row_number() OVER (PARTITION BY eval_set ORDER BY k) - 1) AS query_id, query, eval_set = 'no_answer' AS is_no_answer FROM e"""
 )
 def eval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two evaluation sets in one table, each numbered in its own order."""
     curated = table(spark, sf_dir, "benchmark").selectExpr("'curated' as eval_set", "text as query", "item_id as k")
-    others = table(spark, sf_dir, "conversations").where("role = 'user'").selectExpr("'no_answer' as eval_set", "left(text, 80) as query", "conv_id * 1000 + turn as k")
-    number = F.row_number().over(Window.partitionBy("eval_set").orderBy("k")) - 1
-    return curated.unionByName(others).select(F.format_string("%s_%03d", "eval_set", number).alias("query_id"), "query", (F.col("eval_set") == "no_answer").alias("is_no_answer"))
+    others = table(spark, sf_dir, "conversations").where("role = 'user'").selectExpr("'no_answer' as eval_set", "text as query", "conv_id * 1000 + turn as k")
+    rows = numbered(curated.unionByName(others), "eval_set", "k")
+    return rows.select(F.format_string("%s_%03d", "eval_set", F.col("place") - 1).alias("query_id"), "query", (F.col("eval_set") == "no_answer").alias("is_no_answer"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('seed', doc_id) ELSE concat('found', doc_id) END AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN 0.0::DOUBLE ELSE 1.5::DOUBLE END AS score FROM documents")
@@ -362,3 +391,54 @@ def pool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").selectExpr("named_struct('input_tokens', n_chars, 'output_tokens', n_chars div 4) as metadata")
     return rows.agg(F.sum("metadata.input_tokens").alias("input_tokens"), F.sum("metadata.output_tokens").alias("output_tokens"), F.count("*").alias("n"))
+
+
+def _melted(section: str) -> str:
+    return f"SELECT '{section}' AS section, metric, value FROM (UNPIVOT (SELECT COLUMNS(lambda c: c <> 'disagreement_ids')::DOUBLE FROM ({SQL[section + '_summary']})) ON COLUMNS(*) INTO NAME metric VALUE value)"
+
+
+@query(" UNION ALL ".join(map(_melted, ("faithfulness", "relevance", "citation", "refusal"))))
+def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run: judged answers, citations and refusals in one tidy table."""
+    return metrics.generation_report({"faithfulness": faithfulness_summary(spark, sf_dir), "relevance": relevance_summary(spark, sf_dir), "citation": citation_summary(spark, sf_dir), "refusal": refusal_summary(spark, sf_dir)})
+
+
+@query(f"SELECT concat(question_type, '::', chunk_id) AS task_key, chunk_id, question_type FROM ({SQL['quota_sample']})")
+def corpus_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) as chunk_id", f"{_KINDS} as question_type")
+    return seeding.corpus_tasks(rows, {"procedural": 30, "comparison": 20, "pointer": 5000})
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN k = 'refusal' THEN NULL ELSE query END AS query, k = 'refusal' AS expected_refusal, query IS NULL OR k = 'refusal' AS failed
+FROM (SELECT doc_id, query, {_SQL_KINDS} AS k FROM ({SQL["query_parse"]}))"""
+)
+def generated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models' outputs for sampled chunks; a refusal asked of a chunk is a failure."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(doc_id as string) as chunk_id", f"{_KINDS} as question_type", f"{_RAW_QUERY} as response")
+    return seeding.parsed_queries(rows).select("doc_id", "query", "expected_refusal", "failed")
+
+
+@query(
+    f"""WITH p AS ({_POOL}), g AS (SELECT query, question_type FROM (SELECT *, {_REASON} AS d FROM p) WHERE d IS NULL),
+u AS (SELECT query, question_type, 1 AS n_chunks FROM g UNION ALL SELECT b.text, 'refusal', 5 FROM ({SQL["mismatched_refusals"]}) m JOIN benchmark b ON b.item_id = m.query_id)
+SELECT query, question_type, question_type = 'refusal' AS expected_refusal, n_chunks, count(*) AS n FROM u GROUP BY ALL"""
+)
+def pool_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated queries that pass the filters, and synthesized refusals, in one pool."""
+    chunk = "array(named_struct('doc_id', 'd', 'chunk_id', cast(doc_id as string), 'score', 1.0D, 'text', query)) as retrieved_chunks"
+    made = seeding.filter_shape(seeding.filter_length(pool(spark, sf_dir))).selectExpr("query", "question_type", "drop_reason", chunk)
+    queries = table(spark, sf_dir, "benchmark").selectExpr("item_id as query_id", "text as query", "concat(array('en', 'fr', 'de', 'xx')[cast(item_id % 4 as int)], '/s') as seed_doc_id")
+    chunks = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) as chunk_id", "concat(lang, '/', source) as doc_id", "text")
+    rows = seeding.pool_of(made, seeding.mismatched_refusals(queries, chunks, 20))
+    return rows.groupBy("query", "question_type", "expected_refusal", F.size("retrieved_chunks").alias("n_chunks")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id AS key, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations WHERE turn % 5 <> 3 GROUP BY conv_id")
+def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a run written line by line, some broken off or blank: of each key the last whole one counts."""
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "to_json(named_struct('key', conv_id, 'turn', turn, 'role', role)) as line")
+    lines = rows.selectExpr("conv_id", "turn", "explode(if(turn % 5 = 3, array(left(line, 9), ''), array(line))) as line").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    path = f"{shared_dir(spark)}/skeinmill/checkpoint-{uuid.uuid4().hex}"
+    lines.select("line").write.text(path)
+    return read_checkpoint(spark, path, "key bigint, turn bigint, role string", "key")

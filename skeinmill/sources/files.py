@@ -75,6 +75,15 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.select("row.*", "line")
 
 
+def read_checkpoint(spark: SparkSession, path: str, schema: str, key: Column | str) -> DataFrame:
+    """The last whole row of each key in files of JSON lines, by file name and place; blank and broken lines and rows without a key are skipped."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line")).alias("at")
+    raw = spark.read.text(path).select("value", at).where(F.try_parse_json("value").isNotNull())
+    rows = raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("row"), "at").select("row", "at", "row.*")
+    rows = rows.select("row", "at", (F.col(key) if isinstance(key, str) else key).alias("key")).where("key is not null")
+    return rows.groupBy("key").agg(F.max_by("row", "at").alias("row")).select("row.*")
+
+
 def read_task_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of (task_key, …) with the kind and the identifier that a key holds, parted at the first '::'."""
     rows = read_lines(spark, path, schema)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from skeinmill import config
 from skeinmill.functions import text as t
-from skeinmill.operators import dataset, seeding
+from skeinmill.operators import dataset, metrics, seeding
+from skeinmill.operators.numbering import first_rows, numbered
 from skeinmill.sinks import files as sinks
 from skeinmill.sources import files
 from skeinmill.streaming.ingest import ingest
@@ -176,7 +177,43 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
 
 def test_open_tasks_and_cost(spark):
     tasks = seeding.refusal_tasks(spark.createDataFrame([("a", "t"), ("b", "t")], "id string, topic string"), 2)
-    done = spark.createDataFrame([("refusal::a#0",), (None,)], "task_key string")
-    assert sorted(r.task_key for r in seeding.open_tasks(tasks, done).collect()) == ["refusal::a#1", "refusal::b#0", "refusal::b#1"]
+    done = spark.createDataFrame([("refusal::a::0",), (None,)], "task_key string")
+    assert sorted(r.task_key for r in seeding.open_tasks(tasks, done).collect()) == ["refusal::a::1", "refusal::b::0", "refusal::b::1"]
     row = spark.range(1).select(*(seeding.cost(F.lit(10), F.lit(2), F.lit(m), {"x": (1.0, 5.0)}).alias(m) for m in ("x", "y"))).first()
     assert row.x == pytest.approx(2e-5) and row.y is None
+
+
+def test_places_in_groups_equal_a_window(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(40)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id int, grp string, v int").repartition(5)
+    want = {}
+    for g in {r[1] for r in rows}:
+        want |= {r[0]: i + 1 for i, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])))}
+    assert {r.id: r.place for r in numbered(frame, "grp", "v", "id").collect()} == want
+    assert numbered(frame.limit(0), "grp", "v").count() == 0
+    for n, parts in ((7, 64), (7, 3), (1000, 2)):
+        got = first_rows(frame, ["grp"], F.lit(n), "id", "v", "id", parts=parts)
+        assert got.columns == frame.columns and sorted(r.id for r in got.collect()) == sorted(i for i, place in want.items() if place <= n)
+
+
+def test_checkpoints_with_broken_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": 1, "v": "old"}\n\n{"k": 2, "v": "x"\nnot json\n{"k": 1, "v": "new"}\n{"v": "no key"}\n{"k": 3, "v": null}\n')
+    (tmp_path / "b.jsonl").write_text('{"k": 1, "v": "newest"}\n{"k": 4}\n')
+    got = files.read_checkpoint(spark, str(tmp_path), "k int, v string", "k").collect()
+    assert sorted(map(tuple, got)) == [(1, "newest"), (3, None), (4, None)]
+
+
+def test_reports_and_assembled_pools(spark):
+    checked = spark.createDataFrame([(True, True, 2), (True, False, 1), (False, False, 0)], "any_marker boolean, all_in_range boolean, n_markers int")
+    report = metrics.citation_report(checked)
+    assert tuple(report.first()) == (3, 0.667, 0.333, 1.0)
+    assert {(r.section, r.metric): r.value for r in metrics.generation_report({"citation": report}).collect()}["citation", "mean_n_markers"] == 1.0
+    with pytest.raises(ValueError, match="no sections"):
+        metrics.generation_report({})
+    chunk = "array(named_struct('doc_id', 'd', 'chunk_id', 'c', 'score', 0.0D, 'text', 't')) as retrieved_chunks"
+    made = spark.sql(f"select 'How do I?' as query, 'procedural' as question_type, if(id = 0, 'length', null) as drop_reason, {chunk} from range(2)")
+    pool = seeding.pool_of(made, spark.sql(f"select 'q' as query, 'refusal' as question_type, {chunk}")).collect()
+    assert sorted((r.question_type, r.expected_refusal) for r in pool) == [("procedural", False), ("refusal", True)]
+    raw = spark.createDataFrame([('{"query": "a b"}', "procedural", "c1"), ("none", "procedural", "c1"), ('{"query": "x"}', "refusal", "c1"), ('{"query": "x"}', "refusal", None)], "response string, question_type string, chunk_id string")
+    assert [r.failed for r in seeding.parsed_queries(raw).collect()] == [False, True, True, False]
