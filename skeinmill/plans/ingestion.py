@@ -11,7 +11,7 @@ from skeinmill.plans.registry import SQL, query, table
 from skeinmill.sources.files import parse_documents, with_positions
 
 #: Markdown made from documents, by the same expression in both engines.
-_MD = "concat('# ', source, chr(10), chr(10), '## Section about ', lang, ' texts [[anchor]]', chr(10), chr(10), replace(text, chr(10), concat(chr(10), chr(10))), chr(10), chr(10), '## Notes', chr(10), '### Further details of ', source, chr(10), left(text, 700))"
+_MD = "concat('# ', source, chr(10), chr(10), '## Section about ', lang, ' texts [[anchor]]', chr(10), chr(10), replace(text, chr(10), concat(chr(10), chr(10))), chr(10), chr(10), '## Notes', chr(10), '### Further details of ', source, chr(10), 'Written in ', lang, ' by ', source, '. ', source, ' has no more of it.')"
 _ID = "concat_ws('/', lang, source, cast(doc_id as string))"
 _SQL_ID = "concat_ws('/', lang, source, doc_id::VARCHAR)"
 

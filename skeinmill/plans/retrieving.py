@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinmill.functions.text import family
-from skeinmill.functions.vectors import dot, norm, normalize
+from skeinmill.functions.vectors import norm, normalize
 from skeinmill.lineage import cut, shared_dir
 from skeinmill.operators import generation, metrics, retrieval
 from skeinmill.plans.registry import query, table
@@ -26,13 +26,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items' first eight words, with the vector of the same number, relevant to a family of documents."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("query"))
+    """Benchmark items, each with the vector of its number, relevant to a family of documents."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     rows = items.join(table(spark, sf_dir, "embeddings").selectExpr("vec_id as item_id", "embedding"), "item_id")
     return rows.selectExpr("item_id as query_id", "query", "embedding", "array(concat('en/src', cast(item_id % 20 as string)), concat('fr/src', cast(item_id % 20 as string))) as prefixes")
 
 
-_ASKED = r"SELECT b.item_id AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 8), ' ') AS query, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id"
+_ASKED = "SELECT b.item_id AS query_id, text AS query, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id"
 _INDEX = r"""
 tok AS (SELECT doc_id AS pos, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ts FROM documents),
 post AS (SELECT pos, len(ts) AS dl, term, count(*) AS tf FROM (SELECT pos, ts, unnest(ts) AS term FROM tok) GROUP BY ALL),
@@ -159,21 +159,13 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "label", F.round(norm(F.col("embedding")), 6).alias("norm"), F.round(norm(F.col("u")), 6).alias("unit"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 10 = 0")
-def cosine_within_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    left = rows.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
-    right = rows.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    return left.join(right, "label").where("a < b").select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("sim"))
-
-
 #: Similarity over which a pair of a type counts.
 SIMILAR = 0.85
 
 
 @query(f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE sim > {SIMILAR}")
-def similar_within_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of a label over the threshold; cosine_within_type, as its SQL, has those of every tenth vector only."""
+def cosine_within_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a label over the threshold, with their similarity."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", normalize(F.col("embedding")).alias("v"))
     return retrieval.similar_pairs(rows, rows, SIMILAR, "vec_id", "v", "label").where("a < b")
 

@@ -15,8 +15,8 @@ from skeinmill.plans.registry import SQL, query, table
 from skeinmill.sources.files import read_checkpoint
 from skeinmill.streaming.ingest import windowed_counts
 
-#: Five chunks of every conversation turn: pieces of its text under made-up ids.
-_CHUNKS = "transform(sequence(1, 5), i -> named_struct('doc_id', concat('d', cast(i % 4 as string)), 'chunk_id', concat('c', cast(i % 4 as string)), 'score', cast(i as double), 'text', substring(text, i * 3, 20)))"
+#: Five chunks of every conversation turn: its text under made-up ids.
+_CHUNKS = "transform(sequence(1, 5), i -> named_struct('doc_id', concat('d', cast(i % 4 as string)), 'chunk_id', concat('c', cast(i % 4 as string)), 'score', cast(i as double), 'text', text))"
 _REFUSALS = [
     "I don't know the answer.", "There is not enough information here.", "I do not have enough context to say.", "That is not covered in the provided context.", "The context does not mention it.",
     "No relevant details were found.", "I apologize, but I am unable to comment.", "It cannot determine that.", "You should install it first.", "Context is everything.",
@@ -255,14 +255,14 @@ _KINDS = "array('procedural', 'comparison', 'best_practice', 'pointer', 'refusal
 _LEADS = "array('How do I ', 'What is the difference between ', 'What is the best way to ', 'Where can I ', 'Is ', 'How should I ', 'unlike ')[cast(doc_id % 7 as int)]"
 _SQL_KINDS = "['procedural', 'comparison', 'best_practice', 'pointer', 'refusal'][1 + doc_id % 5]"
 _SQL_LEADS = "['How do I ', 'What is the difference between ', 'What is the best way to ', 'Where can I ', 'Is ', 'How should I ', 'unlike '][1 + doc_id % 7]"
-_POOL = rf"SELECT doc_id, {_SQL_KINDS} AS question_type, concat({_SQL_LEADS}, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, doc_id % 6), ' ')) AS query FROM documents"
+_POOL = rf"SELECT doc_id, {_SQL_KINDS} AS question_type, concat({_SQL_LEADS}, CASE WHEN doc_id % 6 > 1 THEN text ELSE source END) AS query FROM documents"
 _SHAPE_SQL = "CASE question_type " + " ".join(f"WHEN '{k}' THEN regexp_matches(query, '{p}')" for k, p in t.SHAPES.items()) + " ELSE true END"
 _REASON = f"CASE WHEN len(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '')) < 5 THEN 'length<5_words' WHEN NOT ({_SHAPE_SQL}) THEN concat('type_mismatch_', question_type) END"
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = r"array_join(slice(split(text, '\\s+'), 1, cast(doc_id % 6 as int)), ' ')"
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id as row_id", f"{_KINDS} as question_type", f"concat({_LEADS}, {words}) as query")
+    """Questions about whole texts, and of a third of the documents about their source alone, which is short."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id as row_id", f"{_KINDS} as question_type", f"concat({_LEADS}, if(doc_id % 6 > 1, text, source)) as query")
 
 
 @query(f"WITH p AS ({_POOL}) SELECT doc_id, {_REASON} AS drop_reason FROM p")

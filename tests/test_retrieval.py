@@ -123,7 +123,7 @@ def test_similar_pairs_within_a_type_are_whole(spark, tmp_path):
     rng = np.random.default_rng(6)
     vectors, labels = rng.normal(size=(60, 3)), rng.integers(0, 3, 60)
     spark.createDataFrame([(i, int(labels[i]), vectors[i].tolist()) for i in range(60)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r.a, r.b): r.sim for r in retrieving.similar_within_type(spark, str(tmp_path)).collect()}
+    got = {(r.a, r.b): r.sim for r in retrieving.cosine_within_type(spark, str(tmp_path)).collect()}
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     want = {(i, j): unit[i] @ unit[j] for i in range(60) for j in range(i + 1, 60) if labels[i] == labels[j] and unit[i] @ unit[j] > retrieving.SIMILAR}
     assert got.keys() == want.keys() and any(a % 10 for a, _ in want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
