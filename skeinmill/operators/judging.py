@@ -15,11 +15,11 @@ NO_JSON = "PARSE_FAILED: judge response did not produce valid JSON"
 ATTRIBUTIONS = "array<struct<claim_idx:int,supporting_chunk_idx:int,rationale:string>>"
 
 
-def _parsed(text: Column | str) -> Column:
+def parsed(text: Column | str) -> Column:
     return F.try_parse_json(json_block(text))
 
 
-def _field(value: Column, field: str, kind: str) -> Column:
+def json_field(value: Column, field: str, kind: str) -> Column:
     return F.try_variant_get(value, f"$.{field}", kind)
 
 
@@ -31,6 +31,8 @@ def ask(rows: DataFrame, judge: Callable[[str], str], valid: Column, prompt: str
         for batch in batches:
             yield batch.map(judge, na_action="ignore").astype("object")
 
+    # A model may answer the same prompt differently, so that a reply must not be worked out twice.
+    call = call.asNondeterministic()
     rows = rows.withColumn(out, call(prompt))
     for _ in range(attempts - 1):
         rows = rows.withColumn("_again", F.when(valid, F.lit(None)).otherwise(F.col(prompt))).withColumn(out, F.when(valid, F.col(out)).otherwise(call("_again"))).drop("_again")
@@ -39,13 +41,13 @@ def ask(rows: DataFrame, judge: Callable[[str], str], valid: Column, prompt: str
 
 def claims(text: Column | str) -> Column:
     """Claims of a response, stripped, without empty ones; none if it can't be parsed."""
-    found = _field(_parsed(text), "claims", "array<string>")
+    found = json_field(parsed(text), "claims", "array<string>")
     return F.coalesce(F.filter(F.transform(found, strip), lambda c: c != ""), F.expr("cast(array() as array<string>)"))
 
 
 def attributions(text: Column | str) -> Column:
     """Attributions of a response as (claim_idx, supporting_chunk_idx, rationale), else null."""
-    return _field(_parsed(text), "attributions", ATTRIBUTIONS)
+    return json_field(parsed(text), "attributions", ATTRIBUTIONS)
 
 
 def attribute(given: Column | str, claims_: Column | str, n_chunks: Column) -> Column:
@@ -88,19 +90,19 @@ def relevance(text: Column | str) -> Column:
     """(score, rationale): snapped, and 0 with a mark if it can't be parsed."""
 
     def read(v: Column) -> Column:
-        score, why = _field(v, "score", "double"), _field(v, "rationale", "string")
+        score, why = json_field(v, "score", "double"), json_field(v, "rationale", "string")
         ok = score.isNotNull() & why.isNotNull()
         return F.struct(F.when(ok, snap(score)).otherwise(0.0).alias("score"), F.when(ok, why).otherwise(F.lit(NO_JSON)).alias("rationale"))
 
-    return let(_parsed(text), read)
+    return let(parsed(text), read)
 
 
 def refusal(text: Column | str) -> Column:
     """(refused, rationale): not refused, with a mark, if it can't be parsed."""
 
     def read(v: Column) -> Column:
-        said, why = _field(v, "refused", "boolean"), _field(v, "rationale", "string")
+        said, why = json_field(v, "refused", "boolean"), json_field(v, "rationale", "string")
         ok = said.isNotNull() & why.isNotNull()
         return F.struct(F.when(ok, said).otherwise(F.lit(False)).alias("refused"), F.when(ok, why).otherwise(F.lit(NO_JSON)).alias("rationale"))
 
-    return let(_parsed(text), read)
+    return let(parsed(text), read)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinmill.functions import text as t
 from skeinmill.lineage import shared_dir
-from skeinmill.operators import dataset, generation, judging, metrics, seeding
+from skeinmill.operators import dataset, generation, judging, metrics, prompting, seeding
 from skeinmill.operators.numbering import numbered
 from skeinmill.plans.registry import SQL, query, table
 from skeinmill.sources.files import read_checkpoint
@@ -442,3 +442,53 @@ def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/skeinmill/checkpoint-{uuid.uuid4().hex}"
     lines.select("line").write.text(path)
     return read_checkpoint(spark, path, "key bigint, turn bigint, role string", "key")
+
+
+def _sql_filled(template: str, **values: str) -> str:
+    """SQL that concatenates a template's pieces and the expressions in its places; null if one of them is."""
+    text = template.format(**{name: f"\x00{value}\x00" for name, value in values.items()})
+    return " || ".join(piece if i % 2 else "'" + piece.replace("'", "''") + "'" for i, piece in enumerate(text.split("\x00")) if piece)
+
+
+_WISHES = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(prompting.KINDS.values())) + " END"
+
+
+@query(
+    f"""SELECT 'chunk' AS kind, doc_id AS id, {_SQL_KINDS} AS question_type, {_sql_filled(prompting.QUERY_REQUEST, kind=_WISHES, doc_id="source", text="text")} AS prompt, 0.0::DOUBLE AS temperature FROM documents
+UNION ALL SELECT 'topic', item_id, 'refusal', {_sql_filled(prompting.TOPIC_REQUEST, topic="text")}, 0.7::DOUBLE FROM benchmark"""
+)
+def query_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a generator is asked for chunks and for topics; no refusal is asked of a chunk."""
+    names = ["kind", "id", "question_type", "prompt", "temperature"]
+    chunks = table(spark, sf_dir, "documents").selectExpr("'chunk' as kind", "doc_id as id", "source as doc_id", f"{_KINDS} as question_type", "text")
+    topics = table(spark, sf_dir, "benchmark").selectExpr("'topic' as kind", "item_id as id", "text as topic")
+    return prompting.chunk_requests(chunks).select(*names).unionByName(prompting.topic_requests(topics).select(*names))
+
+
+_REFUSED = t.CANONICAL_REFUSAL.replace("'", "''")
+#: Answers that repeat the question's text, add to it, refuse or are empty.
+_REPLIES = "CASE conv_id % 4 WHEN 0 THEN '{r}' WHEN 1 THEN concat(text, '. A claim made up') WHEN 2 THEN text ELSE '' END"
+
+
+def _cut(x: str) -> str:
+    return rf"list_filter(list_transform(regexp_split_to_array({x}, '\. |\n'), lambda s: regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '')), lambda s: s <> '')"
+
+
+def _bag(x: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda s: s <> ''))"
+
+
+@query(
+    f"""WITH a AS (SELECT conv_id, turn, text, concat('whether ', text) AS question, {_REPLIES.format(r=_REFUSED)} AS answer FROM conversations WHERE role = 'assistant'),
+c AS (SELECT *, {_cut("answer")} AS claims, {_cut("text")} AS have, {_bag("question")} AS qw, {_bag("answer")} AS aw FROM a),
+n AS (SELECT *, len(claims) AS k, len(list_filter(claims, lambda x: list_contains(have, x))) AS s, len(list_intersect(qw, aw))::DOUBLE / len(qw) AS r FROM c)
+SELECT conv_id, turn, k::INT AS n_claims, CASE WHEN k = 0 THEN 0 ELSE round(s::DOUBLE / k, 9) END AS faithfulness, starts_with(answer, '{_REFUSED}') AS refused,
+  list_sort(list_transform([0, 0.25, 0.5, 0.75, 1.0], lambda x: {{'d': abs(r - x::DOUBLE), 'a': x::DOUBLE}}))[1].a AS relevance FROM n"""
+)
+def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers judged by the stand-in: claims, what supports them, relevance and refusal."""
+    chunks = "transform(array('Nothing of it', text), x -> named_struct('doc_id', 'd', 'chunk_id', 'c', 'score', 0.0D, 'text', x)) as chunks"
+    answer = _REPLIES.format(r=t.CANONICAL_REFUSAL.replace("'", "\\'"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr("conv_id", "turn", "concat('whether ', text) as question", f"{answer} as answer", chunks)
+    out = prompting.judged(rows, prompting.overlap_judge)
+    return out.select("conv_id", "turn", F.size("faithfulness.attributions").alias("n_claims"), F.round("faithfulness.score", 9).alias("faithfulness"), F.col("refusal.refused").alias("refused"), F.col("relevance.score").alias("relevance"))

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinmill.operators.seeding import preview
+
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A partition for each strategy, so that a reader of one prunes the rest."""
@@ -53,3 +55,25 @@ def filter_markdown(reasons: DataFrame, totals: dict[str, int]) -> str:
     """What filters kept and why they dropped the rest, reasons in alphabetical order."""
     lines = ["# Filter report", ""] + [f"- {name}: {n}" for name, n in totals.items()] + ["", "| reason | n |", "|---|---:|"]
     return "\n".join([*lines, *(f"| {r['drop_reason']} | {r['n']} |" for r in reasons.orderBy("drop_reason").collect())]) + "\n"
+
+
+def preview_markdown(pool: DataFrame, n: int = 30, key: str = "row_id") -> str:
+    """About n queries of a pool for review, kinds by falling count; each with the three documents first retrieved and its seed.
+
+    Reads `key`, query, question_type, retrieved_chunks, and seed_topic and seed_chunks if there are any.
+    """
+    sizes = {r["question_type"]: r["count"] for r in pool.groupBy("question_type").count().collect()}
+    if not sizes:
+        return "# Pool preview: 0 of 0\n"
+    topic = F.col("seed_topic") if "seed_topic" in pool.columns else F.lit(None).cast("string")
+    chunk = F.get("seed_chunks", F.lit(0))["doc_id"] if "seed_chunks" in pool.columns else F.lit(None).cast("string")
+    shown = preview(pool.where(F.col("question_type").isNotNull()), n, "question_type", key).orderBy(key)
+    rows = shown.select("question_type", "query", F.transform(F.slice("retrieved_chunks", 1, 3), lambda c: c["doc_id"]).alias("docs"), topic.alias("topic"), chunk.alias("chunk")).collect()
+    lines = [f"# Pool preview: {len(rows)} of {sum(sizes.values())}"]
+    for kind in sorted((k for k in sizes if k is not None), key=lambda k: (-sizes[k], k)):
+        of_kind = [r for r in rows if r["question_type"] == kind]
+        lines += ["", f"## {kind}: {len(of_kind)} of {sizes[kind]}"]
+        for r in of_kind:
+            seed = f"topic {r['topic']}" if r["topic"] else f"chunk of {r['chunk']}" if r["chunk"] else "none"
+            lines += ["", f"* {r['query']}", f"  - retrieved: {', '.join(map(str, r['docs'] or [])) or 'nothing'}", f"  - seed: {seed}"]
+    return "\n".join(lines) + "\n"
