@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def embed(rows: DataFrame, text: str, out: str = "embedding", encoder: Callable[
 
 
 def _blocks(rows: DataFrame, key: str, pos: str, vector: str, block: int, group: str | None = None) -> DataFrame:
-    """Rows of up to `block` keys, places and vectors each, all of one group if there is a group column."""
+    """Rows of up to `block` keys, places and vectors each, all of one group if there is a group column, which says its parts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,33 +70,90 @@ def _blocks(rows: DataFrame, key: str, pos: str, vector: str, block: int, group:
 
     wide = rows.where(F.col(vector).isNotNull()).select(F.col(key), F.col(pos).cast("long"), F.col(vector).cast("array<double>"), (F.col(group) if group else F.lit(0)).alias("grp"))
     if group:
-        wide = wide.repartition("grp", F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("grp")
+        wide = wide.repartition("grp", F.pmod(F.xxhash64(key), F.col("grp.parts"))).sortWithinPartitions("grp", key)
     kinds = dict(wide.dtypes)
     return wide.mapInArrow(pack, f"keys array<{kinds[key]}>, places array<long>, data binary, grp {kinds['grp']}")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str, vector: str, group: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(a, b, sim): pairs of rows, of one group if there's a group column, whose inner product is over the threshold.
+#: Rows, and bytes of them, that are sent to every task at most; both are counted, and more are shuffled.
+SENT_BLOCKS, SENT_TERMS, SENT_BYTES = 64, 100_000, 64 << 20
 
-    Blocks meet blocks and are multiplied as matrices; only pairs over the threshold become rows.
+
+def _few(rows: DataFrame, n: int, size: Column) -> bool:
+    """Whether there are n rows at most, of SENT_BYTES at most; only the sizes of n + 1 rows are gathered."""
+    got = rows.select(size.alias("size")).limit(n + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    return got["n"] <= n and got["bytes"] <= SENT_BYTES
+
+
+def _block_bytes(keys: str, data: str) -> Column:
+    return F.octet_length(data) + F.octet_length(F.concat_ws("", F.col(keys).cast("array<string>")))
+
+
+#: Parts at most that the meetings of one group's blocks are dealt to.
+MEETINGS = 64
+
+
+def _meet(left: DataFrame, right: DataFrame, key: str, vector: str, group: str | None, block: int, pick: Callable[[pa.Array, pa.Array, np.ndarray], list[pa.Array]], schema: str) -> DataFrame:
+    """What `pick` makes of the keys and rounded inner products of each two blocks, of one group if there's a group column.
+
+    A group's rows are packed by as many tasks as it fills blocks. Each left block goes to one of up to MEETINGS
+    parts of its group and the right ones to all of them, so that a hot group's meetings aren't one task's.
+    Without groups the right side, or else the left, is sent to every task if it is small, which is counted.
     """
-    kinds = [dict(x.dtypes)[key] for x in (left, right)]
-    ours = _blocks(left.withColumn("pos", F.lit(0)), key, "pos", vector, block, group).select("grp", F.col("keys").alias("ka"), F.col("data").alias("da"))
-    theirs = _blocks(right.withColumn("pos", F.lit(0)), key, "pos", vector, block, group).select("grp", F.col("keys").alias("kb"), F.col("data").alias("db"))
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ka, da, kb, db in zip(*(batch.column(n) for n in ("ka", "da", "kb", "db")), strict=True):
                 sims = np.round(np.frombuffer(da.as_py()).reshape(len(ka.values), -1) @ np.frombuffer(db.as_py()).reshape(len(kb.values), -1).T, PLACES)
-                i, j = np.nonzero(sims > threshold)
-                yield pa.RecordBatch.from_arrays([ka.values.take(pa.array(i)), kb.values.take(pa.array(j)), pa.array(sims[i, j])], names=["a", "b", "sim"])
+                yield pa.RecordBatch.from_arrays(pick(ka.values, kb.values, sims), names=names)
 
-    met = ours.join(theirs, "grp") if group else ours.crossJoin(theirs)
-    return met.select("ka", "da", "kb", "db").mapInArrow(multiply, f"a {kinds[0]}, b {kinds[1]}, sim double")
+    left, right = left.withColumn("pos", F.lit(0)), right.withColumn("pos", F.lit(0))
+    if group:
+        both = left.select(F.col(group).alias("of")).union(right.select(F.col(group).alias("of"))).where("of is not null")
+        large = both.groupBy("of").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+        left, right = (x.where(F.col(group).isNotNull()).join(large, F.col(group) == F.col("of"), "left").withColumn("grp", F.struct(F.col(group).alias("of"), F.coalesce("parts", F.lit(1)).alias("parts"))).drop("of", "parts") for x in (left, right))
+    ours = _blocks(left, key, "pos", vector, block, group and "grp").select("grp", F.col("keys").alias("ka"), F.col("data").alias("da"))
+    theirs = _blocks(right, key, "pos", vector, block, group and "grp").select("grp", F.col("keys").alias("kb"), F.col("data").alias("db"))
+    if group:
+        spread = F.least(F.col("grp.parts"), F.lit(MEETINGS))
+        met = ours.withColumn("part", F.pmod(F.xxhash64("ka"), spread).cast("int")).join(theirs.withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1))), ["grp", "part"])
+    elif _few(theirs, SENT_BLOCKS, _block_bytes("kb", "db")):
+        met = ours.crossJoin(F.broadcast(theirs))
+    elif _few(ours, SENT_BLOCKS, _block_bytes("ka", "da")):
+        met = theirs.crossJoin(F.broadcast(ours))
+    else:
+        met = ours.crossJoin(theirs)
+    return met.select("ka", "da", "kb", "db").mapInArrow(multiply, schema)
 
 
-#: Blocks of queries that are sent to every task at most; more of them are shuffled.
-SENT_BLOCKS = 64
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str, vector: str, group: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim): pairs of rows, of one group if there's a group column, whose inner product is over the threshold.
+
+    Blocks meet blocks and are multiplied as matrices; only pairs over the threshold become rows.
+    """
+
+    def pairs(ka: pa.Array, kb: pa.Array, sims: np.ndarray) -> list[pa.Array]:
+        i, j = np.nonzero(sims > threshold)
+        return [ka.take(pa.array(i)), kb.take(pa.array(j)), pa.array(sims[i, j])]
+
+    kinds = [dict(x.dtypes)[key] for x in (left, right)]
+    return _meet(left, right, key, vector, group, block, pairs, f"a {kinds[0]}, b {kinds[1]}, sim double")
+
+
+def after_similar(left: DataFrame, right: DataFrame, threshold: float, key: str, vector: str, group: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(b): the distinct keys, none of them null, of right rows that a left row with a smaller key has an inner product over the threshold with.
+
+    Two blocks give a row for each such key at most, however many pairs there are.
+    """
+
+    def later(ka: pa.Array, kb: pa.Array, sims: np.ndarray) -> list[pa.Array]:
+        places = np.asarray(pc.rank(pa.concat_arrays([ka, kb]), tiebreaker="dense"))
+        found = (sims > threshold) & (places[: len(ka), None] < places[None, len(ka) :])
+        return [kb.filter(pa.array(found.any(axis=0)))]
+
+    left, right = (x.where(F.col(key).isNotNull()) for x in (left, right))
+    return _meet(left, right, key, vector, group, block, later, f"b {dict(right.dtypes)[key]}").distinct()
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
@@ -109,7 +167,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int =
     kinds = {"query_id": dict(queries.dtypes)["query_id"], "chunk_id": dict(corpus.dtypes)["chunk_id"]}
     left = _blocks(queries.withColumn("pos", F.lit(0)), "query_id", "pos", "embedding", block).select(F.col("keys").alias("q"), F.col("data").alias("qd"))
     right = _blocks(corpus, "chunk_id", "pos", "embedding", block)
-    few = left.limit(SENT_BLOCKS + 1).count() <= SENT_BLOCKS
+    few = _few(left, SENT_BLOCKS, _block_bytes("q", "qd"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,15 +227,11 @@ def _index(postings: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame
     return postings, terms, corpus
 
 
-#: Distinct terms of queries that are sent to every task at most; more are joined by a shuffle.
-SENT_TERMS = 100_000
-
-
 def _asked(queries: DataFrame, query_text: str) -> tuple[DataFrame, DataFrame]:
-    """((query_id, term, times), the distinct terms), both sent to every task if the terms are few, which are counted."""
+    """((query_id, term, times), the distinct terms), both sent to every task if the terms are few and short, which are counted."""
     asked = queries.select("query_id", F.explode(words(query_text, lower=True)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     distinct = asked.select("term").distinct()
-    few = asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    few = _few(asked, SENT_TERMS, F.octet_length("term") + F.octet_length(F.col("query_id").cast("string")))
     return (F.broadcast(asked), F.broadcast(distinct)) if few else (asked, distinct)
 
 

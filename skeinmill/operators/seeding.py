@@ -12,7 +12,7 @@ from skeinmill.functions.text import family, has_shape, hash_order, headings, qu
 from skeinmill.functions.vectors import normalize
 from skeinmill.lineage import cut
 from skeinmill.operators.numbering import first_rows, numbered
-from skeinmill.operators.retrieval import similar_pairs
+from skeinmill.operators.retrieval import after_similar, similar_pairs
 
 QUOTAS = {"procedural": 240, "comparison": 160, "best_practice": 160, "pointer": 120}
 MIN_WORDS, DUPLICATE, CONTAMINATED = 5, 0.85, 0.7
@@ -76,13 +76,29 @@ def filter_duplicates(rows: DataFrame, threshold: float = DUPLICATE, key: str =
     """Marks rows too similar to an earlier kept one of their kind, in order of key.
 
     Keeping goes by rounds: an undecided row without undecided earlier neighbours is kept and its later
-    neighbours are dropped, until no pair is undecided. Each round decides the first row of every chain at
+    neighbours are dropped. While a round decides half of the undecided rows at least, rounds find rows alone
+    and make no pairs, so that a large group of copies costs a row each. Of what is left then pairs are made, and
+    further rounds go over these, until no pair is undecided. Each round decides the first row of every chain at
     least, so rounds end. Once `driver_pairs` pairs or fewer are undecided the driver decides them in one pass.
+    Rows without a key, a kind or a vector stay.
     """
     live = rows.where("drop_reason is null") if "drop_reason" in rows.columns else rows
-    unit = live.select(key, kind, normalize(F.col(vector)).alias("v"))
-    open_ = cut(similar_pairs(unit, unit, threshold, key, "v", kind).where("a < b").select("a", "b"))
-    dropped = open_.sparkSession.createDataFrame([], open_.select("b").schema)
+    unit = live.where(F.col(key).isNotNull()).select(key, kind, normalize(F.col(vector)).alias("v"))
+    dropped = unit.sparkSession.createDataFrame([], unit.select(F.col(key).alias("b")).schema)
+    while True:
+        later = cut(after_similar(unit, unit, threshold, key, "v", kind).withColumnRenamed("b", key))
+        n_later = later.count()
+        if not n_later:
+            break
+        gone = cut(after_similar(unit.join(later, key, "left_anti"), unit.join(later, key, "left_semi"), threshold, key, "v", kind))
+        dropped = dropped.union(gone)
+        left = later.join(gone.withColumnRenamed("b", key), key, "left_anti")
+        n_left = left.count()
+        unit = unit.join(left, key, "left_semi")
+        if not n_left or 2 * n_left > n_later:
+            break
+        unit = cut(unit)
+    open_ = cut(similar_pairs(unit, unit, threshold, key, "v", kind).where("a < b").select("a", "b")) if n_later and n_left else dropped.selectExpr("b as a", "b").limit(0)
     while n_open := open_.count():
         if n_open <= driver_pairs:
             dropped = dropped.union(open_.sparkSession.createDataFrame(_later_copies(open_), dropped.schema))

@@ -152,3 +152,17 @@ def test_a_stored_index_grows(spark, tmp_path):
     got = sorted(map(tuple, retrieval.bm25_ranked(queries, retrieval.bm25_load(spark, path), 8).select("query_id", "chunk_id", "score", "rank").collect()))
     assert got == want and len(want) > 60
     assert retrieval.bm25_top_k(queries, frame.limit(0), 8).count() == 0 and retrieval.bm25_top_k(queries.limit(0), frame, 8).count() == 0
+
+
+@pytest.mark.parametrize("group", [None, "kind"])
+@pytest.mark.parametrize("sent_bytes", [1 << 20, 0])
+def test_similar_rows_by_small_blocks(spark, monkeypatch, group, sent_bytes):
+    """However blocks are cut, dealt and sent, pairs and rows after a similar one are those of plain loops."""
+    monkeypatch.setattr(retrieval, "SENT_BYTES", sent_bytes)
+    rng = np.random.default_rng(5)
+    data = [(f"k{i}", "hot" if i % 4 else "rare", v.tolist()) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    left, right = (spark.createDataFrame(part, "id string, kind string, v array<double>").repartition(3) for part in (data, data[20:]))
+    want = {(a, b) for a, ka, x in data for b, kb, y in data[20:] if (ka == kb or not group) and round(float(np.dot(x, y)), 9) > 1}
+    got = [(r.a, r.b) for r in retrieval.similar_pairs(left, right, 1, "id", "v", group, 4).collect()]
+    assert sorted(got) == sorted(want)
+    assert sorted(r.b for r in retrieval.after_similar(left, right, 1, "id", "v", group, 4).collect()) == sorted({b for a, b in want if a < b})

@@ -93,6 +93,15 @@ def test_duplicates_by_rounds_alone(spark):
     assert sorted(r.row_id for r in got) == plain.keep_first(vectors, "a" * 50, 0.95)
 
 
+def test_duplicates_of_copies_and_rows_without_parts(spark):
+    schema = "row_id string, question_type string, embedding array<double>"
+    copies = [(f"k{i:03d}", "a" if i % 3 else "b", [1.0, 0.0]) for i in range(150)]
+    rows = spark.createDataFrame([*copies, (None, "a", [1.0, 0.0]), ("x", None, [1.0, 0.0]), ("y", "a", None), ("z", "a", [0.0, 1.0]), ("z", "a", [0.0, 1.0])], schema)
+    kept = [r.row_id for r in seeding.filter_duplicates(rows).where("drop_reason is null").collect()]
+    assert sorted(map(str, kept)) == ["None", "k000", "k001", "x", "y", "z", "z"]
+    assert seeding.filter_duplicates(rows.limit(0)).count() == 0
+
+
 def test_contamination(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "row_id int, embedding array<double>")
     evals = spark.createDataFrame([([2.0, 0.0],)], "embedding array<double>")
