@@ -89,15 +89,16 @@ def _block_bytes(keys: str, data: str) -> Column:
     return F.octet_length(data) + F.octet_length(F.concat_ws("", F.col(keys).cast("array<string>")))
 
 
-#: Parts at most that the meetings of one group's blocks are dealt to.
-MEETINGS = 64
+#: Parts at most that the meetings of one group's blocks are dealt to, and left blocks that are worth a part.
+MEETINGS, MEETING_BLOCKS = 64, 16
 
 
 def _meet(left: DataFrame, right: DataFrame, key: str, vector: str, group: str | None, block: int, pick: Callable[[pa.Array, pa.Array, np.ndarray], list[pa.Array]], schema: str) -> DataFrame:
     """What `pick` makes of the keys and rounded inner products of each two blocks, of one group if there's a group column.
 
     A group's rows are packed by as many tasks as it fills blocks. Each left block goes to one of up to MEETINGS
-    parts of its group and the right ones to all of them, so that a hot group's meetings aren't one task's.
+    parts of its group, a part for every MEETING_BLOCKS, and the right ones to all of them, so that a hot group's
+    meetings aren't one task's.
     Without groups the right side, or else the left, is sent to every task if it is small, which is counted.
     """
     names = [field.split()[0] for field in schema.split(", ")]
@@ -116,7 +117,7 @@ def _meet(left: DataFrame, right: DataFrame, key: str, vector: str, group: str |
     ours = _blocks(left, key, "pos", vector, block, group and "grp").select("grp", F.col("keys").alias("ka"), F.col("data").alias("da"))
     theirs = _blocks(right, key, "pos", vector, block, group and "grp").select("grp", F.col("keys").alias("kb"), F.col("data").alias("db"))
     if group:
-        spread = F.least(F.col("grp.parts"), F.lit(MEETINGS))
+        spread = F.least(F.ceil(F.col("grp.parts") / MEETING_BLOCKS).cast("int"), F.lit(MEETINGS))
         met = ours.withColumn("part", F.pmod(F.xxhash64("ka"), spread).cast("int")).join(theirs.withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1))), ["grp", "part"])
     elif _few(theirs, SENT_BLOCKS, _block_bytes("kb", "db")):
         met = ours.crossJoin(F.broadcast(theirs))

@@ -159,6 +159,7 @@ def test_a_stored_index_grows(spark, tmp_path):
 def test_similar_rows_by_small_blocks(spark, monkeypatch, group, sent_bytes):
     """However blocks are cut, dealt and sent, pairs and rows after a similar one are those of plain loops."""
     monkeypatch.setattr(retrieval, "SENT_BYTES", sent_bytes)
+    monkeypatch.setattr(retrieval, "MEETING_BLOCKS", 3)
     rng = np.random.default_rng(5)
     data = [(f"k{i}", "hot" if i % 4 else "rare", v.tolist()) for i, v in enumerate(rng.normal(size=(60, 3)))]
     left, right = (spark.createDataFrame(part, "id string, kind string, v array<double>").repartition(3) for part in (data, data[20:]))
