@@ -3,7 +3,7 @@
 Texts are made canonical line by line: A-Z lower-cased, copyright statements dropped, equivalent spellings
 made one, punctuation and spacing reduced to single spaces. The digest of a whole canonical text, and of
 each of its lines, is looked up by hash join in a table of digests of known texts and notices. The table
-is sent to every task if it has at most `table_rows` rows, which is counted, else joined by a shuffle.
+is sent to every task if it has at most `table_rows` rows of 32 MiB, which are counted, else joined by a shuffle.
 
 Defined results: a null, empty or wholly unlike text has license null and no notices; equal known texts
 give the least id; a line counts once for each text; extra columns are left out; rows with equal texts get
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinmill.llm.store import keep
+from skeinmill.llm.store import is_small, keep
 
 TABLE_ROWS = 100_000
 
@@ -126,7 +126,7 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | DataF
 def scan(docs: DataFrame, known: DataFrame | None = None, table_rows: int = TABLE_ROWS) -> DataFrame:
     """doc_id, digest, license (of the whole text), n_notices, notices (ids of known lines, sorted) for each row of docs."""
     known = known_digests(docs.sparkSession) if known is None else known
-    few = known.limit(table_rows + 1).count() <= table_rows
+    few = is_small(known, table_rows, "digest", "license")
     whole, notices = (known.where(F.col("kind") == k).select("digest", "license") for k in ("text", "notice"))
     send = F.broadcast if few else (lambda x: x)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -20,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinmill.llm.store import is_small
+
 SEED = 7
 PART = 32
-#: Sources whose table of quantiles is sent to every task at most; more are joined by a shuffle.
+#: Sources, of 32 MiB of names, whose table of quantiles (1 KB each) is sent to every task at most; more are joined by a shuffle.
 TABLE_ROWS = 10_000
 
 #: Poisson(m) as (k, log of its weight, sum of weights so far), from which the cumulative table is kept.
@@ -57,7 +59,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SE
     kept = [c for c in docs.columns if c not in ("mix_copy", "mix_copies")]
     by_source = rates(docs, weights).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART).cast("int"))).withColumn("part", F.col("rate") / F.col("parts"))
     by_source = by_source.select(F.col("source").alias("of"), "parts", F.expr(_TABLE).alias("quantiles"))
-    few = by_source.limit(table_rows + 1).count() <= table_rows
+    few = is_small(by_source, table_rows, "of")
     # The document is one struct, so that no name of its own meets those used here.
     rows = docs.select(F.struct(*kept).alias("row"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"))
     rows = rows.join(F.broadcast(by_source) if few else by_source, F.col("source").eqNullSafe(F.col("of")))

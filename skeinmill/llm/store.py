@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinmill.lineage import shared_dir
@@ -36,6 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a counted table's texts that are sent to every task at most.
+SENT_BYTES = 32 << 20
+
+
+def is_small(frame: DataFrame, rows: int, *texts: Column | str) -> bool:
+    """Whether a table has at most so many rows, with at most SENT_BYTES in these columns; only sizes of rows + 1 are gathered."""
+    size = sum((F.coalesce(F.octet_length(text), F.lit(0)) for text in texts), F.lit(0).cast("long"))
+    got = frame.select(size.alias("size")).limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    return got["n"] <= rows and got["bytes"] <= SENT_BYTES
+
+
 #: Rows of an Arrow batch at most where rows hold whole texts.
 BATCH_ROWS = 1000
 

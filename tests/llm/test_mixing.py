@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from skeinmill.llm import mixing
+from skeinmill.llm import mixing, store
 
 
 def quantile(u, mean):
@@ -58,3 +58,13 @@ def test_names_used_inside_may_be_a_documents_own(spark):
     got = mixing.mix(docs).collect()
     assert mixing.mix(docs).columns == [*docs.columns, "mix_copy", "mix_copies"]
     assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in own)
+
+
+def test_long_names_of_sources_are_not_sent(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "s" * (1 + 40 * (i % 2)), "t") for i in range(40)], "doc_id long, source string, text string")
+    want = [(r.doc_id, r.mix_copy) for r in mixing.mix(docs).collect()]
+    sources = docs.select("source").distinct()
+    assert store.is_small(sources, 2, "source") and not store.is_small(sources, 1, "source")
+    monkeypatch.setattr(store, "SENT_BYTES", 41)
+    assert not store.is_small(sources, 2, "source") and store.is_small(sources.limit(0), 0, "source")
+    assert [(r.doc_id, r.mix_copy) for r in mixing.mix(docs).collect()] == want
