@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinmill.llm import grams as g
-from skeinmill.llm.store import forget, keep, map_batches
+from skeinmill.llm.store import forget, keep, map_batches, named
 
 WINDOW = 10
 K = 5
@@ -281,9 +281,12 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     index = small_index(windows, window, k, sent_bytes)
     if index is None:
         doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+        own = "_row"
+        while own in docs.columns:
+            own += "_"
         rows = _joined_rows(docs.select(doc_id.alias("doc_id"), text.alias("text")), windows, window, k)
-        dirty = rows.where("contaminated").select(F.col("row").alias("_row")).distinct()
-        return docs.withColumn("_row", _row_hash(doc_id, text)).join(dirty, "_row", "left_anti").select(*docs.columns)
+        dirty = rows.where("contaminated").select(F.col("row").alias(own)).distinct()
+        return docs.withColumn(own, _row_hash(doc_id, text)).join(dirty, own, "left_anti").select(*named(docs.columns))
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

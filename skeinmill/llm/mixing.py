@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinmill.llm.store import is_small
+from skeinmill.llm.store import is_small, named
 
 SEED = 7
 PART = 32
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SE
     by_source = by_source.select(F.col("source").alias("of"), "parts", F.expr(_TABLE).alias("quantiles"))
     few = is_small(by_source, table_rows, "of")
     # The document is one struct, so that no name of its own meets those used here.
-    rows = docs.select(F.struct(*kept).alias("row"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"))
+    rows = docs.select(F.struct(*named(kept)).alias("row"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"))
     rows = rows.join(F.broadcast(by_source) if few else by_source, F.col("source").eqNullSafe(F.col("of")))
     number = _uniform(repr(str(seed)), "id", "p")
     drawn = f"aggregate(sequence(1, parts), 0, (a, p) -> a + transform(array({number}), u -> size(filter(quantiles, c -> c <= u)))[0])"

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from skeinmill.llm import grams as g
 from skeinmill.llm.components import components, extended
-from skeinmill.llm.store import forget, keep, map_batches
+from skeinmill.llm.store import forget, keep, map_batches, named
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 48, 6
@@ -259,7 +259,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, without those that another one of their group stands for."""
     gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(docs.columns))
 
 
 ORACLE = r"""

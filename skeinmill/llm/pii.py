@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinmill.llm.spans import find_spans, let
-from skeinmill.llm.store import keep
+from skeinmill.llm.store import keep, named
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Distinct known tokens that a pattern needs, and the share of its tokens that they make.
@@ -159,7 +159,7 @@ def _joined(spans: Column) -> Column:
 
 def _with_spans(docs: DataFrame, support: int, confidence: float, whole: bool) -> tuple[DataFrame, DataFrame]:
     """(a row of base spans for each row of docs, with that row if it is asked for; a row of added spans for each text that has some)"""
-    rows = [F.struct(*docs.columns).alias("row")] if whole else []
+    rows = [F.struct(*named(docs.columns)).alias("row")] if whole else []
     own = docs.select(*rows, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("cls", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     found = _occurrences(base_spans(own))

@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 #: Bytes of a counted table's texts that are sent to every task at most.
 SENT_BYTES = 32 << 20
 
@@ -56,7 +61,10 @@ def map_batches(frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]],
     """mapInArrow with batches of BATCH_ROWS rows at most, which bounds what the JVM and Python hold of them.
 
     Spark reads the limit when the plan runs, so it is set for the session, unless that has a lower one.
+    mapInArrow can't take names with dots or backticks; a frame with such gets plain ones, so that functions go by place.
     """
+    if any(c in name for name in frame.columns for c in ".`"):
+        frame = frame.toDF(*(f"c{i}" for i in range(len(frame.columns))))
     conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))

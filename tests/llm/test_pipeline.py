@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from skeinmill.llm import mixing, neardup, pii
+from skeinmill.llm import decontaminate, mixing, neardup, pii, toxicity
 from tests.llm.test_mixing import count
 from tests.llm.test_neardup import brute
 
@@ -89,3 +89,16 @@ def test_queries_are_registered():
 @pytest.mark.parametrize("module", [neardup, mixing, pii])
 def test_docstrings_state_the_edge_cases(module):
     assert "Defined results" in module.__doc__
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "call a@b.cd now", "x", "p"), (2, "one two three four five six seven eight nine ten", "y", "q"), (3, None, None, None)], ["doc_id", "text", "dotted.name", "_row"])
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    asked = "`dotted.name`"
+    kept = [decontaminate.without_hits(docs, bench, sent_bytes=n) for n in (decontaminate.SENT_BYTES, 0)]
+    for out in kept:
+        assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect())[0][1:] == ("call a@b.cd now", "x", "p") and out.count() == 2
+    assert sorted(r[0] or "" for r in neardup.one_of_each(docs).select(asked).collect()) == ["", "x", "y"]
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and [tuple(r) for r in clean.where("doc_id = 1").collect()] == [(1, "call [EMAIL] now", "x", "p")]
+    assert toxicity.without_toxic(docs, None).select(asked).count() == 3
