@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinmill.llm import chat, decontaminate, licences, mixing, neardup, pii, quality, repeats, secrets, toxicity
+from skeinmill.llm import bpe, chat, decontaminate, licences, mixing, neardup, pii, quality, repeats, secrets, toxicity
 from skeinmill.llm.store import table
 
 
@@ -65,9 +66,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The rank file of op11_bpe, and the pattern that cuts texts into words.
+_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path(_VOCABULARY), public_tokenizers.PATTERN)
+    rows = bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_neardup, op4_pii, op5_toxicity, op6_quality, op7_licences, op8_mixing, op9_repeats, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_neardup, op4_pii, op5_toxicity, op6_quality, op7_licences, op8_mixing, op9_repeats, op10_decontaminate, op11_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE, "op3_neardup": neardup.ORACLE, "op7_licences": licences.ORACLE, "op8_mixing": mixing.ORACLE, "op9_repeats": repeats.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op3_neardup": neardup.ORACLE, "op7_licences": licences.ORACLE, "op8_mixing": mixing.ORACLE, "op9_repeats": repeats.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_bpe": bpe.oracle(public_tokenizers.path(_VOCABULARY))}
