@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinmill.llm import bpe, chat, decontaminate, licences, mixing, neardup, pii, quality, repeats, secrets, toxicity
+from skeinmill.llm import bpe, chat, decontaminate, licences, mixing, neardup, pii, quality, ranked, repair, repeats, secrets, toxicity
 from skeinmill.llm.store import table
 
 
@@ -76,9 +76,18 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_neardup, op4_pii, op5_toxicity, op6_quality, op7_licences, op8_mixing, op9_repeats, op10_decontaminate, op11_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_neardup, op4_pii, op5_toxicity, op6_quality, op7_licences, op8_mixing, op9_repeats, op10_decontaminate, op11_bpe, op12_repair, op13_ranked)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE, "op3_neardup": neardup.ORACLE, "op7_licences": licences.ORACLE, "op8_mixing": mixing.ORACLE, "op9_repeats": repeats.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_bpe": bpe.oracle(public_tokenizers.path(_VOCABULARY))}
+    return {"op2_chat": chat.ORACLE, "op3_neardup": neardup.ORACLE, "op7_licences": licences.ORACLE, "op8_mixing": mixing.ORACLE, "op9_repeats": repeats.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_bpe": bpe.oracle(public_tokenizers.path(_VOCABULARY)), "op12_repair": repair.ORACLE, "op13_ranked": ranked.ORACLE}
