@@ -1,25 +1,26 @@
 """Dense and lexical retrieval for whole tables of queries.
 
-Ranks are explicit: by score, then corpus order. Scores are rounded to PLACES before ranking, because
-sums of doubles depend on their order, which no cluster promises.
+Ranks are explicit: by score, then corpus order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinmill.functions.text import words
-from skeinmill.lineage import cut
+from skeinmill.lineage import shared_dir
+from skeinmill.operators import lexical
+from skeinmill.operators.ranking import PLACES, SENT_BYTES, few, top_k
 
-PLACES = 9
 BLOCK = 1024
 
 
@@ -75,14 +76,12 @@ def _blocks(rows: DataFrame, key: str, pos: str, vector: str, block: int, group:
     return wide.mapInArrow(pack, f"keys array<{kinds[key]}>, places array<long>, data binary, grp {kinds['grp']}")
 
 
-#: Rows, and bytes of them, that are sent to every task at most; both are counted, and more are shuffled.
-SENT_BLOCKS, SENT_TERMS, SENT_BYTES = 64, 100_000, 64 << 20
+#: Blocks that are sent to every task at most; they are counted, and more are shuffled.
+SENT_BLOCKS = 64
 
 
 def _few(rows: DataFrame, n: int, size: Column) -> bool:
-    """Whether there are n rows at most, of SENT_BYTES at most; only the sizes of n + 1 rows are gathered."""
-    got = rows.select(size.alias("size")).limit(n + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    return got["n"] <= n and got["bytes"] <= SENT_BYTES
+    return few(rows, n, size, SENT_BYTES)
 
 
 def _block_bytes(keys: str, data: str) -> Column:
@@ -193,111 +192,16 @@ def index_size(corpus: DataFrame, vector: str | None = "embedding") -> DataFrame
     return corpus.agg(F.count("*" if vector is None else vector).alias("n"))
 
 
-def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "pos") -> DataFrame:
-    """The k best rows of each group with their rank from 1."""
-    order = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
-
-
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: term, chunk_id, pos, tf, dl; terms: term, idf; one row: n, avgdl) of (chunk_id, pos, text).
-
-    A term in more than half of the chunks would have a negative weight; it gets EPSILON times the mean weight.
-    """
-    tokens = chunks.select("chunk_id", "pos", words(F.coalesce("text", F.lit("")), lower=True).alias("ts")).withColumn("dl", F.size("ts"))
-    postings = tokens.select("chunk_id", "pos", "dl", F.explode("ts").alias("term")).groupBy("term", "chunk_id", "pos", "dl").agg(F.count("*").alias("tf"))
-    return _index(postings, tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-
-
-def bm25_add(stored: tuple[DataFrame, DataFrame, DataFrame], chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The index of the stored one's chunks and of further ones, which are read alone; chunks of the stored index aren't given again."""
-    more = bm25_index(chunks)
-    postings = stored[0].unionByName(more[0])
-    n = stored[2].select("n").unionByName(more[2].select("n")).agg(F.sum("n").alias("n"))
-    corpus = n.crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("size"))).select("n", F.try_divide("size", "n").alias("avgdl"))
-    return _index(postings, corpus)
-
-
-def _index(postings: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = terms.agg(F.avg("raw").alias("mean"))
-    terms = terms.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return postings, terms, corpus
-
-
-def _asked(queries: DataFrame, query_text: str) -> tuple[DataFrame, DataFrame]:
-    """((query_id, term, times), the distinct terms), both sent to every task if the terms are few and short, which are counted."""
-    asked = queries.select("query_id", F.explode(words(query_text, lower=True)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    distinct = asked.select("term").distinct()
-    few = _few(asked, SENT_TERMS, F.octet_length("term") + F.octet_length(F.col("query_id").cast("string")))
-    return (F.broadcast(asked), F.broadcast(distinct)) if few else (asked, distinct)
-
-
-def _weight(avgdl: Column) -> Column:
-    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-
-
-def _best(hits: DataFrame, avgdl: Column, k: int) -> DataFrame:
-    scored = hits.groupBy("query_id", "chunk_id", "pos").agg(F.round(F.sum(F.col("times") * _weight(avgdl)), PLACES).alias("score"))
-    return top_k(scored, k).where("score > 0")
-
-
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, query_text: str = "query") -> DataFrame:
-    """(query_id, chunk_id, pos, score, rank): the k best chunks with a positive score; a repeated query word counts again.
+    """(query_id, chunk_id, pos, score, rank): the k best chunks with a positive score, without a stored index.
 
-    Without a stored index. Of the corpus only counts of terms, combined before the shuffle, and the words
-    that some query asks for are shuffled: others are left out where they are read.
+    Chunks (chunk_id, pos, text) are indexed in the shared folder first, which reads their texts once; searched is as in `lexical`.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    asked, distinct = _asked(queries, query_text)
-    tokens = chunks.select("chunk_id", "pos", words(F.coalesce("text", F.lit("")), lower=True).alias("ts")).withColumn("dl", F.size("ts"))
-    # The null term stands for all chunks, so that one pass counts terms, chunks and words.
-    seen = tokens.select("dl", F.explode(F.concat(F.array_distinct("ts"), F.array(F.lit(None).cast("string")))).alias("term"))
-    counts = cut(seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words")))
-    corpus = counts.where("term is null").first()
-    n, avgdl = (corpus["df"], corpus["words"] / corpus["df"]) if corpus else (0, None)
-    terms = counts.where("term is not null").select("term", (F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = terms.agg(F.avg("raw")).first()[0]
-    terms = terms.join(distinct, "term").select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean if mean is not None else None)).otherwise(F.col("raw")).alias("idf"))
-    found = tokens.select("chunk_id", "pos", "dl", F.explode("ts").alias("term")).join(distinct, "term")
-    found = found.groupBy("term", "chunk_id", "pos", "dl").agg(F.count("*").alias("tf"))
-    return _best(found.join(asked, "term").join(terms, "term"), F.lit(avgdl).cast("double"), k)
-
-
-def bm25_ranked(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int = 20, query_text: str = "query") -> DataFrame:
-    """What bm25_top_k gives, from an index, of which only postings of asked terms are shuffled."""
-    if k <= 0:
-        raise ValueError("k must be positive")
-    postings, terms, corpus = index
-    asked, distinct = _asked(queries, query_text)
-    hits = postings.join(distinct, "term").join(asked, "term").join(terms.join(distinct, "term"), "term")
-    row = corpus.first()
-    return _best(hits, F.lit(row["avgdl"] if row else None).cast("double"), k)
-
-
-def bm25_store(index: tuple[DataFrame, DataFrame, DataFrame], path: str, buckets: int = 64) -> None:
-    """Writes an index: postings in files by a hash of their term, so that a search reads the parts of its terms only."""
-    postings, terms, corpus = index
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    postings.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").mode("append").parquet(f"{path}/postings")
-    terms.write.mode("overwrite").parquet(f"{path}/terms")
-    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-
-
-def bm25_load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus")
-
-
-def bm25_append(spark: SparkSession, path: str, chunks: DataFrame, buckets: int = 64) -> None:
-    """Adds a batch to a stored index: its postings are appended, and the statistics replaced by those of all; stored texts aren't read."""
-    stored = bm25_load(spark, path)
-    grown = bm25_add(stored, chunks)
-    terms, corpus = cut(grown[1]), cut(grown[2])
-    bm25_store((bm25_index(chunks)[0], terms, corpus), path, buckets)
+    spark = chunks.sparkSession
+    index = lexical.append(spark, f"{shared_dir(spark)}/skeinmill/lexical-{uuid.uuid4().hex}", chunks, "all")
+    return lexical.search(queries, index, k, query_text)
 
 
 def reciprocal_rank_fusion(arms: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
@@ -341,15 +245,16 @@ def rerank(candidates: DataFrame, k: int, scorer: Callable[[str, str], float] |
     return top_k(rows, k, tie="before").select("query_id", "chunk_id", "score", "rank")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int = 20, weights: tuple[float, float] = (0.6, 0.4), rrf_k: int = 60, reranked: bool = False, scorer: Callable[[str, str], float] | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int = 20, weights: tuple[float, float] = (0.6, 0.4), rrf_k: int = 60, reranked: bool = False, scorer: Callable[[str, str], float] | None = None, vectors: DataFrame | None = None, index: lexical.Index | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): both arms fused, and reranked if asked.
 
     Queries hold query_id, query and embedding, chunks chunk_id, pos and text, and embedding unless `vectors`
-    has it with chunk_id and pos. Without a
+    has it with chunk_id and pos. The lexical arm asks `index`, a stored one of the chunks, if it's given. Without a
     reranker each arm gives k rows; with one, the greater of k and `candidates`, which the scorer sees.
     """
     wide = max(k, candidates) if reranked else k
-    fused = reciprocal_rank_fusion([(dense_top_k(queries, chunks if vectors is None else vectors, wide), weights[0]), (bm25_top_k(queries, chunks, wide), weights[1])], rrf_k)
+    sparse = bm25_top_k(queries, chunks, wide) if index is None else lexical.search(queries, index, wide)
+    fused = reciprocal_rank_fusion([(dense_top_k(queries, chunks if vectors is None else vectors, wide), weights[0]), (sparse, weights[1])], rrf_k)
     if not reranked:
         return fused.where(F.col("rank") <= k)
     pool = fused.where(F.col("rank") <= wide).join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")

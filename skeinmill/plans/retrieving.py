@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from skeinmill.functions.text import family
 from skeinmill.functions.vectors import norm, normalize
 from skeinmill.lineage import cut, shared_dir
-from skeinmill.operators import generation, metrics, retrieval
+from skeinmill.operators import generation, lexical, metrics, retrieval
 from skeinmill.plans.registry import query, table
+from skeinmill.sinks import manifest
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,27 +27,33 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(corpus(spark, sf_dir).select("pos"), "pos", "left_semi")
 
 
+def lexicon(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored index of the documents, which all queries share; another one once a file of the table is written anew."""
+    state = hashlib.md5(manifest.listing(spark, f"{sf_dir}/documents.parquet").encode()).hexdigest()
+    return lexical.append(spark, f"{shared_dir(spark)}/skeinmill/lexicon-{state}", corpus(spark, sf_dir), state)
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items, each with the vector of its number, relevant to a family of documents."""
+    """Benchmark items, each with the vector of its number if there is one, relevant to a family of documents."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    rows = items.join(table(spark, sf_dir, "embeddings").selectExpr("vec_id as item_id", "embedding"), "item_id")
+    rows = items.join(table(spark, sf_dir, "embeddings").selectExpr("vec_id as item_id", "embedding"), "item_id", "left")
     return rows.selectExpr("item_id as query_id", "query", "embedding", "array(concat('en/src', cast(item_id % 20 as string)), concat('fr/src', cast(item_id % 20 as string))) as prefixes")
 
 
-_ASKED = "SELECT b.item_id AS query_id, text AS query, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id"
+_ASKED = "SELECT b.item_id AS query_id, text AS query, e.embedding FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id"
 _INDEX = r"""
 tok AS (SELECT doc_id AS pos, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ts FROM documents),
 post AS (SELECT pos, len(ts) AS dl, term, count(*) AS tf FROM (SELECT pos, ts, unnest(ts) AS term FROM tok) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * avg(r) OVER () ELSE r END AS idf FROM raw)"""
 _BM25 = rf"""
 q AS ({_ASKED}), asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '\s+')) AS term FROM q) WHERE term <> '' GROUP BY ALL),
 {_INDEX},
 sc AS (SELECT query_id, pos, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM asked JOIN idf USING (term) JOIN post USING (term), st GROUP BY ALL),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM sc) WHERE rank <= {{k}} AND score > 0)"""
 _DENSE = """
-dsc AS (SELECT q.query_id, e.vec_id AS pos, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM q, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents)),
+dsc AS (SELECT q.query_id, e.vec_id AS pos, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM q, embeddings e WHERE q.embedding IS NOT NULL AND e.vec_id IN (SELECT doc_id FROM documents)),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM dsc) WHERE rank <= {k})"""
 _FUSED = """
 arms AS (SELECT query_id, pos, rank, 0 AS arm, 0.6 AS w FROM dense UNION ALL SELECT query_id, pos, rank, 1, 0.4 FROM sparse),
@@ -55,21 +63,23 @@ fused AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id
 
 @query(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_index(corpus(spark, sf_dir).select("chunk_id", "pos", "text"))[1].select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.terms(lexicon(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(rf"WITH {_BM25.format(k=10)} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM sparse")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_top_k(asked(spark, sf_dir), corpus(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return lexical.search(asked(spark, sf_dir), lexicon(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(rf"WITH {_BM25.format(k=10)} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM sparse")
 def bm25_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches of chunks, the second appended to the stored index of the first, answer as one does."""
-    chunks, path = corpus(spark, sf_dir), f"{shared_dir(spark)}/skeinmill/bm25-{uuid.uuid4().hex}"
-    retrieval.bm25_store(retrieval.bm25_index(chunks.where("pos % 2 = 0")), path, 8)
-    retrieval.bm25_append(spark, path, chunks.where("pos % 2 = 1"), 8)
-    return retrieval.bm25_ranked(asked(spark, sf_dir), retrieval.bm25_load(spark, path), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    """Three batches, one of them given twice and two of them compacted, answer as one does."""
+    chunks, path = corpus(spark, sf_dir), f"{shared_dir(spark)}/skeinmill/lexical-{uuid.uuid4().hex}"
+    for part in (0, 1, 1):
+        lexical.append(spark, path, chunks.where(f"pos % 3 = {part}"))
+    lexical.compact(spark, path)
+    index = lexical.append(spark, path, chunks.where("pos % 3 = 2"))
+    return lexical.search(asked(spark, sf_dir), index, 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(rf"WITH q AS ({_ASKED}), {_DENSE.format(k=20)} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM dense")
@@ -79,7 +89,7 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH {_BM25.format(k=5)}, {_DENSE.format(k=5)}, {_FUSED} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 9) AS score FROM fused WHERE rank <= 5")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 5, vectors=vectors(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
+    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 5, vectors=vectors(spark, sf_dir), index=lexicon(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
 _RERANKED = r"""
@@ -91,7 +101,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(rf"WITH {_BM25.format(k=20)}, {_DENSE.format(k=20)}, {_FUSED}, {_RERANKED} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM best")
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 10, 20, reranked=True, vectors=vectors(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 10, 20, reranked=True, vectors=vectors(spark, sf_dir), index=lexicon(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 _METRICS = """
@@ -117,14 +127,14 @@ def _judged(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
 
 @query(rf"WITH {_BM25.format(k=40)}, {_METRICS.format(arm='sparse', ks=_KS)} SELECT query_id, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM per")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir, retrieval.bm25_top_k(asked(spark, sf_dir), corpus(spark, sf_dir), 40))
+    rows = _judged(spark, sf_dir, lexical.search(asked(spark, sf_dir), lexicon(spark, sf_dir), 40))
     return rows.select("query_id", *(F.round(n, 6).alias(n) for n in _NAMES))
 
 
 def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metrics of the dense, the lexical and the fused pipeline in one tidy table."""
     queries, chunks = asked(spark, sf_dir), corpus(spark, sf_dir)
-    arms = {"dense": cut(retrieval.dense_top_k(queries, vectors(spark, sf_dir), 40)), "sparse": cut(retrieval.bm25_top_k(queries, chunks, 40))}
+    arms = {"dense": cut(retrieval.dense_top_k(queries, vectors(spark, sf_dir), 40)), "sparse": cut(lexical.search(queries, lexicon(spark, sf_dir), 40))}
     arms["hybrid"] = retrieval.reciprocal_rank_fusion([(arms["dense"], 0.6), (arms["sparse"], 0.4)]).where("rank <= 40")
     out = None
     for name, results in arms.items():
@@ -179,7 +189,7 @@ SELECT query_id, coalesce(context, '') AS context, coalesce(n, 0)::INT AS n_chun
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: questions, lexical retrieval, a context within its budget, and the message that asks."""
     queries, chunks = asked(spark, sf_dir), corpus(spark, sf_dir)
-    ranked = retrieval.bm25_top_k(queries, chunks, 10).join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
+    ranked = lexical.search(queries, lexicon(spark, sf_dir), 10).join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
     contexts = generation.assemble(ranked, 6000).join(queries.select("query_id", "query"), "query_id")
     return contexts.select("query_id", "context", F.size("chunks").alias("n_chunks"), generation.user_message(F.col("query"), F.col("context")).alias("message"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 
 import numpy as np
 import pytest
@@ -129,31 +128,6 @@ def test_similar_pairs_within_a_type_are_whole(spark, tmp_path):
     assert got.keys() == want.keys() and any(a % 10 for a, _ in want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
-def test_added_batches_answer_as_one(spark, chunks):
-    queries = spark.createDataFrame([(1, "machine learning"), (2, "fire with networks")], "query_id int, query string")
-    index = retrieval.bm25_index(chunks.limit(0))
-    for i in range(len(TEXTS)):
-        index = retrieval.bm25_add(index, chunks.where(f"pos = {i}"))
-    assert sorted(index[1].collect()) == sorted(retrieval.bm25_index(chunks)[1].collect()) and index[2].first() == retrieval.bm25_index(chunks)[2].first()
-    assert sorted(retrieval.bm25_ranked(queries, index, 5).collect()) == sorted(retrieval.bm25_top_k(queries, chunks, 5).collect())
-
-
-def test_a_stored_index_grows(spark, tmp_path):
-    rng = random.Random(3)
-    vocabulary = [f"w{i}" for i in range(60)] + ["The", "the"]
-    chunks = [(f"c{i}", i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 30)))) for i in range(90)] + [("null", 90, None)]
-    frame = spark.createDataFrame(chunks, "chunk_id string, pos long, text string")
-    queries = spark.createDataFrame([(i, " ".join(rng.choice([*vocabulary, "unknown"]) for _ in range(5))) for i in range(12)] + [(99, "")], "query_id int, query string")
-    path = str(tmp_path / "index")
-    retrieval.bm25_store(retrieval.bm25_index(frame.where("pos < 30")), path, 4)
-    retrieval.bm25_append(spark, path, frame.where("pos >= 30 and pos < 70"), 4)
-    retrieval.bm25_append(spark, path, frame.where("pos >= 70"), 4)
-    want = sorted(map(tuple, retrieval.bm25_top_k(queries, frame, 8).select("query_id", "chunk_id", "score", "rank").collect()))
-    got = sorted(map(tuple, retrieval.bm25_ranked(queries, retrieval.bm25_load(spark, path), 8).select("query_id", "chunk_id", "score", "rank").collect()))
-    assert got == want and len(want) > 60
-    assert retrieval.bm25_top_k(queries, frame.limit(0), 8).count() == 0 and retrieval.bm25_top_k(queries.limit(0), frame, 8).count() == 0
-
-
 @pytest.mark.parametrize("group", [None, "kind"])
 @pytest.mark.parametrize("sent_bytes", [1 << 20, 0])
 def test_similar_rows_by_small_blocks(spark, monkeypatch, group, sent_bytes):
