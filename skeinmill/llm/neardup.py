@@ -5,7 +5,7 @@ the least of an exponentially distributed hash over the set, truncated to floor(
 values are exponentially spaced. Registers of a union are the larger ones of the parts, and equal with a
 probability close to the Jaccard similarity.
 
-1. Equal texts are one class, of which the least doc_id is worked on.
+1. Equal texts are one class, numbered, of which one sketch is worked on.
 2. ROWS successive registers are a band; classes that agree on a band are candidates. A pair at the
    threshold is missed by all bands with a probability of (1 - 0.8**6)**48, about 5e-7.
 3. Similarity of a candidate pair is estimated jointly from how many registers are larger, smaller and
@@ -22,7 +22,11 @@ that components are those of all links among candidates.
 
 Defined results: a document without words, or a null text, has an empty set and is linked with nothing;
 one of fewer than four words has its whole sequence as one shingle; a null doc_id is linked with nothing
-and kept, with a null component; rows that share a doc_id are one node, and all get its component.
+and kept, with a null component. Rows that share a doc_id are one node: it is linked by each of its texts, and those of its
+rows that have words get its component. `one_of_each` goes by texts instead, so that none is lost when the text that
+stands for it goes: of each group of linked texts, not joined by doc_ids, one row stays, of the least doc_id and then the
+least digest; rows without words and of null doc_id all stay; of rows alike in doc_id and text one stays, that of
+the least hash of all columns.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinmill.llm import grams as g
@@ -158,17 +162,57 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterato
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
+    rows, heads, roots = _grouped(docs, shingle, percent)
+    worded = rows.where("n > 0 and doc_id is not null")
+    by_doc = keep(worded.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "doc-classes")
+    # A doc_id with several texts links their classes.
+    shared = by_doc.where("lo < hi").select("doc_id", "lo")
+    roots = extended(roots, worded.join(shared, "doc_id").where("id != lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
+    placed = _rooted(heads, roots)
+    least = placed.groupBy("root").agg(F.min("head").alias("component"))
+    of_doc = by_doc.select("doc_id", F.col("lo").alias("id")).join(placed.select("id", "root"), "id").join(least, "root").select("doc_id", "component")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    return rows.join(of_doc, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _digest(text: Column) -> Column:
+    """The class of a text: 128 bits of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def _rooted(heads: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, cls, head, root) of all classes."""
+    return heads.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(each row's doc_id, class and set size, its class's number; the numbered classes that have words and a doc_id, with the least of these; roots of linked classes)"""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("cls"), text.alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("cls"), text.alias("text"))
     scanned = keep(map_batches(own, lambda it: _scan(it, shingle), "doc_id long, cls binary, n long, registers binary, bands array<long>"), "sketches")
-    heads = keep(scanned.groupBy("cls").agg(F.min("doc_id").alias("head")), "heads")
-    nodes = scanned.where("n > 0").join(heads, "cls").where("doc_id = head").dropDuplicates(["doc_id", "cls"]).select(F.col("doc_id").alias("id"), "n", "registers", "bands")
+    # One sketch of each class: copies are combined before the shuffle.
+    classes = scanned.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    nodes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    heads = keep(nodes.select("id", "cls", "head"), "heads")
+    rows = keep(scanned.select("doc_id", "cls", "n").join(heads.select("cls", "id"), "cls", "left"), "members")
+    forget(scanned)
+    roots = _roots(nodes, own, heads, shingle, percent)
+    forget(nodes)
+    return rows, heads, roots
+
+
+def _roots(nodes: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, root) of classes that are linked with another one."""
     bands = keep(nodes.select("id", "n", F.explode("bands").alias("key")), "bands")
     buckets = keep(bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "buckets")
     met = keep(bands.join(buckets, "key"), "met")
     busy = met.groupBy("id").agg(F.lit(1).alias("one")).drop("one")
-    drawn = keep(nodes.drop("bands").join(busy, "id"), "busy-sketches")
-    texts = keep(own.join(busy, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "cls"]).select(F.col("doc_id").alias("id"), "text"), "busy-texts")
+    drawn = keep(nodes.select("id", "n", "registers").join(busy, "id"), "busy-sketches")
+    # A class's text is that of a row of its least doc_id; other copies aren't shuffled.
+    wanted = keep(heads.join(busy, "id").select("id", "cls", "head"), "busy-classes")
+    texts = own.join(wanted.select("cls", "id", F.col("head").alias("doc_id")), ["doc_id", "cls"]).groupBy("id").agg(F.first("text").alias("text"))
+    texts = keep(texts, "busy-texts")
+    forget(wanted)
     forget(bands, buckets)
 
     first = met.where("id != least").groupBy(F.col("least").alias("a"), F.col("id").alias("b")).agg(F.lit(1).alias("one")).drop("one")
@@ -192,10 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     more = keep(_confirmed(_filtered(_rare_pairs(apart, shingles, percent), drawn, percent).select("a", "b"), texts, shingle, percent), "more-links")
     roots = extended(roots, more)
     forget(drawn, texts, shingles, shared, hubs, links, apart, more)
-
-    placed = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("cls", F.coalesce("root", "head").alias("component"))
-    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return scanned.select("doc_id", "cls", "n").join(placed, "cls").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return roots
 
 
 # What is joined by a bucket or a shingle, of which one may hold a large share of all rows, is written first:
@@ -257,9 +298,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, without those that another one of their group stands for."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*named(docs.columns))
+    """The documents, all columns: one row of each group of linked texts, and all rows without words or doc_id."""
+    rows, heads, roots = _grouped(docs, shingle, percent)
+    placed = _rooted(heads, roots)
+    stays = placed.groupBy("root").agg(F.min(F.struct("head", "cls")).alias("top")).select("top.head", "top.cls")
+    worded = rows.where("n > 0 and doc_id is not null").groupBy("doc_id", "cls").agg(F.count("*").alias("copies"))
+    gone = worded.join(stays, (worded["doc_id"] == stays["head"]) & (worded["cls"] == stays["cls"]), "left_anti").select("doc_id", "cls", F.lit(False).alias("repeated"))
+    repeated = worded.where("copies > 1").join(stays, (worded["doc_id"] == stays["head"]) & (worded["cls"] == stays["cls"]), "left_semi").select("doc_id", "cls", F.lit(True).alias("repeated"))
+    told = keep(gone.unionByName(repeated), "gone").select(F.col("doc_id").alias("_doc_id"), F.col("cls").alias("_cls"), "repeated")
+    # Columns of any name: rows travel as one column, beside their key.
+    columns = named(docs.columns)
+    whole = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), _digest(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_cls"))
+    single = whole.join(told, ["_doc_id", "_cls"], "left_anti").select("_row")
+    first = whole.join(told.where("repeated"), ["_doc_id", "_cls"], "left_semi").groupBy("_doc_id", "_cls").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
+    return single.unionByName(first).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -123,3 +124,40 @@ def test_components_with_further_edges(spark):
     whole = plain(components(frame(edges)))
     for cut in (0, 90, 200):
         assert plain(extended(components(frame(edges[:cut])), frame(edges[cut:]))) == whole
+
+
+def by_texts(rows):
+    """What one_of_each keeps: of each group of texts linked by similarity one (doc_id, text), and all rows without words or doc_id."""
+    texts = sorted({x for d, x in rows if d is not None and shingles(x)})
+    groups = {}
+    for position, _, component in brute(list(enumerate(texts))):
+        groups.setdefault(component, []).append(texts[position])
+    out = [(d, x) for d, x in rows if d is None or not shingles(x)]
+    for group in groups.values():
+        least = min(d for d, x in rows if d is not None and x in group)
+        out.append(min(((least, x) for x in group if (least, x) in rows), key=lambda r: hashlib.sha256(r[1].encode()).digest()[:16]))
+    return sorted(out, key=repr)
+
+
+def test_rows_that_share_a_doc_id_lose_no_text(spark):
+    t1, t2 = "one two three four five", "six seven eight nine ten"
+    rows = [(3, t2), (7, t1), (7, t2), (9, t1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in neardup.near_duplicates(docs).collect()} == {3}
+    kept = sorted(map(tuple, neardup.one_of_each(docs).collect()))
+    assert kept == [(3, t2), (7, t1)] == by_texts(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_tables_with_repeated_ids(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(40)]), x) for _, x in corpus(seed, 5, 12)] + [(rng.randrange(40), rng.choice([None, "", " "])) for _ in range(15)]
+    rows += rng.choices(rows, k=15)
+    docs = spark.createDataFrame([(d, x, k) for k, (d, x) in enumerate(rows)], ["doc_id", "text", "a.b"], verifySchema=False).repartition(4)
+    got = neardup.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=repr) == by_texts(rows)
+    for text in {x for _, x in rows}:
+        assert any(len(shingles(x) & shingles(text)) or x == text for _, x in map(lambda r: (r[0], r[1]), kept.collect())) or not shingles(text)
