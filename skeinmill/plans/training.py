@@ -12,6 +12,7 @@ from skeinmill.lineage import shared_dir
 from skeinmill.operators import dataset, generation, judging, metrics, prompting, seeding
 from skeinmill.operators.numbering import numbered
 from skeinmill.plans.registry import SQL, query, table
+from skeinmill.sinks.files import append_text
 from skeinmill.sources.files import read_checkpoint
 from skeinmill.streaming.ingest import windowed_counts
 
@@ -436,11 +437,12 @@ def pool_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id AS key, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations WHERE turn % 5 <> 3 GROUP BY conv_id")
 def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a run written line by line, some broken off or blank: of each key the last whole one counts."""
+    """Rows of a run written line by line in several appends, some lines broken off: of each key the last whole one counts."""
     rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "to_json(named_struct('key', conv_id, 'turn', turn, 'role', role)) as line")
-    lines = rows.selectExpr("conv_id", "turn", "explode(if(turn % 5 = 3, array(left(line, 9), ''), array(line))) as line").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     path = f"{shared_dir(spark)}/skeinmill/checkpoint-{uuid.uuid4().hex}"
-    lines.select("line").write.text(path)
+    for part in ("turn < 2", "turn between 2 and 3", "turn >= 4"):
+        lines = rows.where(part).selectExpr("conv_id", "turn", "explode(if(turn % 5 = 3, array(left(line, 9), ''), array(line))) as line")
+        append_text(lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("line"), path)
     return read_checkpoint(spark, path, "key bigint, turn bigint, role string", "key")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinmill.operators.seeding import preview
+from skeinmill.sinks import manifest
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -16,9 +17,20 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     chunks.write.mode(mode).partitionBy("strategy").parquet(path)
 
 
-def append_lines(rows: DataFrame, path: str) -> None:
-    """One JSON object a line, added to what's there."""
-    rows.write.mode("append").json(path)
+def append_text(lines: DataFrame, path: str, batch: int | None = None) -> int:
+    """Lines of a text column, as a batch after those that are there, and its number, by which readers order lines.
+
+    A number is claimed before the batch is written, so that two writers don't share one, and a batch whose write broke off
+    leaves a gap. A caller that numbers batches itself, as a stream does, replaces a batch by giving its number again.
+    """
+    batch = manifest.claim(lines.sparkSession, path) if batch is None else batch
+    lines.write.mode("overwrite").text(f"{path}/batch={batch:08d}")
+    return batch
+
+
+def append_lines(rows: DataFrame, path: str, batch: int | None = None) -> int:
+    """Rows as JSON objects, one a line, appended as a batch."""
+    return append_text(rows.select(F.to_json(F.struct("*")).alias("value")), path, batch)
 
 
 def pool_lines(pool: DataFrame) -> DataFrame:

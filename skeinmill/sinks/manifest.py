@@ -47,6 +47,23 @@ def publish(spark: SparkSession, folder: str, content: dict, version: int) -> No
         raise RuntimeError(f"version {version} of {folder} has been published by another writer")
 
 
+def claim(spark: SparkSession, folder: str) -> int:
+    """The next number of a folder, which no other writer gets: its claim is a file that must not have been there."""
+    fs, claims = _path(spark, f"{folder}/_claims")
+    taken = [int(s.getPath().getName()) for s in fs.listStatus(claims)] if fs.exists(claims) else []
+    number = max(taken, default=-1) + 1
+    while True:
+        _, target = _path(spark, f"{folder}/_claims/{number:08d}")
+        if fs.createNewFile(target):
+            return number
+        number += 1
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _path(spark, path)
+    return fs.exists(target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, target = _path(spark, path)
     fs.delete(target, True)

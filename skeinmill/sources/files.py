@@ -70,15 +70,20 @@ SEED_CATEGORIES = ["general_cs", "adjacent_ml", "unrelated"]
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines with line, their number within a file; blank and broken lines are skipped."""
-    raw = spark.read.text(path).where(strip("value") != "").withColumn("line", F.monotonically_increasing_id())
+    raw = spark.read.option("recursiveFileLookup", True).text(path).where(strip("value") != "").withColumn("line", F.monotonically_increasing_id())
     parsed = raw.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"})).where(F.try_parse_json("value").isNotNull())
     return parsed.select("row.*", "line")
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: str, key: Column | str) -> DataFrame:
-    """The last whole row of each key in files of JSON lines, by file name and place; blank and broken lines and rows without a key are skipped."""
-    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line")).alias("at")
-    raw = spark.read.text(path).select("value", at).where(F.try_parse_json("value").isNotNull())
+    """The last whole row of each key in files of JSON lines; blank and broken lines and rows without a key are skipped.
+
+    Later is what has the greater batch number in its path, then the later file by name, then the later line;
+    files outside of a batch come first.
+    """
+    batch = F.coalesce(F.regexp_extract("_metadata.file_path", r"/batch=([0-9]+)/", 1).try_cast("long"), F.lit(-1).cast("long")).alias("batch")
+    at = F.struct(batch, F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line")).alias("at")
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select("value", at).where(F.try_parse_json("value").isNotNull())
     rows = raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("row"), "at").select("row", "at", "row.*")
     rows = rows.select("row", "at", (F.col(key) if isinstance(key, str) else key).alias("key")).where("key is not null")
     return rows.groupBy("key").agg(F.max_by("row", "at").alias("row")).select("row.*")

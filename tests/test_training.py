@@ -213,6 +213,25 @@ def test_checkpoints_with_broken_lines(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, "newest"), (3, None), (4, None)]
 
 
+def test_the_last_append_of_a_key_wins(spark, tmp_path):
+    """Whatever the names of its files: of two and of ten appends, over twenty runs, the last one counts; broken lines don't."""
+    row = lambda k, v: spark.createDataFrame([(k, v)], "k int, v string")
+    for run in range(20):
+        path = str(tmp_path / f"run{run}")
+        appends = 10 if run == 0 else 2
+        numbers = [sinks.append_lines(row(1, f"v{i}").unionByName(row(2 + i, "own")).repartition(1 + i % 3), path) for i in range(appends)]
+        assert numbers == list(range(appends))
+        got = {r.k: r.v for r in files.read_checkpoint(spark, path, "k int, v string", "k").collect()}
+        assert got == {1: f"v{appends - 1}"} | {2 + i: "own" for i in range(appends)}
+    sinks.append_text(spark.createDataFrame([('{"k": 1, "v": "las',), ("",)], "value string"), path)
+    (tmp_path / "run19/old.json").write_text('{"k": 1, "v": "before all"}\n{"k": 99, "v": "kept"}\n')
+    got = {r.k: r.v for r in files.read_checkpoint(spark, path, "k int, v string", "k").collect()}
+    assert got[1] == "v1" and got[99] == "kept"
+    # A batch that is written again takes its own place, not the last one.
+    sinks.append_lines(row(1, "late"), path, batch=0)
+    assert {r.k: r.v for r in files.read_checkpoint(spark, path, "k int, v string", "k").collect()}[1] == "v1"
+
+
 def test_reports_and_assembled_pools(spark):
     checked = spark.createDataFrame([(True, True, 2), (True, False, 1), (False, False, 0)], "any_marker boolean, all_in_range boolean, n_markers int")
     report = metrics.citation_report(checked)
