@@ -83,19 +83,25 @@ def sketch(elements: np.ndarray) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, class, set size, registers, bands)"""
+    """(doc_id, class, set size, registers)"""
     for batch in g.pieces(batches, 2):
         words = g.words_of(batch.column(2), lower=True)
         elements, ptr = shingle_sets(words, n)
         sizes = np.diff(ptr)
         registers = [sketch(elements[a:b]) if b > a else None for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
-        some = [r for r in registers if r is not None]
-        bands = _bands(np.stack(some)) if some else np.zeros((0, BANDS), np.int64)
-        counts = np.array([0 if r is None else BANDS for r in registers], np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([None if r is None else r.tobytes() for r in registers], pa.binary()), g.list_column(bands.ravel(), counts, pa.int64())],
-            names=["doc_id", "cls", "n", "registers", "bands"],
-        )
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([None if r is None else r.tobytes() for r in registers], pa.binary())], names=["doc_id", "cls", "n", "registers"]
+        )
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, key) for each band of each class; reads (id, n, registers)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
+            keys = _bands(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS))
+            at = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(keys.ravel())], names=["id", "n", "key"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -168,7 +174,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # A doc_id with several texts links their classes.
     shared = by_doc.where("lo < hi").select("doc_id", "lo")
     roots = extended(roots, worded.join(shared, "doc_id").where("id != lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
-    placed = _rooted(heads, roots)
+    placed = keep(_rooted(heads, roots), "rooted")
     least = placed.groupBy("root").agg(F.min("head").alias("component"))
     of_doc = by_doc.select("doc_id", F.col("lo").alias("id")).join(placed.select("id", "root"), "id").join(least, "root").select("doc_id", "component")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
@@ -189,9 +195,9 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     """(each row's doc_id, class and set size, its class's number; the numbered classes that have words and a doc_id, with the least of these; roots of linked classes)"""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("cls"), text.alias("text"))
-    scanned = keep(map_batches(own, lambda it: _scan(it, shingle), "doc_id long, cls binary, n long, registers binary, bands array<long>"), "sketches")
+    scanned = keep(map_batches(own, lambda it: _scan(it, shingle), "doc_id long, cls binary, n long, registers binary"), "sketches")
     # One sketch of each class: copies are combined before the shuffle.
-    classes = scanned.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    classes = scanned.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     nodes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     heads = keep(nodes.select("id", "cls", "head"), "heads")
     rows = keep(scanned.select("doc_id", "cls", "n").join(heads.select("cls", "id"), "cls", "left"), "members")
@@ -203,15 +209,15 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
 
 def _roots(nodes: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, root) of classes that are linked with another one."""
-    bands = keep(nodes.select("id", "n", F.explode("bands").alias("key")), "bands")
+    bands = keep(map_batches(nodes.select("id", "n", "registers"), _banded, "id long, n long, key long"), "bands")
     buckets = keep(bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "buckets")
     met = keep(bands.join(buckets, "key"), "met")
     busy = met.groupBy("id").agg(F.lit(1).alias("one")).drop("one")
     drawn = keep(nodes.select("id", "n", "registers").join(busy, "id"), "busy-sketches")
     # A class's text is that of a row of its least doc_id; other copies aren't shuffled.
     wanted = keep(heads.join(busy, "id").select("id", "cls", "head"), "busy-classes")
-    texts = own.join(wanted.select("cls", "id", F.col("head").alias("doc_id")), ["doc_id", "cls"]).groupBy("id").agg(F.first("text").alias("text"))
-    texts = keep(texts, "busy-texts")
+    texts = own.join(wanted.select("cls", "id", F.col("head").alias("doc_id")), ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
+    texts = keep(texts.select("id", "text"), "busy-texts")
     forget(wanted)
     forget(bands, buckets)
 
