@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinmill.functions.text import CANONICAL_REFUSAL, distilled_answer, hash_order
+from skeinmill.functions.text import CANONICAL_REFUSAL, distilled_answer
 from skeinmill.operators.generation import example_checks, violations
-from skeinmill.operators.numbering import numbered
+from skeinmill.operators.numbering import hash_cut
 
 
 def examples(rows: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def stratified_split(rows: DataFrame, fraction: float = 0.1, seed: int = 42, key
     if not 0 < fraction < 1:
         raise ValueError("the fraction must lie between 0 and 1")
     size = rows.groupBy(F.col(stratum).alias("_s")).agg(F.greatest(F.lit(1), F.bround(F.count("*") * fraction)).alias("_n"))
-    ranked = numbered(rows, stratum, hash_order(seed, key), key, out="_place").join(F.broadcast(size), F.col(stratum).eqNullSafe(F.col("_s")))
-    return ranked.withColumn("split", F.when(F.col("_place") <= F.col("_n"), "val").otherwise("train")).drop("_place", "_s", "_n")
+    sized = rows.join(F.broadcast(size), F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
+    return hash_cut(sized, [stratum], F.col("_n"), key, seed, "_val").withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val", "_n")
 
 
 def strata(rows: DataFrame, stratum: str = "is_refusal") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KS = [1, 3, 5, 10]
 ANCHORS = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -73,10 +74,85 @@ def delta_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, *cells)
 
 
+#: Values of a group that one aggregate sorts at most; larger groups are narrowed first, by so many quantiles of a sketch.
+GROUP_VALUES, SPLITS = 100_000, 1000
+_POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 def percentiles(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """p50, p95, p99 and mean to two places, and n; a group without values has zeros."""
-    out = [F.coalesce(F.round(F.percentile(value, F.lit(p)), 2), F.lit(0.0)).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return rows.groupBy(*(by or [])).agg(*out, F.coalesce(F.round(F.avg(value), 2), F.lit(0.0)).alias("mean"), F.count(value).alias("n"))
+    """p50, p95, p99 and mean to two places, and n; a group without values has zeros.
+
+    Percentiles are exact, between the two values around their place. Groups of up to GROUP_VALUES values are sorted in
+    one aggregate each; of larger ones, which are few as counted, the values at the places asked for are selected.
+    """
+    by = by or []
+    of = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), F.lit(0).alias("all"))
+    own = rows.select(*by, F.col(value).cast("double").alias("_v"), of.alias("_of"))
+    sizes = own.groupBy("_of").agg(F.count("_v").alias("_n")).where(F.col("_n") > GROUP_VALUES)
+    large = {r["_of"]: r["_n"] for r in sizes.collect()}
+    schema = T.StructType([sizes.schema["_of"], *(T.StructField(f"_{name}", T.DoubleType()) for name in _POINTS)])
+    places = {(key, p * (n - 1)) for key, n in large.items() for p in _POINTS.values()}
+    found = _selected(own, {(key, at) for key, place in places for at in (int(place), min(int(place) + 1, large[key] - 1))}, large, sizes.schema["_of"])
+
+    def between(key: Row, p: float) -> float:
+        place = p * (large[key] - 1)
+        a, b = found[key, int(place)], found[key, min(int(place) + 1, large[key] - 1)]
+        return a + (b - a) * (place - int(place)) if a != b else a
+
+    known = F.broadcast(rows.sparkSession.createDataFrame([(key, *(between(key, p) for p in _POINTS.values())) for key in large], schema))
+    # Values of large groups aren't gathered: theirs are known.
+    marked = own.join(known, "_of", "left").withColumn("_few", F.when(F.col("_p50").isNull(), F.col("_v")))
+    points = [F.coalesce(F.round(F.coalesce(F.first(f"_{name}"), F.percentile("_few", F.lit(p))), 2), F.lit(0.0)).alias(name) for name, p in _POINTS.items()]
+    return marked.groupBy(*by).agg(*points, F.coalesce(F.round(F.avg("_v"), 2), F.lit(0.0)).alias("mean"), F.count("_v").alias("n"))
+
+
+def _selected(rows: DataFrame, asked: set[tuple[Row, int]], sizes: dict[Row, int], of: T.StructField) -> dict[tuple[Row, int], float]:
+    """{(group, place): value} for places, from 0, in the order of the groups' values, nulls left out; rows are (_of, _v).
+
+    What is known of a place is an open range that holds it, with how many values lie before and in it. Each pass takes
+    quantiles of the range's values from a sketch, and counts the values before, at and between the two around the place: the
+    place's value is one of these two, or lies in a range of about one in SPLITS. What is right doesn't rest on the sketch.
+    """
+    spark, number = rows.sparkSession, T.DoubleType()
+    state: dict[tuple[Row, int], tuple] = {(key, at): (None, None, 0, sizes[key]) for key, at in asked}
+    out: dict[tuple[Row, int], float] = {}
+    within = (F.col("low").isNull() | (F.col("_v") > F.col("low"))) & (F.col("high").isNull() | (F.col("_v") < F.col("high")))
+
+    def held(given: list[tuple], *names: str) -> DataFrame:
+        """Values in ranges (group, low, high, and columns named)."""
+        ranges = spark.createDataFrame(given, T.StructType([of, T.StructField("low", number), T.StructField("high", number), *(T.StructField(n, T.LongType() if n == "at" else number) for n in names)]))
+        return rows.where("_v is not null").join(F.broadcast(ranges), "_of").where(within)
+
+    while wide := [k for k, (*_, n) in state.items() if n > GROUP_VALUES]:
+        ranges = sorted({(k[0], *state[k][:2]) for k in wide}, key=repr)
+        shares = [i / SPLITS for i in range(SPLITS + 1)]
+        quantiles = {(r["_of"], r["low"], r["high"]): r["q"] for r in held(ranges).groupBy("_of", "low", "high").agg(F.percentile_approx("_v", shares, 10 * SPLITS).alias("q")).collect()}
+        given = []
+        for key, at in wide:
+            low, high, before, n = state[key, at]
+            i = int((at - before) / n * SPLITS)
+            q = quantiles[key, low, high]
+            given.append((key, low, high, at, q[max(0, i - 1)], q[min(SPLITS, i + 2)]))
+        a, b = F.col("_v") < F.col("a"), F.col("_v") < F.col("b")
+        counts = [F.count_if(a).alias("under"), F.count_if(F.col("_v") == F.col("a")).alias("at_a"), F.count_if((F.col("_v") > F.col("a")) & b).alias("between"), F.count_if((F.col("_v") == F.col("b")) & (F.col("a") != F.col("b"))).alias("at_b")]
+        for r in held(given, "at", "a", "b").groupBy("_of", "at", "a", "b").agg(*counts).collect():
+            k = (r["_of"], r["at"])
+            low, high, before, n = state[k]
+            edges = [before]
+            for c in ("under", "at_a", "between", "at_b"):
+                edges.append(edges[-1] + r[c])
+            part = sum(r["at"] >= e for e in edges[1:])
+            if part in (1, 3):
+                out[k] = r["a"] if part == 1 else r["b"]
+                del state[k]
+            else:
+                bounds = {0: (low, r["a"]), 2: (r["a"], r["b"]), 4: (r["b"], high)}[part]
+                state[k] = (*bounds, edges[part], (before + n if part == 4 else edges[part + 1]) - edges[part])
+    if state:
+        given = [(key, low, high, at) for (key, at), (low, high, *_) in state.items()]
+        for r in held(given, "at").groupBy("_of", "at").agg(F.sort_array(F.collect_list("_v")).alias("vs")).collect():
+            out[r["_of"], r["at"]] = r["vs"][r["at"] - state[r["_of"], r["at"]][2]]
+    return out
 
 
 def relevance_report(rows: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ Ranks are explicit: by score, then corpus order.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -238,11 +239,32 @@ def overlap_scorer(query: str, text: str) -> float:
     return len(asked & set((text or "").lower().split())) / len(asked) if asked else 0.0
 
 
-def rerank(candidates: DataFrame, k: int, scorer: Callable[[str, str], float] | None = None, load: Callable[[], Callable[[str, str], float]] | None = None) -> DataFrame:
+def overlap_batch(pairs: list[tuple[str, str]]) -> list[float]:
+    """The stand-in for a cross-encoder that scores many pairs at once."""
+    cut = lambda text: {w for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w}
+    return [len(asked & cut(text)) / len(asked) if (asked := cut(query)) else 0.0 for query, text in pairs]
+
+
+def batched_scores(score: Callable[[list[tuple[str, str]]], list[float]], queries: list[str], texts: list[str], batch: int) -> list[float]:
+    """Scores of pairs, asked for in batches of pairs of like length, whatever their order and their queries."""
+    out = [0.0] * len(queries)
+    order = sorted(range(len(queries)), key=lambda i: len(queries[i] or "") + len(texts[i] or ""))
+    for low in range(0, len(order), batch):
+        own = order[low : low + batch]
+        scores = score([(queries[i], texts[i]) for i in own])
+        if len(scores) != len(own):
+            raise ValueError(f"the scorer gave {len(scores)} scores for {len(own)} pairs")
+        for i, x in zip(own, scores, strict=True):
+            out[i] = float(x)
+    return out
+
+
+def rerank(candidates: DataFrame, k: int, scorer: Callable | None = None, load: Callable[[], Callable] | None = None, batch: int | None = None) -> DataFrame:
     """Candidates (query_id, query, chunk_id, text, rank) scored anew; equal scores keep their order; the k best stay.
 
-    The default scorer is a column expression; another one is called in Arrow batches, and loaded once in
-    each task if it's given as `load`.
+    The default scorer is a column expression. Another one, loaded once in each task if it's given as `load`, is called with
+    a query and a text, or with `batch` with lists of so many pairs at most: the pairs of all queries in an Arrow batch are
+    put in order of length first, so that a model pads little. Its calls aren't deterministic for the optimizer.
     """
     if scorer is None and load is None:
         asked, have = F.array_distinct(words("query", lower=True)), words("text", lower=True)
@@ -251,16 +273,19 @@ def rerank(candidates: DataFrame, k: int, scorer: Callable[[str, str], float] |
 
         @F.pandas_udf("double")
         def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            score_one = load() if load else scorer
+            score_pairs = load() if load else scorer
             for queries, texts in batches:
-                yield pd.Series([score_one(q, t) for q, t in zip(queries, texts, strict=True)], dtype="float64")
+                if batch:
+                    yield pd.Series(batched_scores(score_pairs, queries.tolist(), texts.tolist(), batch), dtype="float64")
+                else:
+                    yield pd.Series([score_pairs(q, t) for q, t in zip(queries, texts, strict=True)], dtype="float64")
 
-        score = scores("query", "text")
+        score = scores.asNondeterministic()("query", "text")
     rows = candidates.withColumn("score", F.round(score.cast("double"), PLACES)).withColumnRenamed("rank", "before")
     return top_k(rows, k, tie="before").select("query_id", "chunk_id", "score", "rank")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int = 20, weights: tuple[float, float] = (0.6, 0.4), rrf_k: int = 60, reranked: bool = False, scorer: Callable[[str, str], float] | None = None, vectors: DataFrame | None = None, index: lexical.Index | None = None, store: vectorstore.Store | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int = 20, weights: tuple[float, float] = (0.6, 0.4), rrf_k: int = 60, reranked: bool = False, scorer: Callable | None = None, batch: int | None = None, vectors: DataFrame | None = None, index: lexical.Index | None = None, store: vectorstore.Store | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): both arms fused, and reranked if asked.
 
     Queries hold query_id, query and embedding, chunks chunk_id, pos and text, and embedding unless `vectors`
@@ -274,4 +299,4 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int =
     if not reranked:
         return fused.where(F.col("rank") <= k)
     pool = fused.where(F.col("rank") <= wide).join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
-    return rerank(pool, k, scorer)
+    return rerank(pool, k, scorer, batch=batch)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skeinmill.functions.text import family, has_shape, hash_order, headings, query_of, question_types, words
 from skeinmill.functions.vectors import normalize
 from skeinmill.lineage import cut
-from skeinmill.operators.numbering import first_rows, numbered
+from skeinmill.operators.numbering import hash_cut, numbered
 from skeinmill.operators.retrieval import after_similar, similar_pairs
 
 QUOTAS = {"procedural": 240, "comparison": 160, "best_practice": 160, "pointer": 120}
@@ -29,7 +29,7 @@ def sample(rows: DataFrame, n: int, seed: int, key: str, by: list[str] | None =
     """n rows of each group without replacement, all of them if there are no more."""
     if not by:
         return rows.orderBy(hash_order(seed, key), key).limit(n)
-    return first_rows(rows, by, F.lit(n), key, hash_order(seed, key), key)
+    return hash_cut(rows, by, F.lit(n), key, seed)
 
 
 def quota_sample(rows: DataFrame, quotas: dict[str, int] | None = None, seed: int = 42, key: str = "chunk_id", by: str = "question_type") -> DataFrame:
@@ -38,7 +38,7 @@ def quota_sample(rows: DataFrame, quotas: dict[str, int] | None = None, seed: in
     quota = F.lit(0)
     for kind, n in quotas.items():
         quota = F.when(F.col(by) == kind, F.lit(n)).otherwise(quota)
-    return first_rows(rows.where(F.col(by).isin(list(quotas))), [by], quota, key, hash_order(seed, key), key)
+    return hash_cut(rows.where(F.col(by).isin(list(quotas))), [by], quota, key, seed)
 
 
 def preview(rows: DataFrame, n: int, by: str, key: str, seed: int = 42) -> DataFrame:
@@ -47,7 +47,7 @@ def preview(rows: DataFrame, n: int, by: str, key: str, seed: int = 42) -> DataF
     total = counts.agg(F.sum("_c").alias("_total"))
     quota = F.least(F.col("_c"), F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("_c") / F.col("_total"))))
     quotas = counts.withColumn("_total", F.lit(total.first()[0])).select(by, quota.alias("_quota"))
-    return first_rows(rows.join(quotas, by), [by], F.col("_quota"), key, hash_order(seed, key), key).select(*rows.columns)
+    return hash_cut(rows.join(quotas, by), [by], F.col("_quota"), key, seed).select(*rows.columns)
 
 
 def structural_queries(docs: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:

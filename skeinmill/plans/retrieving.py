@@ -107,7 +107,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(rf"WITH {_BM25.format(k=20)}, {_DENSE.format(k=20)}, {_FUSED}, {_RERANKED} SELECT query_id, pos::VARCHAR AS chunk_id, rank, round(score, 6) AS score FROM best")
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 10, 20, reranked=True, index=lexicon(spark, sf_dir), store=gallery(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.hybrid(asked(spark, sf_dir), corpus(spark, sf_dir), 10, 20, reranked=True, scorer=retrieval.overlap_batch, batch=16, index=lexicon(spark, sf_dir), store=gallery(spark, sf_dir)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 _METRICS = """

@@ -13,7 +13,9 @@ from skeinmill.operators import dataset, generation, judging, metrics, prompting
 from skeinmill.operators.numbering import numbered
 from skeinmill.plans.registry import SQL, query, table
 from skeinmill.sinks.files import append_text
+from skeinmill.sinks.quarantine import write_checked
 from skeinmill.sources.files import read_checkpoint
+from skeinmill.streaming.calls import answer_tasks, replies
 from skeinmill.streaming.ingest import windowed_counts
 
 #: Five chunks of every conversation turn: its text under made-up ids.
@@ -218,6 +220,32 @@ def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taught(spark, sf_dir).select("doc_id", "ideal_answer", "is_refusal", F.array_join("violations", ",").alias("violations"))
 
 
+@query(
+    f"""WITH v AS (SELECT unnest(string_split(violations, ',')) AS rule FROM ({SQL["training_examples"]}) WHERE violations <> '')
+SELECT rule, (SELECT count(*) FROM v WHERE v.rule = r.rule) AS n FROM (SELECT unnest(['query', 'ideal_answer', 'chunks', 'markers']) AS rule) r
+UNION ALL SELECT 'passed', count(*) FILTER (violations = '') FROM ({SQL["training_examples"]}) UNION ALL SELECT 'quarantined', count(*) FILTER (violations <> '') FROM ({SQL["training_examples"]})"""
+)
+def quarantined_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a write of good examples and of bad ones apart has seen: failures by check, and how many rows each folder holds."""
+    path = f"{shared_dir(spark)}/skeinmill/examples-{uuid.uuid4().hex}"
+    out = write_checked(taught(spark, sf_dir), generation.example_checks(), path)
+    seen = spark.createDataFrame(list(out.failures.items()), "rule string, n long")
+    sizes = [rows.agg(F.lit(name).alias("rule"), F.count("*").alias("n")) for name, rows in (("passed", out.passed), ("quarantined", out.quarantined))]
+    return seen.unionByName(sizes[0]).unionByName(sizes[1])
+
+
+@query("SELECT concat('item::', item_id) AS task_key, concat(len(string_split(text, ' ')), ' parts: ', text) AS response FROM benchmark")
+def resumed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a model to tasks of two runs, of which the second reads all tasks and asks the open ones."""
+    folder = f"{shared_dir(spark)}/skeinmill/tasks-{uuid.uuid4().hex}"
+    tasks = table(spark, sf_dir, "benchmark").selectExpr("concat('item::', cast(item_id as string)) as task_key", "text as prompt", "item_id")
+    load = lambda: lambda prompts: [f"{len(p.split(' '))} parts: {p}" for p in prompts]
+    for run, some in enumerate(("item_id % 2 = 0", "item_id % 2 = 1")):
+        tasks.where(some).drop("item_id").write.mode("append").parquet(f"{folder}/tasks")
+        answer_tasks(spark, f"{folder}/tasks", f"{folder}/replies", f"{folder}/run-{run}", load, 64).awaitTermination()
+    return replies(spark, f"{folder}/replies")
+
+
 @query(
     """WITH e AS (SELECT doc_id, toxic = 1 AS is_refusal FROM labels), r AS (SELECT *, row_number() OVER (PARTITION BY is_refusal ORDER BY md5('42:' || doc_id), doc_id) AS p, count(*) OVER (PARTITION BY is_refusal) AS c FROM e)
 SELECT doc_id, is_refusal, CASE WHEN p <= greatest(1, round_even(c * 0.1, 0)) THEN 'val' ELSE 'train' END AS split FROM r"""

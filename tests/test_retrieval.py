@@ -105,6 +105,29 @@ def test_percentiles(spark):
     assert metrics.percentiles(rows.limit(0), "v").first().p95 == 0
 
 
+@pytest.mark.parametrize("values, splits", [(100_000, 1000), (40, 5), (1, 2)])
+def test_percentiles_of_large_groups_are_selected(spark, monkeypatch, values, splits):
+    """Spread, skewed, of two values, of one, negative, infinite: by selection as by sorting, with nulls and a null group."""
+    monkeypatch.setattr(metrics, "GROUP_VALUES", values)
+    monkeypatch.setattr(metrics, "SPLITS", splits)
+    rng = np.random.default_rng(8)
+    groups = {"even": rng.uniform(-5, 5, 700), "skew": np.exp(rng.normal(size=500) * 20), "two": np.repeat([0.0, 1.0], 250), "one": np.full(300, 7.25), "few": rng.normal(size=3), "tied": rng.integers(0, 4, 400) * 1.0, None: rng.normal(size=200)}
+    groups["edge"] = np.concatenate([rng.normal(size=100), [np.inf, -np.inf] * 30])
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("even", None), ("none", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for by in (["k"], None):
+        got = metrics.percentiles(frame, "v", by).collect()
+        for r in got:
+            own = np.sort(groups.get(r["k"], np.zeros(0)) if by else np.concatenate(list(groups.values())))
+            assert r.n == len(own)
+            for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+                place = p * (len(own) - 1)
+                a, b = (own[int(place)], own[min(int(place) + 1, len(own) - 1)]) if len(own) else (0.0, 0.0)
+                want = a if a == b else a + (b - a) * (place - int(place))
+                assert r[name] == want or r[name] == pytest.approx(round(float(want), 2), abs=0.011, rel=1e-12)
+        assert len(got) == (len(groups) + 1 if by else 1)
+
+
 def test_repartitioning_changes_nothing(spark, chunks):
     queries = spark.createDataFrame([(1, "learning fire machine")], "query_id int, query string")
     runs = [[tuple(r) for r in retrieval.bm25_top_k(queries, chunks.repartition(n), 3).orderBy("rank").collect()] for n in (1, 2, 7)]
@@ -118,6 +141,31 @@ def test_models_are_loaded_in_tasks(spark, chunks):
     assert [r.chunk_id for r in retrieval.rerank(pool, 2, load=lambda: lambda q, t: len(t)).orderBy("rank").collect()] == ["b", "a"]
 
 
+def test_a_batch_scorer_is_called_once_for_many_pairs(spark, tmp_path):
+    """Pairs of all queries share batches of like length; each pair is scored once, and scores are those of pairs."""
+    pool = spark.createDataFrame([(q, f"ask w{q}", f"c{c}", f"w{c} " * (1 + (7 * c) % 13) + "ask", c + 1) for q in range(6) for c in range(10)], "query_id int, query string, chunk_id string, text string, rank int").repartition(2)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def load():
+        def score(pairs):
+            import uuid
+
+            lengths = [len(q) + len(t) for q, t in pairs]
+            (calls / uuid.uuid4().hex).write_text(f"{len(pairs)} {lengths == sorted(lengths)}")
+            return retrieval.overlap_batch(pairs)
+
+        return score
+
+    got = sorted(map(tuple, retrieval.rerank(pool, 4, load=load, batch=16).collect()))
+    assert got == sorted(map(tuple, retrieval.rerank(pool, 4).collect()))
+    told = [p.read_text().split() for p in calls.iterdir()]
+    assert sum(int(n) for n, _ in told) == 60 and all(ok == "True" for _, ok in told) and len(told) <= 2 * 3
+    assert retrieval.overlap_batch([("", "a"), (None, None), ("a B", "b")]) == [0.0, 0.0, 0.5]
+    with pytest.raises(ValueError, match="scores for"):
+        retrieval.batched_scores(lambda pairs: [1.0], ["a", "b"], ["c", "d"], 2)
+
+
 def test_similar_pairs_within_a_type_are_whole(spark, tmp_path):
     rng = np.random.default_rng(6)
     vectors, labels = rng.normal(size=(60, 3)), rng.integers(0, 3, 60)

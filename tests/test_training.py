@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from skeinmill import config
 from skeinmill.functions import text as t
 from skeinmill.operators import dataset, metrics, seeding
-from skeinmill.operators.numbering import first_rows, numbered
+from skeinmill.operators.numbering import hash_cut, numbered
 from skeinmill.sinks import files as sinks
 from skeinmill.sources import files
 from skeinmill.streaming.ingest import ingest
@@ -201,9 +203,24 @@ def test_places_in_groups_equal_a_window(spark):
         want |= {r[0]: i + 1 for i, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])))}
     assert {r.id: r.place for r in numbered(frame, "grp", "v", "id").collect()} == want
     assert numbered(frame.limit(0), "grp", "v").count() == 0
-    for n, parts in ((7, 64), (7, 3), (1000, 2)):
-        got = first_rows(frame, ["grp"], F.lit(n), "id", "v", "id", parts=parts)
-        assert got.columns == frame.columns and sorted(r.id for r in got.collect()) == sorted(i for i, place in want.items() if place <= n)
+    md5 = lambda r: (hashlib.md5(f"5:{r[0]}".encode()).hexdigest(), r[0])
+    for n in (0, 1, 7, 1000):
+        want = {r[0] for g in {r[1] for r in rows} for r in sorted((r for r in rows if r[1] == g), key=md5)[:n]}
+        got = hash_cut(frame, ["grp"], F.lit(n), "id", 5)
+        assert got.columns == frame.columns and {r.id for r in got.collect()} == want and got.count() == len(want)
+        marked = hash_cut(frame, ["grp"], F.lit(n), "id", 5, "chosen").collect()
+        assert {r.id for r in marked if r.chosen} == want and len(marked) == len(rows)
+
+
+def test_a_cut_orders_its_border_alone(spark):
+    """The plan has no sort of the whole table: what is sorted has passed the border's filter or the histogram."""
+    rows = spark.range(5000).selectExpr("id", "id % 3 as grp")
+    plan = hash_cut(rows, ["grp"], F.lit(100), "id", 1)._jdf.queryExecution().optimizedPlan().toString()
+    before = [plan[: m.start()].count("\n") for m in re.finditer("Window ", plan)]
+    assert len(before) >= 2 and "Sort" not in plan
+    want = sorted(range(5000), key=lambda i: (hashlib.md5(f"1:{i}".encode()).hexdigest(), i))
+    for g in range(3):
+        assert sorted(r.id for r in hash_cut(rows, ["grp"], F.lit(100), "id", 1).where(f"grp = {g}").collect()) == sorted([i for i in want if i % 3 == g][:100])
 
 
 def test_checkpoints_with_broken_lines(spark, tmp_path):
