@@ -95,13 +95,12 @@ def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, key) for each band of each class; reads (id, n, registers)."""
+    """(id, key) for each band of each class; reads (id, registers)."""
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
-            keys = _bands(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS))
-            at = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(keys.ravel())], names=["id", "n", "key"])
+            keys = _bands(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS))), pa.array(keys.ravel())], names=["id", "key"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -197,7 +196,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("cls"), text.alias("text"))
     scanned = keep(map_batches(own, lambda it: _scan(it, shingle), "doc_id long, cls binary, n long, registers binary"), "sketches")
     # One sketch of each class: copies are combined before the shuffle.
-    classes = scanned.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = scanned.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("registers").alias("registers"))
     nodes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     heads = keep(nodes.select("id", "cls", "head"), "heads")
     rows = keep(scanned.select("doc_id", "cls", "n").join(heads.select("cls", "id"), "cls", "left"), "members")
@@ -209,15 +208,17 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
 
 def _roots(nodes: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, root) of classes that are linked with another one."""
-    bands = keep(map_batches(nodes.select("id", "n", "registers"), _banded, "id long, n long, key long"), "bands")
+    bands = keep(map_batches(nodes.select("id", "registers"), _banded, "id long, key long"), "bands")
     buckets = keep(bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "buckets")
     met = keep(bands.join(buckets, "key"), "met")
     busy = met.groupBy("id").agg(F.lit(1).alias("one")).drop("one")
-    drawn = keep(nodes.select("id", "n", "registers").join(busy, "id"), "busy-sketches")
     # A class's text is that of a row of its least doc_id; other copies aren't shuffled.
     wanted = keep(heads.join(busy, "id").select("id", "cls", "head"), "busy-classes")
     texts = own.join(wanted.select("cls", "id", F.col("head").alias("doc_id")), ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
     texts = keep(texts.select("id", "text"), "busy-texts")
+    # Sketches of these few are drawn again, which costs less than shuffling those of all classes.
+    again = texts.select(F.col("id").alias("doc_id"), F.lit(None).cast("binary").alias("cls"), "text")
+    drawn = keep(map_batches(again, lambda it: _scan(it, shingle), "doc_id long, cls binary, n long, registers binary").select(F.col("doc_id").alias("id"), "n", "registers"), "busy-sketches")
     forget(wanted)
     forget(bands, buckets)
 
@@ -228,7 +229,7 @@ def _roots(nodes: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, per
     roots = components(links)
 
     # Buckets whose members are still apart, without members that can't be linked with any of the others.
-    apart = _apart(met.select("key", "id", "n"), roots)
+    apart = _apart(met.select("key", "id"), drawn, roots)
     forget(met, likely, links)
     shingles, shared = _counted(apart, texts, shingle)
     apart = keep(apart.join(shared, "id").where(f"100 * s >= {int(percent)} * n"), "apart-shared")
@@ -238,7 +239,7 @@ def _roots(nodes: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, per
     links = keep(_confirmed(_filtered(near, drawn, percent).select("a", "b"), texts, shingle, percent), "hub-links")
     roots = extended(roots, links)
     # What is apart even now: members outside their bucket's largest component meet those that share a rare shingle.
-    apart = _apart(apart.select("key", "id", "n", "s"), roots)
+    apart = _apart(apart.select("key", "id", "s"), drawn, roots)
     more = keep(_confirmed(_filtered(_rare_pairs(apart, shingles, percent), drawn, percent).select("a", "b"), texts, shingle, percent), "more-links")
     roots = extended(roots, more)
     forget(drawn, texts, shingles, shared, hubs, links, apart, more)
@@ -249,9 +250,10 @@ def _roots(nodes: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, per
 # then both sides are plain tables, and a frequent key's rows are split over several tasks.
 
 
-def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of buckets with several components, with each row's root and the bucket's main one."""
-    placed = keep(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
+def _apart(rows: DataFrame, drawn: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, with each row's set size and root, and the bucket's main root."""
+    known = drawn.select("id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = keep(rows.join(keep(known, "known"), "id"), "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     split = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     return keep(placed.join(keep(split.select("key", F.col("top.root").alias("main")), "split"), "key"), "apart")
