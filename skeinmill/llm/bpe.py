@@ -299,22 +299,23 @@ def oracle(path: str) -> str:
     blank = r"\t\n\x0B\f\r\x{85}\p{Z}"
     cut = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{blank}\p{{L}}\p{{N}}]+|[{blank}]+".replace("'", "''")
     return rf"""
-WITH RECURSIVE vocab AS (SELECT hex(from_base64(column0)) AS h, column1::BIGINT AS tok FROM read_csv('{path}', delim=' ', header=false, columns={{'column0': 'VARCHAR', 'column1': 'BIGINT'}}, quote='', escape='')),
-merges AS (SELECT a.tok AS l, b.tok AS r, v.tok AS rank FROM (SELECT h, tok, unnest(range(1, len(h) // 2)) AS k FROM vocab) v JOIN vocab a ON a.h = v.h[1:2*k] JOIN vocab b ON b.h = v.h[2*k+1:]),
+WITH RECURSIVE vocab AS MATERIALIZED (SELECT hex(from_base64(column0)) AS h, column1::BIGINT AS tok FROM read_csv('{path}', delim=' ', header=false, columns={{'column0': 'VARCHAR', 'column1': 'BIGINT'}}, quote='', escape='')),
+merges AS MATERIALIZED (SELECT a.tok << 32 | b.tok AS pair, v.tok AS rank FROM (SELECT h, tok, unnest(range(1, len(h) // 2)) AS k FROM vocab) v JOIN vocab a ON a.h = v.h[1:2*k] JOIN vocab b ON b.h = v.h[2*k+1:]),
 docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
 parts AS (SELECT rn, part, row_number() OVER (PARTITION BY rn) AS k FROM (SELECT rn, unnest(string_split(regexp_replace(text, '([{blank}]+)([{blank}][^{blank}])', '\1' || chr(57344) || '\2', 'g'), chr(57344))) AS part FROM docs)),
 cut AS (SELECT rn, k, list_filter(regexp_extract_all(part, '{cut}'), lambda x: x <> '') AS ws FROM parts),
 places AS (SELECT rn, k, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM cut),
-words AS (SELECT word, row_number() OVER () AS w, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM places)),
-step(n, w, i, tok) AS (
-  SELECT 0, w, i, tok FROM (SELECT w, unnest(range(1, len(h) // 2 + 1)) AS i, h FROM words WHERE h NOT IN (SELECT h FROM vocab)) x JOIN vocab v ON v.h = x.h[2*i-1:2*i]
+words AS MATERIALIZED (SELECT word, row_number() OVER () AS w, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM places)),
+step(n, p, tok) AS (
+  SELECT 0, w << 20 | i, tok FROM (SELECT w, unnest(range(1, len(h) // 2 + 1)) AS i, h FROM words WHERE h NOT IN (SELECT h FROM vocab)) x JOIN vocab v ON v.h = x.h[2*i-1:2*i]
   UNION ALL
-  SELECT n + 1, w, CASE WHEN i > spot THEN i - 1 ELSE i END, CASE WHEN i = spot THEN rank ELSE tok END
-  FROM step JOIN (SELECT a.w, min(rank * 1000000 + a.i) // 1000000 AS rank, min(rank * 1000000 + a.i) % 1000000 AS spot FROM step a JOIN step b ON b.w = a.w AND b.i = a.i + 1 JOIN merges m ON m.l = a.tok AND m.r = b.tok GROUP BY a.w) USING (w)
-  WHERE i <> spot + 1
-), ends AS (SELECT w, max(n) AS n FROM step GROUP BY w),
+  SELECT n + 1, CASE WHEN p > spot THEN p - 1 ELSE p END, CASE WHEN p = spot THEN rank ELSE tok END
+  FROM (SELECT n, p, tok, best >> 20 AS rank, p >> 20 << 20 | (best & 1048575) AS spot FROM step
+    JOIN (SELECT a.p >> 20 AS w, min(rank << 20 | (a.p & 1048575)) AS best FROM step a JOIN step b ON b.p = a.p + 1 JOIN merges m ON m.pair = (a.tok << 32 | b.tok) GROUP BY 1) ON p >> 20 = w)
+  WHERE p <> spot + 1
+), ends AS (SELECT p >> 20 AS w, max(n) AS n FROM step GROUP BY 1),
 ids AS (
-  SELECT w, list(tok ORDER BY i) AS ids FROM step JOIN ends USING (w, n) GROUP BY w
+  SELECT w, list(tok ORDER BY p) AS ids FROM step JOIN ends ON p >> 20 = w AND step.n = ends.n GROUP BY w
   UNION ALL SELECT w, [tok] FROM words JOIN vocab USING (h)
 ),
 flat AS (SELECT rn, k, j, unnest(ids) AS tok, generate_subscripts(ids, 1) AS i FROM places JOIN words USING (word) JOIN ids USING (w)),
