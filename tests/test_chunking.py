@@ -52,3 +52,12 @@ def test_null_content_and_unknown_strategy(spark):
     assert chunking.chunk(docs).count() == 0
     with pytest.raises(ValueError, match="unknown"):
         chunking.chunk(docs, ["none"])
+
+
+def test_the_fixed_chunker_as_a_table_function(spark):
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts())] + [("none", None)], "doc_id string, content string").repartition(3)
+    docs.createOrReplaceTempView("given_docs")
+    chunking.register(spark)
+    got = spark.sql("SELECT doc_id, chunk_index, text, char_start FROM chunk_fixed(TABLE(SELECT doc_id, content FROM given_docs), 50, 10)")
+    want = chunking.fixed(docs, 50, 10).select("doc_id", "chunk_index", "text", "char_start")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 200
