@@ -183,3 +183,9 @@ def claim_block(claims: Column | str) -> Column:
 def hash_order(seed: int, key: Column | str) -> Column:
     """A place in a shuffled order that any engine with md5 finds too."""
     return F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string")))
+
+
+def utc_stamps(at: Column | str) -> dict[str, Column]:
+    """What reports are stamped with, in UTC whatever the session's zone: ISO seconds, a run's id, a day."""
+    utc = F.to_utc_timestamp(col(at), F.current_timezone())
+    return {"captured_at": F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), "run_id": F.date_format(utc, "yyyyMMdd'T'HHmmss'Z'"), "run_day": F.date_format(utc, "yyyyMMdd")}

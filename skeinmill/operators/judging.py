@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,13 +24,31 @@ def json_field(value: Column, field: str, kind: str) -> Column:
     return F.try_variant_get(value, f"$.{field}", kind)
 
 
-def ask(rows: DataFrame, judge: Callable[[str], str], valid: Column, prompt: str = "prompt", out: str = "response", attempts: int = 2) -> DataFrame:
-    """Adds a judge's response, asked again where it isn't valid, by Arrow batches of a pluggable backend."""
+class Judge(Protocol):
+    """What a loaded judge is: replies to a list of prompts, in order; null for a prompt that it couldn't answer."""
+
+    def __call__(self, prompts: list[str]) -> list[str | None]: ...
+
+
+def ask(rows: DataFrame, judge: Callable[[str], str] | None, valid: Column, prompt: str = "prompt", out: str = "response", attempts: int = 2, load: Callable[[], Judge] | None = None) -> DataFrame:
+    """Adds a judge's response, asked again where it isn't valid, by Arrow batches of a pluggable backend.
+
+    A judge answers a prompt at a time; one given as `load` is loaded once in each task, and answers all prompts of a batch at once.
+    """
+    if (judge is None) == (load is None):
+        raise ValueError("either a judge or how to load one")
 
     @F.pandas_udf("string")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        loaded = load() if load else None
         for batch in batches:
-            yield batch.map(judge, na_action="ignore").astype("object")
+            if loaded is None:
+                yield batch.map(judge, na_action="ignore").astype("object")
+                continue
+            asked = batch[batch.notna()]
+            replies = pd.Series([None] * len(batch), index=batch.index, dtype="object")
+            replies[asked.index] = loaded(asked.tolist()) if len(asked) else []
+            yield replies
 
     # A model may answer the same prompt differently, so that a reply must not be worked out twice.
     call = call.asNondeterministic()
@@ -46,8 +65,8 @@ def claims(text: Column | str) -> Column:
 
 
 def attributions(text: Column | str) -> Column:
-    """Attributions of a response as (claim_idx, supporting_chunk_idx, rationale), else null."""
-    return json_field(parsed(text), "attributions", ATTRIBUTIONS)
+    """Attributions of a response as (claim_idx, supporting_chunk_idx, rationale), else null; null as a whole if a claim's number is missing or under 1."""
+    return let(json_field(parsed(text), "attributions", ATTRIBUTIONS), lambda found: F.when(F.forall(found, lambda a: F.coalesce(a["claim_idx"] >= 1, F.lit(False))), found))
 
 
 def attribute(given: Column | str, claims_: Column | str, n_chunks: Column) -> Column:
@@ -87,11 +106,11 @@ def snap(x: Column) -> Column:
 
 
 def relevance(text: Column | str) -> Column:
-    """(score, rationale): snapped, and 0 with a mark if it can't be parsed."""
+    """(score, rationale): snapped, and 0 with a mark if it can't be parsed or the score isn't between 0 and 1."""
 
     def read(v: Column) -> Column:
         score, why = json_field(v, "score", "double"), json_field(v, "rationale", "string")
-        ok = score.isNotNull() & why.isNotNull()
+        ok = F.coalesce(score.between(0, 1), F.lit(False)) & why.isNotNull()
         return F.struct(F.when(ok, snap(score)).otherwise(0.0).alias("score"), F.when(ok, why).otherwise(F.lit(NO_JSON)).alias("rationale"))
 
     return let(parsed(text), read)

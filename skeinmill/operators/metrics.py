@@ -190,18 +190,22 @@ def chunk_usage(rows: DataFrame) -> DataFrame:
 def refusal_report(rows: DataFrame) -> DataFrame:
     """Summary of (query_id, rule_refused, judge_refused or null, judge_rationale).
 
-    Without a verdict of the judge a row counts as not refused, but isn't named as a disagreement.
+    Without a verdict of the judge a row counts as not refused. Rows that `disagreements` gives are those with one.
     """
     judge = F.coalesce("judge_refused", F.lit(False))
     agree = judge == F.col("rule_refused")
-    names = F.sort_array(F.collect_list(F.when(F.col("judge_refused").isNotNull() & ~agree, F.col("query_id").cast("string"))))
     return rows.agg(
         F.count("*").alias("n"), F.round(F.avg(judge.cast("double")), 3).alias("frac_refused_judge"), F.round(F.avg(F.col("rule_refused").cast("double")), 3).alias("frac_refused_rule"),
-        F.round(F.avg(agree.cast("double")), 3).alias("agreement_rate"), F.count_if(~agree).alias("n_disagreements"), F.array_join(names, ",").alias("disagreement_ids"),
+        F.round(F.avg(agree.cast("double")), 3).alias("agreement_rate"), F.count_if(~agree).alias("n_disagreements"),
         F.count_if(F.coalesce(F.col("judge_rationale").contains("PARSE_FAILED"), F.lit(False))).alias("n_judge_failures"),
     )
 
 
+def disagreements(rows: DataFrame) -> DataFrame:
+    """(query_id, rule_refused, judge_refused): a row for each answer on which the judge's verdict, if it gave one, isn't the rules'."""
+    return rows.where("judge_refused is not null and judge_refused != rule_refused").select("query_id", "rule_refused", "judge_refused")
+
+
 def citation_report(rows: DataFrame) -> DataFrame:
     """Summary of checked citations (any_marker, all_in_range, n_markers)."""
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 3)

@@ -117,8 +117,8 @@ def _spark_out(key: str, value: str) -> str:
 
 
 @query(
-    f"""WITH j AS (SELECT conv_id, turn, ((conv_id * 7 + turn * 13) % 120)::DOUBLE / 100 AS s, conv_id % 5 < 3 AS ok FROM conversations WHERE role = 'assistant'),
-a AS (SELECT conv_id, turn, ok, s, least(1, s) AS c, CASE conv_id % 5 WHEN 0 THEN concat('r', turn) WHEN 1 THEN 'fenced' WHEN 2 THEN 'prose {{}}' ELSE '{judging.NO_JSON}' END AS rationale FROM j)
+    f"""WITH j AS (SELECT conv_id, turn, ((conv_id * 7 + turn * 13) % 120)::DOUBLE / 100 AS s, conv_id % 5 < 3 AND (conv_id * 7 + turn * 13) % 120 <= 100 AS ok FROM conversations WHERE role = 'assistant'),
+a AS (SELECT conv_id, turn, ok, s, least(1, s) AS c, CASE WHEN NOT ok THEN '{judging.NO_JSON}' WHEN conv_id % 5 = 0 THEN concat('r', turn) WHEN conv_id % 5 = 1 THEN 'fenced' ELSE 'prose {{}}' END AS rationale FROM j)
 SELECT conv_id, turn, CASE WHEN ok THEN list_sort(list_transform([0, 0.25, 0.5, 0.75, 1.0], lambda x: {{'d': abs(c - x::DOUBLE), 'a': x::DOUBLE}}))[1].a ELSE 0 END AS score, rationale FROM a"""
 )
 def judge_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def judge_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH j AS (SELECT conv_id, turn, ((conv_id * 7 + turn * 13) % 120)::DOUBLE / 100 AS s, conv_id % 5 < 3 AS ok FROM conversations WHERE role = 'assistant'),
+    f"""WITH j AS (SELECT conv_id, turn, ((conv_id * 7 + turn * 13) % 120)::DOUBLE / 100 AS s, conv_id % 5 < 3 AND (conv_id * 7 + turn * 13) % 120 <= 100 AS ok FROM conversations WHERE role = 'assistant'),
 a AS (SELECT ok, CASE WHEN ok THEN list_sort(list_transform([0, 0.25, 0.5, 0.75, 1.0], lambda x: {{'d': abs(least(1, s) - x::DOUBLE), 'a': x::DOUBLE}}))[1].a ELSE 0 END AS score FROM j)
 SELECT count(*) AS n, round(avg(score), 3) AS mean, round(median(score), 3) AS median, {", ".join(f"count(*) FILTER (score = {a}) AS anchor_{int(a * 100):03d}" for a in metrics.ANCHORS)}, count(*) FILTER (NOT ok) AS n_parse_failures FROM a"""
 )
@@ -135,18 +135,39 @@ def relevance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.relevance_report(judge_relevance(spark, sf_dir))
 
 
+#: Each answer with the rules' verdict and a judge's, if it gave one.
+_VERDICTS = f"""WITH a AS ({_ANSWERED}), r AS (SELECT concat(conv_id, ':', turn) AS id, {_RULES} IS NOT NULL AS rule, CASE WHEN conv_id % 10 = 9 THEN NULL ELSE conv_id % 5 < 3 AND (conv_id + turn) % 3 = 0 END AS judge, conv_id % 10 <> 9 AND conv_id % 5 >= 3 AS failed FROM a)"""
+
+
 @query(
-    f"""WITH a AS ({_ANSWERED}), r AS (SELECT concat(conv_id, ':', turn) AS id, {_RULES} IS NOT NULL AS rule, CASE WHEN conv_id % 10 = 9 THEN NULL ELSE conv_id % 5 < 3 AND (conv_id + turn) % 3 = 0 END AS judge, conv_id % 10 <> 9 AND conv_id % 5 >= 3 AS failed FROM a)
+    f"""{_VERDICTS}
 SELECT count(*) AS n, round(avg(coalesce(judge, false)::INT), 3) AS frac_refused_judge, round(avg(rule::INT), 3) AS frac_refused_rule, round(avg((coalesce(judge, false) = rule)::INT), 3) AS agreement_rate,
-  count(*) FILTER (coalesce(judge, false) <> rule) AS n_disagreements, coalesce(string_agg(id, ',' ORDER BY id) FILTER (judge IS NOT NULL AND judge <> rule), '') AS disagreement_ids, count(*) FILTER (failed) AS n_judge_failures FROM r"""
+  count(*) FILTER (coalesce(judge, false) <> rule) AS n_disagreements, count(*) FILTER (failed) AS n_judge_failures FROM r"""
 )
 def refusal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.refusal_report(_verdicts(spark, sf_dir))
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answered(spark, sf_dir).withColumn("response", F.expr(_spark_out("refused", _VERDICT)))
     rows = rows.withColumn("j", F.when(F.col("conv_id") % 10 != 9, judging.refusal("response")))
-    return metrics.refusal_report(rows.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("refused").alias("rule_refused"), F.col("j.refused").alias("judge_refused"), F.col("j.rationale").alias("judge_rationale")))
+    return rows.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("refused").alias("rule_refused"), F.col("j.refused").alias("judge_refused"), F.col("j.rationale").alias("judge_rationale"))
 
 
 #: Claims of a turn and what a judge attributes them to: numbers repeated, missing, out of range, or no list at all.
+
+
+@query(f"{_VERDICTS} SELECT id AS query_id, rule AS rule_refused, judge AS judge_refused FROM r WHERE judge IS NOT NULL AND judge <> rule")
+def refusal_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.disagreements(_verdicts(spark, sf_dir))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS captured_at, strftime(ts, '%Y%m%dT%H%M%SZ') AS run_id, strftime(ts, '%Y%m%d') AS run_day FROM events")
+def run_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stamps that a report made at each event's time carries."""
+    return table(spark, sf_dir, "events").select("event_id", *(column.alias(name) for name, column in t.utc_stamps("ts").items()))
+
+
 _GIVEN = """if(conv_id % 6 = 5, null, array(named_struct('claim_idx', 1, 'supporting_chunk_idx', cast(turn % 7 as int), 'rationale', 'first'), named_struct('claim_idx', 1, 'supporting_chunk_idx', cast((turn + conv_id) % 7 as int), 'rationale', 'second'),
  named_struct('claim_idx', 3, 'supporting_chunk_idx', cast(null as int), 'rationale', ''), named_struct('claim_idx', 9, 'supporting_chunk_idx', 1, 'rationale', 'extra')))"""
 
@@ -423,7 +444,7 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _melted(section: str) -> str:
-    return f"SELECT '{section}' AS section, metric, value FROM (UNPIVOT (SELECT COLUMNS(lambda c: c <> 'disagreement_ids')::DOUBLE FROM ({SQL[section + '_summary']})) ON COLUMNS(*) INTO NAME metric VALUE value)"
+    return f"SELECT '{section}' AS section, metric, value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM ({SQL[section + '_summary']})) ON COLUMNS(*) INTO NAME metric VALUE value)"
 
 
 @query(" UNION ALL ".join(map(_melted, ("faithfulness", "relevance", "citation", "refusal"))))

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinmill.functions.text import utc_stamps
 from skeinmill.operators.seeding import preview
 from skeinmill.sinks import manifest
 
@@ -63,6 +64,23 @@ def write_report(report: dict, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
 
 
+def write_run(report: DataFrame, answers: DataFrame, path: str) -> tuple[str, bool]:
+    """A generation run's report, and beside it its answers, a row for each query: the run's id, and whether the answers could be written.
+
+    The report carries the run's stamps in UTC. Answers are a help to readers: if their write fails, the report stays.
+    """
+    spark = report.sparkSession
+    stamps = spark.range(1).select(*(c.alias(n) for n, c in utc_stamps(F.current_timestamp()).items())).first()
+    folder = f"{path}/run={stamps['run_id']}"
+    report.withColumns({n: F.lit(stamps[n]) for n in ("captured_at", "run_day")}).write.mode("overwrite").json(f"{folder}/report")
+    try:
+        answers.write.mode("overwrite").json(f"{folder}/answers")
+    except Exception as error:  # noqa: BLE001
+        print(f"the answers of {folder} were not written: {error}")
+        return stamps["run_id"], False
+    return stamps["run_id"], True
+
+
 def filter_markdown(reasons: DataFrame, totals: dict[str, int]) -> str:
     """What filters kept and why they dropped the rest, reasons in alphabetical order."""
     lines = ["# Filter report", ""] + [f"- {name}: {n}" for name, n in totals.items()] + ["", "| reason | n |", "|---|---:|"]

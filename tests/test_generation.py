@@ -97,3 +97,40 @@ def test_generation_stub_and_model(spark):
     rows = spark.createDataFrame([("q", "ctx", [("d", "c", 0.0, "First. Second.")]), ("q2", "", [])], "query string, context string, chunks array<struct<doc_id:string,chunk_id:string,score:double,text:string>>")
     assert [r.raw_text for r in generation.generate(rows).orderBy("query").collect()] == ["First [1]", t.CANONICAL_REFUSAL]
     assert [r.raw_text for r in generation.generate(rows, lambda q, c: q + c).orderBy("query").collect()] == ["qctx", "q2"]
+
+
+def test_replies_out_of_bounds_fail(spark):
+    """A score over 1 or under 0, and a claim's number under 1 or missing, are no valid reply."""
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(['{"score": 1.2, "rationale": "x"}', '{"score": -0.1, "rationale": "x"}', '{"score": 0.9, "rationale": "x"}', '{"score": 1, "rationale": "x"}'])], "i int, r string")
+    assert [(x.s.score, x.s.rationale == judging.NO_JSON) for x in rows.select("i", judging.relevance("r").alias("s")).orderBy("i").collect()] == [(0.0, True), (0.0, True), (1.0, False), (1.0, False)]
+    given = ['{"attributions": [{"claim_idx": 1}, {"claim_idx": 0}]}', '{"attributions": [{"supporting_chunk_idx": 2}]}', '{"attributions": [{"claim_idx": 2, "supporting_chunk_idx": 1}]}', '{"attributions": []}', "none"]
+    got = [x.a for x in spark.createDataFrame(list(enumerate(given)), "i int, r string").select("i", judging.attributions("r").alias("a")).orderBy("i").collect()]
+    assert got[0] is None and got[1] is None and got[2][0].claim_idx == 2 and got[3] == [] and got[4] is None
+
+
+def test_a_loaded_judge_answers_batches_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"p{i}" if i % 5 else None) for i in range(40)], "i int, prompt string").coalesce(1)
+
+    def load():
+        (tmp_path / "loaded").open("a").write("x")
+        return lambda prompts: [f"re {p}" if not p.endswith("7") else None for p in prompts]
+
+    got = {r.i: r.response for r in judging.ask(rows, None, F.col("response").isNotNull(), load=load, attempts=1).collect()}
+    assert got == {i: f"re p{i}" if i % 5 and i % 10 != 7 else None for i in range(40)} and (tmp_path / "loaded").read_text() == "x"
+    with pytest.raises(ValueError, match="either"):
+        judging.ask(rows, None, F.lit(True))
+
+
+def test_runs_are_stamped_in_utc_and_keep_their_report(spark, tmp_path):
+    from skeinmill.sinks import files as sinks
+
+    report = spark.createDataFrame([("refusal", "n", 3.0)], "section string, metric string, value double")
+    run, written = sinks.write_run(report, spark.createDataFrame([("q1", "yes")], "query_id string, answer string"), str(tmp_path))
+    kept = spark.read.json(f"{tmp_path}/run={run}/report").first()
+    assert written and len(run) == 16 and kept.captured_at.endswith("+00:00") and kept.run_day == run[:8] and spark.read.json(f"{tmp_path}/run={run}/answers").first().answer == "yes"
+    broken = spark.range(1).select(F.raise_error(F.lit("disk")).alias("answer"))
+    assert sinks.write_run(report, broken, str(tmp_path / "b"))[1] is False
+    rows = spark.createDataFrame([("a", True, False), ("b", True, True), ("c", False, None)], "query_id string, rule_refused boolean, judge_refused boolean")
+    from skeinmill.operators import metrics
+
+    assert [tuple(r) for r in metrics.disagreements(rows).collect()] == [("a", True, False)]
