@@ -214,7 +214,7 @@ def _roots(nodes: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, per
     busy = met.groupBy("id").agg(F.lit(1).alias("one")).drop("one")
     # A class's text is that of a row of its least doc_id; other copies aren't shuffled.
     wanted = keep(heads.join(busy, "id").select("id", "cls", "head"), "busy-classes")
-    texts = own.join(wanted.select("cls", "id", F.col("head").alias("doc_id")), ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
+    texts = _sifted(own, wanted).join(wanted.select("cls", "id", F.col("head").alias("doc_id")), ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
     texts = keep(texts.select("id", "text"), "busy-texts")
     # Sketches of these few are drawn again, which costs less than shuffling those of all classes.
     again = texts.select(F.col("id").alias("doc_id"), F.lit(None).cast("binary").alias("cls"), "text")
@@ -246,6 +246,20 @@ def _roots(nodes: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, per
     return roots
 
 
+#: Bits of a sieve of classes: so many for each class, as long as the whole has a number that is sent to every task, 32 MiB.
+SIEVE_BITS, MOST_BITS = 16, 1 << 28
+
+
+def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose class may be a wanted one: a bitmap of hashes of the wanted classes, of bounded size, goes to every task, so
+    that hardly any other text is shuffled. With more classes than it is made for it lets more rows pass, never fewer."""
+    size = min(MOST_BITS, -(-max(1, wanted.count() * SIEVE_BITS) // 32768) * 32768)
+    bit = F.pmod(F.xxhash64("cls"), F.lit(size))
+    maps = wanted.select(bit.alias("bit")).selectExpr("bit div 32768 as part", "bit % 32768 as at").groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
+    held = F.expr("bit_get(cast(conv(hex(substring(map, cast(bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1")
+    return rows.withColumn("bit", bit).withColumn("part", F.expr("bit div 32768")).join(F.broadcast(maps), "part").where(held).select(*rows.columns)
+
+
 # What is joined by a bucket or a shingle, of which one may hold a large share of all rows, is written first:
 # then both sides are plain tables, and a frequent key's rows are split over several tasks.
 

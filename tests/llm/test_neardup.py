@@ -161,3 +161,13 @@ def test_random_tables_with_repeated_ids(spark, seed):
     assert sorted(((r[0], r[1]) for r in kept.collect()), key=repr) == by_texts(rows)
     for text in {x for _, x in rows}:
         assert any(len(shingles(x) & shingles(text)) or x == text for _, x in map(lambda r: (r[0], r[1]), kept.collect())) or not shingles(text)
+
+
+@pytest.mark.parametrize("most", [neardup.MOST_BITS, 32768])
+def test_a_sieve_lets_all_wanted_rows_pass(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_BITS", most)
+    rows = spark.range(20_000).select(neardup.F.col("id").alias("doc_id"), neardup._digest(neardup.F.col("id").cast("string")).alias("cls"))
+    wanted = rows.where("doc_id % 5 = 0").select("cls")
+    passed = {r.doc_id for r in neardup._sifted(rows, wanted).collect()}
+    assert passed >= set(range(0, 20_000, 5)) and len(passed) < (6000 if most > 32768 else 8000)
+    assert neardup._sifted(rows, wanted.limit(0)).count() == 0
