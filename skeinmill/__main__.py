@@ -14,35 +14,47 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinmill.operators import chunking, generation, metrics, retrieval
+from skeinmill.operators import chunking, generation, lexical, metrics, retrieval, vectorstore
 from skeinmill.session import session
 from skeinmill.sinks import files as sinks
+from skeinmill.sinks import manifest
 from skeinmill.sources import files as sources
 
 PIPELINES = ["dense", "sparse", "hybrid", "hybrid-rerank"]
 
 
 def index(spark: SparkSession, docs: str, target: str, strategies: list[str], size: int, overlap: int) -> None:
-    """Chunks with their vectors and places, a partition for each strategy."""
+    """Chunks with their vectors and places, a partition for each strategy, and beside them each strategy's stored terms and vectors."""
     chunks = sources.with_positions(chunking.chunk(sources.read_markdown(spark, docs), strategies, size, overlap))
     sinks.write_chunks(retrieval.embed(chunks, "text"), target)
+    for strategy in strategies:
+        written = sources.read_chunks(spark, target, strategy)
+        for part in ("terms", "vectors"):
+            manifest.remove(spark, _stored(target, strategy, part))
+        lexical.append(spark, _stored(target, strategy, "terms"), written)
+        vectorstore.append(spark, _stored(target, strategy, "vectors"), written, "all")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, pipeline: str, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by the pipeline named."""
+def _stored(target: str, strategy: str, part: str) -> str:
+    return f"{target.rstrip('/')}-stored/{strategy}/{part}"
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, target: str, strategy: str, pipeline: str, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by the pipeline named, from an index's stored terms and vectors."""
     if pipeline not in PIPELINES:
         raise ValueError(f"unknown pipeline {pipeline!r}")
-    asked = retrieval.embed(queries, "query")
+    spark, asked = chunks.sparkSession, retrieval.embed(queries, "query")
+    terms, store = lexical.load(spark, _stored(target, strategy, "terms")), vectorstore.load(spark, _stored(target, strategy, "vectors"))
     if pipeline == "dense":
-        return retrieval.dense_top_k(asked, chunks, k).drop("pos")
+        return vectorstore.search(asked, store, k).drop("pos")
     if pipeline == "sparse":
-        return retrieval.bm25_top_k(asked, chunks, k).drop("pos")
-    return retrieval.hybrid(asked, chunks, k, reranked=pipeline == "hybrid-rerank")
+        return lexical.search(asked, terms, k).drop("pos")
+    return retrieval.hybrid(asked, chunks, k, reranked=pipeline == "hybrid-rerank", index=terms, store=store)
 
 
-def evaluate(queries: DataFrame, chunks: DataFrame, pipeline: str, eval_k: int = 10) -> DataFrame:
+def evaluate(queries: DataFrame, chunks: DataFrame, target: str, strategy: str, pipeline: str, eval_k: int = 10) -> DataFrame:
     """(metric, value, n): means over the queries, on documents found among 4 x eval_k chunks."""
-    found = retrieve(queries.select("query_id", "query"), chunks, pipeline, 4 * eval_k).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    found = retrieve(queries.select("query_id", "query"), chunks, target, strategy, pipeline, 4 * eval_k).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     relevant = metrics.relevant_by_prefix(queries, chunks)
     return metrics.means(metrics.per_query(queries, metrics.dedupe(found), relevant, [k for k in metrics.KS if k <= eval_k]))
 
@@ -77,7 +89,7 @@ def main(args: list[str] | None = None) -> None:
     chunks = sources.read_chunks(spark, given.index, given.strategy)
     if given.command == "search":
         asked = spark.createDataFrame([(0, given.query)], "query_id int, query string")
-        ranked = retrieve(asked, chunks, given.pipeline, given.k).join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
+        ranked = retrieve(asked, chunks, given.index, given.strategy, given.pipeline, given.k).join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
         for r in ranked.orderBy("rank").collect():
             print(f"{r['rank']}. {r.chunk_id} ({r.score:.4f})\n   {r.text[:200]!r}")
         row = generation.assemble(ranked).first()
@@ -86,7 +98,7 @@ def main(args: list[str] | None = None) -> None:
     if given.eval_k <= 0:
         parser.error("--eval-k must be positive")
     queries = sources.read_eval_set(spark, given.eval_set, "eval")
-    means = evaluate(queries, chunks, given.pipeline, given.eval_k).withColumn("strategy", F.lit(given.strategy))
+    means = evaluate(queries, chunks, given.index, given.strategy, given.pipeline, given.eval_k).withColumn("strategy", F.lit(given.strategy))
     if given.baseline:
         old = json.load(open(given.baseline, encoding="utf-8"))["strategies"]
         base = spark.createDataFrame([(s, m, float(v)) for s, ms in old.items() for m, v in ms.items()], "strategy string, metric string, value double")
