@@ -344,12 +344,14 @@ def pool_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT e.vec_id, max(round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9)) AS s FROM embeddings e, embeddings q WHERE q.vec_id < 40 AND e.vec_id >= 40 GROUP BY 1)
+    """WITH s AS (SELECT e.vec_id, max(round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9)) AS s FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id NOT IN (SELECT item_id FROM benchmark) GROUP BY 1)
 SELECT vec_id AS row_id, CASE WHEN s > 0.5 THEN printf('eval_contamination_sim=%.3f', s) END AS drop_reason FROM s"""
 )
 def pool_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return seeding.filter_contamination(rows.where("vec_id >= 40").selectExpr("vec_id as row_id", "embedding"), rows.where("vec_id < 40"), 0.5).select("row_id", "drop_reason")
+    """Vectors too similar to one of a benchmark item's number."""
+    rows, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark").selectExpr("item_id as vec_id")
+    evals, own = rows.join(items, "vec_id", "left_semi"), rows.join(items, "vec_id", "left_anti")
+    return seeding.filter_contamination(own.selectExpr("vec_id as row_id", "embedding"), evals, 0.5).select("row_id", "drop_reason")
 
 
 @query(
