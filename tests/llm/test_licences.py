@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import textwrap
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from skeinmill.llm import licences
@@ -59,3 +61,23 @@ def test_copyright_statements(spark):
 def test_common_digests(spark):
     ids = {r.license for r in licences.known_digests(spark).where("kind = 'text'").collect()}
     assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "MIT", "ISC"} <= ids
+
+
+#: Files of this system that hold known texts, and the ids of these.
+SYSTEM_TEXTS = {
+    "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only",
+    "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only",
+}
+
+
+def test_whole_texts_hash_to_the_digests(spark):
+    """Texts that the system has, as they are, in capitals, behind comment signs and with a statement of one's own, are found; with a word more they aren't."""
+    texts = {i: path.read_text(errors="replace") for name, i in SYSTEM_TEXTS.items() if (path := Path("/usr/share/common-licenses") / name).is_file()}
+    if not texts:
+        pytest.skip("no license texts on this system")
+    ways = [lambda x: x, lambda x: "Copyright (c) 2020 Some Body\n\n" + x, lambda x: "\n".join("# " + line for line in x.split("\n")), lambda x: x.replace(", ", " , ").replace("\n", "\r\n"), lambda x: x + "\nadded"]
+    rows = [(k, w, i, way(x)) for k, (i, x) in enumerate(texts.items()) for w, way in enumerate(ways)]
+    docs = spark.createDataFrame([(10 * k + w, x) for k, w, _, x in rows], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.license for r in licences.scan(docs).collect()}
+    assert got == {10 * k + w: i if w < len(ways) - 1 else None for k, w, i, _ in rows}
+    assert {i for i, _, _ in licences.COMMON_DIGESTS} >= set(texts)
