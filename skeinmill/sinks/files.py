@@ -45,6 +45,16 @@ def write_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).text(path)
 
 
+def write_eval_set(queries: DataFrame, path: str) -> None:
+    """An evaluation set (query_id, query, prefixes) as one JSON array of {query, relevant}, in order of id, which read_eval_set reads.
+
+    A set is small by nature: it is one value of one row.
+    """
+    rows = F.sort_array(F.collect_list(F.struct("query_id", "query", F.col("prefixes").alias("relevant"))))
+    whole = queries.agg(F.to_json(F.transform(rows, lambda r: F.struct(r["query"].alias("query"), r["relevant"].alias("relevant")))).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_dataset(examples: DataFrame, path: str, version: str = "1", description: str = "") -> None:
     """Examples as JSON lines, and a manifest of one row beside them."""
     examples.write.mode("overwrite").json(f"{path}/examples")

@@ -230,6 +230,19 @@ def test_checkpoints_with_broken_lines(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, "newest"), (3, None), (4, None)]
 
 
+def test_an_evaluation_set_is_written_as_it_is_read(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", f"## Loading \"quoted\" files of kind {i}\n\ntext") for i in range(9)], "doc_id string, content string")
+    made = seeding.structural_queries(docs, 5)
+    sinks.write_eval_set(made, str(tmp_path / "set"))
+    whole = json.loads("".join(p.read_text() for p in (tmp_path / "set").glob("part-*")))
+    want = [(r.query, r.prefixes) for r in made.orderBy("query_id").collect()]
+    assert [(r["query"], r["relevant"]) for r in whole] == want and len(want) == 5
+    read = files.read_eval_set(spark, str(tmp_path / "set"), "structural").orderBy("query_id").collect()
+    assert [(r.query, r.prefixes) for r in read] == want and read[0].query_id == "structural_000"
+    sinks.write_eval_set(made.limit(0), str(tmp_path / "none"))
+    assert files.read_eval_set(spark, str(tmp_path / "none"), "x").count() == 0
+
+
 def test_the_last_append_of_a_key_wins(spark, tmp_path):
     """Whatever the names of its files: of two and of ten appends, over twenty runs, the last one counts; broken lines don't."""
     row = lambda k, v: spark.createDataFrame([(k, v)], "k int, v string")
