@@ -34,6 +34,8 @@ from skeinmill.sinks import manifest as manifests
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Chunks of a shard, about; postings of a block; postings of a folder, about, and folders at most.
 SHARD, BLOCK, FOLDER, FOLDERS = 1 << 15, 256, 4_000_000, 1024
+#: Bytes of text that are cut into words at once, unless one text is longer.
+PIECE = 4 << 20
 #: By which a bound may fall short of a threshold, for what sums of doubles differ by.
 SLACK = 1e-6
 
@@ -54,11 +56,21 @@ class Index(NamedTuple):
         return self.manifest["words"] / self.n if self.n else None
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in slices of about `size` bytes of a text column, which bounds what is made of them at once."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, pos, tf, dl) of (pos, text), lower-cased and cut at ASCII white space; a row without a term gives a batch's number of chunks and words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
             cut = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
             flat = cut.flatten()
             owner = np.repeat(np.arange(len(cut)), np.asarray(cut.value_lengths()))

@@ -97,6 +97,19 @@ def test_a_repeated_batch_and_a_crash_leave_one(spark, tmp_path, monkeypatch):
     assert lexical.append(spark, other, frame.repartition(7)).n == len(chunks)
 
 
+def test_pieces_of_batches(spark, tmp_path, monkeypatch):
+    """However texts are cut into pieces, the index is the same; one longer than a piece is a piece."""
+    monkeypatch.setattr(lexical.pieces, "__defaults__", (64,))
+    chunks, asked = tables(9, 60)
+    chunks[7] = ("c7", 7, "long text the " * 200)
+    index = lexical.append(spark, str(tmp_path / "index"), spark.createDataFrame(chunks, CHUNKS))
+    same(answers(spark.createDataFrame(asked, QUERIES), index, 6), plain(asked, chunks, 6))
+    import pyarrow as pa
+
+    batch = pa.record_batch({"pos": pa.array(range(5)), "text": pa.array(["a" * 50, None, "b" * 100, "c" * 10, ""])})
+    assert [p.num_rows for p in lexical.pieces(batch, 1, 64)] == [2, 1, 2]
+
+
 def test_of_two_writers_the_later_fails(spark, tmp_path):
     folder = str(tmp_path / "m")
     manifest.publish(spark, folder, {"a": 1}, 1)
