@@ -4,14 +4,16 @@ A word is a run of ASCII letters, digits and non-ASCII characters, A-Z lower-cas
 sum of hashed embeddings, of the word and of its first 4 and 6 bytes, so that inflected forms share. Filters of several widths run over
 the words, each filter's greatest response is kept, and a logistic layer turns these into a score.
 
-The classifier is fitted on a bounded sample of whole texts: at most `sample_rows` labelled rows, those least by a
-hash of their id, of `sample_words` words in all at most. A row that would take the sample over that is left out,
-with its whole text, and the next ones are taken: one long text doesn't end the sample. Rows with
-crc32(doc_id) mod 3 = 1 are held out: their labels are never read. One dimension of each embedding begins
-as the word's association with the label. Models are fitted by the tasks of one small job, each of which reads the
-sample; to the driver come the fitted arrays and a number for each row. Each third of the sample is scored by a model fitted on the rest:
-the score is scaled so that 0.7 divides these scores best, and each language with enough of them gets a
-threshold of its own, else 0.7. Scores depend on the text alone.
+The classifier is fitted on all labelled rows, with their whole texts, but those with crc32(doc_id) mod 3 = 1, which
+are held out: their labels are never read. One dimension of each embedding begins as the word's association with the
+label, counted over all these rows. Rows are dealt over shards of about SHARD_ROWS. Each shard's task fits a model that begins as
+all others do; tasks add up, parameter by parameter, how far the shards moved it, and the common model has the mean of those that moved it.
+Each third of the rows is scored by a model that is fitted beside, on the rest: the score is scaled so that 0.7 divides these scores best, and each language with enough of them gets a threshold
+of its own, else 0.7. These cuts come from counts of all rows by language and logit, in steps of 1/GRAIN. To the driver come the
+fitted arrays, of fixed size, and these counts. Scores depend on the text alone.
+
+A caller may bound the rows and words that are learned from (`sample_rows`, `sample_words`): then rows are taken in
+the order of a hash of their id, and one that would exceed the words is left out, with its whole text. The queries set no bound.
 
 Every document is scored whole where it lies, without a shuffle; the fitted arrays have a fixed size.
 
@@ -22,21 +24,26 @@ with one doc_id the shortest and least text is learned from, as toxic if any of
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinmill.llm import grams as g
+from skeinmill.llm.neardup import _sifted
 from skeinmill.llm.store import forget, keep, map_batches
 
-#: Bounds of the sample that the classifier is fitted on: rows, and words of all of them together.
-SAMPLE_ROWS, SAMPLE_WORDS = 6000, 10_000_000
+#: Rows of a shard, on average; words that a task holds at once, unless one text is longer: a shard of more is fitted on one part after the other.
+SHARD_ROWS, CHUNK_WORDS = 12_000, 8_000_000
+#: Labelled rows that are sent to every task at most, of 12 bytes; more are joined.
+SENT_LABELS = 1_000_000
+#: Steps of a logit in which scores are counted where they are cut; parts of the parameters that are added up apart.
+GRAIN, PARTS = 1024, 16
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 12
 #: Bytes of a word that have an embedding of their own, besides the whole word.
 PREFIXES = (4, 6)
@@ -106,15 +113,15 @@ class Model:
         return out
 
     def logits(self, docs: list[np.ndarray]) -> np.ndarray:
+        """One document at a time, so that the order of sums, and with it the last bit, depends on its words alone."""
         if not docs:
             return np.zeros(0)
-        rows, ptr = _padded(docs)
-        greatest = []
-        for width, answer in zip(WIDTHS, self._responses(rows), strict=True):
-            for j in range(1, width):
-                answer[:, ptr[1:] - j] = -np.inf
-            greatest.append(np.maximum.reduceat(answer, ptr[:-1], axis=1))
-        return np.maximum(np.concatenate(greatest).T + self.bias, 0) @ self.out + self.shift
+        greatest = np.empty((len(docs), len(self.bias)), np.result_type(self.table, self.taps))
+        for i, doc in enumerate(docs):
+            answers = self._responses(np.concatenate([doc, np.full((_PAD, _TABLES), _TABLES * BUCKETS, doc.dtype)]))
+            for k, (width, answer) in enumerate(zip(WIDTHS, answers, strict=True)):
+                greatest[i, k * FILTERS : (k + 1) * FILTERS] = answer[:, : answer.shape[1] - width + 1].max(1)
+        return (np.maximum(greatest + self.bias, 0) * self.out).sum(1) + self.shift
 
     def logits_in_pieces(self, docs: list[np.ndarray]) -> np.ndarray:
         """The same, with memory for one document or BATCH of them at a time."""
@@ -177,40 +184,61 @@ def gradients(model: Model, docs: list[np.ndarray], y: np.ndarray, rng: np.rando
     return grads, float(error.sum()), used, total
 
 
-def associations(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """How much oftener than by chance each row of the embedding table is in documents labelled 1, in standard errors over FLOOR, scaled."""
-    n, hits = np.zeros((2, _TABLES * BUCKETS + 1))
+def counts(rows: Iterator[tuple[np.ndarray, int]]) -> np.ndarray:
+    """How many documents, and how many labelled 1, each row of the embedding table is in; last, how many there are."""
+    out = np.zeros((2, _TABLES * BUCKETS + 2))
     for ids, y in rows:
-        own = np.unique(ids)
-        n[own] += 1
-        hits[own] += y
-    expected = n * np.mean([y for _, y in rows])
+        own = np.append(np.unique(ids), _TABLES * BUCKETS + 1)
+        out[0, own] += 1
+        out[1, own] += y
+    return out
+
+
+def associations(counted: np.ndarray) -> np.ndarray:
+    """How much oftener than by chance each row of the embedding table is in documents labelled 1, in standard errors over FLOOR, scaled."""
+    (n, hits), (whole, ones) = counted[:, :-1], counted[:, -1]
+    expected = n * (ones / whole)
     return (np.clip((hits - expected) / np.sqrt(expected + 1) - FLOOR, 0, 3) / 3).astype(np.float32)
 
 
-def train(rows: list[tuple[np.ndarray, int]], seed: int = SEED) -> Model:
-    """Fits by minibatches with Adagrad, from embeddings of which one dimension a table holds its associations, and one filter reads each."""
-    rng = np.random.default_rng(seed)
-    n_taps, n_features = sum(WIDTHS) * FILTERS, len(WIDTHS) * FILTERS
-    table = rng.normal(0, 0.1, (_TABLES * BUCKETS + 1, DIM)).astype(np.float32)
-    prior = associations(rows)
-    for i in range(_TABLES):
-        own = slice(i * BUCKETS, (i + 1) * BUCKETS)
-        table[own, i] = prior[own]
-    table[-1] = 0
-    model = Model(table, rng.normal(0, 0.3, (DIM, n_taps)).astype(np.float32), np.zeros(n_features, np.float32), rng.normal(0, 0.3, n_features).astype(np.float32), -1.0)
-    for i in range(_TABLES):
-        model.taps[:, i], model.out[i] = 0, 1
-        model.taps[i, i] = 2
-    seen = {"table": np.full(_TABLES * BUCKETS + 1, 1e-3, np.float32), "taps": np.full_like(model.taps, 1e-3), "bias": np.full_like(model.bias, 1e-3), "out": np.full_like(model.out, 1e-3), "shift": 1e-3}
-    truth = np.array([y for _, y in rows], np.float64)
-    epochs = max(EPOCHS, -(-UPDATES * BATCH // len(rows)))
-    for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs * 0.8)
-        order = rng.permutation(len(rows))
+_DENSE = ("taps", "bias", "out")
+
+
+@dataclass
+class Fit:
+    """A model while it is fitted by minibatches with Adagrad, and the squares seen so far."""
+
+    model: Model
+    seen: dict[str, np.ndarray | float]
+    rng: np.random.Generator
+
+    @classmethod
+    def begun(cls, prior: np.ndarray, seed: int) -> Fit:
+        """From embeddings of which one dimension a table holds its associations, and one filter reads each."""
+        rng = np.random.default_rng(seed)
+        n_taps, n_features = sum(WIDTHS) * FILTERS, len(WIDTHS) * FILTERS
+        table = rng.normal(0, 0.1, (_TABLES * BUCKETS + 1, DIM)).astype(np.float32)
+        for i in range(_TABLES):
+            own = slice(i * BUCKETS, (i + 1) * BUCKETS)
+            table[own, i] = prior[own]
+        table[-1] = 0
+        model = Model(table, rng.normal(0, 0.3, (DIM, n_taps)).astype(np.float32), np.zeros(n_features, np.float32), rng.normal(0, 0.3, n_features).astype(np.float32), -1.0)
+        for i in range(_TABLES):
+            model.taps[:, i], model.out[i] = 0, 1
+            model.taps[i, i] = 2
+        seen = {"table": np.full(_TABLES * BUCKETS + 1, 1e-3, np.float32), "shift": 1e-3} | {k: np.full_like(getattr(model, k), 1e-3) for k in _DENSE}
+        return cls(model, seen, rng)
+
+    def go(self, rows: list[tuple[np.ndarray, int]], epochs: int) -> None:
+        for epoch in range(epochs):
+            self._epoch(rows, RATE * (1 - epoch / epochs * 0.8))
+
+    def _epoch(self, rows: list[tuple[np.ndarray, int]], rate: float) -> None:
+        model, seen = self.model, self.seen
+        order = self.rng.permutation(len(rows))
         for start in range(0, len(order), BATCH):
             own = order[start : start + BATCH]
-            grads, shift, used, total = gradients(model, [rows[d][0] for d in own], truth[own], rng)
+            grads, shift, used, total = gradients(model, [rows[d][0] for d in own], np.array([rows[d][1] for d in own], np.float64), self.rng)
             for k, grad in grads.items():
                 value = getattr(model, k)
                 grad = grad + DECAY * value
@@ -221,111 +249,233 @@ def train(rows: list[tuple[np.ndarray, int]], seed: int = SEED) -> Model:
             seen["table"][used] += (total * total).mean(1)
             model.table[used] -= rate * total / np.sqrt(seen["table"][used])[:, None]
             model.table[-1] = 0
-    return model
+
+    def dense(self) -> np.ndarray:
+        """All parameters but the embeddings."""
+        return np.concatenate([*(getattr(self.model, k).ravel() for k in _DENSE), [self.model.shift]])
+
+    def move(self, at: np.ndarray, moved: np.ndarray, others: np.ndarray) -> Model:
+        """The model with embeddings and other parameters changed by so much."""
+        model, place = self.model, 0
+        model.table[at] += moved
+        for k in _DENSE:
+            array = getattr(model, k)
+            array += others[place : place + array.size].reshape(array.shape).astype(np.float32)
+            place += array.size
+        model.shift += float(others[place])
+        return model
 
 
-def best_cut(x: np.ndarray, y: np.ndarray) -> float:
-    """The value between two of x from which on y = 1 is told best, by an F score that minds precision more."""
+def _epochs(n: int) -> int:
+    return max(EPOCHS, -(-UPDATES * BATCH // max(n, 1)))
+
+
+def train(rows: list[tuple[np.ndarray, int]], seed: int = SEED) -> Model:
+    """A model fitted on rows that one task holds."""
+    fitted = Fit.begun(associations(counts(rows)), seed)
+    fitted.go(rows, _epochs(len(rows)))
+    return fitted.model
+
+
+def best_cut(x: np.ndarray, hits: np.ndarray, n: np.ndarray) -> float:
+    """The value between two of x from which on label 1 is told best, by an F score that minds precision more; n rows have each x, hits of them label 1."""
     order = np.argsort(-x, kind="stable")
-    s, hits = x[order], np.cumsum(y[order])
-    score = (1 + BETA**2) * hits / (np.arange(1, len(s) + 1) + BETA**2 * y.sum())
+    s, found = x[order], np.cumsum(hits[order])
+    score = (1 + BETA**2) * found / (np.cumsum(n[order]) + BETA**2 * hits.sum())
     last = np.append(s[1:] < s[:-1], True)
     best = int(np.argmax(np.where(last, score, -1)))
     below = s[best + 1] if best + 1 < len(s) else s[best] - 1
     return float((s[best] + below) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, seed: int = SEED) -> Model | None:
-    """A calibrated model from labelled rows that aren't held out; None without rows of both kinds."""
-    chosen = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.select("doc_id", "toxic", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("place")).orderBy("place", "doc_id").limit(sample_rows)
-    schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("place", T.LongType()), ("lang", T.StringType()), ("toxic", T.IntegerType()), ("n_words", T.LongType()), ("ids", T.BinaryType()))])
+def _median(x: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    so_far = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(so_far, so_far[-1] / 2)])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in g.pieces(batches, 4):
-            ids, ptr = word_ids(batch.column(4))
-            cells = [x.tobytes() for x in _split(ids, ptr)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(np.diff(ptr), pa.int64()), pa.array(cells, pa.binary())], names=schema.names)
 
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None, sample_words: int | None = None, seed: int = SEED) -> Model | None:
+    """A calibrated model from all labelled rows that aren't held out, or from as many as the caller's bounds allow; None without rows of both kinds."""
+    chosen = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = chosen.select("doc_id", "toxic", F.xxhash64(F.lit(seed), "doc_id").alias("place"))
+    if sample_rows is not None:
+        chosen = chosen.orderBy("place", "doc_id").limit(sample_rows)
+    chosen = keep(chosen, "toxicity-labels")
+    n = chosen.count()
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    # Rows that share a doc_id are one: the sample's bounds hold whatever the table repeats.
-    rows = rows.groupBy("doc_id", "place", "toxic").agg(F.min(F.struct(F.length("text").alias("n"), "text", "lang")).alias("r")).select("doc_id", "place", "r.lang", "toxic", "r.text")
-    rows = keep(map_batches(rows, encode, schema), "toxicity-sample")
-    own, words = [], 0
-    for r in rows.select("place", "doc_id", "n_words").orderBy("place", "doc_id").collect():
-        if words + r.n_words <= sample_words:
-            own.append(r.doc_id)
-            words += r.n_words
-    sample = rows.where(F.col("doc_id").isin(own)).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "toxic", "ids")
-    model = _fitted(sample, seed)
-    forget(rows)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if n <= SENT_LABELS:
+        rows = own.join(F.broadcast(chosen), "doc_id")
+    else:
+        rows = _sifted(own.withColumnRenamed("doc_id", "cls"), chosen.withColumnRenamed("doc_id", "cls")).withColumnRenamed("cls", "doc_id").join(chosen, "doc_id")
+    # Rows that share a doc_id are one, whatever the table repeats.
+    rows = rows.groupBy("doc_id", "place", "toxic").agg(F.min(F.struct(F.length("text").alias("n"), "text", "lang")).alias("r")).select("doc_id", "place", F.coalesce("r.lang", F.lit("")).alias("lang"), "toxic", "r.text")
+    shards = max(1, -(-n // SHARD_ROWS))
+    rows = keep(rows.coalesce(shards).sortWithinPartitions("place", "doc_id"), "toxicity-rows")
+    model = _fitted(rows if sample_words is None else _bounded(rows, sample_words), seed)
+    forget(rows, chosen)
     return model
 
 
-def _parts(y: np.ndarray, seed: int) -> np.ndarray:
-    """The part of each row: parts take turns within each label, so that each has its share of both."""
-    part = np.empty(len(y), np.int64)
-    for label in (0, 1):
-        own = np.flatnonzero(y == label)
-        part[np.random.default_rng(seed).permutation(own)] = np.arange(len(own)) % FOLDS
-    return part
-
-
-_ARRAYS = ("table", "taps", "bias", "out")
-
-
-def _fold(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """What one task fits, of the whole sample (fold, doc_id, toxic, ids): fold FOLDS the model of all rows, others the scores of their part."""
-    tables: dict[int, list[pa.RecordBatch]] = {}
-    for batch in batches:
-        folds = np.asarray(batch.column(0))
-        for fold in np.unique(folds).tolist():
-            tables.setdefault(fold, []).append(batch.filter(pa.array(folds == fold)))
-    for fold, parts in tables.items():
-        rows = pa.Table.from_batches(parts).sort_by("doc_id")
-        y = np.asarray(rows.column("toxic").combine_chunks()).astype(np.int64)
-        data = [(np.frombuffer(x.as_buffer(), np.int32).reshape(-1, _TABLES), int(label)) for x, label in zip(rows.column("ids"), y, strict=True)]
-        part, scores, arrays = _parts(y, seed), [], None
-        mine = np.flatnonzero(part == fold)
-        others = [d for d, q in zip(data, part, strict=True) if q != fold]
-        if fold == FOLDS:
-            model = train(data, seed)
-            arrays = pickle.dumps([getattr(model, name) for name in _ARRAYS] + [model.shift])
-        elif len(mine) and others:
-            scores = train(others, seed).logits_in_pieces([data[i][0] for i in mine]).astype(np.float64).tolist()
-        ids = rows.column("doc_id").take(pa.array(mine)).to_pylist() if scores else []
-        yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([scores], pa.list_(pa.float64())), pa.array([arrays], pa.binary())], names=["doc_ids", "scores", "model"])
-
-
-def _fitted(sample: DataFrame, seed: int = SEED) -> Model | None:
-    """A model fitted on all rows (doc_id, lang, toxic, ids), calibrated by how models fitted on the other parts score each part."""
-    known = sample.select("doc_id", "lang", "toxic").orderBy("doc_id").collect()
-    y = np.array([r.toxic for r in known])
-    if len(set(y.tolist())) < 2:
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """The rows taken by place, without those that would take their words over a bound."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in g.pieces(batches, 2):
+            n_words = np.diff(word_ids(batch.column(2))[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64())], names=["doc_id", "place", "n_words"])
+
+    own, words = [], 0
+    for r in map_batches(rows.select("doc_id", "place", "text"), count, "doc_id long, place long, n_words long").orderBy("place", "doc_id").collect():
+        if words + r.n_words <= most:
+            own.append(r.doc_id)
+            words += r.n_words
+    return rows.where(F.col("doc_id").isin(own))
+
+
+def _part(place: np.ndarray) -> np.ndarray:
+    """The part of each row, by its place's hash."""
+    return (g.mix(place.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_WORDS) -> Iterator[tuple[list[tuple[np.ndarray, int]], np.ndarray, list[str]]]:
+    """Rows with their ids and labels, their parts and languages, for about so many words at a time; reads (place, lang, toxic, text)."""
+    data: list[tuple[np.ndarray, int]] = []
+    parts: list[np.ndarray] = []
+    langs: list[str] = []
+    words = 0
+    for batch in g.pieces(batches, 3):
+        ids, ptr = word_ids(batch.column(3))
+        data += [(x.copy(), int(y)) for x, y in zip(_split(ids, ptr), batch.column(2).to_pylist(), strict=True)]
+        parts.append(_part(batch.column(0).to_numpy()))
+        langs += batch.column(1).to_pylist()
+        words += len(ids)
+        if words >= most:
+            yield data, np.concatenate(parts), langs
+            data, parts, langs, words = [], [], [], 0
+    if data:
+        yield data, np.concatenate(parts), langs
+
+
+#: Where the parameters that aren't embeddings are, among rows of the table.
+_OTHERS = _TABLES * BUCKETS + 2
+
+
+def _packed(fold: int, at: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a fold's parameters and their values, by parts: what _totals adds up."""
+    shard = TaskContext.get().partitionId()
+    # Parameters that aren't embeddings are a part of their own: their rows are longer.
+    parts = np.where(at < _OTHERS, at % PARTS, PARTS)
+    for part in range(PARTS + 1):
+        own = parts == part
+        if own.any():
+            cells = [[fold], [part], [shard], [at[own].astype(np.int32).tobytes()], [values[own].astype(np.float32).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["fold", "part", "shard", "at", "moved"])
+
+
+_PACKED = "fold int, part int, shard int, at binary, moved binary"
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """The shards' values of one fold and part, added in the order of shards, and how many gave each."""
+    rows = rows.sort_by("shard")
+    at = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("at").combine_chunks()]
+    used, n = np.unique(np.concatenate(at), return_counts=True)
+    total = None
+    for own, x in zip(at, rows.column("moved").combine_chunks(), strict=True):
+        moved = np.frombuffer(x.as_buffer(), np.float32).reshape(len(own), -1)
+        total = np.zeros((len(used), moved.shape[1])) if total is None else total
+        total[np.searchsorted(used, own)] += moved
+    cells = (used.astype(np.int32), total.astype(np.float32), n.astype(np.int32))
+    return pa.table({"fold": pa.array([rows.column("fold")[0].as_py()], pa.int32())} | {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("at", "total", "n"), cells, strict=True)})
+
+
+def _totals(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """By fold, (rows of parameters, sums, numbers of shards) over all tasks."""
+    got = map_batches(rows, function, _PACKED).groupBy("fold", "part").applyInArrow(_added, "fold int, at binary, total binary, n binary")
+    out: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for r in got.collect():
+        at = np.frombuffer(bytes(r.at), np.int32)
+        out.setdefault(r.fold, []).append((at, np.frombuffer(bytes(r.total), np.float32).reshape(len(at), -1), np.frombuffer(bytes(r.n), np.int32)))
+    return out
+
+
+def _fitted(rows: DataFrame, seed: int = SEED) -> Model | None:
+    """A model fitted on all rows (doc_id, place, lang, toxic, text), calibrated by how models fitted on the other parts score each part."""
+    rows = rows.select("place", "lang", "toxic", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = np.zeros((FOLDS, 2, _TABLES * BUCKETS + 2))
+        for data, part, _ in _chunks(batches):
+            for fold in range(FOLDS):
+                counted[fold] += counts(d for d, p in zip(data, part, strict=True) if p == fold)
+        for fold in range(FOLDS):
+            at = np.flatnonzero(counted[fold, 0])
+            yield from _packed(fold, at, counted[fold][:, at].T)
+
+    counted = np.zeros((FOLDS + 1, 2, _TABLES * BUCKETS + 2))
+    for fold, parts in _totals(rows, count).items():
+        for at, total, _ in parts:
+            counted[fold][:, at] = total.T
+    # The last model is fitted on all parts, each other one on those that aren't its own.
+    whole = counted.sum(0)
+    counted = whole - counted
+    n, ones = whole[:, -1]
+    if not 0 < ones < n:
         return None
-    dealt = sample.select(F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("fold"), "doc_id", "toxic", "ids").repartitionByRange(FOLDS + 1, "fold")
-    fitted = map_batches(dealt, lambda it: _fold(it, seed), "doc_ids array<long>, scores array<double>, model binary").collect()
-    x = dict(pair for r in fitted for pair in zip(r.doc_ids, r.scores, strict=True))
-    *arrays, shift = pickle.loads(bytes(next(r.model for r in fitted if r.model is not None)))
-    model = Model(*arrays, shift)
-    # A sample too small for parts of both labels has rows that no other part's model has scored; they aren't calibrated on.
-    scored = [i for i, r in enumerate(known) if r.doc_id in x]
+    priors = [associations(c) if c[0, -1] else None for c in counted]
+    epochs = [_epochs(int(c[0, -1] / max(1, n // SHARD_ROWS))) for c in counted]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits: dict[int, Fit] = {}
+        for data, part, _ in _chunks(batches):
+            for fold, prior in enumerate(priors):
+                own = [d for d, p in zip(data, part, strict=True) if p != fold]
+                if prior is not None and own:
+                    if fold not in fits:
+                        fits[fold] = Fit.begun(prior, seed)
+                    fits[fold].go(own, epochs[fold])
+        for fold in list(fits):
+            now, begun = fits.pop(fold), Fit.begun(priors[fold], seed)
+            moved = now.model.table - begun.model.table
+            at = np.flatnonzero(moved.any(1))
+            yield from _packed(fold, at, moved[at])
+            yield from _packed(fold, np.array([_OTHERS]), (now.dense() - begun.dense())[None, :])
+
+    moves = {}
+    for fold, parts in _totals(rows, step).items():
+        others = next(total[0] / n[0] for at, total, n in parts if at[0] == _OTHERS)
+        parts = [(at, total / n[:, None]) for at, total, n in parts if at[0] != _OTHERS]
+        moves[fold] = (np.concatenate([at for at, _ in parts]), np.concatenate([mean for _, mean in parts]), others)
+    model = Fit.begun(priors[FOLDS], seed).move(*moves.pop(FOLDS))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = {fold: Fit.begun(priors[fold], seed).move(*moved) for fold, moved in moves.items()}
+        for data, part, langs in _chunks(batches, CHUNK_WORDS // 16):
+            for fold, own in models.items():
+                mine = np.flatnonzero(part == fold)
+                if len(mine):
+                    x = np.rint(np.clip(own.logits([data[i][0] for i in mine]), -128, 128) * GRAIN).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in mine], pa.string()), pa.array(x), pa.array([data[i][1] for i in mine], pa.int64())], names=["lang", "x", "y"])
+
+    scored = map_batches(rows, score, "lang string, x long, y long").groupBy("lang", "x").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).orderBy("lang", "x").collect()
+    # A table too small for parts of both labels has rows that no other part's model has scored; they aren't calibrated on.
     if scored:
-        _calibrate(model, np.array([x[known[i].doc_id] for i in scored]), y[scored], [known[i].lang for i in scored])
+        _calibrate(model, *(np.array([r[c] for r in scored]) for c in ("x", "hits", "n")), [r.lang for r in scored])
     return model
 
 
-def _calibrate(model: Model, x: np.ndarray, y: np.ndarray, langs: list[str]) -> None:
-    """Scales logits so that the best cut gets a score of CUT, then finds each language's own."""
-    spread = max(float(np.median(np.abs(x - np.median(x)))), 1e-3)
+def _calibrate(model: Model, x: np.ndarray, hits: np.ndarray, n: np.ndarray, langs: list[str]) -> None:
+    """Scales logits so that the best cut gets a score of CUT, then finds each language's own; n rows of a language have x / GRAIN, hits of them label 1."""
+    x = x / GRAIN
+    spread = max(_median(np.abs(x - _median(x, n)), n), 1e-3)
     slope = min(1.0, 4.0 / spread)
-    model.scale = (slope, float(np.log(CUT / (1 - CUT)) - slope * best_cut(x, y)))
+    model.scale = (slope, float(np.log(CUT / (1 - CUT)) - slope * best_cut(x, hits, n)))
     scores = 1 / (1 + np.exp(-np.clip(x * model.scale[0] + model.scale[1], -500, 500)))
     for lang in sorted(set(langs)):
         own = np.array([a == lang for a in langs])
-        if own.sum() >= LANG_ROWS and LANG_TOXIC <= y[own].sum() < own.sum():
-            model.cuts[lang] = float(np.clip(best_cut(scores[own], y[own]), 0.5, 0.9))
+        if n[own].sum() >= LANG_ROWS and LANG_TOXIC <= hits[own].sum() < n[own].sum():
+            model.cuts[lang] = float(np.clip(best_cut(scores[own], hits[own], n[own]), 0.5, 0.9))
 
 
 RESULT = T.StructType(

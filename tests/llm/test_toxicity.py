@@ -132,3 +132,21 @@ def test_a_row_beyond_the_bound_is_left_out_alone(spark):
     model, without = t.fit(long, labels, sample_words=50_000), t.fit(docs.where(t.F.col("doc_id") != first), labels, sample_words=50_000)
     assert model is not None and (model.table == without.table).all() and model.scale == without.scale
     assert not (t.fit(docs, labels).table == without.table).all()
+
+
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """Of 9,600 rows, those whose hash is greatest alone hold a word; one shard, several, and labels that are joined learn it."""
+    ids = [i for i in range(15_000) if binascii.crc32(str(i).encode()) % 3 != 1][:9600]
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(t.F.xxhash64(t.F.lit(t.SEED), "doc_id"), "doc_id").collect()]
+    rng, last = random.Random(9), set(order[-300:])
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=6) + (["brannig"] if i in last else ["grotto"] if i % 40 == 0 else [])), int(i in last or i % 40 == 0)) for i in ids]
+    docs, labels = (spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", c) for c in ("text", "toxic"))
+    asked = pa.array(["brannig", "grotto", *(" ".join(rng.choices(words, k=6)) for _ in range(200))])
+    for shard, sent in ((12_000, 10**6), (2500, 10**6), (2500, 100)):
+        monkeypatch.setattr(t, "SHARD_ROWS", shard)
+        monkeypatch.setattr(t, "SENT_LABELS", sent)
+        scores = t.fit(docs, labels).scores(asked)
+        assert (scores[:2] >= t.CUT).all() and (scores[2:] < t.CUT).all(), (shard, sent)
+    a, b = t.fit(docs, labels), t.fit(docs.repartition(7), labels)
+    assert (a.table == b.table).all() and a.scale == b.scale
