@@ -253,11 +253,16 @@ SIEVE_BITS, MOST_BITS = 16, 1 << 28
 def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows whose class may be a wanted one: a bitmap of hashes of the wanted classes, of bounded size, goes to every task, so
     that hardly any other text is shuffled. With more classes than it is made for it lets more rows pass, never fewer."""
+    return _marked(rows, wanted, "cls").where("held").select(*rows.columns)
+
+
+def _marked(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """All rows, and whether the sieve of wanted keys passes them as `held`."""
     size = min(MOST_BITS, -(-max(1, wanted.count() * SIEVE_BITS) // 32768) * 32768)
-    bit = F.pmod(F.xxhash64("cls"), F.lit(size))
+    bit = F.pmod(F.xxhash64(*keys), F.lit(size))
     maps = wanted.select(bit.alias("bit")).selectExpr("bit div 32768 as part", "bit % 32768 as at").groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
-    held = F.expr("bit_get(cast(conv(hex(substring(map, cast(bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1")
-    return rows.withColumn("bit", bit).withColumn("part", F.expr("bit div 32768")).join(F.broadcast(maps), "part").where(held).select(*rows.columns)
+    held = F.expr("coalesce(bit_get(cast(conv(hex(substring(map, cast(bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1, false)")
+    return rows.withColumn("bit", bit).withColumn("part", F.expr("bit div 32768")).join(F.broadcast(maps), "part", "left").select(*rows.columns, held.alias("held"))
 
 
 # What is joined by a bucket or a shingle, of which one may hold a large share of all rows, is written first:
@@ -331,8 +336,11 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     # Columns of any name: rows travel as one column, beside their key.
     columns = named(docs.columns)
     whole = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), _digest(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_cls"))
-    single = whole.join(told, ["_doc_id", "_cls"], "left_anti").select("_row")
-    first = whole.join(told.where("repeated"), ["_doc_id", "_cls"], "left_semi").groupBy("_doc_id", "_cls").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
+    # Rows that a sieve passes may have to go, and are shuffled to see; all others stay where they lie.
+    marked = _marked(whole, told.select("_doc_id", "_cls"), "_doc_id", "_cls")
+    maybe = keep(marked.where("held").select(*whole.columns), "maybe-gone")
+    single = marked.where("not held").select("_row").unionByName(maybe.join(told, ["_doc_id", "_cls"], "left_anti").select("_row"))
+    first = maybe.join(told.where("repeated"), ["_doc_id", "_cls"], "left_semi").groupBy("_doc_id", "_cls").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
     return single.unionByName(first).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 

@@ -395,8 +395,8 @@ def _totals(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     got = map_batches(rows, function, _PACKED).groupBy("fold", "part").applyInArrow(_added, "fold int, at binary, total binary, n binary")
     out: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for r in got.collect():
-        at = np.frombuffer(bytes(r.at), np.int32)
-        out.setdefault(r.fold, []).append((at, np.frombuffer(bytes(r.total), np.float32).reshape(len(at), -1), np.frombuffer(bytes(r.n), np.int32)))
+        at = np.frombuffer(r.at, np.int32)
+        out.setdefault(r.fold, []).append((at, np.frombuffer(r.total, np.float32).reshape(len(at), -1), np.frombuffer(r.n, np.int32).astype(np.float32)))
     return out
 
 

@@ -171,3 +171,24 @@ def test_a_sieve_lets_all_wanted_rows_pass(spark, monkeypatch, most):
     passed = {r.doc_id for r in neardup._sifted(rows, wanted).collect()}
     assert passed >= set(range(0, 20_000, 5)) and len(passed) < (6000 if most > 32768 else 8000)
     assert neardup._sifted(rows, wanted.limit(0)).count() == 0
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Texts that have no copies reach the result by no exchange, however many others go."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(12)) if i % 4 else "one text that many of these rows share") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        kept = neardup.keep(docs, "input")
+        out = neardup.one_of_each(kept)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == sorted({i for i in range(2000) if i % 4} | {0})
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        cut = [block for block in plan.split("\n") if "FileScan" in block and "/input-" in block]
+        assert len(cut) == 1, plan
+        # The input is scanned once in the last plan, under the broadcast bitmap's join alone.
+        above = final[: final.index("/input-")].split("Union")[-1]
+        assert "hashpartitioning" not in above and "BroadcastHashJoin" in above
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
