@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice, repeat
 
 import duckdb
 import numpy as np
@@ -186,12 +186,16 @@ class _Encoder:
 
     def encode(self, parts: list[list[str]]) -> list[np.ndarray]:
         """The ids of each list of words."""
-        new = list(dict.fromkeys(w for part in parts for w in part if w not in self.codes))
+        words = list(chain.from_iterable(parts))
+        # Each word is looked up once; only those that weren't known are again.
+        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        new = list(dict.fromkeys(words[i] for i in unknown))
         if len(self.codes) + len(new) > KNOWN and self.codes:
             self._forget()
-            new = list(dict.fromkeys(w for part in parts for w in part))
+            new, unknown = list(dict.fromkeys(words)), list(range(len(words)))
         self._learn(new)
-        codes = np.array([self.codes[w] for part in parts for w in part], np.int64)
+        codes[unknown] = [self.codes[words[i]] for i in unknown]
         starts, sizes = self.starts[codes], self.sizes[codes]
         at = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.ids[np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])]

@@ -71,3 +71,31 @@ def test_forgetting_and_bounds(spark, vocabulary, library, monkeypatch):
     assert bpe.encode_and_decode(spark.createDataFrame([], "doc_id long, text string"), vocabulary).count() == 0
     with pytest.raises(ValueError):
         bpe.Vocabulary({b"a": 0}, r"\S+")
+
+
+def test_a_known_word_is_looked_up_once():
+    """Of words that a worker knows each is asked for once, and one that it forgot meanwhile is learned again."""
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counting.asked += 1
+            return super().get(*a)
+
+        def __contains__(self, key):
+            Counting.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    vocabulary = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}, r"\S+|\s+")
+    encoder = bpe._Encoder(bpe._Database(vocabulary))
+    parts = [["abc", " ", "abd"], [], ["abc", "c"] * 50]
+    first = [x.tolist() for x in encoder.encode(parts)]
+    assert first == [[257, 32, 256, 100], [], [257, 99] * 50]
+    encoder.codes = Counting(encoder.codes)
+    assert [x.tolist() for x in encoder.encode(parts)] == first
+    assert Counting.asked == sum(map(len, parts))
