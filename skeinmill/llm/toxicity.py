@@ -394,9 +394,11 @@ def _totals(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     """By fold, (rows of parameters, sums, numbers of shards) over all tasks."""
     got = map_batches(rows, function, _PACKED).groupBy("fold", "part").applyInArrow(_added, "fold int, at binary, total binary, n binary")
     out: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for r in got.collect():
-        at = np.frombuffer(r.at, np.int32)
-        out.setdefault(r.fold, []).append((at, np.frombuffer(r.total, np.float32).reshape(len(at), -1), np.frombuffer(r.n, np.int32).astype(np.float32)))
+    # Arrow passes through the driver's JVM as it is; rows would be unpacked and pickled there, at several times their size.
+    sums = got.toArrow()
+    for fold, *cells in zip(*(sums.column(c) for c in ("fold", "at", "total", "n")), strict=True):
+        at, total, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(cells, (np.int32, np.float32, np.int32), strict=True))
+        out.setdefault(fold.as_py(), []).append((at, total.reshape(len(at), -1), n.astype(np.float32)))
     return out
 
 
@@ -425,9 +427,14 @@ def _fitted(rows: DataFrame, seed: int = SEED) -> Model | None:
         return None
     priors = [associations(c) if c[0, -1] else None for c in counted]
     epochs = [_epochs(int(c[0, -1] / max(1, n // SHARD_ROWS))) for c in counted]
+    # What only the jobs below need is broadcast by itself, to be destroyed after them: what a function holds stays in the driver's memory until that collects its garbage.
+    context = rows.sparkSession.sparkContext
+    sent_priors = context.broadcast(priors)
+    del counted, whole
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits: dict[int, Fit] = {}
+        priors = sent_priors.value
         for data, part, _ in _chunks(batches):
             for fold, prior in enumerate(priors):
                 own = [d for d, p in zip(data, part, strict=True) if p != fold]
@@ -448,9 +455,10 @@ def _fitted(rows: DataFrame, seed: int = SEED) -> Model | None:
         parts = [(at, total / n[:, None]) for at, total, n in parts if at[0] != _OTHERS]
         moves[fold] = (np.concatenate([at for at, _ in parts]), np.concatenate([mean for _, mean in parts]), others)
     model = Fit.begun(priors[FOLDS], seed).move(*moves.pop(FOLDS))
+    sent_moves = context.broadcast(moves)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = {fold: Fit.begun(priors[fold], seed).move(*moved) for fold, moved in moves.items()}
+        models = {fold: Fit.begun(sent_priors.value[fold], seed).move(*moved) for fold, moved in sent_moves.value.items()}
         for data, part, langs in _chunks(batches, CHUNK_WORDS // 16):
             for fold, own in models.items():
                 mine = np.flatnonzero(part == fold)
@@ -458,10 +466,12 @@ def _fitted(rows: DataFrame, seed: int = SEED) -> Model | None:
                     x = np.rint(np.clip(own.logits([data[i][0] for i in mine]), -128, 128) * GRAIN).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in mine], pa.string()), pa.array(x), pa.array([data[i][1] for i in mine], pa.int64())], names=["lang", "x", "y"])
 
-    scored = map_batches(rows, score, "lang string, x long, y long").groupBy("lang", "x").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).orderBy("lang", "x").collect()
+    scored = map_batches(rows, score, "lang string, x long, y long").groupBy("lang", "x").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).orderBy("lang", "x").toArrow()
+    sent_priors.destroy()
+    sent_moves.destroy()
     # A table too small for parts of both labels has rows that no other part's model has scored; they aren't calibrated on.
-    if scored:
-        _calibrate(model, *(np.array([r[c] for r in scored]) for c in ("x", "hits", "n")), [r.lang for r in scored])
+    if scored.num_rows:
+        _calibrate(model, *(scored.column(c).to_numpy() for c in ("x", "hits", "n")), scored.column("lang").to_pylist())
     return model
 
 

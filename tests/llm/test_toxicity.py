@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import binascii
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -150,3 +151,18 @@ def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
         assert (scores[:2] >= t.CUT).all() and (scores[2:] < t.CUT).all(), (shard, sent)
     a, b = t.fit(docs, labels), t.fit(docs.repartition(7), labels)
     assert (a.table == b.table).all() and a.scale == b.scale
+
+
+def test_nothing_of_a_fit_stays_in_the_driver(spark):
+    """What a fit sends to its tasks is gone when it ends, not only when the driver collects its garbage."""
+    rng = random.Random(12)
+    rows = [(i, " ".join([f"{rng.randrange(10**9)}" for _ in range(50)] + ["grotto"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    held = lambda: -spark.sparkContext._jsc.sc().getExecutorMemoryStatus().values().head()._2()
+    assert docs.count() == 600
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = held()
+    assert t.fit(docs.drop("toxic"), docs.select("doc_id", "toxic")) is not None
+    time.sleep(0.5)
+    assert held() - before < 2 << 20
