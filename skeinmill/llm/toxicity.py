@@ -116,12 +116,14 @@ class Model:
         """One document at a time, so that the order of sums, and with it the last bit, depends on its words alone."""
         if not docs:
             return np.zeros(0)
-        greatest = np.empty((len(docs), len(self.bias)), np.result_type(self.table, self.taps))
+        greatest = np.empty(len(self.bias), np.result_type(self.table, self.taps))
+        out = np.empty(len(docs), np.result_type(greatest, self.out))
         for i, doc in enumerate(docs):
             answers = self._responses(np.concatenate([doc, np.full((_PAD, _TABLES), _TABLES * BUCKETS, doc.dtype)]))
             for k, (width, answer) in enumerate(zip(WIDTHS, answers, strict=True)):
-                greatest[i, k * FILTERS : (k + 1) * FILTERS] = answer[:, : answer.shape[1] - width + 1].max(1)
-        return (np.maximum(greatest + self.bias, 0) * self.out).sum(1) + self.shift
+                greatest[k * FILTERS : (k + 1) * FILTERS] = answer[:, : answer.shape[1] - width + 1].max(1)
+            out[i] = (np.maximum(greatest + self.bias, 0) * self.out).sum()
+        return out + self.shift
 
     def logits_in_pieces(self, docs: list[np.ndarray]) -> np.ndarray:
         """The same, with memory for one document or BATCH of them at a time."""
